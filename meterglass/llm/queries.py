@@ -2,9 +2,10 @@
 
 from meterglass.llm.bpe import op9_bpe_tree
 from meterglass.llm.html_text import op4_html_main_text
+from meterglass.llm.minhash import op10_minhash
 from meterglass.llm.packing import op6_vector_packing
 from meterglass.llm.telephony import op2_telephony_audio
 
-QUERIES = {f.__name__: f for f in (op2_telephony_audio, op4_html_main_text, op6_vector_packing, op9_bpe_tree)}
+QUERIES = {f.__name__: f for f in (op2_telephony_audio, op4_html_main_text, op6_vector_packing, op9_bpe_tree, op10_minhash)}
 
 SQL: dict[str, str] = {}
