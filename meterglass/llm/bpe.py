@@ -12,12 +12,14 @@ of bounded size. Equal texts give equal ids; repeated rows give repeated rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +31,12 @@ VOCABULARY = "byte_bpe_50k.json"
 LEAF_BYTES = 48
 #: Tokens on each side of a join that are encoded again first.
 FIRST_WINDOW = 4
-#: Words that a task remembers; beyond that it forgets all and starts again.
-CACHE_WORDS = 400_000
+#: Signs that are neither letter, number nor white space.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Bytes of text whose words are looked up together.
+RUN_BYTES = 4_000_000
+#: Words that a worker remembers; beyond that it forgets all and starts again.
+CACHE_WORDS = 900_000
 
 # The splitting pattern of the vocabulary, with Unicode's white space spelled out.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -44,13 +50,31 @@ def byte_letters() -> dict[str, int]:
 
 
 class _Words(dict):
-    """Token ids, as little-endian bytes, of text between spaces; ``lead`` stands before each."""
+    """Token ids, as little-endian bytes, of words. One that begins with a line break follows it, others follow a space."""
 
-    def __init__(self, encoder: Encoder, lead: str) -> None:
-        self.encoder, self.lead = encoder, lead
+    def __init__(self, encoder: Encoder) -> None:
+        self.encoder = encoder
 
     def __missing__(self, word: str) -> bytes:
-        self[word] = ids = self.encoder.pieces(self.lead + word)
+        encoder = self.encoder
+        if word[0] == "\n":
+            ids = encoder.line_break + encoder.pieces(word[1:])
+        elif (core := word.rstrip(MARKS)) != word and core.isalpha():
+            ids = self[core] + encoder.marks[word[len(core) :]]
+        else:
+            ids = encoder.pieces(" " + word)
+        self[word] = ids
+        return ids
+
+
+class _Marks(dict):
+    """Token ids of runs of `MARKS`, each a piece of its own after letters."""
+
+    def __init__(self, encoder: Encoder) -> None:
+        self.encoder = encoder
+
+    def __missing__(self, marks: str) -> bytes:
+        self[marks] = ids = np.array(self.encoder.tree(marks.encode()), "<u4").tobytes()
         return ids
 
 
@@ -81,8 +105,18 @@ class Encoder:
             self.merge[vocabulary[left] << 20 | vocabulary[right]] = rank << 20 | vocabulary[left + right]
         self.pattern = regex.compile(PATTERN)
         self.leaf_bytes, self.window, self.cache_words = leaf_bytes, window, cache_words
-        self.first, self.after = _Words(self, ""), _Words(self, " ")
+        self.id_of = {token: n for n, token in enumerate(self.bytes_of) if token and n not in set(self.special.values())}
+        # lengths of the tokens that begin with three bytes, longest first
+        lengths: dict[bytes, set[int]] = {}
+        for token in self.id_of:
+            if len(token) > 2:
+                lengths.setdefault(token[:3], {1, 2}).add(len(token))
+        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
+        self.agree: dict[int, bool] = {}
+        self.words, self.marks = _Words(self), _Marks(self)
         self.line_break = np.array([self.of_byte[10]], "<u4").tobytes()
+        unusual = ["[\\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]", "^[ \\n]", "[ \\n]$", "[ \\n][ \\n]", "^$"]
+        self.unusual = "|".join([*unusual, "[\\t\\r\\f\\v]", *map(regex.escape, self.special)])
 
     def merged(self, raw: bytes) -> list[int]:
         """The tokens of a short piece: the pair of least rank merges, leftmost first, until none can."""
@@ -102,6 +136,48 @@ class Encoder:
                 ranks[at] = merge.get(ids[at] << 20 | ids[at + 1], none)
         return ids
 
+    def fits(self, a: int, b: int) -> bool:
+        """Whether the two tokens stay as they are when their bytes are encoded together."""
+        key = a << 20 | b
+        known = self.agree.get(key)
+        if known is None:
+            if len(self.agree) >= self.cache_words:
+                self.agree.clear()
+            known = self.agree[key] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        return known
+
+    def short(self, raw: bytes) -> list[int]:
+        """The tokens of a short piece, by the rule that a sequence in which all neighbours fit is the encoding.
+
+        The longest token that fits its neighbour is tried first; a dead end goes back one token.
+        """
+        get, lengths, size, agree = self.id_of.get, self.lengths, len(raw), self.agree
+        ids: list[int] = []
+        ends: list[int] = []
+        at, least = 0, size + 1  # the next token is shorter than ``least``
+        while at < size:
+            end = 0
+            for length in lengths.get(raw[at : at + 3], (2, 1)):
+                if length < least and at + length <= size:
+                    n = get(raw[at : at + length])
+                    if n is not None:
+                        if ids:
+                            fits = agree.get(ids[-1] << 20 | n)
+                            if not (self.fits(ids[-1], n) if fits is None else fits):
+                                continue
+                        end = at + length
+                        break
+            if end:
+                ids.append(n)
+                ends.append(end)
+                at, least = end, size + 1
+            else:
+                ids.pop()
+                was = ends.pop()
+                at = ends[-1] if ends else 0
+                least = was - at
+        return ids
+
     def joined(self, left: list[int], right: list[int]) -> list[int]:
         """The tokens of two neighbouring texts together, from the tokens of each."""
         size = self.window
@@ -115,60 +191,92 @@ class Encoder:
     def tree(self, raw: bytes, join: bool = True) -> list[int]:
         """The tokens of a piece of any length; a window around a join is small and merged directly."""
         if len(raw) <= self.leaf_bytes or not join and len(raw) <= 16 * self.leaf_bytes:
-            return self.merged(raw)
+            return self.short(raw)
         # bottom up: all leaves, and then all joins of a level, are independent of each other
-        level = [self.merged(raw[k : k + self.leaf_bytes]) for k in range(0, len(raw), self.leaf_bytes)]
+        level = [self.short(raw[k : k + self.leaf_bytes]) for k in range(0, len(raw), self.leaf_bytes)]
         while len(level) > 1:
             level = [self.joined(*level[k : k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
         return level[0]
 
     def pieces(self, text: str) -> bytes:
+        """Ids of text without special tokens."""
+        if text[text[:1] == " " :].isalpha():
+            return np.array(self.tree(text.encode("utf-8")), "<u4").tobytes()
         ids: list[int] = []
         for piece in self.pattern.findall(text):
             ids += self.tree(piece.encode("utf-8"))
         return np.array(ids, "<u4").tobytes()
 
-    def plain(self, text: str) -> bytes:
-        """Ids of text without special tokens.
-
-        Where white space is single spaces and line breaks between words, each word with the space before it can be
-        encoded by itself; else the pattern runs over the whole text.
-        """
-        lines = [line.split(" ") for line in text.split("\n")]
-        if [w for line in lines for w in line] != text.split():
-            return self.pieces(text)
-        first, after = self.first, self.after
-        return self.line_break.join([first[line[0]] + b"".join(map(after.__getitem__, line[1:])) for line in lines])
-
-    def encode(self, text: str | None) -> np.ndarray:
-        """The token ids of a whole text."""
+    def encode(self, text: str | None) -> bytes:
+        """The token ids of a whole text, as little-endian bytes."""
         if not text:
-            return np.empty(0, "<u4")
-        if len(self.first) + len(self.after) > self.cache_words:
-            self.first.clear()
-            self.after.clear()
-        if self.cut is None or not self.cut.search(text):
-            return np.frombuffer(self.plain(text), "<u4")
+            return b""
+        if self.cut is None:
+            return self.pieces(text)
         out, at = [], 0
         for found in self.cut.finditer(text):
-            out += [self.plain(text[at : found.start()]) if found.start() > at else b"", np.array([self.special[found[0]]], "<u4").tobytes()]
+            out += [self.pieces(text[at : found.start()]), np.array([self.special[found[0]]], "<u4").tobytes()]
             at = found.end()
-        return np.frombuffer(b"".join([*out, self.plain(text[at:]) if at < len(text) else b""]), "<u4")
+        return b"".join([*out, self.pieces(text[at:])])
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """The token ids of each text.
+
+        Where white space is only single spaces and line breaks between words, a word with what stands before it can
+        be encoded by itself, so each different word of a run of texts is looked up once and its ids are gathered.
+        In other texts the pattern runs over the whole.
+        """
+        texts = pc.fill_null(texts, "")
+        special = pc.match_substring_regex(texts, self.unusual).to_numpy(zero_copy_only=False)
+        out: list[np.ndarray] = [np.frombuffer(self.encode(texts[k].as_py()), "<u4") if s else None for k, s in enumerate(special)]
+        usual = np.flatnonzero(~special)
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)[usual]
+        runs = np.cumsum(sizes) // RUN_BYTES
+        for run in np.split(usual, np.flatnonzero(np.diff(runs)) + 1):
+            if len(run):
+                for k, ids in zip(run, self._gathered(texts.take(pa.array(run))), strict=True):
+                    out[k] = ids
+        return out
+
+    def _gathered(self, texts: pa.Array) -> list[np.ndarray]:
+        if len(self.words) > self.cache_words:
+            self.words.clear()
+            self.marks.clear()
+        marked = pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), "")
+        split = pc.split_pattern(marked, " ")
+        coded = split.flatten().dictionary_encode()
+        known = list(map(self.words.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        ids = np.frombuffer(b"".join(known), "<u4")
+        length = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        first = np.cumsum(length) - length
+        words = coded.indices.to_numpy()
+        counts = length[words]
+        ends = np.cumsum(counts)
+        flat = ids[np.repeat(first[words] - (ends - counts), counts) + np.arange(ends[-1])]
+        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        # the line break that was put before each text goes
+        return [flat[a + 1 : b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of token ids; bytes that are no UTF-8 become replacement characters."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+@functools.cache
+def shared_encoder(path: str) -> Encoder:
+    """The encoder of a Python worker, which its tasks use one after another."""
+    return Encoder(path)
+
+
 def encode_texts(df: DataFrame, text: Column, *keys: str, path: str) -> DataFrame:
     """Columns ``keys`` and ``ids``: the token ids as little-endian unsigned 32-bit integers."""
     source = df.select(F.struct(*[df[f"`{k}`"] for k in keys]).alias("keys"), text.cast("string").alias("text"))
 
     def make():
-        encoder = Encoder(path)
+        encoder = shared_encoder(path)
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = pa.array([encoder.encode(x).tobytes() for x in batch.column("text").to_pylist()], pa.binary())
+            ids = pa.array([x.tobytes() for x in encoder.encode_all(batch.column("text"))], pa.binary())
             return pa.RecordBatch.from_arrays([batch.column("keys"), ids], ["keys", "ids"])
 
         return apply
@@ -181,7 +289,7 @@ def decode_ids(df: DataFrame, ids: Column, *keys: str, path: str) -> DataFrame:
     source = df.select(F.struct(*[df[f"`{k}`"] for k in keys]).alias("keys"), ids.alias("ids"))
 
     def make():
-        encoder = Encoder(path)
+        encoder = shared_encoder(path)
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             counts, digests, texts = [], [], []
