@@ -160,6 +160,16 @@ def near_duplicates(df: DataFrame, doc_id: Column, text: Column, words: int = WO
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def keep_one(df: DataFrame, doc_id: Column, text: Column, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``df`` that are kept: one document of each component, and all without a doc_id.
+
+    Where rows repeat a doc_id, all of them stay.
+    """
+    gone = near_duplicates(df, doc_id, text, words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"))
+    packed = df.select(doc_id.cast("long").alias("own_id"), F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"))
+    return packed.join(gone, packed["own_id"] == gone["gone_id"], "left_anti").select("row.*")
+
+
 def op10_minhash(spark, sf_dir: str) -> DataFrame:
     """Near duplicates among all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

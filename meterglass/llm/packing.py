@@ -157,8 +157,12 @@ def pack_texts(df: DataFrame, text: Column, *keys: str, path: str, **limits: int
     return pack(encoded, F.concat("ids", F.lit(CLOSING)), *keys, **limits)
 
 
+def digest(pieces: DataFrame) -> DataFrame:
+    """Pieces with the crc32 of their ids in place of the ids."""
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op6_vector_packing(spark, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2048 tokens; ids_crc32 is of the little-endian ids of a piece."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    pieces = pack_texts(docs, F.col("text"), "doc_id", path=public_tokenizers.path(VOCABULARY))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return digest(pack_texts(docs, F.col("text"), "doc_id", path=public_tokenizers.path(VOCABULARY)))

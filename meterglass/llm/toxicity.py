@@ -71,7 +71,14 @@ def learned_lexicon(texts: list[str], toxic: np.ndarray) -> frozenset[str]:
             if len(word) > k:
                 kinds[word[:k] + "-"] += 1
                 most[word[:k] + "-"] = max(most[word[:k] + "-"], c)
-    own = lambda e: e[-1] != "-" or kinds[e] >= VARIETY and 2 * most[e] < bad[e]
+    # and a word only where others follow it in half of its texts, which copies of one text do not do
+    after: dict[str, set[str]] = {}
+    for text, y in zip(texts, toxic, strict=True):
+        if y:
+            cores = list(map(plain, text.split()))
+            for word, follower in zip(cores, [*cores[1:], ""], strict=True):
+                after.setdefault(word, set()).add(follower)
+    own = lambda e: 2 * len(after[e]) >= bad[e] if e[-1] != "-" else kinds[e] >= VARIETY and 2 * most[e] < bad[e]
     best = sorted((-r, e) for e, r in ratio.items() if r >= LIKELIER and own(e))
     return frozenset(e for _, e in best[:ENTRIES])
 
