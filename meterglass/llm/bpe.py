@@ -33,10 +33,12 @@ LEAF_BYTES = 48
 FIRST_WINDOW = 4
 #: Signs that are neither letter, number nor white space.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Texts that are encoded at once.
+TEXTS_AT_ONCE = 512
 #: Bytes of text whose words are looked up together.
-RUN_BYTES = 4_000_000
+RUN_BYTES = 2_000_000
 #: Words that a worker remembers; beyond that it forgets all and starts again.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 # The splitting pattern of the vocabulary, with Unicode's white space spelled out.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -276,8 +278,10 @@ def encode_texts(df: DataFrame, text: Column, *keys: str, path: str) -> DataFram
         encoder = shared_encoder(path)
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = pa.array([x.tobytes() for x in encoder.encode_all(batch.column("text"))], pa.binary())
-            return pa.RecordBatch.from_arrays([batch.column("keys"), ids], ["keys", "ids"])
+            parts = []
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                parts.append(pa.array([x.tobytes() for x in encoder.encode_all(batch.column("text").slice(at, TEXTS_AT_ONCE))], pa.binary()))
+            return pa.RecordBatch.from_arrays([batch.column("keys"), pa.concat_arrays(parts)], ["keys", "ids"])
 
         return apply
 

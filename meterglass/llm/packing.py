@@ -16,7 +16,7 @@ as they occur; the order of equal pieces is that of the rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterglass.llm.bpe import VOCABULARY, encode_texts
+from meterglass.llm.bpe import VOCABULARY, shared_encoder
 from meterglass.llm.common import table
 
 MAX_TOKENS = 2048
@@ -33,8 +33,10 @@ MAX_TOKENS = 2048
 MAX_SEGMENTS = 512
 #: Pieces that wait in a task's pool.
 POOL = 512
-#: Little-endian id that closes a document.
-CLOSING = (1).to_bytes(4, "little")
+#: The id that closes a document.
+CLOSING = np.array([1], "<u4")
+#: Texts that a task encodes at once, and rows of a batch that it returns.
+TEXTS_AT_ONCE, ROWS_AT_ONCE = 512, 2000
 
 
 class Packer:
@@ -110,11 +112,43 @@ def pack(df: DataFrame, ids: Column, *keys: str, loss: Column | None = None, max
     2**40 plus a count.
     """
     source = df.select(F.struct(*[df[f"`{k}`"] for k in keys]).alias("keys"), ids.alias("ids"), (F.lit(None).cast("binary") if loss is None else loss).alias("loss"))
-    keys_type = source.schema["keys"].dataType
+
+    def read(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for key, raw, bears in zip(batch.column("keys"), batch.column("ids"), batch.column("loss"), strict=True):
+            if raw.is_valid:
+                numbers = np.frombuffer(raw.as_py(), "<u4")
+                mask = np.frombuffer(bears.as_py(), np.uint8) != 0 if bears.is_valid else np.arange(len(numbers)) > 0
+                if len(mask) != len(numbers):
+                    raise ValueError("a row has as many loss bytes as ids")
+                yield key.as_py(), numbers, mask
+
+    return _packed(source, lambda: read, max_tokens, max_segments, max_loss)
+
+
+def pack_texts(df: DataFrame, text: Column, *keys: str, path: str, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_TOKENS) -> DataFrame:
+    """`pack` of texts: each one's token ids and the closing id, encoded in the task that packs them."""
+    source = df.select(F.struct(*[df[f"`{k}`"] for k in keys]).alias("keys"), text.cast("string").alias("text"))
+
+    def reader():
+        encoder = shared_encoder(path)
+
+        def read(batch: pa.RecordBatch) -> Iterator[tuple]:
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(at, TEXTS_AT_ONCE)
+                for key, ids in zip(part.column("keys").to_pylist(), encoder.encode_all(part.column("text")), strict=True):
+                    numbers = np.append(ids, CLOSING).astype("<u4", copy=False)
+                    yield key, numbers, np.arange(len(numbers)) > 0
+
+        return read
+
+    return _packed(source, reader, max_tokens, max_segments, max_loss)
+
+
+def _packed(source: DataFrame, reader: Callable[[], Callable[[pa.RecordBatch], Iterator[tuple]]], max_tokens: int, max_segments: int, max_loss: int) -> DataFrame:
     names = ["keys", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(max_tokens, max_segments, max_loss)
+        packer, read = Packer(max_tokens, max_segments, max_loss), reader()
         base = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
         kind = None
@@ -131,32 +165,20 @@ def pack(df: DataFrame, ids: Column, *keys: str, loss: Column | None = None, max
 
         for part in batches:
             kind = part.column("keys").type
-            for key, raw, bears in zip(part.column("keys").to_pylist(), part.column("ids"), part.column("loss"), strict=True):
-                if not raw.is_valid:
-                    continue
-                numbers = np.frombuffer(raw.as_py(), "<u4")
-                mask = np.frombuffer(bears.as_py(), np.uint8) != 0 if bears.is_valid else np.arange(len(numbers)) > 0
-                if len(mask) != len(numbers):
-                    raise ValueError("a row has as many loss bytes as ids")
+            for key, numbers, mask in read(part):
                 for sequence in packer.add((key, len(numbers)), numbers, mask):
                     put(sequence)
-                if len(rows) >= 2000:
+                if len(rows) >= ROWS_AT_ONCE:
                     yield batch()
         for sequence in packer.rest():
             put(sequence)
         if rows:
             yield batch()
 
-    schema = f"keys {keys_type.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    schema = f"keys {source.schema['keys'].dataType.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     return source.mapInArrow(run, schema).select("keys.*", *names[1:])
 
 
-def pack_texts(df: DataFrame, text: Column, *keys: str, path: str, **limits: int) -> DataFrame:
-    """Packs texts: each one's token ids and the closing id."""
-    encoded = encode_texts(df, text, *keys, path=path)
-    return pack(encoded, F.concat("ids", F.lit(CLOSING)), *keys, **limits)
-
-
 def digest(pieces: DataFrame) -> DataFrame:
     """Pieces with the crc32 of their ids in place of the ids."""
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
