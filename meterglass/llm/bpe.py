@@ -16,6 +16,7 @@ import functools
 import hashlib
 import json
 
+import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -56,10 +57,18 @@ class _Words(dict):
 
     def __init__(self, encoder: Encoder) -> None:
         self.encoder = encoder
+        self.older: dict[str, bytes] = {}
+
+    def age(self) -> None:
+        """Words that nobody asks for again before the next time are forgotten."""
+        self.older = dict(self)
+        self.clear()
 
     def __missing__(self, word: str) -> bytes:
         encoder = self.encoder
-        if word[0] == "\n":
+        if (ids := self.older.get(word)) is not None:
+            pass
+        elif word[0] == "\n":
             ids = encoder.line_break + encoder.pieces(word[1:])
         elif (core := word.rstrip(MARKS)) != word and core.isalpha():
             ids = self[core] + encoder.marks[word[len(core) :]]
@@ -108,12 +117,9 @@ class Encoder:
         self.pattern = regex.compile(PATTERN)
         self.leaf_bytes, self.window, self.cache_words = leaf_bytes, window, cache_words
         self.id_of = {token: n for n, token in enumerate(self.bytes_of) if token and n not in set(self.special.values())}
-        # lengths of the tokens that begin with three bytes, longest first
-        lengths: dict[bytes, set[int]] = {}
+        self.prefixes = ahocorasick.Automaton()
         for token in self.id_of:
-            if len(token) > 2:
-                lengths.setdefault(token[:3], {1, 2}).add(len(token))
-        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
+            self.prefixes.add_word(token.decode("latin-1"), 1)
         self.agree: dict[int, bool] = {}
         self.words, self.marks = _Words(self), _Marks(self)
         self.line_break = np.array([self.of_byte[10]], "<u4").tobytes()
@@ -153,31 +159,30 @@ class Encoder:
 
         The longest token that fits its neighbour is tried first; a dead end goes back one token.
         """
-        get, lengths, size, agree = self.id_of.get, self.lengths, len(raw), self.agree
+        get, reach, size, agree = self.id_of.get, self.prefixes.longest_prefix, len(raw), self.agree
+        letters = raw.decode("latin-1")
         ids: list[int] = []
         ends: list[int] = []
-        at, least = 0, size + 1  # the next token is shorter than ``least``
+        at, end = 0, reach(letters)
         while at < size:
-            end = 0
-            for length in lengths.get(raw[at : at + 3], (2, 1)):
-                if length < least and at + length <= size:
-                    n = get(raw[at : at + length])
-                    if n is not None:
-                        if ids:
-                            fits = agree.get(ids[-1] << 20 | n)
-                            if not (self.fits(ids[-1], n) if fits is None else fits):
-                                continue
-                        end = at + length
+            while end > at:
+                n = get(raw[at:end])
+                if n is not None:
+                    if not ids:
+                        break
+                    fits = agree.get(ids[-1] << 20 | n)
+                    if self.fits(ids[-1], n) if fits is None else fits:
                         break
-            if end:
+                end -= 1
+            if end > at:
                 ids.append(n)
                 ends.append(end)
-                at, least = end, size + 1
+                at = end
+                end = at + reach(letters[at:])
             else:
                 ids.pop()
-                was = ends.pop()
+                end = ends.pop() - 1
                 at = ends[-1] if ends else 0
-                least = was - at
         return ids
 
     def joined(self, left: list[int], right: list[int]) -> list[int]:
@@ -242,7 +247,7 @@ class Encoder:
 
     def _gathered(self, texts: pa.Array) -> list[np.ndarray]:
         if len(self.words) > self.cache_words:
-            self.words.clear()
+            self.words.age()
             self.marks.clear()
         marked = pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), "")
         split = pc.split_pattern(marked, " ")

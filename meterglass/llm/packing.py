@@ -16,16 +16,19 @@ as they occur; the order of equal pieces is that of the rows.
 
 from __future__ import annotations
 
+import functools
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterglass.llm.bpe import VOCABULARY, shared_encoder
+from meterglass.llm.bpe import VOCABULARY, byte_letters
 from meterglass.llm.common import table
 
 MAX_TOKENS = 2048
@@ -35,8 +38,8 @@ MAX_SEGMENTS = 512
 POOL = 512
 #: The id that closes a document.
 CLOSING = np.array([1], "<u4")
-#: Texts that a task encodes at once, and rows of a batch that it returns.
-TEXTS_AT_ONCE, ROWS_AT_ONCE = 512, 2000
+#: Rows of a batch that a task returns.
+ROWS_AT_ONCE = 2000
 
 
 class Packer:
@@ -125,19 +128,28 @@ def pack(df: DataFrame, ids: Column, *keys: str, loss: Column | None = None, max
     return _packed(source, lambda: read, max_tokens, max_segments, max_loss)
 
 
+@functools.cache
+def library_encoder(path: str) -> tiktoken.Encoding:
+    """A public library's encoder of a vocabulary file, whose ids are in the order of its merges."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    letters, special = byte_letters(), {t["content"]: t["id"] for t in spec["added_tokens"]}
+    ranks = {bytes(letters[c] for c in token): n for token, n in spec["model"]["vocab"].items() if token not in special}
+    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+
 def pack_texts(df: DataFrame, text: Column, *keys: str, path: str, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_TOKENS) -> DataFrame:
     """`pack` of texts: each one's token ids and the closing id, encoded in the task that packs them."""
     source = df.select(F.struct(*[df[f"`{k}`"] for k in keys]).alias("keys"), text.cast("string").alias("text"))
 
     def reader():
-        encoder = shared_encoder(path)
+        encoder = library_encoder(path)
 
         def read(batch: pa.RecordBatch) -> Iterator[tuple]:
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = batch.slice(at, TEXTS_AT_ONCE)
-                for key, ids in zip(part.column("keys").to_pylist(), encoder.encode_all(part.column("text")), strict=True):
-                    numbers = np.append(ids, CLOSING).astype("<u4", copy=False)
-                    yield key, numbers, np.arange(len(numbers)) > 0
+            for key, value in zip(batch.column("keys"), batch.column("text"), strict=True):
+                ids = encoder.encode_to_numpy(value.as_py() or "", allowed_special="all")
+                numbers = np.append(ids, CLOSING).astype("<u4", copy=False)
+                yield key.as_py(), numbers, np.arange(len(numbers)) > 0
 
         return read
 
