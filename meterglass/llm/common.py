@@ -47,6 +47,17 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def least_hashed(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """The ``rows`` rows with the least hash of ``key`` (some more where keys repeat).
+
+    A threshold that about four times as many rows pass comes first, so what tasks send on is bounded too.
+    """
+    spread = 1 << 40
+    hashed = df.withColumn("_h", F.pmod(F.xxhash64(key), F.lit(spread)))
+    most = -(-spread * 4 * rows // max(1, df.select(key).count()))
+    return hashed.where(F.col("_h") < most).orderBy("_h", key).limit(rows).drop("_h")
+
+
 def text_chunks(values: list[str | None], most: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, texts as UTF-8) in runs of about ``most`` bytes; null counts as empty. A longer text stands alone."""
     first, held, size = 0, [], 0

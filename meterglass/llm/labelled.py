@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterglass.llm.common import held_out
+from meterglass.llm.common import held_out, least_hashed
 
 
 def labelled_sample(docs: DataFrame, doc_id: Column, text: Column, labels: DataFrame, label_id: Column, label: Column, rows: int) -> list[tuple[str, int]]:
@@ -14,7 +14,7 @@ def labelled_sample(docs: DataFrame, doc_id: Column, text: Column, labels: DataF
     Rows whose id or label is null are left out; a null text counts as empty.
     """
     known = labels.select(label_id.cast("long").alias("doc_id"), label.cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL").where(~held_out(F.col("doc_id")))
-    chosen = dict(map(tuple, known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows).collect()))
+    chosen = dict(map(tuple, least_hashed(known, "doc_id", rows).collect()))
     if not chosen:
         return []
     texts = docs.select(doc_id.cast("long").alias("doc_id"), text.cast("string").alias("text")).where(F.col("doc_id").isin(list(chosen)))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterglass.llm.common import filter_batches, held_out, map_batches, table, text_chunks
+from meterglass.llm.common import filter_batches, held_out, least_hashed, map_batches, table, text_chunks
 
 UND = "und"
 #: Labelled documents that the network is fitted on, at most; those with the least hash of their ids.
@@ -164,8 +164,8 @@ class Network:
 def train(df: DataFrame, doc_id: Column, text: Column, lang: Column, rows: int = TRAIN_ROWS) -> Network | None:
     """A network fitted on at most ``rows`` labelled documents that are not held out; None if there is none."""
     sample = df.select(doc_id.alias("doc_id"), text.cast("string").alias("text"), lang.cast("string").alias("lang"))
-    sample = sample.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id")))
-    known = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).select("text", "lang").collect()
+    sample = sample.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    known = sorted(least_hashed(sample, "doc_id", rows).select(F.coalesce("text", F.lit("")).alias("text"), "lang").collect())
     if not known:
         return None
     languages = sorted({r.lang for r in known})
