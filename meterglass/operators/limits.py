@@ -1,0 +1,136 @@
+"""Subscription limits: normalising responses and snapshots, the freshest per account, and their view."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from meterglass.functions.text import human_duration, limit_label
+
+ORDER = ("five_hour", "seven_day")
+NUMERIC = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
+BUCKET = "key string, label string, used_percentage double, resets_at double, window_minutes double"
+
+
+def number(value: Column, kind: str = "double") -> Column:
+    """A JSON number (or truth value) of a variant; null for anything else."""
+    return F.when(F.schema_of_variant(value).rlike(NUMERIC), F.try_variant_get(value, "$", kind)).when(F.schema_of_variant(value) == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("int").cast(kind))
+
+
+def is_object(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+
+
+def text(value: Column) -> Column:
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
+def epoch(value: Column) -> Column:
+    """Seconds since the epoch of a JSON number or an ISO timestamp (without zone: UTC)."""
+    written = text(value)
+    iso = F.when(written.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?(Z|[+-]\d{2}:?\d{2})?$"), F.unix_micros(F.try_to_timestamp(written)) / 1e6)
+    return F.coalesce(number(value), iso)
+
+
+def part(value: Column, path: str) -> Column:
+    return F.try_variant_get(value, path, "variant")
+
+
+def limits_from_list(responses: DataFrame) -> DataFrame:
+    """Buckets of responses (account, captured_at, body variant) of the first shape.
+
+    Its ``limits`` list gives rows named by kind; a kind that came before gets its index as suffix. A response without
+    any such row gives those of its members that have a utilization.
+    """
+    item = F.col("item")
+    listed = responses.where(F.schema_of_variant(part(F.col("body"), "$.limits")).startswith("ARRAY")).select("account", "captured_at", F.posexplode(F.try_variant_get("body", "$.limits", "array<variant>")).alias("at", "item"))
+    kind = F.coalesce(F.nullif(F.try_variant_get(item, "$.kind", "string"), F.lit("")), F.concat(F.lit("limit_"), F.col("at")))
+    model = F.coalesce(F.nullif(text(part(item, "$.scope.model.display_name")), F.lit("")), F.nullif(text(part(item, "$.scope.model.id")), F.lit("")), F.nullif(text(part(item, "$.scope.surface")), F.lit("")), F.lit("SCOPED"))
+    label = F.when(kind == "session", "5-HOUR").when(kind == "weekly_all", "WEEKLY").when(kind == "weekly_scoped", F.upper(F.concat(model, F.lit(" WEEKLY")))).otherwise(F.upper(F.replace(kind, F.lit("_"), F.lit(" "))))
+    rows = listed.where(is_object(item)).select("account", "captured_at", "at", kind.alias("kind"), label.alias("label"), number(part(item, "$.percent")).alias("used_percentage"), epoch(part(item, "$.resets_at")).alias("resets_at"))
+    rows = rows.where("used_percentage IS NOT NULL AND resets_at IS NOT NULL")
+    before = F.row_number().over(Window.partitionBy("account", "captured_at", "kind").orderBy("at"))
+    rows = rows.withColumn("nth", before).select("account", "captured_at", F.when(F.col("nth") == 1, F.col("kind")).otherwise(F.concat_ws("_", "kind", "at")).alias("key"), "label", "used_percentage", "resets_at")
+    other = responses.join(rows.select("account", "captured_at").distinct(), ["account", "captured_at"], "left_anti").where(is_object(F.col("body")))
+    members = other.select("account", "captured_at", F.explode(F.try_variant_get("body", "$", "map<string,variant>")).alias("key", "item")).where(is_object(item))
+    members = members.select("account", "captured_at", "key", F.lit(None).cast("string").alias("label"), number(part(item, "$.utilization")).alias("used_percentage"), epoch(part(item, "$.resets_at")).alias("resets_at"))
+    both = rows.unionByName(members.where("used_percentage IS NOT NULL AND resets_at IS NOT NULL"))
+    return both.withColumn("window_minutes", F.lit(None).cast("double"))
+
+
+def limits_from_map(responses: DataFrame) -> DataFrame:
+    """Buckets of responses of the second shape: limits by id (or a single one), each with up to three windows."""
+    by_id = part(F.col("body"), "$.rateLimitsByLimitId")
+    many = F.when(is_object(by_id), F.try_variant_get("body", "$.rateLimitsByLimitId", "map<string,variant>"))
+    one = F.when(is_object(part(F.col("body"), "$.rateLimits")), F.create_map(F.lit("codex"), part(F.col("body"), "$.rateLimits")))
+    limits = responses.select("account", "captured_at", F.explode(F.when(F.size(many) > 0, many).otherwise(one)).alias("id", "limit")).where(is_object(F.col("limit")))
+    slots = F.array(*[F.struct(F.lit(s).alias("slot"), part(F.col("limit"), f"$.{s}").alias("w")) for s in ("primary", "secondary", "individualLimit")])
+    windows = limits.select("account", "captured_at", "id", text(part(F.col("limit"), "$.limitName")).alias("name"), F.inline(slots)).where(is_object(F.col("w")))
+    minutes = number(part(F.col("w"), "$.windowDurationMins"))
+    label = F.upper(F.concat_ws(" ", F.nullif(F.col("name"), F.lit("")), limit_label(minutes, F.col("slot"))))
+    rows = windows.select("account", "captured_at", F.concat_ws("_", "id", "slot").alias("key"), label.alias("label"), number(part(F.col("w"), "$.usedPercent")).alias("used_percentage"), epoch(part(F.col("w"), "$.resetsAt")).alias("resets_at"), minutes.alias("window_minutes"))
+    return rows.where("used_percentage IS NOT NULL AND resets_at IS NOT NULL")
+
+
+def limit_snapshots(lines: DataFrame) -> DataFrame:
+    """Buckets of snapshots inside log lines (account, captured_at or null, ord, limits variant); malformed windows are skipped."""
+    slots = F.array(*[F.struct(F.lit(f"codex_{s}").alias("key"), part(F.col("limits"), f"$.{s}").alias("w")) for s in ("primary", "secondary")])
+    rows = lines.select("account", F.coalesce("captured_at", F.lit(0.0)).alias("captured_at"), "ord", F.inline(slots)).where(is_object(F.col("w")))
+    rows = rows.select("account", "captured_at", "ord", "key", F.lit(None).cast("string").alias("label"), number(part(F.col("w"), "$.used_percent")).alias("used_percentage"), number(part(F.col("w"), "$.resets_at")).alias("resets_at"), number(part(F.col("w"), "$.window_minutes")).alias("window_minutes"))
+    return rows.where("used_percentage IS NOT NULL AND resets_at IS NOT NULL")
+
+
+def captures(buckets: DataFrame, *order: str) -> DataFrame:
+    """One row per capture: account, captured_at (and ``order``) and an array of its buckets."""
+    fields = [x.split()[0] for x in BUCKET.split(", ")]
+    return buckets.groupBy("account", "captured_at", *order).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("buckets"))
+
+
+def latest_limits(snapshots: DataFrame) -> DataFrame:
+    """The newest capture (account, captured_at, ord, buckets) of each account; ties go to the later one read."""
+    best = F.max_by(F.struct("captured_at", "buckets"), F.struct(F.coalesce("captured_at", F.lit(0.0)), F.col("ord")))
+    return snapshots.groupBy("account").agg(best.alias("b")).select("account", "b.*")
+
+
+def current_limits(snapshot: DataFrame, last_good: DataFrame, landed: DataFrame, enabled: DataFrame, default_account: str) -> DataFrame:
+    """The freshest capture (account, captured_at, buckets) of every enabled account.
+
+    Ties go to the snapshot, then the stored one, then the landed response, which is only of the default account. A
+    capture without a time is older than all.
+    """
+    ranked = [d.select("account", "captured_at", "buckets", F.lit(k).alias("src")) for k, d in enumerate((snapshot, last_good, landed.where(F.col("account") == default_account)))]
+    rows = ranked[0].unionByName(ranked[1]).unionByName(ranked[2]).join(enabled.select("account"), "account", "left_semi")
+    best = F.max_by(F.struct("captured_at", "buckets"), F.struct(F.coalesce("captured_at", F.lit(float("-inf"))), -F.col("src")))
+    return rows.groupBy("account").agg(best.alias("b")).select("account", "b.*")
+
+
+def isolate_failures(fresh: DataFrame, last_good: DataFrame) -> DataFrame:
+    """New captures (account, captured_at, buckets, error); an account whose fetch failed keeps its stored one and its warning."""
+    old = last_good.select("account", F.col("captured_at").alias("old_at"), F.col("buckets").alias("old"))
+    rows = fresh.join(old, "account", "full_outer")
+    ok = F.col("error").isNull() & F.col("buckets").isNotNull()
+    return rows.select("account", F.when(ok, F.col("captured_at")).otherwise(F.col("old_at")).alias("captured_at"), F.when(ok, F.col("buckets")).otherwise(F.col("old")).alias("buckets"), F.col("error").alias("warning"))
+
+
+def limits_by_account(current: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Ordered bucket rows with labels. The prefix is the provider's name, or the account's where the provider has several.
+
+    ``accounts``: provider, account, provider_rank, root_rank.
+    """
+    several = accounts.groupBy("provider").agg((F.count("*") > 1).alias("several"))
+    named = accounts.join(F.broadcast(several), "provider")
+    rows = current.join(F.broadcast(named), "account").select("provider", "account", "provider_rank", "root_rank", "several", F.inline("buckets"))
+    own = F.coalesce(F.nullif(F.col("label"), F.lit("")), limit_label(F.col("window_minutes"), F.col("key")))
+    prefix = F.upper(F.when(F.col("several"), F.col("account")).otherwise(F.col("provider")))
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, ORDER)), F.col("key")), F.lit(0)), F.lit(len(ORDER) + 1))
+    out = rows.select("provider", "account", "provider_rank", "root_rank", "key", F.concat_ws(" ", prefix, own).alias("label"), "used_percentage", "resets_at", place.alias("place"))
+    return out.orderBy("provider_rank", "root_rank", "place", "key")
+
+
+def limit_status(buckets: DataFrame, now: Column) -> DataFrame:
+    """What is shown of a bucket: an expired one is at 0 percent and tells its age, others what remains."""
+    expired = now >= F.col("resets_at")
+    age = human_duration(F.floor(now - F.col("resets_at")))
+    ago = F.when(age == "now", "just now").otherwise(F.concat(age, F.lit(" ago")))
+    note = F.when(expired, F.concat(F.lit("reset "), ago, F.lit(" · refresh pending"))).otherwise(F.concat(F.lit("resets in "), human_duration(F.floor(F.col("resets_at") - now))))
+    return buckets.withColumn("shown_percentage", F.when(expired, 0.0).otherwise(F.col("used_percentage"))).withColumn("note", note)

@@ -1,0 +1,112 @@
+"""Structured Streaming forms of the operators.
+
+A landing directory receives immutable chunk files; progress lives in the checkpoint. None of these has a watermark
+unless one is given: late lines count as they do in a batch, and state grows with the keys, as documented there.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meterglass.operators.merge import COUNTERS, merge_usage
+from meterglass.operators.rollout import rollout_usage
+from meterglass.operators.windows import rolling_windows
+
+
+def line_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None, by_name: bool = False) -> DataFrame:
+    """New lines (value, file) of chunk files. ``by_name`` takes a file that was moved as seen; one stream per account then."""
+    reader = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("fileNameOnly", by_name)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+
+
+def merged_stream(lines: DataFrame) -> DataFrame:
+    """The merge as a streaming aggregate, for lines that all have a timestamp: maxima of the counters and the first line's fields.
+
+    Lines without a timestamp need `recompute_keys`: an aggregate cannot drop what came before the first valid line.
+    """
+    first = F.min_by(F.struct("ts", "model_raw", "account", "provider"), "ord").alias("first")
+    return lines.groupBy("request_id", "message_id").agg(first, *[F.max(c).alias(c) for c in COUNTERS])
+
+
+def recompute_keys(spark: SparkSession, log: str, facts: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch that appends the lines to ``log`` under the batch's number and rewrites the facts of touched keys.
+
+    Both writes replace the batch's own folder, so a batch that runs again changes nothing.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
+        lines = spark.read.parquet(log)
+        keys = spark.read.parquet(f"{log}/batch={number}").select("request_id", "message_id").distinct()
+        touched = lines.join(keys, (lines["request_id"].eqNullSafe(keys["request_id"])) & (lines["message_id"].eqNullSafe(keys["message_id"])), "left_semi").drop("batch")
+        merged = merge_usage(touched, keep_key=True).withColumn("version", F.lit(number))
+        merged.write.mode("overwrite").parquet(f"{facts}/batch={number}")
+
+    return apply
+
+
+def recompute_files(spark: SparkSession, log: str, facts: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch for event logs: files that a batch touches are attributed and counted anew, late markers included."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
+        files = spark.read.parquet(f"{log}/batch={number}").select("file").distinct()
+        touched = spark.read.parquet(log).drop("batch").join(files, "file", "left_semi")
+        used = rollout_usage(touched).join(touched.select("file", "ord"), "ord").withColumn("version", F.lit(number))
+        # a file without usage is listed too, lest its older facts stay
+        used.write.mode("overwrite").parquet(f"{facts}/rows/batch={number}")
+        files.withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{facts}/files/batch={number}")
+
+    return apply
+
+
+def newest_version(spark: SparkSession, facts: str) -> DataFrame:
+    """Facts by file as `recompute_files` left them: those of each file's newest batch."""
+    rows, files = spark.read.parquet(f"{facts}/rows"), spark.read.parquet(f"{facts}/files")
+    newest = files.groupBy("file").agg(F.max("version").alias("version"))
+    return rows.join(newest, ["file", "version"], "left_semi").drop("batch", "version")
+
+
+def newest(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """Of each key the row of the newest batch under ``path`` (folders batch=N)."""
+    rows = spark.read.parquet(path)
+    columns = [c for c in rows.columns if c not in (*keys, "version", "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("r")).select(*keys, "r.*")
+
+
+def latest_limits_stream(snapshots: DataFrame) -> DataFrame:
+    """The newest snapshot (account, captured_at, ord, value) per account as state; an older one never replaces it."""
+    best = F.max_by(F.struct("captured_at", "value"), F.struct(F.coalesce("captured_at", F.lit(0.0)), F.col("ord")))
+    return snapshots.groupBy("account").agg(best.alias("b")).select("account", "b.*")
+
+
+def tumbling(facts: DataFrame, width: str, watermark: str | None = None) -> DataFrame:
+    """Cost and tokens per event-time bucket, closed on the left."""
+    timed = facts.withWatermark("ts", watermark) if watermark else facts
+    cost = F.sum(F.col("cost").cast("decimal(20,12)")).alias("cost")
+    return timed.groupBy(F.window("ts", width)).agg(cost, F.sum("total_tokens").alias("total_tokens"), F.count("*").alias("records")).select(F.unix_micros("window.start").alias("start_us"), F.col("cost").cast("double").alias("cost"), "total_tokens", "records")
+
+
+def live_windows(spark: SparkSession, table: str, result: str, now: Callable[[], Column]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch that adds the facts to ``table`` and asks for all rolling windows anew."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        rolling_windows(spark.read.parquet(table).drop("batch"), now()).write.mode("overwrite").parquet(f"{result}/batch={number}")
+
+    return apply
+
+
+def run_updates(stream: DataFrame, folder: str, write: Callable[[DataFrame, int], None] | None = None, mode: str = "update") -> None:
+    """Runs a stream over what has landed; each batch's rows replace the folder of its number. The checkpoint is beside them."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write or keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
