@@ -30,6 +30,7 @@ ENTRIES, LIKELIER = 400, 20.0
 SEEN, SEEN_SHARE = 4, 0.02
 #: Lengths of word beginnings that may be entries, and the different words that must share one.
 BEGINNINGS, VARIETY = (4, 5, 6), 5
+FOLLOWERS = 8
 TREES, DEPTH, RATE, BINS, LEAST_LEAF = 60, 3, 0.2, 32, 8
 NEAR = 5
 THRESHOLD = 0.3
@@ -41,7 +42,7 @@ SECOND_PERSON = frozenset("you your yours yourself you're youre u ur tu te toi t
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "*": None, ".": None, "-": None, "_": None, "​": None})
 _EDGE = "\"'()[]{}<>.,;:!?…«»„“”|#$%&*+-=/\\^_`~@"
 _INNER = re.compile(r"[^\W\d_][\d@$!*_.\-​]+[^\W\d_]")
-_STRETCHED = re.compile(r"([^\W\d_])\1\1")
+_STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 LEXICON, BEGINNING, PERSON, OBFUSCATED, UNDONE, SHOUTED = (1 << k for k in range(6))
 FEATURES = ("lexicon", "beginnings", "undone", "any hit", "distinct hits", "near person", "person", "obfuscated", "shouted", "capitals", "marks", "bangs", "digits", "log words")
 
@@ -71,14 +72,14 @@ def learned_lexicon(texts: list[str], toxic: np.ndarray) -> frozenset[str]:
             if len(word) > k:
                 kinds[word[:k] + "-"] += 1
                 most[word[:k] + "-"] = max(most[word[:k] + "-"], c)
-    # and a word only where others follow it in half of its texts, which copies of one text do not do
+    # and a word only where different ones follow it, in half of its texts or `FOLLOWERS`, unlike in copies of one text
     after: dict[str, set[str]] = {}
     for text, y in zip(texts, toxic, strict=True):
         if y:
             cores = list(map(plain, text.split()))
             for word, follower in zip(cores, [*cores[1:], ""], strict=True):
                 after.setdefault(word, set()).add(follower)
-    own = lambda e: 2 * len(after[e]) >= bad[e] if e[-1] != "-" else kinds[e] >= VARIETY and 2 * most[e] < bad[e]
+    own = lambda e: len(after[e]) >= min(FOLLOWERS, bad[e] / 2) if e[-1] != "-" else kinds[e] >= VARIETY and 2 * most[e] < bad[e]
     best = sorted((-r, e) for e, r in ratio.items() if r >= LIKELIER and own(e))
     return frozenset(e for _, e in best[:ENTRIES])
 
