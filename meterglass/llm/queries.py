@@ -8,10 +8,11 @@ from meterglass.llm.minhash import op10_minhash
 from meterglass.llm.packing import op6_vector_packing
 from meterglass.llm.quality import op5_quality
 from meterglass.llm.rabitq import op8_rotated_codes
+from meterglass.llm.separators import op3_separator_scan
 from meterglass.llm.telephony import op2_telephony_audio
 from meterglass.llm.toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_telephony_audio, op4_html_main_text, op5_quality, op6_vector_packing, op7_toxicity, op8_rotated_codes, op9_bpe_tree, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_telephony_audio, op3_separator_scan, op4_html_main_text, op5_quality, op6_vector_packing, op7_toxicity, op8_rotated_codes, op9_bpe_tree, op10_minhash)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 SQL: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
