@@ -19,7 +19,7 @@ QUERIES: dict = {}
 
 
 def query(f):
-    QUERIES[f.__name__] = f
+    QUERIES[f.__name__.removesuffix("_query")] = f
     return f
 
 
@@ -231,7 +231,7 @@ def pricing_dim(spark, sf):
 
 
 @query
-def account_roots_dim(spark, sf):
+def account_roots_query(spark, sf):
     """Roots of the event types; two have the same basename, one label is reserved."""
     kinds = ev.events(spark, sf).select("event_type").distinct()
     first = kinds.select(F.concat(F.lit("/home/.claude-"), F.col("event_type")).alias("path"))
@@ -243,7 +243,7 @@ def account_roots_dim(spark, sf):
 
 
 @query
-def tag_accounts_by_path(spark, sf):
+def tag_accounts_query(spark, sf):
     roots = spark.createDataFrame([("home", "/data/u1", "config", True, 1), ("deep", "/data/u1/x", "config", True, 2), ("off", "/data/u2", "config", False, 3), ("three", "/data/u3/", "config", True, 4)], "label string, path string, source string, enabled boolean, root_rank int")
     files = ev.events(spark, sf).select(F.concat(F.lit("/data/u"), (F.col("user_id") % 5).cast("string"), F.when(F.col("event_type") == "view", "/x/a.jsonl").otherwise("/b.jsonl")).alias("path"))
     return tag_accounts(files, F.col("path"), roots, "claude").groupBy("account").agg(F.count("*").alias("n"))

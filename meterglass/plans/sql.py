@@ -174,8 +174,8 @@ SQL |= {
     "moved_files": f"""WITH {FILES}, gone AS (SELECT *, regexp_extract(path, '[^/]+$') AS name FROM ledger WHERE path NOT IN (SELECT path FROM listing)),
   fresh AS (SELECT regexp_extract(path, '[^/]+$') AS name, min(path) AS new_path, min(size) AS size, count(*) AS n FROM listing WHERE path NOT IN (SELECT path FROM ledger) GROUP BY 1)
   SELECT g.path, CASE WHEN f.n = 1 AND f.size >= g.size THEN f.new_path END AS new_path, NOT coalesce(f.n = 1 AND f.size >= g.size, false) AS rebuild FROM gone g LEFT JOIN fresh f ON g.name = f.name""",
-    "tag_accounts_by_path": "SELECT CASE WHEN user_id % 5 = 1 THEN 'home' WHEN user_id % 5 = 3 THEN 'three' ELSE 'claude' END AS account, count(*) AS n FROM events GROUP BY 1",
-    "account_roots_dim": """WITH paths AS (SELECT DISTINCT event_type, p || event_type AS path, p FROM events, (VALUES ('/home/.claude-'), ('/mnt/.claude-')) v(p))
+    "tag_accounts": "SELECT CASE WHEN user_id % 5 = 1 THEN 'home' WHEN user_id % 5 = 3 THEN 'three' ELSE 'claude' END AS account, count(*) AS n FROM events GROUP BY 1",
+    "account_roots": """WITH paths AS (SELECT DISTINCT event_type, p || event_type AS path, p FROM events, (VALUES ('/home/.claude-'), ('/mnt/.claude-')) v(p))
   SELECT CASE WHEN p = '/home/.claude-' THEN CASE WHEN event_type = 'view' THEN 'view-2' ELSE event_type END ELSE event_type || CASE WHEN event_type = 'view' THEN '-3' ELSE '-2' END END AS label, path, 'config' AS source, event_type <> 'error' AS enabled, row_number() OVER (ORDER BY path)::INTEGER AS root_rank FROM paths""",
     "pricing_dim": "SELECT lower(trim(n_name)) AS model, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey ELSE n_nationkey + 0.5 END::DOUBLE AS input, (n_nationkey * 5)::DOUBLE AS output FROM nation WHERE n_nationkey % 5 <> 0",
 }
