@@ -28,6 +28,8 @@ SIGMA = 1.0
 SPREADS = 0.5
 #: A region must hold this share of the upper cluster's text.
 REGION_SHARE = 0.6
+#: What a character within article or main elements weighs.
+ARTICLE_WEIGHT = 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset("head title nav footer aside form script style noscript template iframe object canvas svg math select button textarea dialog menu audio video map datalist".split())
@@ -38,29 +40,33 @@ ENDS_P = BLOCKS - {"br", "html", "body", "td", "th", "tr", "tbody", "thead", "tf
 UNWANTED = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notification|alert|popup|pop-up|modal|overlay|newsletter|subscri\w+|signup"
     r"|share|sharing|social|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|footer|foot|masthead|topbar|toolbar|comments?|commentlist|respond|reply|replies|disqus"
-    r"|related|recommend\w*|pagination|pager|widget|widgets|search|login|skip|contentinfo|complementary|dialog|search-form)(?:$|[\s_-])",
+    r"|related|recommend\w*|pagination|pager|widget|widgets|search|login|skip|contentinfo|complementary|dialog|copyright|adsbygoogle)(?:$|[\s_-])",
     re.I,
 )
-HEADER = re.compile(r"(?:^|[\s_-])(?:header|site-header|page-header)(?:$|[\s_-])", re.I)
+#: Whole class names of a page's header, which may not hold the article's own.
+HEADERS = frozenset("header site-header page-header global-header top-header".split())
+#: Beginnings of class names that say something about a container's surroundings.
+ABOUT = ("has-", "no-", "with-", "without-")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Lines(HTMLParser):
-    """Turns parser events into lines: text, tags met, characters in links, and the open containers."""
+    """Turns parser events into lines: text, tags met, characters in links, open containers, and whether within an article."""
 
-    def __init__(self) -> None:
+    def __init__(self, hints: bool = True) -> None:
         super().__init__(convert_charrefs=True)
+        self.hints = hints  # whether class, id and role count
         self.open: list[tuple[str, int, bool]] = []  # tag, container number or 0, whether it is left out
         self.left_out = self.links = self.inside = self.number = 0
         self.parts: list[str] = []
         self.tags = self.link_chars = 0
         self.path: tuple[int, ...] = ()
-        self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.link_chars, self.path))
+            self.lines.append((text, self.tags, self.link_chars, self.path, self.inside > 0))
             self.tags = self.link_chars = 0
         self.parts = []
 
@@ -70,8 +76,10 @@ class Lines(HTMLParser):
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value or ""):
                 return True
-            if name in ("class", "id", "role") and value and tag not in ("html", "body", "article", "main") and (UNWANTED.search(value) or not self.inside and HEADER.search(value)):
-                return True
+            if self.hints and name in ("class", "id", "role") and value and tag not in ("html", "body", "article", "main"):
+                names = [x for x in value.lower().split() if not x.startswith(ABOUT)]
+                if UNWANTED.search(" ".join(names)) or not self.inside and HEADERS.intersection(names):
+                    return True
         return False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -131,9 +139,9 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratios, kernel)[reach:-reach] / weight
 
 
-def menus(lines: list[tuple[str, int, int, tuple[int, ...]]]) -> np.ndarray:
+def menus(lines: list[tuple[str, int, int, tuple[int, ...], bool]]) -> np.ndarray:
     """Lines that are links in runs of three or more."""
-    link = np.array([n >= 0.9 * len(t) for t, _, n, _ in lines] + [False])
+    link = np.array([n >= 0.9 * len(t) for t, _, n, _, _ in lines] + [False])
     found = np.zeros(len(lines), bool)
     start = None
     for k, is_link in enumerate(link):
@@ -147,28 +155,35 @@ def menus(lines: list[tuple[str, int, int, tuple[int, ...]]]) -> np.ndarray:
 
 def main_text(html: str | None) -> str:
     """The main text of a page."""
-    parser = Lines()
-    parser.feed(html or "")
-    parser.close()
-    parser.flush()
-    lines = parser.lines
-    if not lines:
+    lines = []
+    for hints in (True, False):  # names may mislead: without any line left they are not heeded
+        parser = Lines(hints)
+        parser.feed(html or "")
+        parser.close()
+        parser.flush()
+        lines = parser.lines
+        if lines:
+            break
+    else:
         return ""
-    plain = np.array([max(0, len(text) - links) for text, _, links, _ in lines], float)
-    ratios = smoothed(plain / np.maximum(1, [tags for _, tags, _, _ in lines]))
+    plain = np.array([max(0, len(text) - links) for text, _, links, _, _ in lines], float)
+    ratios = smoothed(plain / np.maximum(1, [tags for _, tags, _, _, _ in lines]))
     upper = (ratios >= SPREADS * ratios.std()) & (plain > 0)
     if not upper.any():
         upper = np.ones(len(lines), bool)
     votes: dict[int, float] = {}
     depth: dict[int, int] = {}
-    for (_, _, _, path), chars in zip([x for x, u in zip(lines, upper, strict=True) if u], np.maximum(plain[upper], 1), strict=True):
-        for level, container in enumerate(path):
-            votes[container] = votes.get(container, 0) + chars
-            depth[container] = level
-    most = np.maximum(plain[upper], 1).sum()
+    most = 0.0
+    for (_, _, _, path, inside), chars, up in zip(lines, plain, upper, strict=True):
+        if up:
+            weight = max(chars, 1) * (ARTICLE_WEIGHT if inside else 1)
+            most += weight
+            for level, container in enumerate(path):
+                votes[container] = votes.get(container, 0) + weight
+                depth[container] = level
     region = max((c for c, v in votes.items() if v >= REGION_SHARE * most), key=lambda c: (depth[c], votes[c]), default=None)
     out = menus(lines)
-    return " ".join(text for (text, _, _, path), menu in zip(lines, out, strict=True) if not menu and (region is None or region in path))
+    return " ".join(line[0] for line, menu in zip(lines, out, strict=True) if not menu and (region is None or region in line[3]))
 
 
 def extract_main_text(df: DataFrame, html: Column, *keys: str) -> DataFrame:

@@ -29,7 +29,7 @@ STEPS, BATCH, RATE = 220, 256, 0.02
 #: Bytes of a window, and windows that step together.
 WINDOW, TOGETHER = 128, 2048
 #: `keep_known` lets a document go whose score is lower.
-LEAST_SCORE = 0.35
+LEAST_SCORE = 0.3
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

@@ -97,6 +97,14 @@ def test_a_page_without_semantic_elements():
     assert html_text.main_text(page) == " ".join(f"Paragraph {k} of the story has quite some words in it, and they all count here." for k in range(6))
 
 
+def test_names_of_surroundings_do_not_hide_content():
+    page = '<div class="layout has-sidebar"><div class="post"><div class="post-header"><h1>Title</h1></div><p>Text of the story, long enough to count for something.</p></div><div class="sidebar-left">Other things that are not part of it at all</div></div>'
+    assert html_text.main_text(page) == "Title Text of the story, long enough to count for something."
+    assert html_text.main_text('<div class="widget"><p>All that there is.</p></div>') == "All that there is."
+    short = "<div><p>A long line of text that stands outside of it all, and says a lot about other things than the story.</p></div><article><h1>Hi</h1><p>Short one, but ours.</p></article>"
+    assert html_text.main_text(short) == "Hi Short one, but ours."
+
+
 def test_pages_operator(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, None)]
     got = html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string"), F.col("html"), "page_id", "url").collect()
