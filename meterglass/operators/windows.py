@@ -6,7 +6,7 @@ it shuffles; the few-row dimensions are literals.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterglass.functions.calendar import day_end_us, day_start_us, local_day
@@ -35,10 +35,9 @@ def scoped(facts: DataFrame, scope: str, accounts: list[str]) -> DataFrame:
 
 def in_windows(facts: DataFrame, now_us: Column) -> DataFrame:
     """Each fact once per rolling window that holds it (age at most the window's seconds; later facts are in all)."""
-    spine = facts.sparkSession.createDataFrame([(k, name, secs) for k, (name, secs) in enumerate(WINDOWS)], "rank int, window string, secs long")
     age = now_us - F.unix_micros("ts")
     held = F.array(*[F.when(F.lit(True) if secs is None else age <= secs * 1_000_000, F.lit(name)) for name, secs in WINDOWS])
-    return facts.withColumn("window", F.explode(F.array_compact(held))).join(F.broadcast(spine.select("window", "rank")), "window")
+    return facts.withColumn("window", F.explode(F.array_compact(held)))
 
 
 def rolling_windows(facts: DataFrame, now_us: Column) -> DataFrame:
@@ -75,12 +74,13 @@ def by_account(facts: DataFrame, accounts: DataFrame, now_us: Column, window: st
     """
     secs = dict(WINDOWS).get(window)
     held = facts if secs is None else facts.where(now_us - F.unix_micros("ts") <= secs * 1_000_000)
-    sums = held.groupBy("provider", "account").agg(*[m for m in measures()])
+    sums = held.groupBy("provider", "account").agg(*measures())
     always = accounts.where("provider = 'claude'").join(sums, ["provider", "account"], "left")
     active = accounts.where("provider <> 'claude'").join(sums, ["provider", "account"])
     rows = always.unionByName(active).fillna(0, [*TOKENS, "cost", "unpriced_tokens", "records"]).drop("known")
-    whole = rows.agg(exact_sum(F.col("cost")).alias("whole"))
-    return rows.crossJoin(F.broadcast(whole)).withColumn("share", F.when(F.col("whole") > 0, F.round(F.col("cost") / F.col("whole"), 9)).otherwise(0.0)).drop("whole")
+    # over the rows of accounts, which are few, so the facts are read once
+    whole = F.sum(F.col("cost").cast("decimal(20,12)")).over(Window.partitionBy()).cast("double")
+    return rows.withColumn("share", F.when(whole > 0, F.round(F.col("cost") / whole, 9)).otherwise(0.0))
 
 
 def in_range(facts: DataFrame, start_us: Column, end_us: Column) -> DataFrame:
