@@ -130,9 +130,12 @@ def near_duplicates(df: DataFrame, doc_id: Column, text: Column, words: int = WO
     classes = known.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     bands = known.join(classes.select("set_id", F.col("rep").alias("doc_id")), ["set_id", "doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", F.explode("keys").alias("key"))
 
-    buckets = bands.groupBy("key").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("shingles"), F.min("rep").alias("p0"), *[F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias(f"p{k}") for k in (1, 2)])
-    members = checkpointed(bands.join(buckets.where("size > 1"), "key"))
-    alike = members.select("rep").distinct()
+    # most keys are of one document: they are only counted, and pivots sought among the rest
+    shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    mates = checkpointed(bands.join(shared, "key"))
+    pivots = mates.groupBy("key").agg(F.sum("n_shingles").alias("shingles"), F.min("rep").alias("p0"), *[F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias(f"p{k}") for k in (1, 2)])
+    members = mates.join(pivots, "key")
+    alike = mates.select("rep").distinct()
     sets = checkpointed(document_sets(texts.withColumnRenamed("doc_id", "rep").join(alike, "rep", "left_semi"), words))
 
     stars = members.select(F.col("rep").alias("x"), F.explode(F.array("p0", "p1", "p2")).alias("pivot")).where("x <> pivot").distinct()
@@ -144,8 +147,8 @@ def near_duplicates(df: DataFrame, doc_id: Column, text: Column, words: int = WO
     left = placed.join(open_keys, "key", "left_semi")
 
     small = left.where(F.col("size") <= PAIR_BUCKET)
-    mates = small.select("key", F.col("rep").alias("pivot"), F.col("comp").alias("other"))
-    pairs = small.join(mates, "key").where("rep < pivot AND comp <> other").select(F.col("rep").alias("x"), "pivot").distinct()
+    others = small.select("key", F.col("rep").alias("pivot"), F.col("comp").alias("other"))
+    pairs = small.join(others, "key").where("rep < pivot AND comp <> other").select(F.col("rep").alias("x"), "pivot").distinct()
     more = verified(pairs.join(stars, ["x", "pivot"], "left_anti"), sets, percent)
 
     blocks = F.ceil(F.col("shingles") / BLOCK_SHINGLES)
