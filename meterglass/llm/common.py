@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a batch that Spark hands to Python; documents are long, and a worker holds a few batches.
+BATCH_ROWS = 1000
 #: Bytes of text that a Python task turns into numpy arrays at a time.
 CHUNK_BYTES = 2_000_000
 
@@ -81,7 +83,15 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
             if batch.num_rows:
                 yield apply(batch)
 
-    return df.mapInArrow(run, schema)
+    return in_small_batches(df).mapInArrow(run, schema)
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``; from here on the session's batches for Python have at most `BATCH_ROWS` rows."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) not in range(1, BATCH_ROWS + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df
 
 
 def filter_batches(df: DataFrame, columns: dict[str, Column], make: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
@@ -97,4 +107,4 @@ def filter_batches(df: DataFrame, columns: dict[str, Column], make: Callable[[],
             if batch.num_rows:
                 yield batch.select(["row"]).filter(pa.array(judge(pa.RecordBatch.from_struct_array(batch.column("seen"))), pa.bool_()))
 
-    return packed.mapInArrow(run, packed.select("row").schema).select("row.*")
+    return in_small_batches(packed).mapInArrow(run, packed.select("row").schema).select("row.*")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterglass.llm.bpe import VOCABULARY, byte_letters
-from meterglass.llm.common import table
+from meterglass.llm.common import in_small_batches, table
 
 MAX_TOKENS = 2048
 #: For documents; on average a piece may then be as short as four tokens.
@@ -188,7 +188,7 @@ def _packed(source: DataFrame, reader: Callable[[], Callable[[pa.RecordBatch], I
             yield batch()
 
     schema = f"keys {source.schema['keys'].dataType.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return source.mapInArrow(run, schema).select("keys.*", *names[1:])
+    return in_small_batches(source).mapInArrow(run, schema).select("keys.*", *names[1:])
 
 
 def digest(pieces: DataFrame) -> DataFrame:

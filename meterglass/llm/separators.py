@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterglass.llm.bpe import VOCABULARY
-from meterglass.llm.common import checkpointed, map_batches, table
+from meterglass.llm.common import checkpointed, in_small_batches, map_batches, table
 from meterglass.llm.packing import library_encoder
 
 #: Id that ends a document, as in the packing contract.
@@ -137,7 +137,7 @@ def token_blocks(df: DataFrame, file: Column, text: Column, path: str, block_tok
         if name is not None:
             yield from cut(True)
 
-    return source.mapInArrow(run, "file string, block long, data binary")
+    return in_small_batches(source).mapInArrow(run, "file string, block long, data binary")
 
 
 def op3_separator_scan(spark, sf_dir: str) -> DataFrame:
