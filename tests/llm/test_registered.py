@@ -1,11 +1,12 @@
 """The registered queries and the pipeline on the smallest tables."""
 
 import pytest
+from oracle import compare
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from meterglass.llm import langid, minhash, quality
+from meterglass.llm import langid, minhash, quality, queries
 
 CONTRACT = {
     "op1_language_id": {"doc_id", "held_out", "lang_pred", "score"},
@@ -31,6 +32,11 @@ def test_columns_and_rows(spark, sf, name):
     assert rows == there if name != "op6_vector_packing" else rows >= there
 
 
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_sql(spark, sf, name):
+    assert compare(queries.QUERIES[name](spark, sf), sf, queries.SQL[name]) == ""
+
+
 def test_scanned_counts_are_those_of_the_encoder(spark, sf):
     found, known = (sorted(r.n_tokens for r in entry.queries()[q](spark, sf).collect()) for q in ("op3_separator_scan", "op9_bpe_tree"))
     assert found == known
