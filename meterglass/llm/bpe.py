@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from meterglass.llm.common import map_batches, table
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces up to so many bytes are merged directly; halves of longer ones are joined.
+#: Pieces up to so many bytes are leaves, solved directly; those of longer ones are joined in pairs.
 LEAF_BYTES = 48
 #: Tokens on each side of a join that are encoded again first.
 FIRST_WINDOW = 4
@@ -38,11 +38,11 @@ MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 TEXTS_AT_ONCE = 512
 #: Bytes of text whose words are looked up together.
 RUN_BYTES = 2_000_000
-#: Words that a worker remembers; beyond that it forgets all and starts again.
+#: Words that a worker remembers since it last forgot some, and as many from before that.
 CACHE_WORDS = 200_000
 
 # The splitting pattern of the vocabulary, with Unicode's white space spelled out.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 
