@@ -36,8 +36,8 @@ from meterglass.llm.shingles import WORDS, band_keys, shingle_sets, sketches
 PERCENT = 75
 #: Buckets of at most so many representatives become pairs; in larger ones blocks are compared.
 PAIR_BUCKET = 16
-#: Shingles in a block of a large bucket; a task holds two blocks. A longer document is a block of its own.
-BLOCK_SHINGLES = 1 << 19
+#: Shingles and documents in a block of a large bucket, about; a task holds two blocks.
+BLOCK_SHINGLES, BLOCK_DOCUMENTS = 1 << 19, 4096
 #: Pairs of one pivot that a key of the verifying join holds; a pivot with more is spread over several.
 PIVOT_PAIRS = 1024
 
@@ -151,7 +151,7 @@ def near_duplicates(df: DataFrame, doc_id: Column, text: Column, words: int = WO
     pairs = small.join(others, "key").where("rep < pivot AND comp <> other").select(F.col("rep").alias("x"), "pivot").distinct()
     more = verified(pairs.join(stars, ["x", "pivot"], "left_anti"), sets, percent)
 
-    blocks = F.ceil(F.col("shingles") / BLOCK_SHINGLES)
+    blocks = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("size") / BLOCK_DOCUMENTS))
     large = left.where(F.col("size") > PAIR_BUCKET).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     dealt = large.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("key", "rep", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     rest = dealt.join(sets, "rep").groupBy("key", "i", "j").applyInPandas(block_links(percent), "u long, v long")
