@@ -3,8 +3,8 @@
 1. Every whole text becomes a set of 64-bit shingle numbers, its sketch, and one key per band (`shingles`). Documents
    of equal sets form a class with its least doc_id as representative; only representatives go on, so exact copies
    cost nothing from here on.
-2. Representatives that share a band key form a bucket. Three pivots of each bucket (the least id, and the least by
-   two hashes) are compared with its members on full sets, and the links give first components.
+2. Representatives that share a band key form a bucket. Two pivots of each bucket (the least id, and the least by a
+   hash) are compared with its members on full sets, and the links give first components.
 3. What a bucket still holds of different components is compared too, so that no candidate pair goes untested unless
    it is known to be connected: buckets of up to `PAIR_BUCKET` as deduplicated pairs, larger ones in blocks of bounded
    size, where an inverted index counts the intersections and only a spanning set of links leaves the task.
@@ -133,12 +133,12 @@ def near_duplicates(df: DataFrame, doc_id: Column, text: Column, words: int = WO
     # most keys are of one document: they are only counted, and pivots sought among the rest
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     mates = checkpointed(bands.join(shared, "key"))
-    pivots = mates.groupBy("key").agg(F.sum("n_shingles").alias("shingles"), F.min("rep").alias("p0"), *[F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias(f"p{k}") for k in (1, 2)])
+    pivots = mates.groupBy("key").agg(F.sum("n_shingles").alias("shingles"), F.min("rep").alias("p0"), F.min_by("rep", F.xxhash64("rep")).alias("p1"))
     members = mates.join(pivots, "key")
     alike = mates.select("rep").distinct()
     sets = checkpointed(document_sets(texts.withColumnRenamed("doc_id", "rep").join(alike, "rep", "left_semi"), words))
 
-    stars = members.select(F.col("rep").alias("x"), F.explode(F.array("p0", "p1", "p2")).alias("pivot")).where("x <> pivot").distinct()
+    stars = members.select(F.col("rep").alias("x"), F.explode(F.array("p0", "p1")).alias("pivot")).where("x <> pivot").distinct()
     links = checkpointed(verified(stars, sets, percent))
 
     first = components(links).withColumnRenamed("node", "rep")
