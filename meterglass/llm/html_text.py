@@ -3,8 +3,10 @@
 The standard library's parser streams a page's events. They become lines (the text of one block element), each with
 its text-to-tag ratio: characters outside links over the tags met. A Gaussian smooths the ratios along the page, and
 a threshold from their spread parts the lines in two clusters. The lines of the upper cluster vote with their text
-for the container that holds most of it; the blocks of that region are the main text, so short paragraphs and
-headlines inside it stay. Elements that never hold an article (menus, footers, forms, scripts, adverts, comments,
+for the container that holds most of it: the article, or else the main element, with the winning share, whole; where
+there is none, the deepest container with that share, and from there its parents while what they add is mostly text
+of the upper cluster. The blocks of that region are the main text, so short paragraphs and headlines inside it stay.
+Elements that never hold an article (menus, footers, forms, scripts, adverts, comments,
 notices, by tag or by the words of class, id and role) give no lines at all.
 
 Null or empty html, and pages without text, give the empty text. Character references are decoded, white space within
@@ -28,6 +30,8 @@ SIGMA = 1.0
 SPREADS = 0.5
 #: A region must hold this share of the upper cluster's text.
 REGION_SHARE = 0.6
+#: A region outside article and main grows to its parent where this share of what that adds is text of the upper cluster.
+ADDED_SHARE = 0.5
 #: What a character within article or main elements weighs.
 ARTICLE_WEIGHT = 20
 
@@ -61,6 +65,7 @@ class Lines(HTMLParser):
         self.parts: list[str] = []
         self.tags = self.link_chars = 0
         self.path: tuple[int, ...] = ()
+        self.kinds = [""]  # the tag of each container number
         self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
 
     def flush(self) -> None:
@@ -95,6 +100,7 @@ class Lines(HTMLParser):
         if tag in CONTAINERS:
             self.number += 1
             number = self.number
+            self.kinds.append(tag)
             self.path += (number,)
         self.left_out += out
         self.links += tag == "a"
@@ -153,6 +159,37 @@ def menus(lines: list[tuple[str, int, int, tuple[int, ...], bool]]) -> np.ndarra
     return found
 
 
+def main_region(lines: list[tuple[str, int, int, tuple[int, ...], bool]], kinds: list[str], plain: np.ndarray, upper: np.ndarray, menu: np.ndarray) -> int | None:
+    """The container of the main text: the outermost article, or else main, that holds the upper cluster, or else by the lines.
+
+    None stands for the whole page.
+    """
+    votes: dict[int, float] = {}
+    paths: dict[int, tuple[int, ...]] = {}
+    most = 0.0
+    for (_, _, _, path, inside), chars, up in zip(lines, plain, upper, strict=True):
+        if up:
+            weight = max(chars, 1) * (ARTICLE_WEIGHT if inside else 1)
+            most += weight
+            for level, container in enumerate(path):
+                votes[container] = votes.get(container, 0) + weight
+                paths[container] = path[: level + 1]
+    held = [c for c, v in votes.items() if v >= REGION_SHARE * most]
+    for kind in ("article", "main"):
+        whole = [c for c in held if kinds[c] == kind]
+        if whole:
+            return min(whole, key=lambda c: len(paths[c]))
+    region = max(held, key=lambda c: (len(paths[c]), votes[c]), default=None)
+    if region is None or any(inside and region in path for _, _, _, path, inside in lines):
+        return region
+    for parent in reversed(paths[region][:-1]):
+        added = [k for k, (_, _, _, path, _) in enumerate(lines) if parent in path and region not in path and not menu[k]]
+        if sum(plain[k] for k in added if upper[k]) < ADDED_SHARE * sum(len(lines[k][0]) for k in added):
+            break
+        region = parent
+    return region
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page."""
     lines = []
@@ -171,19 +208,9 @@ def main_text(html: str | None) -> str:
     upper = (ratios >= SPREADS * ratios.std()) & (plain > 0)
     if not upper.any():
         upper = np.ones(len(lines), bool)
-    votes: dict[int, float] = {}
-    depth: dict[int, int] = {}
-    most = 0.0
-    for (_, _, _, path, inside), chars, up in zip(lines, plain, upper, strict=True):
-        if up:
-            weight = max(chars, 1) * (ARTICLE_WEIGHT if inside else 1)
-            most += weight
-            for level, container in enumerate(path):
-                votes[container] = votes.get(container, 0) + weight
-                depth[container] = level
-    region = max((c for c, v in votes.items() if v >= REGION_SHARE * most), key=lambda c: (depth[c], votes[c]), default=None)
-    out = menus(lines)
-    return " ".join(line[0] for line, menu in zip(lines, out, strict=True) if not menu and (region is None or region in line[3]))
+    menu = menus(lines)
+    region = main_region(lines, parser.kinds, plain, upper, menu)
+    return " ".join(line[0] for line, out in zip(lines, menu, strict=True) if not out and (region is None or region in line[3]))
 
 
 def extract_main_text(df: DataFrame, html: Column, *keys: str) -> DataFrame:

@@ -105,6 +105,32 @@ def test_names_of_surroundings_do_not_hide_content():
     assert html_text.main_text(short) == "Hi Short one, but ours."
 
 
+def story(name, n):
+    return [f"{name} {k} of the story has quite some words in it, and they all count here." for k in range(n)]
+
+
+@pytest.mark.parametrize("outer", ["article", "main", "div"])
+@pytest.mark.parametrize(("begin", "end"), [("<div class=body>", "</div>"), ("<section>", "</section>"), ("<blockquote>", "</blockquote>"), ("<table><tr><td>", "</td></tr></table>"), ("<div><section><div>", "</div></section></div>")])
+def test_an_inner_container_is_not_the_whole_article(outer, begin, end):
+    long, last = story("Long paragraph", 7), story("Last section", 3)
+    p = lambda texts: "".join(f"<p>{t}</p>" for t in texts)
+    links = "".join(f'<p><a href="/{k}">Other page {k}</a></p>' for k in range(4))
+    page = f"<body><div>{links}</div><{outer}><h1>Title</h1><p>A lead of a few words.</p>{begin}{p(long)}{end}<section>{p(last)}</section></{outer}><div>{links}</div></body>"
+    assert html_text.main_text(page) == " ".join(["Title", "A lead of a few words.", *long, *last])
+
+
+def test_an_article_within_an_article_and_main():
+    long, rest = story("Cited post", 8), story("Own words", 2)
+    page = f"<main><p>Elsewhere: <a href=a>one thing</a></p><article><h1>Title</h1><p>{rest[0]}</p><article><p>{'</p><p>'.join(long)}</p></article><p>{rest[1]}</p></article></main>"
+    assert html_text.main_text(page) == " ".join(["Title", rest[0], *long, rest[1]])
+
+
+def test_a_region_does_not_grow_by_links():
+    long = story("Paragraph", 8)
+    side = "".join(f'<p>See <a href="/{k}">another page that we have, number {k}</a></p>' for k in range(4))
+    assert html_text.main_text(f"<body><div><div>{side}</div><div><p>{'</p><p>'.join(long)}</p></div></div></body>") == " ".join(long)
+
+
 def test_pages_operator(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, None)]
     got = html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string"), F.col("html"), "page_id", "url").collect()
