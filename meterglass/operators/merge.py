@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COUNTERS = ("input_tokens", "output_tokens", "cache_read", "cache_creation", "eph_5m", "eph_1h")
 
 
+def merge_key() -> dict[str, Column]:
+    """The parts of a line's key: request, message, and for a line without a message_id, which stays alone, its ``ord``."""
+    alone = F.coalesce(F.col("message_id"), F.lit("")) == ""
+    return {"r": F.when(~alone, F.coalesce("request_id", F.lit("\0"))), "m": F.when(~alone, F.col("message_id")), "o": F.when(alone, F.col("ord"))}
+
+
 def merge_usage(lines: DataFrame, keep_key: bool = False) -> DataFrame:
     """One fact per (request_id, message_id): the maximum of every counter, and the first line's ts, model and account.
 
     A key starts with its first line that has a timestamp: lines before it are dropped with their counters, lines
     after it merge even without one. Lines without a message_id stay alone. Nulls of the two cache buckets lose
     against numbers. ``ord`` gives the order of ingestion. Keys are dealt evenly, so one shuffle by key does it all.
+    ``keep_key`` adds the key as ``request_id``, ``message_id`` and ``line``.
     """
-    alone = F.coalesce(F.col("message_id"), F.lit("")) == ""
-    key = F.struct(F.when(~alone, F.coalesce("request_id", F.lit("\0"))).alias("r"), F.when(~alone, F.col("message_id")).alias("m"), F.when(alone, F.col("ord")).alias("o"))
-    keyed = lines.withColumn("key", key)
+    keyed = lines.withColumn("key", F.struct(*[c.alias(n) for n, c in merge_key().items()]))
     start = F.min(F.when(F.col("ts").isNotNull(), F.col("ord"))).over(Window.partitionBy("key"))
     first = F.min_by(F.struct("ts", "model_raw", "account", "provider", "ord"), "ord").alias("first")
     merged = keyed.withColumn("start", start).where(F.col("ord") >= F.col("start")).groupBy("key").agg(first, *[F.max(c).alias(c) for c in COUNTERS])
-    return merged.select(*[F.col("key.r").alias("request_id"), F.col("key.m").alias("message_id")] if keep_key else [], "first.*", *COUNTERS)
+    return merged.select(*[F.col("key.r").alias("request_id"), F.col("key.m").alias("message_id"), F.col("key.o").alias("line")] if keep_key else [], "first.*", *COUNTERS)

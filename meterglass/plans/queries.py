@@ -414,7 +414,7 @@ def stream_merge(spark, sf):
     lines = ev.claude_lines(event_stream(spark, sf)).where("ts IS NOT NULL")
     folder = ev.shared_folder(spark)
     st.run_updates(st.merged_stream(lines), folder)
-    rows = st.newest(spark, f"{folder}/rows", "request_id", "message_id")
+    rows = st.newest(spark, f"{folder}/rows", *st.MERGE_KEY)
     return rows.select("request_id", "message_id", "input_tokens", "output_tokens", "cache_read", "eph_5m", F.col("first.model_raw").alias("model_raw"))
 
 
@@ -424,7 +424,7 @@ def stream_ingest(spark, sf):
     lines = ev.claude_lines(ev.events(spark, sf)).drop("k", "marker", "file")
     folder = ev.shared_folder(spark)
     st.run_updates(landed(spark, lines, 4), folder, st.recompute_keys(spark, f"{folder}/log", f"{folder}/facts"), "append")
-    return fact_columns(st.newest(spark, f"{folder}/facts", "request_id", "message_id"))
+    return fact_columns(st.newest(spark, f"{folder}/facts", *st.MERGE_KEY))
 
 
 @query

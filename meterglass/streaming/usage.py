@@ -7,11 +7,13 @@ unless one is given: late lines count as they do in a batch, and state grows wit
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterglass.operators.merge import COUNTERS, merge_usage
+from meterglass.operators.merge import COUNTERS, merge_key, merge_usage
 from meterglass.operators.rollout import rollout_usage
 from meterglass.operators.windows import rolling_windows
 
@@ -24,26 +26,41 @@ def line_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     return reader.text(path).select("value", F.col("_metadata.file_path").alias("file"))
 
 
+#: The columns of a merged fact's key; ``line`` is null but for lines without a message_id, which stay alone.
+MERGE_KEY = ("request_id", "message_id", "line")
+
+
 def merged_stream(lines: DataFrame) -> DataFrame:
-    """The merge as a streaming aggregate, for lines that all have a timestamp: maxima of the counters and the first line's fields.
+    """The merge as a streaming aggregate: per `MERGE_KEY` the maxima of the counters and the first dated line's fields.
 
-    Lines without a timestamp need `recompute_keys`: an aggregate cannot drop what came before the first valid line.
+    A line without a timestamp counts only after the key's first dated one, which may still come; so the state holds
+    the counters of those lines one by one. A key without a dated line gives no row.
     """
-    first = F.min_by(F.struct("ts", "model_raw", "account", "provider"), "ord").alias("first")
-    return lines.groupBy("request_id", "message_id").agg(first, *[F.max(c).alias(c) for c in COUNTERS])
+    dated = F.col("ts").isNotNull()
+    first = F.min_by(F.struct("ts", "model_raw", "account", "provider", "ord"), F.when(dated, F.col("ord"))).alias("first")
+    undated = F.collect_list(F.when(~dated, F.struct("ord", *COUNTERS))).alias("undated")
+    most = [F.max(F.when(dated, F.col(c))).alias(c) for c in COUNTERS]
+    merged = lines.groupBy("request_id", "message_id", merge_key()["o"].alias("line")).agg(first, undated, *most).where("first IS NOT NULL")
+    later = F.filter("undated", lambda x: x["ord"] > F.col("first.ord"))
+    counters = [F.greatest(F.col(c), F.array_max(later[c])).alias(c) for c in COUNTERS]
+    return merged.select(*MERGE_KEY, "first", *counters)
 
 
 def recompute_keys(spark: SparkSession, log: str, facts: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch that appends the lines to ``log`` under the batch's number and rewrites the facts of touched keys.
 
-    Both writes replace the batch's own folder, so a batch that runs again changes nothing.
+    Both writes replace the batch's own folder, so a batch that runs again changes nothing. `newest` by `MERGE_KEY`
+    gives the facts.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
         lines = spark.read.parquet(log)
-        keys = spark.read.parquet(f"{log}/batch={number}").select("request_id", "message_id").distinct()
-        touched = lines.join(keys, (lines["request_id"].eqNullSafe(keys["request_id"])) & (lines["message_id"].eqNullSafe(keys["message_id"])), "left_semi").drop("batch")
+        parts = merge_key()
+        keys = spark.read.parquet(f"{log}/batch={number}").select(*[c.alias(n) for n, c in parts.items()]).distinct()
+        keyed = lines.withColumns({f"_{n}": c for n, c in parts.items()})
+        same = reduce(and_, [keyed[f"_{n}"].eqNullSafe(keys[n]) for n in parts])
+        touched = keyed.join(keys, same, "left_semi").select(*[c for c in lines.columns if c != "batch"])
         merged = merge_usage(touched, keep_key=True).withColumn("version", F.lit(number))
         merged.write.mode("overwrite").parquet(f"{facts}/batch={number}")
 

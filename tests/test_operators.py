@@ -11,6 +11,7 @@ from meterglass.functions.calendar import day_end_us, day_start_us
 from meterglass.operators import limits, merge, pricing, rollout, series, windows
 from meterglass.operators.accounts import tag_accounts
 from meterglass.sources import extract, lines, store
+from meterglass.streaming import usage as st
 
 LINE = "ord long, ts timestamp, request_id string, message_id string, model_raw string, account string, provider string, input_tokens long, output_tokens long, cache_read long, cache_creation long, eph_5m long, eph_1h long"
 T = dt.datetime(2026, 6, 1, 12)
@@ -41,6 +42,32 @@ def test_lines_without_message_id_stay_alone_and_null_requests_form_a_key(spark)
     assert sorted(g.input_tokens for g in merge.merge_usage(spark.createDataFrame(rows, LINE)).collect()) == [1, 2, 4]
 
 
+@pytest.mark.parametrize("exact", [True, False])
+def test_streamed_merges_equal_the_batch_merge(spark, tmp_path, exact):
+    """Null and empty ids, and lines without a timestamp, over several batches in another order than that of the lines."""
+    T2 = dt.datetime(2026, 6, 2)
+    chunks = [
+        [line(9, T2, "r", None, (1, 0, 0, 0)), line(5, None, "q", "m", (50, 1, 0, 0)), line(6, T, "q", "m", (6, 0, 0, 0)), line(0, None, "q", "m", (900, 0, 0, 0))],
+        [line(1, T, "r", None, (2, 0, 0, 0)), line(2, T, "r", "", (3, 0, 0, 0)), line(3, T2, "q", "m", (1, 9, 0, 0)), line(4, None, None, "m", (4, 0, 0, 0))],
+        [line(7, T, None, None, (7, 0, 0, 0)), line(8, None, None, None, (8, 0, 0, 0)), line(10, T, None, "m", (5, 0, 0, 0), (2, None)), line(11, None, None, "m", (9, 0, 0, 0)), line(12, T, "r", "", (3, 0, 0, 0))],
+        [line(13, T, None, None, (7, 0, 0, 0)), line(14, T, None, "", (7, 0, 0, 0)), line(15, None, "z", "z", (1, 0, 0, 0))],
+    ]
+    landing, folder = str(tmp_path / "landing"), str(tmp_path / "stream")
+    for rows in chunks:
+        spark.createDataFrame(rows, LINE).coalesce(1).write.mode("append").parquet(landing)
+    lines_ = spark.readStream.schema(LINE).option("maxFilesPerTrigger", 1).parquet(landing)
+    if exact:
+        st.run_updates(lines_, folder, st.recompute_keys(spark, f"{folder}/log", f"{folder}/facts"), "append")
+        got = st.newest(spark, f"{folder}/facts", *st.MERGE_KEY)
+    else:
+        st.run_updates(st.merged_stream(lines_), folder)
+        got = st.newest(spark, f"{folder}/rows", *st.MERGE_KEY).select("first.*", *merge.COUNTERS)
+    columns = ["ts", "model_raw", "account", "provider", *merge.COUNTERS]
+    want = merge.merge_usage(spark.createDataFrame(sum(chunks, []), LINE)).select(columns)
+    found = sorted(map(str, got.select(columns).collect()))
+    assert found == sorted(map(str, want.collect())) and len(found) == 9
+
+
 def test_long_context_price(spark):
     rates = spark.createDataFrame([("m", 5.0, 30.0, 0.5, None, 272000.0, 2.0, 1.5)], f"model string, {pricing.RATES}")
     facts = spark.createDataFrame([(T, "m", "claude", 100000, 1000, 200000, 0, 0, 0), (T, "other", "claude", 1, 1, 1, 1, None, None)], "ts timestamp, model_raw string, provider string, input_tokens long, output_tokens long, cache_read long, cache_creation long, eph_5m long, eph_1h long")
