@@ -7,7 +7,9 @@ for the container that holds most of it: the article, or else the main element,
 there is none, the deepest container with that share, and from there its parents while what they add is mostly text
 of the upper cluster. The blocks of that region are the main text, so short paragraphs and headlines inside it stay.
 Elements that never hold an article (menus, footers, forms, scripts, adverts, comments,
-notices, by tag or by the words of class, id and role) give no lines at all.
+notices, by tag or by the words of class, id and role) give no lines at all. Within article and main a word decides
+only as a whole class name or role; a block with it as a part of a class, or in its id, goes only where most of its
+text is links, unless it names reader comments. Lists of links stay there.
 
 Null or empty html, and pages without text, give the empty text. Character references are decoded, white space within
 a block becomes one space, blocks are joined by one space in page order. Repeated rows give repeated rows.
@@ -47,6 +49,11 @@ UNWANTED = re.compile(
     r"|related|recommend\w*|pagination|pager|widget|widgets|search|login|skip|contentinfo|complementary|dialog|copyright|adsbygoogle)(?:$|[\s_-])",
     re.I,
 )
+#: Names of the readers' comments, which are no part of an article they stand in.
+COMMENTS = re.compile(r"(?:comments?|commentlist|respond|disqus)(?:$|[_-])", re.I)
+LISTS = frozenset("dl ol ul".split())
+#: Within an article a block with a doubtful name is left out where this share of its text is links.
+LINKED_SHARE = 0.5
 #: Whole class names of a page's header, which may not hold the article's own.
 HEADERS = frozenset("header site-header page-header global-header top-header".split())
 #: Beginnings of class names that say something about a container's surroundings.
@@ -60,13 +67,14 @@ class Lines(HTMLParser):
     def __init__(self, hints: bool = True) -> None:
         super().__init__(convert_charrefs=True)
         self.hints = hints  # whether class, id and role count
-        self.open: list[tuple[str, int, bool]] = []  # tag, container number or 0, whether it is left out
+        self.open: list[tuple[str, int, bool, bool]] = []  # tag, container number or 0, whether it is left out, or doubtful
         self.left_out = self.links = self.inside = self.number = 0
         self.parts: list[str] = []
         self.tags = self.link_chars = 0
         self.path: tuple[int, ...] = ()
         self.kinds = [""]  # the tag of each container number
         self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
+        self.doubts: list[int] = []  # where the lines of each open doubtful block begin
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -83,10 +91,23 @@ class Lines(HTMLParser):
                 return True
             if self.hints and name in ("class", "id", "role") and value and tag not in ("html", "body", "article", "main"):
                 names = [x for x in value.lower().split() if not x.startswith(ABOUT)]
-                if UNWANTED.search(" ".join(names)) or not self.inside and HEADERS.intersection(names):
+                if not self.inside:
+                    if UNWANTED.search(" ".join(names)) or HEADERS.intersection(names):
+                        return True
+                elif name != "id" and any(map(UNWANTED.fullmatch, names)) or name != "role" and (tag in CONTAINERS or tag in LISTS) and any(map(COMMENTS.match, names)):
                     return True
         return False
 
+    def doubtful(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        """Whether a block within an article has a name that may be one of its surroundings."""
+        return self.hints and self.inside > 0 and tag in BLOCKS and tag not in VOID and tag not in ("body", "article", "main") and any(n in ("class", "id") and v and UNWANTED.search(v) for n, v in attrs)
+
+    def settle(self) -> None:
+        """Ends a doubtful block: its lines go where most of their text is links."""
+        at = self.doubts.pop()
+        if sum(line[2] for line in self.lines[at:]) > LINKED_SHARE * sum(len(line[0]) for line in self.lines[at:]):
+            del self.lines[at:]
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self.flush()
@@ -104,8 +125,11 @@ class Lines(HTMLParser):
             self.path += (number,)
         self.left_out += out
         self.links += tag == "a"
+        doubt = self.doubtful(tag, attrs)
         self.inside += tag in ("article", "main")
-        self.open.append((tag, number, out))
+        if doubt:
+            self.doubts.append(len(self.lines))
+        self.open.append((tag, number, out, doubt))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -113,7 +137,9 @@ class Lines(HTMLParser):
     def end(self, tag: str, within: tuple[str, ...] = ()) -> None:
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
-                for name, number, out in self.open[at:]:
+                for name, number, out, doubt in reversed(self.open[at:]):
+                    if doubt:
+                        self.settle()
                     self.left_out -= out
                     self.links -= name == "a"
                     self.inside -= name in ("article", "main")
@@ -124,6 +150,12 @@ class Lines(HTMLParser):
             if self.open[at][0] in within:
                 return
 
+    def finish(self) -> None:
+        """After the page's end: its last line, and the blocks that were never closed."""
+        self.flush()
+        while self.doubts:
+            self.settle()
+
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
@@ -197,7 +229,7 @@ def main_text(html: str | None) -> str:
         parser = Lines(hints)
         parser.feed(html or "")
         parser.close()
-        parser.flush()
+        parser.finish()
         lines = parser.lines
         if lines:
             break
@@ -210,6 +242,8 @@ def main_text(html: str | None) -> str:
         upper = np.ones(len(lines), bool)
     menu = menus(lines)
     region = main_region(lines, parser.kinds, plain, upper, menu)
+    if region is not None and parser.kinds[region] in ("article", "main"):
+        menu[:] = False  # an article's own lists of links
     return " ".join(line[0] for line, out in zip(lines, menu, strict=True) if not out and (region is None or region in line[3]))
 
 

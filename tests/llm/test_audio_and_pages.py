@@ -131,6 +131,23 @@ def test_a_region_does_not_grow_by_links():
     assert html_text.main_text(f"<body><div><div>{side}</div><div><p>{'</p><p>'.join(long)}</p></div></div></body>") == " ".join(long)
 
 
+def test_names_within_an_article_do_not_hide_its_text():
+    text, refs = story("Paragraph", 3), [f"Reference {k}" for k in range(4)]
+    links = "".join(f'<li><a href="/{k}">{t}</a></li>' for k, t in enumerate(refs))
+    parts = [
+        '<h2 id="related-work">Related work</h2>', f'<section id="search"><p>{text[0]}</p></section>', '<h2 class="share-prices">Share prices</h2>',
+        f'<div class="elementor-widget-text-editor"><p>{text[1]}</p></div>', f'<div id="login"><p>{text[2]}</p>', "</div>", f"<h2>References</h2><ol>{links}</ol>",
+    ]
+    gone = [
+        '<div class="share"><p>Tell your friends about it</p></div>', f'<div class="related-posts"><ul>{links}</ul></div>', '<div id="comments"><p>I am a reader and I have an opinion.</p></div>',
+        f'<div class="comment-list"><p>{text[0]}</p></div>', f'<nav><ul>{links}</ul></nav>',
+    ]
+    page = f"<body><article><h1>Title</h1>{''.join(parts)}{''.join(gone)}</article></body>"
+    assert html_text.main_text(page) == " ".join(["Title", "Related work", text[0], "Share prices", text[1], text[2], "References", *refs])
+    cut = f'<main><p>{text[0]}</p><div class="post-related"><p><a href="/a">Another page'
+    assert html_text.main_text(cut) == text[0]
+
+
 def test_pages_operator(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, None)]
     got = html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string"), F.col("html"), "page_id", "url").collect()
