@@ -209,11 +209,17 @@ def identify(df: DataFrame, text: Column, network: Network | None, *keys: str) -
 
 
 def keep_known(df: DataFrame, text: Column, network: Network | None, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``df`` whose text has a language with at least the score ``least``."""
+    """The rows of ``df`` whose text has a language with at least the score ``least``.
+
+    Without a network nothing is known of languages, and all texts with a letter stay.
+    """
 
     def make():
         def judge(batch: pa.RecordBatch) -> list[bool]:
-            names, scores = predictions(network, batch.column("text").to_pylist())
+            texts = batch.column("text").to_pylist()
+            if network is None:
+                return [text is not None and any(map(str.isalpha, text)) for text in texts]
+            names, scores = predictions(network, texts)
             return [n != UND and s >= least for n, s in zip(names, scores, strict=True)]
 
         return judge

@@ -61,6 +61,13 @@ def test_without_labels(spark, no_documents):
     assert toxicity.train(no_documents, F.col("doc_id"), F.col("text"), labels, F.col("doc_id"), F.col("toxic")) is None
 
 
+def test_without_a_network_the_language_stage_keeps_all_texts_with_letters(odd_documents):
+    kept = langid.keep_known(odd_documents, F.col("text"), None)
+    assert kept.columns == odd_documents.columns
+    lettered = [t.doc_id for t in odd_documents.collect() if any(map(str.isalpha, t.text or ""))]
+    assert [r.doc_id for r in kept.collect()] == lettered == [1, 1, 4, None, 7]
+
+
 def test_nothing_is_learned_from_held_out_rows(spark):
     df = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
     held = {r.doc_id for r in df.where(common.held_out(F.col("doc_id"))).collect()}
