@@ -74,9 +74,10 @@ def document_lengths(blocks: DataFrame) -> DataFrame:
     """(file, start, n_tokens, ended) of every document, its separator included; ``start`` is its first token in the file.
 
     ``blocks`` is the result of `scan_blocks`, and read several times. The prefix scan has two levels, so a file of
-    very many blocks is dealt over its groups of blocks.
+    very many blocks is dealt over its groups of blocks. A file without a name is a file like any other.
     """
-    rows = blocks.withColumn("ended", F.size("cuts") > 0).withColumn("group", F.floor(F.col("block") / GROUP_BLOCKS))
+    # in a struct, as the joins below must find the file whose name is null too
+    rows = blocks.withColumn("file", F.struct("file")).withColumn("ended", F.size("cuts") > 0).withColumn("group", F.floor(F.col("block") / GROUP_BLOCKS))
     own = ["file", "group"]
     any_before = F.max("ended").over(Window.partitionBy(*own).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     inside = rows.withColumns({"open_here": _open_before(rows, own, "block"), "at_here": _sum_before("tokens", own, "block"), "ended_here": F.coalesce(any_before, F.lit(False))})
@@ -96,13 +97,13 @@ def document_lengths(blocks: DataFrame) -> DataFrame:
     newest = groups.where("ended").groupBy("file").agg(F.max("group").alias("newest"))
     rest = groups.join(newest, "file", "left").where(F.col("newest").isNull() | (F.col("group") >= F.col("newest"))).groupBy("file").agg(F.sum("tail").alias("n_tokens"))
     rest = rest.where("n_tokens > 0").join(files, "file").select("file", (F.col("all") - F.col("n_tokens")).alias("start"), "n_tokens", F.lit(False).alias("ended"))
-    return ended.unionByName(rest)
+    return ended.unionByName(rest).withColumn("file", F.col("file.file"))
 
 
 def token_blocks(df: DataFrame, file: Column, text: Column, path: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(file, block, data): texts as flat runs of ids, cut in blocks wherever they fall.
 
-    A file is a run of rows of the same name within a partition. All ids are two higher than the vocabulary's, so no
+    A file is a run of rows of the same name, which may be null, within a partition. All ids are two higher than the vocabulary's, so no
     text holds `SEPARATOR`, which follows each.
     """
     source = df.select(file.cast("string").alias("file"), text.cast("string").alias("text"))
@@ -111,7 +112,7 @@ def token_blocks(df: DataFrame, file: Column, text: Column, path: str, block_tok
         encoder = library_encoder(path)
         held: list[np.ndarray] = []
         size = number = 0
-        name = None
+        name, started = None, False
 
         def cut(all_of_it: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, size, number
@@ -125,16 +126,16 @@ def token_blocks(df: DataFrame, file: Column, text: Column, path: str, block_tok
 
         for batch in batches:
             for key, value in zip(batch.column("file").to_pylist(), batch.column("text"), strict=True):
-                if key != name:
-                    if name is not None:
+                if not started or key != name:
+                    if started:
                         yield from cut(True)
-                    name, held, size, number = key, [], 0, 0
+                    name, started, held, size, number = key, True, [], 0, 0
                 ids = encoder.encode_to_numpy(value.as_py() or "", allowed_special="all") + np.uint32(2)
                 held += [ids, np.array([SEPARATOR], np.uint32)]
                 size += len(ids) + 1
                 if size >= 8 * block_tokens:
                     yield from cut(False)
-        if name is not None:
+        if started:
             yield from cut(True)
 
     return in_small_batches(source).mapInArrow(run, "file string, block long, data binary")

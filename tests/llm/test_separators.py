@@ -46,3 +46,17 @@ def test_written_blocks_hold_every_text(spark, odd_documents, no_documents):
     got = separators.document_lengths(separators.scan_blocks(blocks, F.col("file"), F.col("block"), F.col("data")))
     assert got.where("ended").count() == odd_documents.count() and got.where("NOT ended").count() == 0
     assert separators.token_blocks(no_documents, F.lit("f"), F.col("text"), path).count() == 0
+
+
+@pytest.mark.parametrize("group", [2, 4096])
+def test_a_file_without_a_name_keeps_its_texts(spark, monkeypatch, group):
+    monkeypatch.setattr(separators, "GROUP_BLOCKS", group)
+    rows = [(name, f"text {k} of a file that has or has not a name") for name in ("a", None, "b") for k in range(9)]
+    df = spark.createDataFrame(rows, "file string, text string").coalesce(1)
+    blocks = separators.token_blocks(df, F.col("file"), F.col("text"), public_tokenizers.path(VOCABULARY), block_tokens=16)
+    scanned = separators.scan_blocks(blocks, F.col("file"), F.col("block"), F.col("data")).localCheckpoint()
+    got = separators.document_lengths(scanned).where("ended").collect()
+    places = lambda name: sorted((r.start, r.n_tokens) for r in got if r.file == name)
+    assert len(got) == len(rows) and len(places("a")) == 9 and places(None) == places("a") == places("b")
+    uncut = separators.scan_blocks(blocks, F.col("file"), F.col("block"), F.col("data"), separator=0)
+    assert sorted((r.file or "", r.start, r.ended) for r in separators.document_lengths(uncut).collect()) == [("", 0, False), ("a", 0, False), ("b", 0, False)]
