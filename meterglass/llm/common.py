@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a batch that Spark hands to Python; documents are long, and a worker holds a few batches.
 BATCH_ROWS = 1000
+#: Ids that a join broadcasts at most (32 MB).
+MOST_IDS = 1 << 22
 #: Bytes of text that a Python task turns into numpy arrays at a time.
 CHUNK_BYTES = 2_000_000
 
@@ -28,11 +31,14 @@ def held_out(doc_id: Column) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, which ``spark.checkpoint.dir`` names.
 
-    Only a session without that setting, as in tests, gets a temporary folder.
+    Only a session within one machine and without that setting, as in tests, gets a temporary folder.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -42,6 +48,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def matched(df: DataFrame, key: str, ids: DataFrame, how: str) -> DataFrame:
+    """``df`` semi-joined or anti-joined (``how``) with ``ids``, whose only column is ``key``.
+
+    Up to `MOST_IDS` ids are broadcast, so that the rows of ``df``, which hold texts, need not be shuffled; for more of
+    them both sides are. ``ids`` is counted, so it should be a checkpoint.
+    """
+    return df.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, key, how)
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -50,7 +65,7 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def least_hashed(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """The ``rows`` rows with the least hash of ``key`` (some more where keys repeat).
+    """The ``rows`` rows with the least hash of ``key``, which is not null and does not repeat.
 
     A threshold that about four times as many rows pass comes first, so what tasks send on is bounded too.
     """

@@ -1,4 +1,4 @@
-"""Connected components of undirected edges by alternating large-star and small-star joins."""
+"""Connected components of undirected edges by hooking and pointer jumping."""
 
 from __future__ import annotations
 
@@ -8,32 +8,37 @@ from pyspark.sql import functions as F
 from meterglass.llm.common import checkpointed
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """One round on edges (u, v, v the smaller): other edges (u, v, moved) that connect the same nodes.
+
+    Every node points to its least smaller neighbour, its other neighbours hook on to that one, and it moves on to what
+    that one points to. Three shuffles; a hub with many neighbours is one row of a partial aggregate and a skewed key of
+    a join, which adaptive execution splits. ``moved`` is false only where a node has one edge and that one none.
+    """
+    points = nearest(edges)
+    hooks = edges.join(points, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"), F.lit(True).alias("moved"))
+    further = points.select(F.col("u").alias("m"), F.col("m").alias("next"))
+    jumps = points.join(further, "m", "left").select("u", F.coalesce("next", "m").alias("v"), F.col("next").isNotNull().alias("moved"))
+    return checkpointed(hooks.unionByName(jumps))
+
+
+def directed(edges: DataFrame) -> DataFrame:
+    """Edges without loops and nulls, from the greater to the smaller node."""
+    return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+
+
+def nearest(edges: DataFrame) -> DataFrame:
+    """(u, m): the least smaller neighbour of every node that has one. Nodes of one m are connected."""
+    return edges.groupBy("u").agg(F.min("v").alias("m"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (columns u and v): the smallest node that can be reached.
 
-    Loops and repeated edges do no harm; rows with nulls are left out. Rounds grow with the logarithm of the longest
-    path. Each round aggregates before it joins, so a hub with many neighbours is one row of an aggregate and a skewed
-    key of a join, which adaptive execution splits. Lineage is cut in every round by a checkpoint.
+    Loops and repeated edges do no harm; rows with nulls are left out. Rounds grow with the logarithm of the longest path.
     """
-    now = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = _mark(now)
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # large star: every larger neighbour of u moves to the least of u and its neighbours
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: u and its smaller neighbours move to the least of these
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u")
-        small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(moved.select("u", F.col("m").alias("v")))
-        now = checkpointed(small.where("u <> v").distinct())
-        before, mark = mark, _mark(now)
-        if mark == before:
-            break
+    now = checkpointed(directed(edges).withColumn("moved", F.lit(True)))
+    while not now.where("moved").isEmpty():
+        now = contracted(now)
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
-
-
-def _mark(edges: DataFrame) -> tuple:
-    """Count and order-free digest of the edges."""
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meterglass.llm import graph, minhash, rabitq, shingles
+from meterglass.llm import common, graph, minhash, rabitq, shingles
 
 
 def components_of(nodes, edges):
@@ -76,13 +76,11 @@ def wanted(texts):
     return sets, components_of(range(len(texts)), edges)
 
 
-@pytest.mark.parametrize("small", [16, 0, 1000])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, small):
-    """With buckets as usual, all of them in blocks (of few shingles), and all of them as pairs."""
-    monkeypatch.setattr(minhash, "PAIR_BUCKET", small)
-    if small == 0:
-        monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 600)
-        monkeypatch.setattr(minhash, "PIVOT_PAIRS", 3)
+@pytest.mark.parametrize("block", [minhash.BLOCK_SHINGLES, 600])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
+    """With blocks as usual, and with blocks of few shingles; ids are joined by broadcast or by shuffle."""
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(common, "MOST_IDS", common.MOST_IDS if block > 600 else 0)
     texts = documents()
     sets, label = wanted(texts)
     df = spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(texts)], "doc_id long, text string, rep string, key int").repartition(5)
@@ -102,6 +100,19 @@ def test_near_duplicates_of_odd_rows(spark, odd_documents, no_documents):
     assert minhash.keep_one(odd_documents, F.col("doc_id"), F.col("text")).count() == odd_documents.count()
 
 
+def test_near_duplicates_join_all_rows_of_a_doc_id(spark):
+    words = [f"w{k}" for k in range(60)]
+    a, b, c = " ".join(words[:40]), " ".join(words[20:]), " ".join(reversed(words))
+    near = " ".join([*words[20:59], "other"])
+    rows = [(5, a), (5, b), (2, b), (9, c), (7, c), (7, near), (5, a), (5, None), (11, "alone in here")]
+    edges = [(x, y) for (x, s), (y, t) in itertools.combinations(rows, 2) if s and t and 100 * len(word_set(s) & word_set(t)) >= 75 * len(word_set(s) | word_set(t))]
+    label = components_of({k for k, _ in rows}, edges)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), F.col("doc_id"), F.col("text")).collect()
+    assert len(got) == len(rows) and label[5] == label[9] == 2
+    # a row without words stands alone, whatever other rows have its id
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got if r.n_shingles) == sorted((k, label[k], label[k] == k) for k, t in rows if t)
+
+
 def vectors(seed=6):
     rng = np.random.default_rng(seed)
     rows = []
@@ -135,6 +146,15 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch, block):
     assert rabitq.near_vectors(df.limit(0), F.col("vec_id"), F.col("embedding"), F.col("label")).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e200, 1e308, 1e-200, 1e-308, 1e-322])
+def test_vectors_of_any_scale_link(spark, scale):
+    base = np.random.default_rng(9).integers(1, 9, 8) / 9
+    rows = [(0, (base * scale).tolist()), (1, (base * [1.01, *[1] * 7] * scale).tolist()), (2, (-base * scale).tolist()), (3, base.tolist())]
+    df = spark.createDataFrame([(k, v, 0) for k, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in rabitq.near_vectors(df, F.col("vec_id"), F.col("embedding"), F.col("label")).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (0, 2), 3: (2, 0)}
+
+
 def test_estimates_are_unbiased_within_their_bounds():
     rng = np.random.default_rng(8)
     x = rabitq.unit(rng.normal(size=(400, 64)))
