@@ -51,7 +51,9 @@ def rotation(size: int, turn: int) -> np.ndarray:
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
-    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    """Rows of length one; each is first divided by its greatest component, so that no square over- or underflows."""
+    scaled = rows / np.abs(rows).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
 def plan(rows: int, cosine: float, recall: float = RECALL) -> tuple[int, int]:
