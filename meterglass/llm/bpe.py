@@ -117,6 +117,7 @@ class Encoder:
         self.pattern = regex.compile(PATTERN)
         self.leaf_bytes, self.window, self.cache_words = leaf_bytes, window, cache_words
         self.id_of = {token: n for n, token in enumerate(self.bytes_of) if token and n not in set(self.special.values())}
+        self.longest = max(map(len, self.id_of))
         self.prefixes = ahocorasick.Automaton()
         for token in self.id_of:
             self.prefixes.add_word(token.decode("latin-1"), 1)
@@ -155,19 +156,21 @@ class Encoder:
         return known
 
     def short(self, raw: bytes) -> list[int]:
-        """The tokens of a short piece, by the rule that a sequence in which all neighbours fit is the encoding.
+        """The tokens of a piece, by the rule that a sequence in which all neighbours fit is the encoding.
 
-        The longest token that fits its neighbour is tried first; a dead end goes back one token.
+        The longest token that fits its neighbour is tried first; a dead end goes back one token. What fits up to a place
+        is the only encoding up to there, so no place is left twice and the work grows with the length.
         """
-        get, reach, size, agree = self.id_of.get, self.prefixes.longest_prefix, len(raw), self.agree
+        get, reach, size, agree, longest = self.id_of.get, self.prefixes.longest_prefix, len(raw), self.agree, self.longest
         letters = raw.decode("latin-1")
         ids: list[int] = []
         ends: list[int] = []
-        at, end = 0, reach(letters)
+        dead: set[int] = set()
+        at, end = 0, reach(letters[:longest])
         while at < size:
             while end > at:
                 n = get(raw[at:end])
-                if n is not None:
+                if n is not None and end not in dead:
                     if not ids:
                         break
                     fits = agree.get(ids[-1] << 20 | n)
@@ -178,8 +181,9 @@ class Encoder:
                 ids.append(n)
                 ends.append(end)
                 at = end
-                end = at + reach(letters[at:])
+                end = at + reach(letters[at : at + longest])
             else:
+                dead.add(at)
                 ids.pop()
                 end = ends.pop() - 1
                 at = ends[-1] if ends else 0
@@ -190,20 +194,18 @@ class Encoder:
         size = self.window
         while True:
             a, b = max(0, len(left) - size), min(len(right), size)
-            inner = self.tree(b"".join([self.bytes_of[n] for n in left[a:] + right[:b]]), join=False)
+            inner = self.short(b"".join([self.bytes_of[n] for n in left[a:] + right[:b]]))
             if (a == 0 or inner[0] == left[a]) and (b == len(right) or inner[-1] == right[b - 1]):
                 return left[:a] + inner + right[b:]
             size *= 2
 
-    def tree(self, raw: bytes, join: bool = True) -> list[int]:
-        """The tokens of a piece of any length; a window around a join is small and merged directly."""
-        if len(raw) <= self.leaf_bytes or not join and len(raw) <= 16 * self.leaf_bytes:
-            return self.short(raw)
+    def tree(self, raw: bytes) -> list[int]:
+        """The tokens of a piece of any length."""
         # bottom up: all leaves, and then all joins of a level, are independent of each other
         level = [self.short(raw[k : k + self.leaf_bytes]) for k in range(0, len(raw), self.leaf_bytes)]
         while len(level) > 1:
             level = [self.joined(*level[k : k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
-        return level[0]
+        return level[0] if level else []
 
     def pieces(self, text: str) -> bytes:
         """Ids of text without special tokens."""
