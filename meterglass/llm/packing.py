@@ -10,7 +10,7 @@ Documents are packed as they are read, in each partition by itself: no shuffle,
 per task. A partition leaves at most a few sequences that are not full. The same partitions give the same sequences,
 so a task that runs again repeats them. A hot source changes nothing, and a long document is simply cut more often.
 
-A null or empty text is the closing id alone. A row whose ids are null has no piece. Repeated rows are packed as often
+Text of any length is encoded, also a million characters of white space. A null or empty text is the closing id alone. A row whose ids are null has no piece. Repeated rows are packed as often
 as they occur; the order of equal pieces is that of the rows.
 """
 
@@ -23,12 +23,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterglass.llm.bpe import VOCABULARY, byte_letters
+from meterglass.llm.bpe import SPACE, VOCABULARY, byte_letters, shared_encoder
 from meterglass.llm.common import in_small_batches, table
 
 MAX_TOKENS = 2048
@@ -38,6 +39,9 @@ MAX_SEGMENTS = 512
 POOL = 512
 #: The id that closes a document.
 CLOSING = np.array([1], "<u4")
+#: Characters of white space in a row that are not left to the library's pattern.
+LONG_RUN = 50_000
+LONG_SPACE = regex.compile(rf"[{SPACE}]{{{LONG_RUN},}}")
 #: Rows of a batch that a task returns.
 ROWS_AT_ONCE = 2000
 
@@ -128,28 +132,71 @@ def pack(df: DataFrame, ids: Column, *keys: str, loss: Column | None = None, max
     return _packed(source, lambda: read, max_tokens, max_segments, max_loss)
 
 
+class LibraryEncoder:
+    """A public library's encoder of a vocabulary file, whose ids are in the order of its merges.
+
+    The library's pattern fails on white space of about a million characters. Such runs are cut out, which is exact as
+    white space always begins a piece, and operator 9 encodes them.
+    """
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        letters, special = byte_letters(), {t["content"]: t["id"] for t in spec["added_tokens"]}
+        ranks = {bytes(letters[c] for c in token): n for token, n in spec["model"]["vocab"].items() if token not in special}
+        self.path, self.special = path, tuple(special)
+        self.encoding = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.sizes = np.zeros(1 + max([*ranks.values(), *special.values()]), np.int64)
+        for token, n in [*ranks.items(), *((t.encode(), n) for t, n in special.items())]:
+            self.sizes[n] = len(token)
+
+    def ids(self, text: str) -> np.ndarray:
+        """The token ids of a whole text, as `<u4`."""
+        parts, at = [], 0
+        for run in LONG_SPACE.finditer(text) if len(text) >= LONG_RUN else ():
+            end = run.end()
+            # its last character belongs to what follows, unless that is a special token
+            if end < len(text) and not text.startswith(self.special, end):
+                end -= 1
+            parts += [self.plain(text[at : run.start()]), np.array(shared_encoder(self.path).tree(text[run.start() : end].encode()), "<u4")]
+            at = end
+        last = self.plain(text[at:])
+        return np.concatenate([*parts, last]) if parts else last
+
+    def plain(self, text: str) -> np.ndarray:
+        return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
+
+    def after(self, ids: np.ndarray, bytes_before: int) -> np.ndarray:
+        """Which ids begin at or behind so many bytes of their text."""
+        sizes = self.sizes[ids]
+        return np.cumsum(sizes) - sizes >= bytes_before
+
+
 @functools.cache
-def library_encoder(path: str) -> tiktoken.Encoding:
-    """A public library's encoder of a vocabulary file, whose ids are in the order of its merges."""
-    with open(path, encoding="utf-8") as file:
-        spec = json.load(file)
-    letters, special = byte_letters(), {t["content"]: t["id"] for t in spec["added_tokens"]}
-    ranks = {bytes(letters[c] for c in token): n for token, n in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+def library_encoder(path: str) -> LibraryEncoder:
+    """The encoder of a Python worker, which its tasks use one after another."""
+    return LibraryEncoder(path)
+
 
+def pack_texts(df: DataFrame, text: Column, *keys: str, path: str, prompt: Column | None = None, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_TOKENS) -> DataFrame:
+    """`pack` of texts: each one's token ids and the closing id, encoded in the task that packs them.
 
-def pack_texts(df: DataFrame, text: Column, *keys: str, path: str, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_TOKENS) -> DataFrame:
-    """`pack` of texts: each one's token ids and the closing id, encoded in the task that packs them."""
-    source = df.select(F.struct(*[df[f"`{k}`"] for k in keys]).alias("keys"), text.cast("string").alias("text"))
+    ``prompt`` is the characters at a text's beginning that bear no loss, as the instruction before an answer (null: 0);
+    a token bears loss that begins behind them, as does the closing id. The first id never does.
+    """
+    first = F.lit(0) if prompt is None else F.octet_length(F.left(text.cast("string"), prompt.cast("int")))
+    source = df.select(F.struct(*[df[f"`{k}`"] for k in keys]).alias("keys"), text.cast("string").alias("text"), F.coalesce(first, F.lit(0)).cast("long").alias("prompt"))
 
     def reader():
         encoder = library_encoder(path)
 
         def read(batch: pa.RecordBatch) -> Iterator[tuple]:
-            for key, value in zip(batch.column("keys"), batch.column("text"), strict=True):
-                ids = encoder.encode_to_numpy(value.as_py() or "", allowed_special="all")
+            for key, value, before in zip(batch.column("keys"), batch.column("text"), batch.column("prompt").to_pylist(), strict=True):
+                ids = encoder.ids(value.as_py() or "")
                 numbers = np.append(ids, CLOSING).astype("<u4", copy=False)
-                yield key.as_py(), numbers, np.arange(len(numbers)) > 0
+                mask = np.append(encoder.after(ids, before), True) if before else np.ones(len(numbers), bool)
+                mask[0] = False
+                yield key.as_py(), numbers, mask
 
         return read
 

@@ -130,7 +130,7 @@ def token_blocks(df: DataFrame, file: Column, text: Column, path: str, block_tok
                     if started:
                         yield from cut(True)
                     name, started, held, size, number = key, True, [], 0, 0
-                ids = encoder.encode_to_numpy(value.as_py() or "", allowed_special="all") + np.uint32(2)
+                ids = encoder.ids(value.as_py() or "") + np.uint32(2)
                 held += [ids, np.array([SEPARATOR], np.uint32)]
                 size += len(ids) + 1
                 if size >= 8 * block_tokens:

@@ -115,3 +115,43 @@ def test_pack_odd_documents(odd_documents, no_documents):
     empty = [r for r in got if r.doc_id == 2]
     assert [(r.start, r.length, r.ids_crc32, r.doc_tokens) for r in empty] == [(0, 1, zlib.crc32(b"\1\0\0\0"), 1)]
     assert packing.pack_texts(no_documents, F.col("text"), "doc_id", path=PATH).count() == 0
+
+
+@pytest.mark.parametrize("run", [" ", "\n", " \n\t\u3000", "\u2003"])
+@pytest.mark.parametrize("form", ["{}", "word {} word", "{}<|endoftext|>{}x", "a{}", "{}  (b", "x {}y{} "])
+def test_very_long_white_space(run, form):
+    text = form.replace("{}", run * (1_000_000 // len(run)))
+    encoder = packing.library_encoder(PATH)
+    assert encoder.ids(text).tolist() == ids(text)
+
+
+def test_a_text_of_white_space_is_packed(spark):
+    texts = [" " * 1_000_000, "word " + "\n" * 1_000_000 + " word", "short"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    pieces = packing.pack_texts(df, F.col("text"), "doc_id", path=PATH).collect()
+    check_packing(pieces, {k: np.array([*ids(t), 1], "<u4") for k, t in enumerate(texts)}, packing.MAX_TOKENS)
+
+
+def test_prompts_bear_no_loss_and_the_loss_limit_binds(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(80):
+        question, answer = (" ".join(rng.choice(["one", "zwei", "été", "harbour", "🙂"], n)) for n in rng.integers(5, 60, 2))
+        rows.append((k, question + " " + answer, len(question) + 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string, prompt int").coalesce(1)
+    pieces = packing.pack_texts(df, F.col("text"), "doc_id", path=PATH, prompt=F.col("prompt"), max_tokens=256, max_segments=8, max_loss=100).collect()
+    check_packing(pieces, {k: np.array([*ids(t), 1], "<u4") for k, t, _ in rows}, 256)
+    masks = {}
+    for k, text, before in rows:
+        masks[k], at = [], 0
+        for n in ids(text):
+            masks[k].append(at >= len(text[:before].encode()))
+            at += len(ENCODER.bytes_of[n])
+        masks[k] = np.array([False, *masks[k][1:], True])
+    loss = {}
+    for p in pieces:
+        loss[p.sequence_id] = loss.get(p.sequence_id, 0) + int(masks[p.doc_id][p.start : p.start + p.length].sum())
+    tokens = {}
+    for p in pieces:
+        tokens[p.sequence_id] = tokens.get(p.sequence_id, 0) + p.length
+    assert max(loss.values()) == 100 and sum(n == 100 and tokens[s] < 256 for s, n in loss.items()) > len(loss) / 4
