@@ -11,14 +11,17 @@ notices, by tag or by the words of class, id and role) give no lines at all. Wit
 only as a whole class name or role; a block with it as a part of a class, or in its id, goes only where most of its
 text is links, unless it names reader comments. Lists of links stay there.
 
-Null or empty html, and pages without text, give the empty text. Character references are decoded, white space within
+Null or empty html, and pages without text, give the empty text. Marked sections are comments, and a comment or tag that
+the page's end cuts off is none of the text. Work grows with a page's length, however deep it nests. Character references are decoded, white space within
 a block becomes one space, blocks are joined by one space in page order. Repeated rows give repeated rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,10 @@ BLOCKS = frozenset("html body address article aside blockquote br caption center
 CONTAINERS = frozenset("html body article main section div td blockquote".split())
 #: An opening tag of these closes an open p.
 ENDS_P = BLOCKS - {"br", "html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "li", "dd", "dt", "legend", "figcaption", "summary"}
+#: Elements that an opening tag ends no p across, and p itself.
+EDGES = frozenset("article section div td body li p".split())
+DOCTYPE = re.compile(r"\A\s*<!doctype[^>\[]*\[[^\]]*\]\s*>", re.I)
+CUT_TAG = re.compile(r"<[a-z/!?]", re.I)
 UNWANTED = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notification|alert|popup|pop-up|modal|overlay|newsletter|subscri\w+|signup"
     r"|share|sharing|social|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|footer|foot|masthead|topbar|toolbar|comments?|commentlist|respond|reply|replies|disqus"
@@ -61,28 +68,57 @@ ABOUT = ("has-", "no-", "with-", "without-")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+class Line(NamedTuple):
+    """The text of a block with the tags met before its end, its characters in links, its container, and whether within an article."""
+
+    text: str
+    tags: int
+    links: int
+    container: int
+    inside: bool
+
+
+class Element(NamedTuple):
+    """An open element; ``container`` is its number or 0."""
+
+    tag: str
+    container: int
+    out: bool
+    doubt: bool
+
+
 class Lines(HTMLParser):
-    """Turns parser events into lines: text, tags met, characters in links, open containers, and whether within an article."""
+    """Turns parser events into lines. Work and memory grow with the page's length, however deep its elements are nested."""
 
     def __init__(self, hints: bool = True) -> None:
         super().__init__(convert_charrefs=True)
         self.hints = hints  # whether class, id and role count
-        self.open: list[tuple[str, int, bool, bool]] = []  # tag, container number or 0, whether it is left out, or doubtful
-        self.left_out = self.links = self.inside = self.number = 0
+        self.open: list[Element] = []
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # where each tag's open elements are
+        self.edges: list[int] = []  # where the open p elements are, and those that an opening tag ends no p across
+        self.left_out = self.inside = 0
         self.parts: list[str] = []
         self.tags = self.link_chars = 0
-        self.path: tuple[int, ...] = ()
-        self.kinds = [""]  # the tag of each container number
-        self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
+        # of each container number, 0 standing for the page: its tag, and the container around it, whose number is less
+        self.kinds, self.parents = [""], [0]
+        self.here = 0
+        self.lines: list[Line] = []
+        self.sums = [(0, 0)]  # characters, and those in links, of the first lines
         self.doubts: list[int] = []  # where the lines of each open doubtful block begin
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.link_chars, self.path, self.inside > 0))
+            self.lines.append(Line(text, self.tags, self.link_chars, self.here, self.inside > 0))
+            self.sums.append((self.sums[-1][0] + len(text), self.sums[-1][1] + self.link_chars))
             self.tags = self.link_chars = 0
         self.parts = []
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A section such as <![if x]> or <![CDATA[ is a comment up to the next >, as in browsers."""
+        end = self.rawdata.find(">", i)
+        return len(self.rawdata) if end < 0 else end + 1
+
     def unwanted(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in NEVER or tag == "header" and not self.inside:
             return True
@@ -105,50 +141,50 @@ class Lines(HTMLParser):
     def settle(self) -> None:
         """Ends a doubtful block: its lines go where most of their text is links."""
         at = self.doubts.pop()
-        if sum(line[2] for line in self.lines[at:]) > LINKED_SHARE * sum(len(line[0]) for line in self.lines[at:]):
-            del self.lines[at:]
+        (chars, links), (all_chars, all_links) = self.sums[at], self.sums[-1]
+        if all_links - links > LINKED_SHARE * (all_chars - chars):
+            del self.lines[at:], self.sums[at + 1 :]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self.flush()
-            if tag in ENDS_P and not self.left_out:
-                self.end("p", ("article", "section", "div", "td", "body", "li"))
+            if tag in ENDS_P and not self.left_out and self.edges and self.open[self.edges[-1]].tag == "p":
+                self.leave(self.edges[-1])
         self.tags += 1
         if tag in VOID:
             return
-        out = self.unwanted(tag, attrs)
-        number = 0
+        out, number = self.unwanted(tag, attrs), 0
         if tag in CONTAINERS:
-            self.number += 1
-            number = self.number
+            number = len(self.kinds)
             self.kinds.append(tag)
-            self.path += (number,)
+            self.parents.append(self.here)
+            self.here = number
         self.left_out += out
-        self.links += tag == "a"
         doubt = self.doubtful(tag, attrs)
         self.inside += tag in ("article", "main")
         if doubt:
             self.doubts.append(len(self.lines))
-        self.open.append((tag, number, out, doubt))
+        self.places[tag].append(len(self.open))
+        if tag in EDGES:
+            self.edges.append(len(self.open))
+        self.open.append(Element(tag, number, out, doubt))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
-    def end(self, tag: str, within: tuple[str, ...] = ()) -> None:
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                for name, number, out, doubt in reversed(self.open[at:]):
-                    if doubt:
-                        self.settle()
-                    self.left_out -= out
-                    self.links -= name == "a"
-                    self.inside -= name in ("article", "main")
-                    if number:
-                        self.path = self.path[:-1]
-                del self.open[at:]
-                return
-            if self.open[at][0] in within:
-                return
+    def leave(self, at: int) -> None:
+        """Closes the open element at ``at`` and all within it."""
+        while len(self.open) > at:
+            element = self.open.pop()
+            self.places[element.tag].pop()
+            if element.tag in EDGES:
+                self.edges.pop()
+            if element.doubt:
+                self.settle()
+            self.left_out -= element.out
+            self.inside -= element.tag in ("article", "main")
+            if element.container:
+                self.here = self.parents[element.container]
 
     def finish(self) -> None:
         """After the page's end: its last line, and the blocks that were never closed."""
@@ -160,12 +196,13 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.flush()
         self.tags += 1
-        self.end(tag)
+        if self.places[tag]:
+            self.leave(self.places[tag][-1])
 
     def handle_data(self, data: str) -> None:
         if not self.left_out:
             self.parts.append(data)
-            if self.links:
+            if self.places["a"]:
                 self.link_chars += len(data)
 
 
@@ -177,9 +214,9 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratios, kernel)[reach:-reach] / weight
 
 
-def menus(lines: list[tuple[str, int, int, tuple[int, ...], bool]]) -> np.ndarray:
+def menus(lines: list[Line]) -> np.ndarray:
     """Lines that are links in runs of three or more."""
-    link = np.array([n >= 0.9 * len(t) for t, _, n, _, _ in lines] + [False])
+    link = np.array([n.links >= 0.9 * len(n.text) for n in lines] + [False])
     found = np.zeros(len(lines), bool)
     start = None
     for k, is_link in enumerate(link):
@@ -191,60 +228,81 @@ def menus(lines: list[tuple[str, int, int, tuple[int, ...], bool]]) -> np.ndarra
     return found
 
 
-def main_region(lines: list[tuple[str, int, int, tuple[int, ...], bool]], kinds: list[str], plain: np.ndarray, upper: np.ndarray, menu: np.ndarray) -> int | None:
+def below(parents: list[int], own: np.ndarray, values: np.ndarray) -> list[float]:
+    """For each container the sum of the values of the lines in it, at any depth; ``own`` is each line's container."""
+    sums = np.bincount(own, values, len(parents)).tolist()
+    for c in range(len(parents) - 1, 0, -1):
+        sums[parents[c]] += sums[c]
+    return sums
+
+
+def main_region(parser: Lines, plain: np.ndarray, upper: np.ndarray, menu: np.ndarray) -> int:
     """The container of the main text: the outermost article, or else main, that holds the upper cluster, or else by the lines.
 
-    None stands for the whole page.
+    0 stands for the whole page.
     """
-    votes: dict[int, float] = {}
-    paths: dict[int, tuple[int, ...]] = {}
-    most = 0.0
-    for (_, _, _, path, inside), chars, up in zip(lines, plain, upper, strict=True):
-        if up:
-            weight = max(chars, 1) * (ARTICLE_WEIGHT if inside else 1)
-            most += weight
-            for level, container in enumerate(path):
-                votes[container] = votes.get(container, 0) + weight
-                paths[container] = path[: level + 1]
-    held = [c for c, v in votes.items() if v >= REGION_SHARE * most]
+    lines, kinds, parents = parser.lines, parser.kinds, parser.parents
+    own = np.array([n.container for n in lines])
+    inside = np.array([n.inside for n in lines])
+    weight = np.where(upper, np.maximum(plain, 1) * np.where(inside, ARTICLE_WEIGHT, 1), 0)
+    votes = below(parents, own, weight)
+    depth = [0] * len(parents)
+    for c in range(1, len(parents)):
+        depth[c] = depth[parents[c]] + 1
+    held = [c for c in range(1, len(parents)) if votes[c] >= REGION_SHARE * votes[0]]
     for kind in ("article", "main"):
         whole = [c for c in held if kinds[c] == kind]
         if whole:
-            return min(whole, key=lambda c: len(paths[c]))
-    region = max(held, key=lambda c: (len(paths[c]), votes[c]), default=None)
-    if region is None or any(inside and region in path for _, _, _, path, inside in lines):
+            return min(whole, key=depth.__getitem__)
+    region = max(held, key=lambda c: (depth[c], votes[c]), default=0)
+    if below(parents, own, inside)[region]:
         return region
-    for parent in reversed(paths[region][:-1]):
-        added = [k for k, (_, _, _, path, _) in enumerate(lines) if parent in path and region not in path and not menu[k]]
-        if sum(plain[k] for k in added if upper[k]) < ADDED_SHARE * sum(len(lines[k][0]) for k in added):
+    text = below(parents, own, np.where(menu, 0, [len(n.text) for n in lines]))
+    good = below(parents, own, np.where(menu | ~upper, 0, plain))
+    while region and parents[region]:
+        parent = parents[region]
+        if good[parent] - good[region] < ADDED_SHARE * (text[parent] - text[region]):
             break
         region = parent
     return region
 
 
+def whole_markup(html: str) -> str:
+    """``html`` without what its end cuts off (a comment or a tag), and without a document type's list in brackets."""
+    html = DOCTYPE.sub("", html, count=1)
+    comment = html.find("<!--", html.rfind("-->") + 1)
+    if comment >= 0:
+        html = html[:comment]
+    tag = CUT_TAG.search(html, html.rfind(">") + 1)
+    return html[: tag.start()] if tag else html
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page."""
-    lines = []
+    source = whole_markup(html or "")
     for hints in (True, False):  # names may mislead: without any line left they are not heeded
         parser = Lines(hints)
-        parser.feed(html or "")
+        parser.feed(source)
         parser.close()
         parser.finish()
-        lines = parser.lines
-        if lines:
+        if parser.lines:
             break
     else:
         return ""
-    plain = np.array([max(0, len(text) - links) for text, _, links, _, _ in lines], float)
-    ratios = smoothed(plain / np.maximum(1, [tags for _, tags, _, _, _ in lines]))
+    lines = parser.lines
+    plain = np.array([max(0, len(n.text) - n.links) for n in lines], float)
+    ratios = smoothed(plain / np.maximum(1, [n.tags for n in lines]))
     upper = (ratios >= SPREADS * ratios.std()) & (plain > 0)
     if not upper.any():
         upper = np.ones(len(lines), bool)
     menu = menus(lines)
-    region = main_region(lines, parser.kinds, plain, upper, menu)
-    if region is not None and parser.kinds[region] in ("article", "main"):
+    region = main_region(parser, plain, upper, menu)
+    if parser.kinds[region] in ("article", "main"):
         menu[:] = False  # an article's own lists of links
-    return " ".join(line[0] for line, out in zip(lines, menu, strict=True) if not out and (region is None or region in line[3]))
+    within = [region == 0]
+    for c in range(1, len(parser.parents)):
+        within.append(c == region or within[parser.parents[c]])
+    return " ".join(n.text for n, out in zip(lines, menu, strict=True) if not out and within[n.container])
 
 
 def extract_main_text(df: DataFrame, html: Column, *keys: str) -> DataFrame:

@@ -1,4 +1,6 @@
 import hashlib
+import math
+import time
 import zlib
 
 import numpy as np
@@ -148,7 +150,110 @@ def test_names_within_an_article_do_not_hide_its_text():
     assert html_text.main_text(cut) == text[0]
 
 
+def slow_main_text(page):
+    """Ratios, smoothing, threshold, votes and growth by plain loops over lines and their chains of containers."""
+    for hints in (True, False):
+        parser = html_text.Lines(hints)
+        parser.feed(page)
+        parser.close()
+        parser.finish()
+        if parser.lines:
+            break
+    else:
+        return ""
+    lines, kinds = parser.lines, parser.kinds
+    chains = []
+    for line in lines:
+        chain, c = [], line.container
+        while c:
+            chain.insert(0, c)
+            c = parser.parents[c]
+        chains.append(chain)
+    plain = [max(0, len(n.text) - n.links) for n in lines]
+    raw = [p / max(1, n.tags) for p, n in zip(plain, lines, strict=True)]
+    ratios = []
+    for k in range(len(raw)):
+        near = [(math.exp(-0.5 * (d / html_text.SIGMA) ** 2), raw[k + d]) for d in range(-3, 4) if 0 <= k + d < len(raw)]
+        ratios.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+    mean = sum(ratios) / len(ratios)
+    bound = html_text.SPREADS * math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
+    upper = [r >= bound and p > 0 for r, p in zip(ratios, plain, strict=True)]
+    if not any(upper):
+        upper = [True] * len(lines)
+    link = [n.links >= 0.9 * len(n.text) for n in lines]
+    menu = [any(all(0 <= j < len(lines) and link[j] for j in range(k - s, k - s + 3)) for s in range(3)) for k in range(len(lines))]
+    weight = [(max(p, 1) * (html_text.ARTICLE_WEIGHT if n.inside else 1)) * u for p, n, u in zip(plain, lines, upper, strict=True)]
+    votes = {c: sum(w for w, chain in zip(weight, chains, strict=True) if c in chain) for c in range(1, len(kinds))}
+    depth = {c: next((chain.index(c) for chain in chains if c in chain), 0) for c in votes}
+    held = [c for c in votes if votes[c] >= html_text.REGION_SHARE * sum(weight)]
+    region = next((min((c for c in held if kinds[c] == kind), key=depth.get) for kind in ("article", "main") if any(kinds[c] == kind for c in held)), None)
+    if region is None and held:
+        region = max(held, key=lambda c: (depth[c], votes[c]))
+        if not any(n.inside and region in chain for n, chain in zip(lines, chains, strict=True)):
+            while parser.parents[region]:
+                parent = parser.parents[region]
+                added = [k for k, chain in enumerate(chains) if parent in chain and region not in chain and not menu[k]]
+                if sum(plain[k] for k in added if upper[k]) < html_text.ADDED_SHARE * sum(len(lines[k].text) for k in added):
+                    break
+                region = parent
+    whole = region is not None and kinds[region] in ("article", "main")
+    return " ".join(n.text for n, chain, out in zip(lines, chains, menu, strict=True) if (whole or not out) and (region is None or region in chain))
+
+
+def random_page(rng):
+    out, open_tags = [], []
+    for _ in range(rng.integers(5, 120)):
+        kind = rng.integers(0, 10)
+        if kind < 3:
+            tag = str(rng.choice(["div", "section", "p", "article", "main", "ul", "li", "table", "td", "blockquote", "nav", "aside", "h2", "b", "span"], p=[0.2, 0.1, 0.15, 0.03, 0.02, 0.05, 0.1, 0.05, 0.05, 0.05, 0.03, 0.02, 0.05, 0.05, 0.05]))
+            out.append(f"<{tag}{rng.choice(['', ' class=share', ' id=story', ' class=related-posts'], p=[0.85, 0.05, 0.05, 0.05])}>")
+            open_tags.append(tag)
+        elif kind < 5 and open_tags:
+            out.append(f"</{open_tags.pop(int(rng.integers(0, len(open_tags)))) if rng.random() < 0.1 else open_tags.pop()}>")
+        elif kind < 7:
+            out.append(" ".join(["word"] * int(rng.integers(1, 40))))
+        else:
+            out.append(f"<p><a href=x>{' '.join(['link'] * int(rng.integers(1, 5)))}</a></p>" if rng.random() < 0.5 else f"<p>{' '.join(['text'] * int(rng.integers(1, 60)))}</p>")
+    return "".join(out)
+
+
+def test_random_pages_equal_plain_loops():
+    rng = np.random.default_rng(11)
+    pages = [random_page(rng) for _ in range(600)]
+    assert sum(bool(html_text.main_text(p)) for p in pages) > 500
+    for page in [*pages, PAGE]:
+        assert html_text.main_text(page) == slow_main_text(html_text.whole_markup(page))
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    ("<p>a</p><![foo[bar]]><p>b</p>", "a b"), ("<![endif]--><p>b</p>", "b"), ("<p>a</p><![if !IE]><p>b</p><![endif]>", "a b"), ("<p>a</p><![CDATA[x", "a"), ("<p>a<![", "a"),
+    ("<p>a</p><!-- x", "a"), ("<p>a</p><!-- x --><p>b</p><!-- <p>c</p>", "a b"), ("<p>a</p><b", "a"), ("<p>a < b", "a < b"), ("<p>1 &lt; 2</p></", "1 < 2"),
+    ('<!DOCTYPE html [<!ENTITY x "y">]><p>a</p>', "a"), ("<!DOCTYPE html><p>a</p>", "a"), ("<p>a</p><?php x", "a"),
+])
+def test_broken_markup(html, text):
+    assert html_text.main_text(html) == text
+
+
+@pytest.mark.parametrize("part", ["<div>", "<div><p>", "<b>", "<div class=share>", "<article>", "<p><li><b><h2>", "<ul><li>x", "</i>", "<", "<!", "<![x[", "&", "<a href='", "x<br>", "<a>"])
+def test_long_pages_of_one_part(part):
+    page = "<article><p>Some text.</p>" + "<b>" * 20_000 + part * (1_000_000 // len(part))
+    start = time.process_time()
+    got = html_text.main_text(page)
+    assert got.startswith("Some text.") and time.process_time() - start < 12
+
+
+def test_a_megabyte_of_open_elements_is_quick():
+    for part in ("<div>", "<div><p>"):
+        start = time.process_time()
+        assert html_text.main_text("<p>a</p>" + part * (1_000_000 // len(part)) + "b") == "a b"
+        assert time.process_time() - start < 8
+
+
 def test_pages_operator(spark):
-    rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, None)]
-    got = html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string"), F.col("html"), "page_id", "url").collect()
-    assert [(r.page_id, r.n_chars) for r in got] == [(1, len(got[0].text)), (1, len(got[0].text)), (2, 0)] and got[2].text == ""
+    schema = "page_id long, url string, html string, text string, keys string, n_chars long"
+    rows = [(1, "u", PAGE, "x", "k", 5), (1, "u", PAGE, "x", "k", 5), (2, None, None, None, None, None), (None, "v", "", "y", "", 1)]
+    df = spark.createDataFrame(rows, schema)
+    got = html_text.extract_main_text(df, F.col("html"), "page_id", "url").collect()
+    assert [(r.page_id, r.url, r.n_chars) for r in got] == [(1, "u", len(got[0].text)), (1, "u", len(got[0].text)), (2, None, 0), (None, "v", 0)] and got[2].text == got[3].text == ""
+    assert html_text.extract_main_text(df, F.col("html"), "page_id", "keys").columns == ["page_id", "keys", "text", "n_chars"]
+    assert html_text.extract_main_text(df.limit(0), F.col("html"), "page_id").count() == 0
