@@ -12,10 +12,10 @@ def contracted(edges: DataFrame) -> DataFrame:
     """One round on edges (u, v, v the smaller): other edges (u, v, moved) that connect the same nodes.
 
     Every node points to its least smaller neighbour, its other neighbours hook on to that one, and it moves on to what
-    that one points to. Three shuffles; a hub with many neighbours is one row of a partial aggregate and a skewed key of
-    a join, which adaptive execution splits. ``moved`` is false only where a node has one edge and that one none.
+    that one points to. A hub with many neighbours is one row of a partial aggregate and a skewed key of a join of
+    checkpoints, which adaptive execution can split. ``moved`` is false only where a node has one edge and that one none.
     """
-    points = nearest(edges)
+    points = checkpointed(nearest(edges))
     hooks = edges.join(points, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"), F.lit(True).alias("moved"))
     further = points.select(F.col("u").alias("m"), F.col("m").alias("next"))
     jumps = points.join(further, "m", "left").select("u", F.coalesce("next", "m").alias("v"), F.col("next").isNotNull().alias("moved"))

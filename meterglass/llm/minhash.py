@@ -124,9 +124,10 @@ def near_duplicates(df: DataFrame, doc_id: Column, text: Column, words: int = WO
     bands = classes.select("rep", "n_shingles", F.explode("keys").alias("key"))
 
     # most keys are of one document: they are only counted, and pivots sought among the rest
-    shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    # (what is aggregated by key becomes a checkpoint before it is joined, or adaptive execution could not split hot keys)
+    shared = checkpointed(bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     mates = checkpointed(bands.join(shared, "key"))
-    pivots = mates.groupBy("key").agg(F.sum("n_shingles").alias("shingles"), F.min("rep").alias("p0"), F.max("rep").alias("p1"))
+    pivots = checkpointed(mates.groupBy("key").agg(F.sum("n_shingles").alias("shingles"), F.min("rep").alias("p0"), F.max("rep").alias("p1")))
     members = mates.join(pivots, "key")
     alike = checkpointed(mates.select("rep").distinct())
     sets = checkpointed(document_sets(matched(texts.withColumnRenamed("doc_id", "rep"), "rep", alike, "left_semi"), words).distinct())
@@ -139,7 +140,7 @@ def near_duplicates(df: DataFrame, doc_id: Column, text: Column, words: int = WO
     first = nearest(closer).select(F.col("u").alias("rep"), F.col("m").alias("component"))
     large = members.where(F.col("size") > 3).select("key", "rep", "size", "shingles").join(first, "rep", "left")
     placed = checkpointed(large.withColumn("comp", F.coalesce("component", "rep")).drop("component"))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    open_keys = checkpointed(placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key"))
     left = placed.join(open_keys, "key", "left_semi")
     blocks = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("size") / BLOCK_DOCUMENTS))
     owned = left.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
