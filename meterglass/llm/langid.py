@@ -2,7 +2,8 @@
 
 Two gated recurrent layers read the UTF-8 bytes of a window in both directions; a softmax over both states labels
 every byte with language probabilities, and a document's probabilities are the mean over all its bytes. The network
-is trained in numpy by backpropagation through time on windows from a bounded sample of labelled documents. A text is
+is trained in numpy by backpropagation through time on windows of the whole texts of a bounded sample of labelled
+documents, which tasks cut. A text is
 cut in windows without gaps, so all of it counts however long it is, and windows of many texts step together.
 
 A text that is null, empty or without a letter is `UND` with score 0. Without any labelled row every text is `UND`.
@@ -17,19 +18,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterglass.llm.common import filter_batches, held_out, least_hashed, map_batches, table, text_chunks
+from meterglass.llm.common import checkpointed, filter_batches, held_out, map_batches, table, text_chunks
+from meterglass.llm.shingles import mix
 
 UND = "und"
 #: Labelled documents that the network is fitted on, at most; those with the least hash of their ids.
 TRAIN_ROWS = 1500
-#: Training windows per document, at most, and their bytes.
-TRAIN_WINDOWS, TRAIN_BYTES = 12, 64
+#: Windows of these documents that reach the driver, at most, and their bytes. They may lie anywhere in a text.
+TRAIN_WINDOWS, TRAIN_BYTES = 60_000, 64
+#: Languages that are learned, at most: those of most documents.
+MOST_LANGUAGES = 200
 UNITS = 12
 STEPS, BATCH, RATE = 220, 256, 0.02
 #: Bytes of a window, and windows that step together.
 WINDOW, TOGETHER = 128, 2048
-#: `keep_known` lets a document go whose score is lower.
-LEAST_SCORE = 0.3
+#: `keep_known` lets a document go whose score is not this share of the way from an even guess to certainty.
+LEAST_SHARE = 1 / 15
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -123,14 +127,21 @@ class Network:
     def weights(self) -> list[np.ndarray]:
         return [self.ways[0].into, self.ways[0].across, self.ways[1].into, self.ways[1].across, self.out, self.bias]
 
-    def fit(self, windows: np.ndarray, wanted: np.ndarray, steps: int = STEPS, seed: int = 11) -> float:
-        """Trains on windows[row, time] by Adam with clipped gradients; the last loss."""
+    def fit(self, windows: np.ndarray, wanted: np.ndarray, owners: np.ndarray | None = None, steps: int = STEPS, seed: int = 11) -> float:
+        """Trains on windows[row, time] by Adam with clipped gradients; the last loss.
+
+        A step draws documents, each as likely as any other, and of each one of its windows; ``owners`` is the document
+        of each window, in rising order (by default every window is one of its own).
+        """
         rng = np.random.default_rng(seed)
+        first = np.arange(len(windows)) if owners is None else np.flatnonzero(np.diff(owners, prepend=owners[0] - 1))
+        count = np.diff(first, append=len(windows))
         weights = self.weights()
         mean, square = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
         loss = 0.0
         for n in range(1, steps + 1):
-            pick = rng.integers(0, len(windows), BATCH)
+            drawn = rng.integers(0, len(first), BATCH)
+            pick = first[drawn] + rng.integers(0, count[drawn])
             loss, slopes = self.step(np.ascontiguousarray(windows[pick].T), wanted[pick])
             size = np.sqrt(sum(float((g * g).sum()) for g in slopes))
             rate = RATE * min(1.0, 2 - 2 * n / (steps + 1))
@@ -161,23 +172,64 @@ class Network:
         return total / np.maximum(sizes, 1)[:, None]
 
 
+def training_documents(df: DataFrame, doc_id: Column, text: Column, lang: Column, rows: int = TRAIN_ROWS) -> DataFrame | None:
+    """(doc_id, text, lang) of at most ``rows`` labelled documents that are not held out; None if there is none.
+
+    Every language has an equal part of the rows, those with the least hash of their ids, so that rare ones are learned
+    too. Rows whose id is null are left out; of several languages or texts of an id the least counts.
+    """
+    sample = df.select(doc_id.alias("doc_id"), F.coalesce(text.cast("string"), F.lit("")).alias("text"), lang.cast("string").alias("lang"))
+    known = sample.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    if not counts:
+        return None
+    each, spread = max(1, rows // len(counts)), 1 << 40
+    # a threshold that about four times as many rows pass bounds what tasks send
+    most = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], -(-spread * 4 * each // r["n"]))])
+    near = known.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(spread))).where(F.col("h") < most[F.col("lang")])
+    chosen: dict[str, list] = {}
+    for r in near.orderBy("h", "doc_id").limit(8 * rows).collect():
+        chosen.setdefault(r["lang"], []).append((r["doc_id"], r["lang"]))
+    picked = df.sparkSession.createDataFrame([x for found in chosen.values() for x in found[:each]], known.schema)
+    return checkpointed(sample.drop("lang").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "lang").agg(F.min("text").alias("text")))
+
+
+def training_windows(documents: DataFrame, windows: int = TRAIN_WINDOWS) -> DataFrame:
+    """(key, at, lang, bytes) of the windows of whole texts: all of them, or the ``windows`` with the least hash."""
+
+    def make():
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            owner, at, parts, hashes = [], [], [], []
+            for k, (key, text) in enumerate(zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True)):
+                raw = text.encode("utf-8", "surrogatepass")
+                n = -(-len(raw) // TRAIN_BYTES)
+                padded = raw.ljust(n * TRAIN_BYTES)
+                owner += [k] * n
+                at += range(n)
+                parts += [padded[i * TRAIN_BYTES : (i + 1) * TRAIN_BYTES] for i in range(n)]
+                hashes.append((mix(np.arange(n, dtype=np.uint64) + mix(np.array([key]).view(np.uint64))) >> np.uint64(24)).astype(np.int64))
+            taken = batch.select(["key", "lang"]).take(pa.array(owner, pa.int64()))
+            return pa.RecordBatch.from_arrays([*taken.columns, pa.array(at, pa.int64()), pa.array(parts, pa.binary()), pa.array(np.concatenate(hashes))], ["key", "lang", "at", "bytes", "h"])
+
+        return apply
+
+    total = documents.agg(F.sum(F.ceil(F.octet_length("text") / TRAIN_BYTES))).first()[0] or 0
+    cut = map_batches(documents.select(F.xxhash64("doc_id").alias("key"), "lang", "text"), make, "key long, lang string, at long, bytes binary, h long")
+    if total > windows:
+        cut = cut.where(F.col("h") < -(-(1 << 40) * 2 * windows // total)).orderBy("h", "key", "at").limit(windows)
+    return cut.drop("h")
+
+
 def train(df: DataFrame, doc_id: Column, text: Column, lang: Column, rows: int = TRAIN_ROWS) -> Network | None:
-    """A network fitted on at most ``rows`` labelled documents that are not held out; None if there is none."""
-    sample = df.select(doc_id.alias("doc_id"), text.cast("string").alias("text"), lang.cast("string").alias("lang"))
-    sample = sample.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    known = sorted(least_hashed(sample, "doc_id", rows).select(F.coalesce("text", F.lit("")).alias("text"), "lang").collect())
+    """A network fitted on windows of at most ``rows`` labelled documents that are not held out; None if there is none."""
+    documents = training_documents(df, doc_id, text, lang, rows)
+    known = sorted(training_windows(documents).collect(), key=lambda r: (r["key"], r["at"])) if documents is not None else []
     if not known:
         return None
-    languages = sorted({r.lang for r in known})
-    rng = np.random.default_rng(3)
-    windows, wanted = [], []
-    for r in known:
-        raw = r.text.encode("utf-8")
-        for at in rng.permutation(max(1, len(raw) // TRAIN_BYTES))[:TRAIN_WINDOWS]:
-            windows.append(np.frombuffer(raw[at * TRAIN_BYTES : (at + 1) * TRAIN_BYTES].ljust(TRAIN_BYTES), np.uint8))
-            wanted.append(languages.index(r.lang))
+    languages = sorted({r["lang"] for r in known})
     network = Network(languages)
-    network.fit(np.array(windows), np.array(wanted))
+    owners = np.unique([r["key"] for r in known], return_inverse=True)[1]
+    network.fit(np.frombuffer(b"".join(r["bytes"] for r in known), np.uint8).reshape(-1, TRAIN_BYTES), np.array([languages.index(r["lang"]) for r in known]), owners)
     return network
 
 
@@ -208,11 +260,18 @@ def identify(df: DataFrame, text: Column, network: Network | None, *keys: str) -
     return map_batches(source, make, f"keys {source.schema['keys'].dataType.simpleString()}, lang_pred string, score double").select("keys.*", "lang_pred", "score")
 
 
-def keep_known(df: DataFrame, text: Column, network: Network | None, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``df`` whose text has a language with at least the score ``least``.
+def least_score(network: Network, share: float = LEAST_SHARE) -> float:
+    """The score that `keep_known` asks for, by the number of languages that the network tells apart."""
+    even = 1 / len(network.languages)
+    return even + share * (1 - even) if len(network.languages) > 1 else 0.0
+
+
+def keep_known(df: DataFrame, text: Column, network: Network | None, share: float = LEAST_SHARE) -> DataFrame:
+    """The rows of ``df`` whose text has a letter and a language with at least `least_score`.
 
     Without a network nothing is known of languages, and all texts with a letter stay.
     """
+    least = least_score(network, share) if network else 0.0
 
     def make():
         def judge(batch: pa.RecordBatch) -> list[bool]:

@@ -6,20 +6,20 @@ or signs inside words, stretched letters) with the lexicon's hits once that is u
 binned features; the calibration is fitted on labelled rows that the trees have not seen.
 
 Null and empty texts have all-zero features and a score like any other. Without labels of both kinds every score is 0.
-Equal texts have equal scores; repeated rows give repeated rows, and null ids stay null.
+Equal texts have equal scores; repeated rows give repeated rows, and null ids stay null. Repeated or conflicting labels and
+texts of an id are settled by rule (`labelled_sample`), so the model does not depend on how rows are dealt.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterglass.llm.common import held_out, map_batches, table
+from meterglass.llm.common import checkpointed, held_out, map_batches, table
 from meterglass.llm.labelled import labelled_sample
 
 #: Labelled documents that everything here is fitted on, at most; every fourth only calibrates.
@@ -51,37 +51,45 @@ def plain(word: str) -> str:
     return word.strip(_EDGE).lower()
 
 
-def entries_of(word: str) -> set[str]:
-    """What the lexicon may hold of a word: itself, and its beginnings (marked by a final hyphen)."""
-    core = plain(word)
+def entries_of(core: str) -> set[str]:
+    """What the lexicon may hold of a plain word: itself, and its beginnings (marked by a final hyphen)."""
     return {core, *(core[:k] + "-" for k in BEGINNINGS if len(core) > k)} if len(core) > 3 else set()
 
 
-def learned_lexicon(texts: list[str], toxic: np.ndarray) -> frozenset[str]:
-    """Entries by how much likelier a toxic text holds them than a clean one."""
-    bad, good = Counter(), Counter()
-    for text, y in zip(texts, toxic, strict=True):
-        (bad if y else good).update(set().union(*map(entries_of, set(text.split()))) if text.strip() else ())
-    n, m = max(1, int(toxic.sum())), max(1, int((toxic == 0).sum()))
-    ratio = {e: (c / n) / ((good[e] + 0.5) / m) for e, c in bad.items() if c >= max(SEEN, SEEN_SHARE * n)}
+def learned_lexicon(sample: DataFrame) -> frozenset[str]:
+    """Entries by how much likelier a toxic text of ``sample`` (text, label) holds them than a clean one.
+
+    All counts are made by Spark; only entries that pass come to the driver, `ENTRIES` at most.
+    """
+
+    def make():
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            entries, words, pairs = [], [], []
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                cores = list(map(plain, text.split()))
+                entries.append(sorted(set().union(*map(entries_of, set(cores)))))
+                words.append(sorted(set(cores)) if toxic else [])
+                pairs.append([{"word": w, "follower": f} for w, f in sorted(set(zip(cores, [*cores[1:], ""])))] if toxic else [])
+            kinds = [pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.struct([("word", pa.string()), ("follower", pa.string())]))]
+            return pa.RecordBatch.from_arrays([batch.column("label"), *[pa.array(x, k) for x, k in zip((entries, words, pairs), kinds, strict=True)]], ["label", "entries", "words", "pairs"])
+
+        return apply
+
+    split = checkpointed(map_batches(sample.select("text", "label"), make, "label int, entries array<string>, words array<string>, pairs array<struct<word: string, follower: string>>"))
+    totals = split.agg(F.sum("label").alias("toxic"), F.count("*").alias("all")).first()
+    n = max(1, totals["toxic"] or 0)
+    m = max(1, totals["all"] - n)
+    seen = split.select("label", F.explode("entries").alias("entry")).groupBy("entry").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
+    seen = seen.withColumn("ratio", F.col("bad") / n / ((F.col("good") + 0.5) / m)).where((F.col("bad") >= max(SEEN, SEEN_SHARE * n)) & (F.col("ratio") >= LIKELIER))
     # a beginning counts for itself only where many words share it and none of them has half of its texts
-    words = Counter(w for text, y in zip(texts, toxic, strict=True) if y for w in {plain(w) for w in text.split()})
-    kinds, most = Counter(), Counter()
-    for word, c in words.items():
-        for k in BEGINNINGS:
-            if len(word) > k:
-                kinds[word[:k] + "-"] += 1
-                most[word[:k] + "-"] = max(most[word[:k] + "-"], c)
+    words = split.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("c"))
+    starts = F.array_compact(F.array(*[F.when(F.length("word") > k, F.concat(F.left("word", F.lit(k)), F.lit("-"))) for k in BEGINNINGS]))
+    shared = words.select(F.explode(starts).alias("entry"), "c").groupBy("entry").agg(F.count("*").alias("kinds"), F.max("c").alias("most"))
     # and a word only where different ones follow it, in half of its texts or `FOLLOWERS`, unlike in copies of one text
-    after: dict[str, set[str]] = {}
-    for text, y in zip(texts, toxic, strict=True):
-        if y:
-            cores = list(map(plain, text.split()))
-            for word, follower in zip(cores, [*cores[1:], ""], strict=True):
-                after.setdefault(word, set()).add(follower)
-    own = lambda e: len(after[e]) >= min(FOLLOWERS, bad[e] / 2) if e[-1] != "-" else kinds[e] >= VARIETY and 2 * most[e] < bad[e]
-    best = sorted((-r, e) for e, r in ratio.items() if r >= LIKELIER and own(e))
-    return frozenset(e for _, e in best[:ENTRIES])
+    after = split.select(F.inline("pairs")).groupBy(F.col("word").alias("entry")).agg(F.countDistinct("follower").alias("followers"))
+    both = seen.join(shared, "entry", "left").join(after, "entry", "left")
+    own = F.when(F.col("entry").endswith("-"), (F.col("kinds") >= VARIETY) & (2 * F.col("most") < F.col("bad"))).otherwise(F.col("followers") >= F.least(F.lit(FOLLOWERS), F.col("bad") / 2))
+    return frozenset(r["entry"] for r in both.where(own).orderBy(F.desc("ratio"), "entry").limit(ENTRIES).collect())
 
 
 class _Marks(dict):
@@ -196,31 +204,47 @@ def isotonic(raw: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Toxicity:
-    def __init__(self, texts: list[str], toxic: np.ndarray) -> None:
-        fitted = np.arange(len(texts)) % 4 != 3
-        if len(set(toxic[fitted].tolist())) < 2 or len(set(toxic[~fitted].tolist())) < 2:
-            fitted[:] = True
-        self.lexicon = learned_lexicon([t for t, k in zip(texts, fitted, strict=True) if k], toxic[fitted])
-        rows = self.rows(texts)
+    """The trees over ``rows`` (features) of the texts that are ``fitted``, calibrated on the others."""
+
+    def __init__(self, lexicon: frozenset[str], rows: np.ndarray, toxic: np.ndarray, fitted: np.ndarray) -> None:
+        self.lexicon = lexicon
         self.trees = Trees(rows[fitted], toxic[fitted])
         other = ~fitted if (~fitted).any() else fitted
         self.steps = isotonic(self.trees.raw(rows[other]), toxic[other].astype(float))
 
-    def rows(self, texts: list[str], marks: _Marks | None = None) -> np.ndarray:
-        known = marks if marks is not None else _Marks(self.lexicon)
-        return np.array([features(t, known) for t in texts])
-
     def scores(self, rows: np.ndarray) -> np.ndarray:
         return np.interp(self.trees.raw(rows), *self.steps)
 
+    def text_scores(self, texts: list[str], marks: _Marks) -> np.ndarray:
+        return self.scores(np.array([features(t, marks) for t in texts]))
+
+
+def fit(sample: DataFrame) -> Toxicity | None:
+    """A model of ``sample`` (doc_id, text, label), of which every fourth row by hash only calibrates; None without both kinds."""
+    split = sample.withColumn("fitted", F.pmod(F.xxhash64("doc_id", F.lit("fitted")), F.lit(4)) < 3)
+    kinds = {(r.fitted, r.label) for r in split.select("fitted", "label").distinct().collect()}
+    if len({y for _, y in kinds}) < 2:
+        return None
+    if len(kinds) < 4:
+        split = split.withColumn("fitted", F.lit(True))
+    lexicon = learned_lexicon(split.where("fitted"))
+
+    def make():
+        marks = _Marks(lexicon)
+
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [features(t, marks) for t in batch.column("text").to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(n) for n in ("doc_id", "label", "fitted")] + [pa.array(found, pa.list_(pa.float64()))], ["doc_id", "label", "fitted", "x"])
+
+        return apply
+
+    known = sorted(map_batches(split, make, "doc_id long, label int, fitted boolean, x array<double>").collect())
+    return Toxicity(lexicon, np.array([r.x for r in known]), np.array([r.label for r in known]), np.array([r.fitted for r in known]))
+
 
 def train(docs: DataFrame, doc_id: Column, text: Column, labels: DataFrame, label_id: Column, label: Column, rows: int = TRAIN_ROWS) -> Toxicity | None:
     """A model fitted on a bounded sample of labels; None without both kinds."""
-    sample = labelled_sample(docs, doc_id, text, labels, label_id, label, rows)
-    toxic = np.array([y for _, y in sample])
-    if not len(toxic) or toxic.min() == toxic.max():
-        return None
-    return Toxicity([t for t, _ in sample], toxic)
+    return fit(labelled_sample(docs, doc_id, text, labels, label_id, label, rows))
 
 
 def score_toxicity(df: DataFrame, text: Column, model: Toxicity | None, *keys: str) -> DataFrame:
@@ -232,7 +256,7 @@ def score_toxicity(df: DataFrame, text: Column, model: Toxicity | None, *keys: s
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            scores = model.scores(model.rows(texts, marks)) if model else np.zeros(len(texts))
+            scores = model.text_scores(texts, marks) if model else np.zeros(len(texts))
             return pa.RecordBatch.from_arrays([batch.column("keys"), pa.array(scores, pa.float64())], ["keys", "score"])
 
         return apply

@@ -58,7 +58,7 @@ def test_stages_keep_what_their_operators_keep(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     network = langid.train(docs, F.col("doc_id"), F.col("text"), F.col("lang"))
     kept = {r.doc_id for r in langid.keep_known(docs, F.col("text"), network).collect()}
-    assert kept == {r.doc_id for r in langid.identify(docs, F.col("text"), network, "doc_id").where(f"lang_pred <> 'und' AND score >= {langid.LEAST_SCORE}").collect()}
+    assert kept == {r.doc_id for r in langid.identify(docs, F.col("text"), network, "doc_id").where(f"lang_pred <> 'und' AND score >= {langid.least_score(network)}").collect()}
     ranking = quality.train(docs, F.col("doc_id"), F.col("text"), spark.read.parquet(f"{sf}/labels.parquet"), F.col("doc_id"), F.col("quality"))
     good = {r.doc_id for r in quality.keep_good(docs, F.col("text"), ranking).collect()}
     assert good == {r.doc_id for r in quality.score_quality(docs, F.col("text"), ranking, "doc_id").where("predicted = 1").collect()}
