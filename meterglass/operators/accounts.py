@@ -35,10 +35,22 @@ def account_roots(declared: DataFrame, prefix: str, reserved: list[str]) -> Data
 def tag_accounts(files: DataFrame, path: Column, roots: DataFrame, default: str) -> DataFrame:
     """``files`` with the account of the first enabled root that contains the path, else ``default``.
 
-    Roots are few (`MOST_ROOTS`) and become one literal expression: no join, no shuffle.
+    Roots are few (`MOST_ROOTS`). Those of one depth are looked up together by the path's beginning of that depth, in
+    one broadcast hash join for each depth that occurs: no shuffle, and no comparison of every path with every root.
     """
     rows = roots.where("enabled").orderBy("root_rank").limit(MOST_ROOTS + 1).collect()
     if len(rows) > MOST_ROOTS:
         raise ValueError(f"more than {MOST_ROOTS} account roots")
-    hits = [F.when(path.startswith(r["path"].rstrip("/") + "/"), F.lit(r["label"])) for r in rows]
-    return files.withColumn("account", F.coalesce(*hits, F.lit(default)))
+    by_depth: dict[int, dict[str, tuple[int, str]]] = {}
+    for r in rows:
+        folder = r["path"].rstrip("/")
+        by_depth.setdefault(folder.count("/") + 1, {}).setdefault(folder, (r["root_rank"], r["label"]))
+    out, hits = files.withColumn("_path", path), []
+    for depth, held in sorted(by_depth.items()):
+        hits.append(f"_hit{depth}")
+        table = files.sparkSession.createDataFrame([(folder + "/", hit) for folder, hit in held.items()], f"_folder{depth} string, {hits[-1]} struct<rank: int, label: string>")
+        begins = F.concat(F.substring_index("_path", "/", depth), F.lit("/"))
+        inside = F.col("_path").startswith(F.col(f"_folder{depth}"))
+        out = out.join(F.broadcast(table), (begins == F.col(f"_folder{depth}")) & inside, "left").drop(f"_folder{depth}")
+    first = F.array_min(F.array_compact(F.array(*hits)))["label"] if hits else F.lit(None)
+    return out.withColumn("account", F.coalesce(first, F.lit(default))).drop("_path", *hits)

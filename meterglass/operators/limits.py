@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterglass.functions.text import human_duration, limit_label
@@ -37,25 +40,35 @@ def part(value: Column, path: str) -> Column:
 
 
 def limits_from_list(responses: DataFrame) -> DataFrame:
-    """Buckets of responses (account, captured_at, body variant) of the first shape.
+    """Buckets of responses (account, captured_at, body variant, and columns that identify one) of the first shape.
 
     Its ``limits`` list gives rows named by kind; a kind that came before gets its index as suffix. A response without
-    any such row gives those of its members that have a utilization.
+    any such row gives those of its members that have a utilization. All of it stays within the row of the response,
+    so nothing is shuffled and two responses of one account and time are never mixed.
     """
-    item = F.col("item")
-    listed = responses.where(F.schema_of_variant(part(F.col("body"), "$.limits")).startswith("ARRAY")).select("account", "captured_at", F.posexplode(F.try_variant_get("body", "$.limits", "array<variant>")).alias("at", "item"))
-    kind = F.coalesce(F.nullif(F.try_variant_get(item, "$.kind", "string"), F.lit("")), F.concat(F.lit("limit_"), F.col("at")))
-    model = F.coalesce(F.nullif(text(part(item, "$.scope.model.display_name")), F.lit("")), F.nullif(text(part(item, "$.scope.model.id")), F.lit("")), F.nullif(text(part(item, "$.scope.surface")), F.lit("")), F.lit("SCOPED"))
-    label = F.when(kind == "session", "5-HOUR").when(kind == "weekly_all", "WEEKLY").when(kind == "weekly_scoped", F.upper(F.concat(model, F.lit(" WEEKLY")))).otherwise(F.upper(F.replace(kind, F.lit("_"), F.lit(" "))))
-    rows = listed.where(is_object(item)).select("account", "captured_at", "at", kind.alias("kind"), label.alias("label"), number(part(item, "$.percent")).alias("used_percentage"), epoch(part(item, "$.resets_at")).alias("resets_at"))
-    rows = rows.where("used_percentage IS NOT NULL AND resets_at IS NOT NULL")
-    before = F.row_number().over(Window.partitionBy("account", "captured_at", "kind").orderBy("at"))
-    rows = rows.withColumn("nth", before).select("account", "captured_at", F.when(F.col("nth") == 1, F.col("kind")).otherwise(F.concat_ws("_", "kind", "at")).alias("key"), "label", "used_percentage", "resets_at")
-    other = responses.join(rows.select("account", "captured_at").distinct(), ["account", "captured_at"], "left_anti").where(is_object(F.col("body")))
-    members = other.select("account", "captured_at", F.explode(F.try_variant_get("body", "$", "map<string,variant>")).alias("key", "item")).where(is_object(item))
-    members = members.select("account", "captured_at", "key", F.lit(None).cast("string").alias("label"), number(part(item, "$.utilization")).alias("used_percentage"), epoch(part(item, "$.resets_at")).alias("resets_at"))
-    both = rows.unionByName(members.where("used_percentage IS NOT NULL AND resets_at IS NOT NULL"))
-    return both.withColumn("window_minutes", F.lit(None).cast("double"))
+    items = F.when(F.schema_of_variant(part(F.col("body"), "$.limits")).startswith("ARRAY"), F.try_variant_get("body", "$.limits", "array<variant>"))
+
+    def bucket(item: Column, at: Column) -> Column:
+        kind = F.coalesce(F.nullif(F.when(is_object(item), F.try_variant_get(item, "$.kind", "string")), F.lit("")), F.concat(F.lit("limit_"), at))
+        model = F.coalesce(*[F.nullif(text(part(item, f"$.scope.{p}")), F.lit("")) for p in ("model.display_name", "model.id", "surface")], F.lit("SCOPED"))
+        label = F.when(kind == "session", "5-HOUR").when(kind == "weekly_all", "WEEKLY").when(kind == "weekly_scoped", F.upper(F.concat(model, F.lit(" WEEKLY")))).otherwise(F.upper(F.replace(kind, F.lit("_"), F.lit(" "))))
+        fit = is_object(item)
+        return F.struct(kind.alias("kind"), at.cast("string").alias("at"), label.alias("label"), F.when(fit, number(part(item, "$.percent"))).alias("used_percentage"), F.when(fit, epoch(part(item, "$.resets_at"))).alias("resets_at"))
+
+    complete = lambda b: b["used_percentage"].isNotNull() & b["resets_at"].isNotNull()
+    listed = responses.withColumn("_listed", F.filter(F.transform(items, bucket), complete))
+    taken = lambda b, k: F.exists(F.slice("_listed", F.lit(1), k), lambda x: x["kind"] == b["kind"])
+    named = F.transform("_listed", lambda b, k: F.struct(F.when(taken(b, k), F.concat_ws("_", b["kind"], b["at"])).otherwise(b["kind"]).alias("key"), b["label"].alias("label"), b["used_percentage"].alias("used_percentage"), b["resets_at"].alias("resets_at")))
+    entries = F.map_entries(F.when(is_object(F.col("body")), F.try_variant_get("body", "$", "map<string,variant>")))
+    member = lambda e: F.struct(e["key"].alias("key"), F.lit(None).cast("string").alias("label"), F.when(is_object(e["value"]), number(part(e["value"], "$.utilization"))).alias("used_percentage"), F.when(is_object(e["value"]), epoch(part(e["value"], "$.resets_at"))).alias("resets_at"))
+    members = F.filter(F.transform(entries, member), complete)
+    rows = listed.withColumn("_rows", F.when(F.size("_listed") > 0, named).otherwise(members))
+    return rows.select(*identity(responses), F.inline("_rows")).withColumn("window_minutes", F.lit(None).cast("double"))
+
+
+def identity(responses: DataFrame) -> list[str]:
+    """The columns of a response besides its body."""
+    return [c for c in responses.columns if c != "body"]
 
 
 def limits_from_map(responses: DataFrame) -> DataFrame:
@@ -63,15 +76,44 @@ def limits_from_map(responses: DataFrame) -> DataFrame:
     by_id = part(F.col("body"), "$.rateLimitsByLimitId")
     many = F.when(is_object(by_id), F.try_variant_get("body", "$.rateLimitsByLimitId", "map<string,variant>"))
     one = F.when(is_object(part(F.col("body"), "$.rateLimits")), F.create_map(F.lit("codex"), part(F.col("body"), "$.rateLimits")))
-    limits = responses.select("account", "captured_at", F.explode(F.when(F.size(many) > 0, many).otherwise(one)).alias("id", "limit")).where(is_object(F.col("limit")))
+    limits = responses.select(*identity(responses), F.explode(F.when(F.size(many) > 0, many).otherwise(one)).alias("id", "limit")).where(is_object(F.col("limit")))
     slots = F.array(*[F.struct(F.lit(s).alias("slot"), part(F.col("limit"), f"$.{s}").alias("w")) for s in ("primary", "secondary", "individualLimit")])
-    windows = limits.select("account", "captured_at", "id", text(part(F.col("limit"), "$.limitName")).alias("name"), F.inline(slots)).where(is_object(F.col("w")))
+    windows = limits.select(*identity(responses), "id", text(part(F.col("limit"), "$.limitName")).alias("name"), F.inline(slots)).where(is_object(F.col("w")))
     minutes = number(part(F.col("w"), "$.windowDurationMins"))
     label = F.upper(F.concat_ws(" ", F.nullif(F.col("name"), F.lit("")), limit_label(minutes, F.col("slot"))))
-    rows = windows.select("account", "captured_at", F.concat_ws("_", "id", "slot").alias("key"), label.alias("label"), number(part(F.col("w"), "$.usedPercent")).alias("used_percentage"), epoch(part(F.col("w"), "$.resetsAt")).alias("resets_at"), minutes.alias("window_minutes"))
+    rows = windows.select(*identity(responses), F.concat_ws("_", "id", "slot").alias("key"), label.alias("label"), number(part(F.col("w"), "$.usedPercent")).alias("used_percentage"), epoch(part(F.col("w"), "$.resetsAt")).alias("resets_at"), minutes.alias("window_minutes"))
     return rows.where("used_percentage IS NOT NULL AND resets_at IS NOT NULL")
 
 
+def landed_limits(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Buckets and warnings of landed responses (provider, account, captured_at, raw: JSON text; and ``response``, their id).
+
+    Responses of provider 'claude' have the first shape, others the second. A response that is no object, or gives no
+    bucket, has a warning row (provider, account, captured_at, response, warning) instead.
+    """
+    bodies = responses.withColumn("body", F.try_parse_json("raw")).drop("raw")
+    first, second = F.col("provider") == "claude", F.coalesce(F.col("provider") != "claude", F.lit(True))
+    buckets = limits_from_list(bodies.where(first)).unionByName(limits_from_map(bodies.where(second)))
+    found = limits_found(F.col("provider"), F.col("body"))
+    name = F.initcap(F.coalesce("provider", F.lit("unknown")))
+    what = F.when(is_object(F.col("body")), F.concat(name, F.lit(" returned no usable usage limits"))).otherwise(F.concat(name, F.lit(" returned an invalid usage response")))
+    return buckets, bodies.where(~found).select(*identity(bodies), what.alias("warning"))
+
+
+def limits_found(provider: Column, body: Column) -> Column:
+    """Whether a response gives any bucket, decided within its row."""
+    usable = lambda item, used, reset: F.coalesce(is_object(item) & number(part(item, used)).isNotNull() & epoch(part(item, reset)).isNotNull(), F.lit(False))
+    items = F.when(F.schema_of_variant(part(body, "$.limits")).startswith("ARRAY"), F.try_variant_get(body, "$.limits", "array<variant>"))
+    members = lambda path: F.map_values(F.when(is_object(part(body, path)), F.try_variant_get(body, path, "map<string,variant>")))
+    listed = F.exists(items, lambda x: usable(x, "$.percent", "$.resets_at"))
+    named = F.exists(members("$"), lambda x: usable(x, "$.utilization", "$.resets_at"))
+    slots = lambda x: reduce(or_, [usable(part(x, f"$.{s}"), "$.usedPercent", "$.resetsAt") for s in ("primary", "secondary", "individualLimit")])
+    by_id = members("$.rateLimitsByLimitId")
+    many, one = F.exists(by_id, slots), slots(part(body, "$.rateLimits"))
+    second = F.when(F.size(by_id) > 0, many).otherwise(one)
+    return F.coalesce(F.when(provider == "claude", F.coalesce(listed, F.lit(False)) | F.coalesce(named, F.lit(False))).otherwise(second), F.lit(False))
+
+
 def limit_snapshots(lines: DataFrame) -> DataFrame:
     """Buckets of snapshots inside log lines (account, captured_at or null, ord, limits variant); malformed windows are skipped."""
     slots = F.array(*[F.struct(F.lit(f"codex_{s}").alias("key"), part(F.col("limits"), f"$.{s}").alias("w")) for s in ("primary", "secondary")])

@@ -22,8 +22,19 @@ def merge_usage(lines: DataFrame, keep_key: bool = False) -> DataFrame:
     against numbers. ``ord`` gives the order of ingestion. Keys are dealt evenly, so one shuffle by key does it all.
     ``keep_key`` adds the key as ``request_id``, ``message_id`` and ``line``.
     """
-    keyed = lines.withColumn("key", F.struct(*[c.alias(n) for n, c in merge_key().items()]))
-    start = F.min(F.when(F.col("ts").isNotNull(), F.col("ord"))).over(Window.partitionBy("key"))
     first = F.min_by(F.struct("ts", "model_raw", "account", "provider", "ord"), "ord").alias("first")
-    merged = keyed.withColumn("start", start).where(F.col("ord") >= F.col("start")).groupBy("key").agg(first, *[F.max(c).alias(c) for c in COUNTERS])
+    merged = counted_lines(lines).groupBy("key").agg(first, *[F.max(c).alias(c) for c in COUNTERS])
     return merged.select(*[F.col("key.r").alias("request_id"), F.col("key.m").alias("message_id"), F.col("key.o").alias("line")] if keep_key else [], "first.*", *COUNTERS)
+
+
+def counted_lines(lines: DataFrame) -> DataFrame:
+    """``lines`` with their ``key``, from each key's first line with a timestamp on."""
+    keyed = lines.withColumn("key", F.struct(*[c.alias(n) for n, c in merge_key().items()]))
+    start = F.min(F.when(F.col("ts").isNotNull(), F.col("ord"))).over(Window.partitionBy("key"))
+    return keyed.withColumn("start", start).where(F.col("ord") >= F.col("start")).drop("start")
+
+
+def merge_counts(lines: DataFrame) -> DataFrame:
+    """One row: ``records`` that the merge gives, and ``duplicates``, the lines that went into another's record."""
+    each = counted_lines(lines).groupBy("key").agg(F.count("*").alias("n"))
+    return each.agg(F.count("*").alias("records"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))

@@ -45,10 +45,12 @@ def overlay(defaults: DataFrame, user: DataFrame) -> DataFrame:
 
 
 def with_aliases(prices: DataFrame) -> DataFrame:
-    """Alias rows beside the table, where the alias has no row of its own."""
-    names = prices.sparkSession.createDataFrame(list(ALIASES.items()), "alias string, model string")
-    extra = prices.join(F.broadcast(names), "model").drop("model").withColumnRenamed("alias", "model")
-    return prices.unionByName(extra.join(prices.select("model"), "model", "left_anti"))
+    """Alias rows beside the table, where the alias has no row of its own. The aliases are a few literals."""
+    taken = {r["model"] for r in prices.where(F.col("model").isin(list(ALIASES))).select("model").distinct().collect()}
+    for alias, name in ALIASES.items():
+        if alias not in taken:
+            prices = prices.unionByName(prices.where(F.col("model") == name).withColumn("model", F.lit(alias)))
+    return prices
 
 
 def fact_cost(rate: str = "rate") -> Column:

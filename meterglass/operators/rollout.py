@@ -25,11 +25,15 @@ def counter_delta(events: DataFrame) -> DataFrame:
 
 
 def attribute_models(events: DataFrame, marker: Column) -> DataFrame:
-    """``events`` with ``model_raw``: the file's latest marker so far, else its first later one, else `UNATTRIBUTED`."""
-    order = Window.partitionBy("file").orderBy("ord")
-    so_far, later = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    """``events`` with ``model_raw``: the file's latest marker so far, else its first later one, else `UNATTRIBUTED`.
+
+    Before a file's first marker the first later one is that first marker, so each row looks back only: the work grows
+    with the length of a file, and one sort serves both windows.
+    """
+    so_far = Window.partitionBy("file").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("file").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     seen = events.withColumn("_marker", marker)
-    found = F.coalesce(F.last("_marker", ignorenulls=True).over(so_far), F.first("_marker", ignorenulls=True).over(later), F.lit(UNATTRIBUTED))
+    found = F.coalesce(F.last("_marker", ignorenulls=True).over(so_far), F.first("_marker", ignorenulls=True).over(whole), F.lit(UNATTRIBUTED))
     return seen.withColumn("model_raw", found).drop("_marker")
 
 

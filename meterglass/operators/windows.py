@@ -75,17 +75,16 @@ def by_account(facts: DataFrame, accounts: DataFrame, now_us: Column, window: st
     secs = dict(WINDOWS).get(window)
     held = facts if secs is None else facts.where(now_us - F.unix_micros("ts") <= secs * 1_000_000)
     sums = held.groupBy("provider", "account").agg(*measures())
-    always = accounts.where("provider = 'claude'").join(sums, ["provider", "account"], "left")
-    active = accounts.where("provider <> 'claude'").join(sums, ["provider", "account"])
-    rows = always.unionByName(active).fillna(0, [*TOKENS, "cost", "unpriced_tokens", "records"]).drop("known")
+    rows = accounts.join(sums, ["provider", "account"], "left").where("provider = 'claude' OR records IS NOT NULL")
+    rows = rows.fillna(0, [*TOKENS, "cost", "unpriced_tokens", "records"]).drop("known")
     # over the rows of accounts, which are few, so the facts are read once
     whole = F.sum(F.col("cost").cast("decimal(20,12)")).over(Window.partitionBy()).cast("double")
     return rows.withColumn("share", F.when(whole > 0, F.round(F.col("cost") / whole, 9)).otherwise(0.0))
 
 
 def in_range(facts: DataFrame, start_us: Column, end_us: Column) -> DataFrame:
-    """Facts between two moments, both included."""
-    return facts.where(F.unix_micros("ts").between(start_us, end_us))
+    """Facts between two moments, both included. The bounds are on ``ts`` itself, so that they reach the scan."""
+    return facts.where(F.col("ts").between(F.timestamp_micros(start_us), F.timestamp_micros(end_us)))
 
 
 def day_range(facts: DataFrame, start: str, end: str, zone: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,9 +20,12 @@ EVENTS_PER_FILE = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared one (spark.checkpoint.dir); a temporary one only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="usage-")
-    return f"{base}/{uuid.uuid4().hex}"
+    """A new folder under the cluster's shared one (spark.checkpoint.dir); a temporary one only within one machine where that is unset."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not base and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return f"{base or tempfile.mkdtemp(prefix='usage-')}/{uuid.uuid4().hex}"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,27 +80,58 @@ def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def now_us(spark: SparkSession, sf_dir: str) -> Column:
-    """The time of the last event, as a literal: one row of the table's metadata."""
+    """The time of the last event, as a literal: one scan of the column."""
     return F.lit(events(spark, sf_dir).agg(F.unix_micros(F.max("ts").cast("timestamp")).alias("t")).first()["t"]).cast("long")
 
 
-def write_logs(events: DataFrame, folder: str) -> None:
-    """The events as JSONL files of both providers: files of consecutive events, and one file per user."""
-    stamp = F.when(F.col("ts").isNotNull(), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).otherwise("not a time")
+def usage_json(lines: DataFrame) -> Column:
+    """The log line of each of `event_lines` of the first provider."""
     usage = F.struct(
         F.col("input_tokens"), F.col("output_tokens"), F.col("cache_read").alias("cache_read_input_tokens"), F.col("cache_creation").alias("cache_creation_input_tokens"),
         F.when(F.col("eph_5m").isNotNull(), F.struct(F.col("eph_5m").alias("ephemeral_5m_input_tokens"), F.col("eph_1h").alias("ephemeral_1h_input_tokens"))).alias("cache_creation"),
     )
     message = F.struct(F.col("message_id").alias("id"), F.col("model_raw").alias("model"), usage.alias("usage"))
+    return F.to_json(F.struct(F.lit("assistant").alias("type"), F.col("request_id").alias("requestId"), stamp().alias("timestamp"), message.alias("message")))
+
+
+def stamp() -> Column:
+    return F.when(F.col("ts").isNotNull(), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).otherwise("not a time")
+
+
+#: What stands between the lines of a log besides usage: which events it follows, and the text for each provider.
+NOISE = {
+    "malformed": (13, {"claude": '{"type": "assistant", "usage": ', "codex": '{"payload": {"type": "token_count"'}),
+    "blank": (17, {"claude": "  \t ", "codex": " "}),
+    "foreign": (19, {"claude": '{"type": "user", "text": "hello"}', "codex": '{"type": "session_meta"}'}),
+    "no object": (23, {"claude": '["assistant", {"usage": 1}]', "codex": '["token_count"]'}),
+}
+#: The last line of each file, not ended yet.
+OPEN = {
+    "claude": '{"type": "assistant", "timestamp": "2024-01-01T00:00:00Z", "message": {"id": "open", "usage": {"input_tokens": 1}}}',
+    "codex": '{"timestamp": "2024-01-01T00:00:00Z", "type": "event_msg", "payload": {"type": "token_count", "info": {"last_token_usage": {"input_tokens": 1}}}}',
+}
+
+
+def write_logs(events: DataFrame, folder: str) -> None:
+    """The events as JSONL files of both providers: files of consecutive events, and one file per user.
+
+    Malformed, blank and foreign lines and lines that are no object stand between them (`NOISE`), and the last line of
+    every file is open: a space, not a line end, follows each row that is written.
+    """
     file = F.lpad(F.floor(F.col("ord") / EVENTS_PER_FILE).cast("string"), 12, "0")
-    claude = claude_lines(events).select(file.alias("file"), "ord", F.to_json(F.struct(F.lit("assistant").alias("type"), F.col("request_id").alias("requestId"), stamp.alias("timestamp"), message.alias("message"))).alias("value"))
+    lines = claude_lines(events)
+    claude = lines.select(file.alias("file"), "ord", usage_json(lines).alias("value"))
     counters = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.input").alias("input_tokens"), F.col(f"{c}.cached").alias("cached_input_tokens"), F.col(f"{c}.output").alias("output_tokens")))
     token = F.struct(F.lit("token_count").alias("type"), F.struct(counters("total").alias("total_token_usage"), counters("last").alias("last_token_usage")).alias("info"))
-    value = F.when(F.col("is_token"), F.to_json(F.struct(stamp.alias("timestamp"), F.lit("event_msg").alias("type"), token.alias("payload")))).otherwise(F.to_json(F.struct(stamp.alias("timestamp"), F.lit("turn_context").alias("type"), F.struct(F.col("marker").alias("model")).alias("payload"))))
+    value = F.when(F.col("is_token"), F.to_json(F.struct(stamp().alias("timestamp"), F.lit("event_msg").alias("type"), token.alias("payload")))).otherwise(F.to_json(F.struct(stamp().alias("timestamp"), F.lit("turn_context").alias("type"), F.struct(F.col("marker").alias("model")).alias("payload"))))
     codex = codex_events(events).select(F.lpad(F.col("file").cast("string"), 12, "0").alias("file"), "ord", value.alias("value"))
-    for name, lines in (("claude", claude), ("codex", codex)):
-        ordered = lines.repartition("file").sortWithinPartitions("file", "ord").drop("ord")
-        ordered.write.option("lineSep", "\n").partitionBy("file").text(f"{folder}/{name}")
+    for name, usage in (("claude", claude), ("codex", codex)):
+        rows = [F.struct(F.lit(0).alias("place"), F.concat("value", F.lit("\n")).alias("value"))]
+        rows += [F.when(F.col("ord") % n == 0, F.struct(F.lit(k + 1).alias("place"), F.lit(text[name] + "\n").alias("value"))) for k, (n, text) in enumerate(NOISE.values())]
+        mixed = usage.select("file", "ord", F.inline(F.array_compact(F.array(*rows))))
+        last = usage.groupBy("file").agg(F.max("ord").alias("ord")).select("file", "ord", F.lit(len(rows)).alias("place"), F.lit(OPEN[name]).alias("value"))
+        ordered = mixed.unionByName(last).repartition("file").sortWithinPartitions("file", "ord", "place").drop("ord", "place")
+        ordered.write.option("lineSep", " ").partitionBy("file").text(f"{folder}/{name}")
 
 
 def scanned(spark: SparkSession, folder: str, provider: str) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterglass.functions import text
-from meterglass.functions.calendar import preset_table
+from meterglass.functions.calendar import add_months, add_years, preset_table
 from meterglass.operators import limits, merge, pricing, rollout, series, windows
 from meterglass.operators.accounts import account_roots, tag_accounts
 from meterglass.plans import events as ev
+from meterglass.plans.report import ingest_counts, summary, usage_report
 from meterglass.sources import lines as src
 from meterglass.sources import store
 from meterglass.streaming import usage as st
@@ -68,13 +69,21 @@ def logs(spark: SparkSession, sf: str) -> str:
     return folder
 
 
-@query
-def scan_lines(spark, sf):
-    folder = logs(spark, sf)
+def count_lines(spark: SparkSession, folder: str) -> DataFrame:
     parts = [src.scan_lines(spark, f"{folder}/{p}", pattern="*.txt").select(F.lit(p).alias("provider")) for p in ("claude", "codex")]
     return parts[0].unionByName(parts[1]).groupBy("provider").agg(F.count("*").alias("n_lines"))
 
 
+def extracted(spark: SparkSession, folder: str) -> DataFrame:
+    return ev.extracted_facts(spark, folder).select(ts_us(), "model_raw", "provider", *merge.COUNTERS)
+
+
+@query
+def scan_lines(spark, sf):
+    """Logs with blank lines, which are left out, and with an open last line in every file, which is held back."""
+    return count_lines(spark, logs(spark, sf))
+
+
 @query
 def line_prefilter(spark, sf):
     lines = src.scan_lines(spark, logs(spark, sf), pattern="*.txt")
@@ -85,15 +94,20 @@ def line_prefilter(spark, sf):
 def ingest_quality(spark, sf):
     folder = logs(spark, sf)
     lines = src.scan_lines(spark, f"{folder}/claude", pattern="*.txt")
-    quality = src.ingest_quality(lines).agg(F.sum("lines").alias("n_lines"), F.sum("malformed").alias("malformed"))
+    quality = src.ingest_quality(lines).agg(F.sum("lines").alias("n_lines"), F.sum("candidates").alias("candidates"), F.sum("malformed").alias("malformed"), F.sum("objects").alias("objects"))
     undated = src.parsed(lines).where("is_object").agg(F.count_if(F.try_variant_get("j", "$.timestamp", "string") == "not a time").alias("undated"))
     return quality.crossJoin(F.broadcast(undated))
 
 
+@query
+def ingest_totals(spark, sf):
+    """Files, lines read, records, duplicates and malformed lines of the logs of both providers."""
+    return ingest_counts(spark, [logs(spark, sf)], pattern="*.txt")
+
+
 @query
 def usage_extract(spark, sf):
-    facts = ev.extracted_facts(spark, logs(spark, sf))
-    return facts.select(ts_us(), "model_raw", "provider", *merge.COUNTERS)
+    return extracted(spark, logs(spark, sf))
 
 
 @query
@@ -104,6 +118,17 @@ def facts_store(spark, sf):
     return facts.groupBy("provider", F.to_date("ts").cast("string").alias("event_date")).agg(F.count("*").alias("n"), F.sum("input_tokens").alias("input_tokens"))
 
 
+@query
+def facts_refresh(spark, sf):
+    """Stored facts are made anew only when prices or roots change: at first, not again, and after a change of prices."""
+    path, events = ev.shared_folder(spark), ev.events(spark, sf)
+    roots = ev.event_lines(events).select("account", "provider").distinct()
+    prices = pricing.default_prices(spark)
+    written = [store.refresh_facts(lambda: ev.usage_facts(events), path, p, roots) for p in (prices, prices, prices.where("input > 1"))]
+    held = store.read_facts(spark, f"{path}/facts").agg(F.count("*").alias("n"), F.sum("output_tokens").alias("output_tokens"))
+    return held.select(F.inline(F.array(*[F.struct(F.lit(k).alias("run"), F.lit(w).alias("written")) for k, w in enumerate(written)])), "n", "output_tokens")
+
+
 @query
 def priced_usage(spark, sf):
     return ev.priced(spark, sf).select(ts_us(), "model_norm", "known", "account", "provider", "total_tokens", F.round("cost", 9).alias("cost"))
@@ -187,6 +212,14 @@ def range_presets(spark, sf):
     return spans.select("preset", F.col("start").cast("string").alias("start_day"), F.col("end").cast("string").alias("end_day"), text.relative_day(F.col("end"), F.col("today")).alias("label"))
 
 
+@query
+def range_shift(spark, sf):
+    """Each day of the events a month and a year on and back; a day that the month lacks becomes its last one."""
+    days = ev.events(spark, sf).select(F.to_date("ts").alias("day")).distinct()
+    shifts = {"next_month": add_months(F.col("day"), 1), "last_month": add_months(F.col("day"), -1), "next_year": add_years(F.col("day"), 1), "last_year": add_years(F.col("day"), -1)}
+    return days.select(*[c.cast("string").alias(n) for n, c in {"day": F.col("day"), **shifts}.items()])
+
+
 @query
 def earliest_day(spark, sf):
     return windows.earliest_day(ev.usage_facts(ev.events(spark, sf)), F.current_date(), "UTC").select(F.col("day").cast("string").alias("day"))
@@ -214,6 +247,15 @@ def report_labels(spark, sf):
     return rows.select("model_norm", text.pretty_model(F.col("model_norm")).alias("name"), text.human_tokens(F.col("total_tokens")).alias("tokens_label"), text.cost_label(F.col("cost"), F.col("unpriced_tokens")).alias("cost_label"), text.human_duration(age).alias("age_label"))
 
 
+@query
+def usage_report_query(spark, sf):
+    """Every table of the report in one row: how many rows it has, and their tokens and cost."""
+    now = ev.now_us(spark, sf)
+    captures = limits.latest_limits(account_captures(spark, sf).withColumn("ord", F.lit(0)))
+    owners = spark.createDataFrame([("claude", f"acct-{k}", 0, k) for k in range(4)] + [("codex", "acct-4", 1, 0)], "provider string, account string, provider_rank int, root_rank int")
+    return summary(usage_report(ev.usage_facts(ev.events(spark, sf)), pricing.default_prices(spark), now, owners, window="7d", captures=captures, days=(FIRST, LAST, ZONE)))
+
+
 # --- dimensions and files -------------------------------------------------------------------------------------------
 
 
@@ -427,6 +469,23 @@ def stream_ingest(spark, sf):
     return fact_columns(st.newest(spark, f"{folder}/facts", *st.MERGE_KEY))
 
 
+@query
+def stream_log_ingest(spark, sf):
+    """Log text as chunk files: malformed, foreign and undated lines, and lines without a message id, over several batches."""
+    events = ev.events(spark, sf)
+    alone = F.when(F.col("ord") % 29 == 0, F.when(F.col("ord") % 2 == 0, "")).otherwise(F.col("message_id"))
+    lines = ev.claude_lines(events).withColumn("message_id", alone)
+    noise = [F.when(F.col("ord") % n == 0, F.lit(text["claude"])) for n, text in ev.NOISE.values()]
+    values = lines.select("ord", F.posexplode(F.array_compact(F.array(ev.usage_json(lines), *noise))).alias("place", "value"))
+    path, folder = ev.shared_folder(spark), ev.shared_folder(spark)
+    span = events.agg(F.max("event_id").alias("most")).first()["most"] // 4 + 1
+    for k in range(4):  # one after another, as they land
+        values.where(F.floor(F.col("ord") / span) == k).repartitionByRange(1, "ord").sortWithinPartitions("ord", "place").select("value").write.mode("append").text(path)
+    stream = st.line_stream(spark, path, files_per_trigger=1, by_name=True, pattern="*.txt")
+    st.run_updates(stream, folder, st.ingest_lines(spark, f"{folder}/log", f"{folder}/facts"), "append")
+    return st.newest(spark, f"{folder}/facts", *st.MERGE_KEY).select(ts_us(), "model_raw", "provider", *merge.COUNTERS)
+
+
 @query
 def stream_attribution(spark, sf):
     """Files are recomputed when a batch touches them, so late markers count."""
@@ -452,6 +511,18 @@ def stream_late_data(spark, sf):
     return tumbled(spark, sf, "1 day")
 
 
+@query
+def stream_watermark(spark, sf):
+    """With a watermark of two days, facts of the third batch whose day had ended by that of the first are dropped as late."""
+    facts = ev.priced(spark, sf).select("ts", "cost", "total_tokens", "ord").where("ts IS NOT NULL")
+    path, folder = ev.shared_folder(spark), ev.shared_folder(spark)
+    for k in (1, 2, 0):  # the second batch still has the first watermark, of no time
+        facts.where(F.col("ord") % 3 == k).drop("ord").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(facts.drop("ord").schema).option("maxFilesPerTrigger", 1).parquet(path)
+    st.run_updates(st.tumbling(stream, "1 day", watermark="2 days"), folder)
+    return st.newest(spark, f"{folder}/rows", "start_us")
+
+
 @query
 def stream_live_windows(spark, sf):
     folder, now = ev.shared_folder(spark), ev.now_us(spark, sf)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterglass.functions import text
 from meterglass.operators import limits, merge, pricing, rollout, series, windows
-from meterglass.operators.accounts import tag_accounts
+from meterglass.operators.accounts import MOST_ROOTS, tag_accounts
 from meterglass.sources import extract
 from meterglass.sources.lines import ingest_quality, parsed, prefilter, scan_lines
+from meterglass.sources.store import file_listing
 
 
 def log_facts(spark: SparkSession, paths: list[str], claude_roots: DataFrame, codex_roots: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -27,19 +28,72 @@ def log_facts(spark: SparkSession, paths: list[str], claude_roots: DataFrame, co
     return facts, limits.captures(snapshots, "ord"), ingest_quality(lines)
 
 
-def usage_report(facts: DataFrame, prices: DataFrame, now_us: Column, accounts: DataFrame, window: str = "24h", metric: str = "cost") -> dict[str, DataFrame]:
-    """All tables of the one-shot report over unpriced facts."""
-    priced = pricing.price_facts(facts, prices)
+def ingest_counts(spark: SparkSession, paths: list[str], pattern: str = "*.jsonl") -> DataFrame:
+    """One row: files, lines read, records, duplicates (lines merged into another's record) and malformed lines."""
+    lines = scan_lines(spark, *paths, pattern=pattern)
+    quality = ingest_quality(lines).agg(F.coalesce(F.sum("lines_read"), F.lit(0)).alias("lines_read"), F.coalesce(F.sum("malformed"), F.lit(0)).alias("malformed"))
+    seen = parsed(lines.where(prefilter(F.col("value"))))
+    merged = merge.merge_counts(extract.usage_lines(seen))
+    used = rollout.rollout_usage(extract.rollout_events(seen).withColumn("account", F.lit("codex"))).agg(F.count("*").alias("others"))
+    files = file_listing(spark, *paths, pattern=pattern).agg(F.count("*").alias("files"))
+    row = quality.crossJoin(F.broadcast(merged)).crossJoin(F.broadcast(used)).crossJoin(F.broadcast(files))  # of one row each
+    return row.select("files", "lines_read", (F.col("records") + F.col("others")).alias("records"), "duplicates", "malformed")
+
+
+def usage_report(
+    facts: DataFrame, prices: DataFrame, now_us: Column, accounts: DataFrame, window: str = "24h", metric: str = "cost", scope: str = "all",
+    captures: DataFrame | None = None, days: tuple[str, str, str] | None = None,
+) -> dict[str, DataFrame]:
+    """All tables of the one-shot report over unpriced facts.
+
+    ``accounts`` (provider, account, and for limits provider_rank and root_rank) are the enabled ones, few. ``scope`` is
+    one of them or 'all'; an unknown one counts as 'all'. The table of accounts has rows only for 'all', and only where
+    there are at least two. ``captures`` (account, captured_at, buckets) adds the limits, and ``days`` (first, last and
+    time zone) the tables of a date range.
+    """
+    names = [r["account"] for r in accounts.select("account").limit(MOST_ROOTS).collect()]
+    every = pricing.price_facts(facts, prices)
+    priced = windows.scoped(every, scope, names)
     activity = series.activity_series(priced, now_us, window, metric)
-    models = windows.model_rollup(priced, now_us)
+    totals = windows.rolling_windows(priced, now_us)
     labels = [text.pretty_model(F.col("model_norm")).alias("name"), text.human_tokens(F.col("total_tokens")).alias("tokens_label"), text.cost_label(F.col("cost"), F.col("unpriced_tokens")).alias("cost_label")]
-    return {
-        "windows": windows.rolling_windows(priced, now_us),
-        "models": models.select("*", *labels).orderBy("window", "is_total", F.desc("cost"), F.desc("total_tokens"), "model_norm"),
-        "accounts": windows.by_account(priced, accounts, now_us, window).orderBy(F.desc("cost"), F.desc("total_tokens"), "provider", "account"),
+    by_cost = [F.desc("cost"), F.desc("total_tokens")]
+    rollup = windows.by_account(every, accounts.select("provider", "account"), now_us, window)
+    shown = (F.count("*").over(Window.partitionBy()) >= 2) & F.lit(scope == "all" or scope not in names)
+    tables = {
+        "windows": totals.withColumn("coverage", windows.coverage(F.col("unpriced_tokens"), F.col("total_tokens"))),
+        "models": windows.model_rollup(priced, now_us).select("*", *labels).orderBy("window", "is_total", *by_cost, "model_norm"),
+        # over the rows of accounts, which are few
+        "accounts": rollup.withColumn("shown", shown).where("shown").drop("shown").orderBy(*by_cost, "provider", "account"),
         "activity": activity.orderBy("bucket"),
         "peak": series.peak_bucket(activity, now_us, window),
         "levels": series.series_levels(activity),
-        "unknown_models": windows.unknown_models(priced).orderBy("model_norm"),
-        "providers": priced.agg(F.coalesce(F.bool_or(F.col("provider") == "codex"), F.lit(False)).alias("has_codex"), F.count("*").alias("records")),
+        "unknown_models": windows.unknown_models(every).orderBy("model_norm"),
     }
+    has_codex = every.agg(F.coalesce(F.bool_or(F.col("provider") == "codex"), F.lit(False)).alias("has_codex"), F.count("*").alias("records"))
+    if captures is None:
+        tables["providers"] = has_codex.withColumn("has_limits", F.lit(False))
+    else:
+        held = captures.join(F.broadcast(accounts.select("account")), "account", "left_semi")
+        tables["providers"] = has_codex.crossJoin(F.broadcast(held.agg((F.count("*") > 0).alias("has_limits"))))
+        tables["limits"] = limits.limit_status(limits.limits_by_account(held, accounts), F.floor(now_us / 1e6))
+    if days is not None:
+        held = windows.day_range(priced, *days)
+        by_day = windows.range_by_day(priced, *days)
+        tables |= {
+            "range": windows.range_totals(held).crossJoin(F.broadcast(windows.active_days(by_day))),
+            "range_days": by_day.orderBy("day"),
+            "range_models": windows.by_model(held).select("*", *labels).orderBy(*by_cost, "model_norm"),
+        }
+    return tables
+
+
+def summary(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, n, total_tokens, cost): the rows of each table and the sums of what it has of the two."""
+    out = None
+    for name, table in tables.items():
+        tokens = F.coalesce(F.sum("total_tokens"), F.lit(0)) if "total_tokens" in table.columns else F.lit(None).cast("long")
+        cost = F.coalesce(pricing.exact_sum(F.col("cost")), F.lit(0.0)) if "cost" in table.columns else F.lit(None).cast("double")
+        row = table.agg(F.count("*").alias("n"), tokens.alias("total_tokens"), cost.alias("cost")).select(F.lit(name).alias("table"), "n", "total_tokens", "cost")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -46,6 +46,11 @@ priced AS (SELECT *, cache_read + cache_creation AS cache_tokens, input_tokens +
       ELSE coalesce(eph_5m, 0) * (input_rate / 1e6::DOUBLE) * 1.25::DOUBLE + coalesce(eph_1h, 0) * (input_rate / 1e6::DOUBLE) * 2.0::DOUBLE END) END AS cost FROM carded)"""
 )
 
+#: The lines that stand between those of the events (see `events.NOISE`).
+MALFORMED, FOREIGN, NO_OBJECT = ("count(CASE WHEN ord % {} = 0 THEN 1 END)".format(n) for n in (13, 19, 23))
+LOGGED = f"count(*) + {MALFORMED} + {FOREIGN} + {NO_OBJECT}"
+#: Lines without a message id are their own keys.
+ALONE = "CASE WHEN ord % 29 = 0 THEN 'line ' || ord ELSE request_id || ' ' || message_id END"
 SUMS = ", ".join(f"coalesce(sum({c}), 0)::BIGINT AS {c}" for c in ("input_tokens", "output_tokens", "cache_read", "cache_creation", "total_tokens"))
 COST = "coalesce(CAST(sum(CAST(cost AS DECIMAL(20,12))) AS DOUBLE), 0.0)"
 MEASURES = f"{SUMS}, {COST} AS cost, coalesce(sum(CASE WHEN NOT known THEN total_tokens END), 0)::BIGINT AS unpriced_tokens, count(ts_us) AS records"
@@ -87,9 +92,11 @@ SQL: dict[str, str] = {
     "asof_attribution": q("SELECT ord, model AS model_raw FROM logs", LINES),
     "rollout_usage": q(f"SELECT {FACT_COLUMNS} FROM rollout", LINES),
     "usage_extract": q("SELECT ts_us, model_raw, provider, input_tokens, output_tokens, cache_read, cache_creation, eph_5m, eph_1h FROM facts", LINES),
-    "scan_lines": q("SELECT provider, count(*) AS n_lines FROM lines GROUP BY 1", LINES),
-    "line_prefilter": q("SELECT count(*) AS n_lines, count(*) AS n_candidates FROM lines", LINES),
-    "ingest_quality": q("SELECT count(*) AS n_lines, 0::BIGINT AS malformed, count(CASE WHEN ts_us IS NULL THEN 1 END) AS undated FROM lines WHERE provider = 'claude'", LINES),
+    "scan_lines": q(f"SELECT provider, ({LOGGED})::BIGINT AS n_lines FROM lines GROUP BY 1", LINES),
+    "line_prefilter": q(f"SELECT ({LOGGED})::BIGINT AS n_lines, (count(*) + {MALFORMED} + {NO_OBJECT})::BIGINT AS n_candidates FROM lines", LINES),
+    "ingest_quality": q(f"SELECT ({LOGGED})::BIGINT AS n_lines, (count(*) + {MALFORMED} + {NO_OBJECT})::BIGINT AS candidates, ({MALFORMED})::BIGINT AS malformed, count(*) AS objects, count(CASE WHEN ts_us IS NULL THEN 1 END) AS undated FROM lines WHERE provider = 'claude'", LINES),
+    "ingest_totals": q(f"""SELECT (SELECT count(DISTINCT CASE WHEN provider = 'claude' THEN 'a' || (ord // 1000000) ELSE 'b' || file END) FROM lines) AS files, (SELECT count(*) FROM lines WHERE provider = 'claude' OR marker IS NULL) AS lines_read,
+  (SELECT count(*) FROM facts) AS records, (SELECT (count(*) - count(DISTINCT request_id || '|' || message_id))::BIGINT FROM gated WHERE ord >= start) AS duplicates, (SELECT ({MALFORMED})::BIGINT FROM lines) AS malformed""", LINES),
     "facts_store": q("SELECT provider, CAST(CAST(make_timestamp(ts_us) AS DATE) AS VARCHAR) AS event_date, count(*) AS n, sum(input_tokens)::BIGINT AS input_tokens FROM facts WHERE CAST(make_timestamp(ts_us) AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' GROUP BY 1, 2", LINES),
     "priced_usage": q("SELECT ts_us, model_norm, known, account, provider, total_tokens, round(cost, 9) AS cost FROM priced"),
     "rolling_windows": q(f'SELECT w."window", {MEASURES.replace("count(ts_us)", "count(ts_us)")} FROM {WINDOWS} LEFT JOIN priced ON {INSIDE} GROUP BY 1'),
@@ -131,6 +138,13 @@ SQL: dict[str, str] = {
     "turns_by_role": "SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY 1",
     "daily_sales": "SELECT CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS day, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(20,6))) AS DOUBLE) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01' GROUP BY 1",
 }
+SQL |= {
+    "facts_refresh": q("SELECT run, written, n, output_tokens FROM (SELECT count(*) AS n, sum(output_tokens)::BIGINT AS output_tokens FROM facts), (VALUES (0, true), (1, false), (2, true)) r(run, written)", LINES),
+    "range_shift": "SELECT CAST(d AS VARCHAR) AS day, " + ", ".join(f"CAST(CAST(d {sign} INTERVAL 1 {unit} AS DATE) AS VARCHAR) AS {name}" for name, sign, unit in (("next_month", "+", "MONTH"), ("last_month", "-", "MONTH"), ("next_year", "+", "YEAR"), ("last_year", "-", "YEAR"))) + " FROM (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events)",
+    "stream_log_ingest": q("SELECT ts_us, model_raw, provider, input_tokens, output_tokens, cache_read, cache_creation, eph_5m, eph_1h FROM merged", LINES.replace("PARTITION BY request_id, message_id", f"PARTITION BY {ALONE}").replace("GROUP BY request_id, message_id", f"GROUP BY {ALONE}")),
+    "stream_watermark": q(f"""SELECT ts_us // 86400000000 * 86400000000 AS start_us, {COST} AS cost, sum(total_tokens)::BIGINT AS total_tokens, count(*) AS records FROM priced
+  WHERE ord % 3 <> 0 OR (ts_us // 86400000000 + 1) * 86400000000 > (SELECT max(ts_us) // 1000 * 1000 - 172800000000 FROM priced WHERE ord % 3 = 1) GROUP BY 1"""),
+}
 LIMITS = "src AS (SELECT 'e' || event_id AS account, (epoch_us(CAST(ts AS TIMESTAMP)) // 1000000)::DOUBLE AS captured_at, event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"
 NAMES = "used_percentage, resets_at, window_minutes"
 
@@ -179,5 +193,24 @@ SQL |= {
   SELECT CASE WHEN p = '/home/.claude-' THEN CASE WHEN event_type = 'view' THEN 'view-2' ELSE event_type END ELSE event_type || CASE WHEN event_type = 'view' THEN '-3' ELSE '-2' END END AS label, path, 'config' AS source, event_type <> 'error' AS enabled, row_number() OVER (ORDER BY path)::INTEGER AS root_rank FROM paths""",
     "pricing_dim": "SELECT lower(trim(n_name)) AS model, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey ELSE n_nationkey + 0.5 END::DOUBLE AS input, (n_nationkey * 5)::DOUBLE AS output FROM nation WHERE n_nationkey % 5 <> 0",
 }
+TABLE = "SELECT '{}' AS \"table\", count(*) AS n, {} AS total_tokens, {} AS cost FROM ({})".format
+TOKENS = "coalesce(sum(total_tokens), 0)::BIGINT"
+NO_TOKENS, NO_COST = "NULL::BIGINT", "NULL::DOUBLE"
+
+
+def wide(name: str) -> str:
+    return TABLE(name, TOKENS, COST, SQL[{"windows": "rolling_windows", "models": "model_rollup", "accounts": "by_account"}.get(name, name)])
+
+
+#: Accounts and series of the report are those of the queries, but for idle accounts and the metric of the series.
+ACTIVE = SQL["by_account"].replace("('claude', 'acct-idle'), ", "").replace(", ('codex', 'acct-idle')", "")
+SQL["usage_report"] = " UNION ALL ".join(
+    [
+        wide("windows"), wide("models"), TABLE("accounts", TOKENS, COST, ACTIVE), TABLE("unknown_models", NO_TOKENS, NO_COST, SQL["unknown_models"]),
+        *[TABLE(name, NO_TOKENS, NO_COST, f"SELECT * FROM range({n})") for name, n in (("activity", 48), ("peak", 1), ("levels", 48), ("providers", 1))],
+        TABLE("limits", NO_TOKENS, NO_COST, f"WITH {HOURLY}, newest AS (SELECT account, max(captured_at) AS captured_at, arg_max(k, captured_at) AS k FROM hourly GROUP BY 1) {shape_b('newest')}"),
+        TABLE("range", TOKENS, COST, SQL["range_totals"]), TABLE("range_days", TOKENS, COST, SQL["range_by_day"]), TABLE("range_models", TOKENS, COST, SQL["range_by_model"]),
+    ]
+)
 # a query string goes on with further common tables after the base
 SQL = {k: v.replace("cost FROM carded) ,", "cost FROM carded),").replace("FROM rollout) ,", "FROM rollout),") for k, v in SQL.items()}

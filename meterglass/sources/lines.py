@@ -27,7 +27,7 @@ def scan_lines(spark: SparkSession, *paths: str, pattern: str = "*.jsonl") -> Da
     else:
         open_files = F.broadcast(spark.createDataFrame(found, ends.schema)) if len(found) <= OPEN_FILES else ends
         whole = numbered.join(open_files, "file", "left").where(F.col("open_ord").isNull() | (F.col("ord") < F.col("open_ord")))
-    return whole.where(F.trim("value") != "").select("value", "file", "file_size", "ord")
+    return whole.where(F.btrim("value", F.lit(" \t\r\f\v")) != "").select("value", "file", "file_size", "ord")
 
 
 def prefilter(value: Column) -> Column:
@@ -48,6 +48,11 @@ def parsed(lines: DataFrame) -> DataFrame:
 
 
 def ingest_quality(lines: DataFrame) -> DataFrame:
-    """Lines, candidates, malformed candidates and objects per file."""
+    """Per file: its lines, those that can hold usage, those of these that are malformed or objects, and objects read (no markers)."""
     seen = parsed(lines.withColumn("candidate", prefilter(F.col("value"))))
-    return seen.groupBy("file").agg(F.count("*").alias("lines"), F.count_if("candidate").alias("candidates"), F.count_if(F.col("candidate") & F.col("malformed")).alias("malformed"), F.count_if(F.col("candidate") & F.col("is_object")).alias("objects"))
+    held = F.col("candidate") & F.col("is_object")
+    marker = F.coalesce(F.try_variant_get("j", "$.type", "string") == "turn_context", F.lit(False))
+    return seen.groupBy("file").agg(
+        F.count("*").alias("lines"), F.count_if("candidate").alias("candidates"), F.count_if(F.col("candidate") & F.col("malformed")).alias("malformed"),
+        F.count_if(held).alias("objects"), F.count_if(held & ~marker).alias("lines_read"),
+    )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,14 +48,33 @@ def fingerprint(*dims: DataFrame) -> DataFrame:
     return out
 
 
+def refresh_facts(make: Callable[[], DataFrame], path: str, *dims: DataFrame) -> bool:
+    """Writes facts to ``path`` unless those there were made with dimensions of the same fingerprint; whether it wrote.
+
+    The fingerprint is kept in a manifest beside the facts, which is written after them: a job that ends in between
+    leaves none that fits, and the facts are made again.
+    """
+    spark = dims[0].sparkSession
+    now = [r["digest"] for r in fingerprint(*dims).orderBy("dim").collect()]
+    try:
+        held = [r["digest"] for r in spark.read.parquet(f"{path}/manifest").orderBy("dim").collect()]
+    except AnalysisException:  # there is none yet
+        held = []
+    if held == now:
+        return False
+    write_facts(make(), f"{path}/facts")
+    spark.createDataFrame(list(enumerate(now)), "dim int, digest string").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+    return True
+
+
 def limit_store(rows: DataFrame) -> DataFrame:
     """What a store of limit captures keeps: entries (name, capture) of the two providers."""
     return rows.where(F.col("name").rlike("^(claude|codex):") & F.col("capture").isNotNull())
 
 
-def file_listing(spark: SparkSession, *paths: str) -> DataFrame:
-    """(path, size, modified) of all *.jsonl files."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(list(paths))
+def file_listing(spark: SparkSession, *paths: str, pattern: str = "*.jsonl") -> DataFrame:
+    """(path, size, modified) of all files whose names fit ``pattern``; their content is not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(list(paths))
     return found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 

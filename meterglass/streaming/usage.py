@@ -12,18 +12,24 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from meterglass.operators.merge import COUNTERS, merge_key, merge_usage
 from meterglass.operators.rollout import rollout_usage
 from meterglass.operators.windows import rolling_windows
+from meterglass.sources.extract import usage_lines
+from meterglass.sources.lines import parsed, prefilter
 
+#: Folders of a batch in a log; a batch of few keys or files touches few of them.
+BUCKETS = 32
 
-def line_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None, by_name: bool = False) -> DataFrame:
-    """New lines (value, file) of chunk files. ``by_name`` takes a file that was moved as seen; one stream per account then."""
-    reader = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("fileNameOnly", by_name)
+
+def line_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None, by_name: bool = False, pattern: str = "*.jsonl") -> DataFrame:
+    """New lines (value, file, block) of chunk files. ``by_name`` takes a file that was moved as seen; one stream per account then."""
+    reader = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("lineSep", "\n").option("fileNameOnly", by_name)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return reader.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
 
 #: The columns of a merged fact's key; ``line`` is null but for lines without a message_id, which stay alone.
@@ -46,34 +52,66 @@ def merged_stream(lines: DataFrame) -> DataFrame:
     return merged.select(*MERGE_KEY, "first", *counters)
 
 
+def add_to_log(batch: DataFrame, number: int, log: str, *parts: Column) -> tuple[DataFrame, DataFrame]:
+    """Writes a batch to the log under its number, in buckets by hash of ``parts``; the batch, and all of its buckets.
+
+    A batch that runs again replaces its own folder. Of older batches only the folders of touched buckets are read.
+    """
+    spark = batch.sparkSession
+    rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*parts), F.lit(BUCKETS)).cast("int"))
+    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{log}/batch={number}")
+    own = spark.read.parquet(f"{log}/batch={number}")
+    touched = [r["bucket"] for r in own.select("bucket").distinct().collect()]
+    return own, spark.read.schema(StructType([*own.schema, StructField("batch", IntegerType())])).option("basePath", log).parquet(log).where(F.col("bucket").isin(touched))
+
+
 def recompute_keys(spark: SparkSession, log: str, facts: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch that appends the lines to ``log`` under the batch's number and rewrites the facts of touched keys.
+    """A foreachBatch that adds the lines to ``log`` and rewrites the facts of the keys that the batch touches.
 
     Both writes replace the batch's own folder, so a batch that runs again changes nothing. `newest` by `MERGE_KEY`
     gives the facts.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
-        lines = spark.read.parquet(log)
+        if batch.isEmpty():
+            return
         parts = merge_key()
-        keys = spark.read.parquet(f"{log}/batch={number}").select(*[c.alias(n) for n, c in parts.items()]).distinct()
+        own, lines = add_to_log(batch, number, log, *parts.values())
+        keys = own.select(*[c.alias(n) for n, c in parts.items()]).distinct()
         keyed = lines.withColumns({f"_{n}": c for n, c in parts.items()})
         same = reduce(and_, [keyed[f"_{n}"].eqNullSafe(keys[n]) for n in parts])
-        touched = keyed.join(keys, same, "left_semi").select(*[c for c in lines.columns if c != "batch"])
+        touched = keyed.join(keys, same, "left_semi").select(*batch.columns)
         merged = merge_usage(touched, keep_key=True).withColumn("version", F.lit(number))
         merged.write.mode("overwrite").parquet(f"{facts}/batch={number}")
 
     return apply
 
 
+def ingest_lines(spark: SparkSession, log: str, facts: str, account: str = "claude") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch for `line_stream`: log text is filtered, parsed and extracted, and then merged as by `recompute_keys`.
+
+    Lines have the order of their batch, then that of file and line. Lines that are malformed, foreign or undated are
+    treated as in a batch scan; chunk files are immutable, so a last line without a line end counts.
+    """
+    merge = recompute_keys(spark, log, facts)
+
+    def apply(batch: DataFrame, number: int) -> None:
+        order = F.struct(F.lit(number).cast("long").alias("batch"), "file", "block", F.monotonically_increasing_id().alias("line"))
+        seen = parsed(batch.withColumn("ord", order).where(prefilter(F.col("value"))))
+        merge(usage_lines(seen).drop("file").withColumns({"account": F.lit(account), "provider": F.lit("claude")}), number)
+
+    return apply
+
+
 def recompute_files(spark: SparkSession, log: str, facts: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch for event logs: files that a batch touches are attributed and counted anew, late markers included."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
-        files = spark.read.parquet(f"{log}/batch={number}").select("file").distinct()
-        touched = spark.read.parquet(log).drop("batch").join(files, "file", "left_semi")
+        if batch.isEmpty():
+            return
+        own, lines = add_to_log(batch, number, log, F.col("file"))
+        files = own.select("file").distinct()
+        touched = lines.join(files, "file", "left_semi").select(*batch.columns)
         used = rollout_usage(touched).join(touched.select("file", "ord"), "ord").withColumn("version", F.lit(number))
         # a file without usage is listed too, lest its older facts stay
         used.write.mode("overwrite").parquet(f"{facts}/rows/batch={number}")
