@@ -1,34 +1,37 @@
 """Token counts of flat token files without an index, by a scan for separators.
 
-A file is nothing but little-endian ids, documents one after another, each ended by a separator id. Blocks of a file
-are scanned at once: a vectorised comparison finds the separators of a block. The length of a document that spans
+A file is nothing but little-endian ids, documents one after another, each ended by a separator id. Files are written
+to a folder that the whole cluster shares, and read back as bytes in blocks. Blocks of a file are scanned at once: a vectorised comparison finds the separators of a block. The length of a document that spans
 blocks is stitched by a prefix scan over the blocks' tails: tokens after the last separator of a block, and of all
 blocks before it without one, are carried into the next. The scan runs over one small row per block (and per group of
 blocks in turn), never over tokens.
 
 A block of null or no bytes has no tokens. Bytes that end within an id are an error. Tokens after the last separator
 are a document that is not ended. Blocks of a file must differ in number; repeated files count as often as their blocks
-do. An empty table gives an empty result.
+do. An empty table gives an empty result. Null and empty texts have no tokens but a separator; repeated rows, and null
+keys, are written and counted as often as they occur.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterglass.llm.bpe import VOCABULARY
-from meterglass.llm.common import checkpointed, in_small_batches, map_batches, table
+from meterglass.llm.common import checkpointed, map_batches, shared_folder, table
 from meterglass.llm.packing import library_encoder
 
 #: Id that ends a document, as in the packing contract.
 SEPARATOR = 1
-#: Tokens in a block of a written file, and blocks in a group of the prefix scan.
-BLOCK_TOKENS, GROUP_BLOCKS = 65_536, 4_096
+#: An id in a written file: the vocabulary has fewer than 2**16 - 2.
+TOKEN = np.dtype("<u2")
+#: Texts of a written file, tokens in a block of it, and blocks in a group of the prefix scan.
+FILE_TEXTS, BLOCK_TOKENS, GROUP_BLOCKS = 8_192, 32_768, 4_096
 
 
 def scan_blocks(df: DataFrame, file: Column, block: Column, data: Column, separator: int = SEPARATOR, width: int = 4) -> DataFrame:
@@ -100,50 +103,65 @@ def document_lengths(blocks: DataFrame) -> DataFrame:
     return ended.unionByName(rest).withColumn("file", F.col("file.file"))
 
 
-def token_blocks(df: DataFrame, file: Column, text: Column, path: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(file, block, data): texts as flat runs of ids, cut in blocks wherever they fall.
+def write_token_files(df: DataFrame, text: Column, folder: str, path: str, texts_per_file: int = FILE_TEXTS) -> None:
+    """Writes texts as flat token files: nothing but their ids, each text's ended by `SEPARATOR`.
 
-    A file is a run of rows of the same name, which may be null, within a partition. All ids are two higher than the vocabulary's, so no
-    text holds `SEPARATOR`, which follows each.
+    Every task writes its rows in their order, a new file after ``texts_per_file`` of them. All ids are two higher than
+    the vocabulary's, so no text holds the separator, which the writer puts after each row as its line end.
     """
-    source = df.select(file.cast("string").alias("file"), text.cast("string").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         encoder = library_encoder(path)
-        held: list[np.ndarray] = []
-        size = number = 0
-        name, started = None, False
-
-        def cut(all_of_it: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, size, number
-            flat = np.concatenate(held) if held else np.zeros(0, "<u4")
-            stop = len(flat) if all_of_it else len(flat) // block_tokens * block_tokens
-            parts = [flat[k : min(stop, k + block_tokens)] for k in range(0, stop, block_tokens)]
-            held, size = [flat[stop:]], len(flat) - stop
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(parts), pa.string()), pa.array(range(number, number + len(parts)), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["file", "block", "data"])
-            number += len(parts)
-
-        for batch in batches:
-            for key, value in zip(batch.column("file").to_pylist(), batch.column("text"), strict=True):
-                if not started or key != name:
-                    if started:
-                        yield from cut(True)
-                    name, started, held, size, number = key, True, [], 0, 0
-                ids = encoder.ids(value.as_py() or "") + np.uint32(2)
-                held += [ids, np.array([SEPARATOR], np.uint32)]
-                size += len(ids) + 1
-                if size >= 8 * block_tokens:
-                    yield from cut(False)
-        if started:
-            yield from cut(True)
-
-    return in_small_batches(source).mapInArrow(run, "file string, block long, data binary")
+
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            values = [(encoder.ids(t.as_py() or "") + np.uint32(2)).astype(TOKEN).tobytes() for t in batch.column("text")]
+            return pa.RecordBatch.from_arrays([pa.array(values, pa.binary())], ["value"])
+
+        return apply
+
+    tokens = map_batches(df.select(text.cast("string").alias("text")), make, "value binary")
+    ending = np.array([SEPARATOR], TOKEN).tobytes().decode("ascii")
+    tokens.select(F.col("value").cast("string")).write.option("lineSep", ending).option("maxRecordsPerFile", texts_per_file).text(folder)
+
+
+def token_blocks(spark: SparkSession, folder: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(file, block, data): the bytes of flat token files, cut in blocks wherever they fall.
+
+    A file is named by the numbers of the task and of the file in it, and read as a whole by one task.
+    """
+    size = block_tokens * TOKEN.itemsize
+    files = spark.read.format("binaryFile").load(folder)
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"^part-0*(\d+)-.*-c0*(\d+)\D*$", "$1-$2")
+    starts = F.when(F.col("length") > 0, F.sequence(F.lit(0).cast("long"), (F.col("length") - 1).cast("long"), F.lit(size).cast("long")))
+    parts = F.transform(starts, lambda at: F.substring("content", (at + 1).cast("int"), F.lit(size)))
+    return files.select(name.alias("file"), F.posexplode(parts).alias("block", "data"))
+
+
+def placed_texts(df: DataFrame, key: Column, texts_per_file: int = FILE_TEXTS) -> DataFrame:
+    """(key, file, nth): where `write_token_files` puts each row of ``df``, which must give its rows in the same order, as tables do."""
+    number = F.monotonically_increasing_id()
+    rows = df.select(key.alias("key"), F.shiftright(number, 33).alias("task"), number.bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
+    return rows.select("key", F.concat_ws("-", "task", F.floor(F.col("row") / texts_per_file)).alias("file"), (F.col("row") % texts_per_file).alias("nth"))
+
+
+def counted_texts(places: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(key, n_tokens, ended): the tokens of each text, without its separator, by its place in the files.
+
+    A place without a document, or a document without a place, is an error.
+    """
+    nth = F.row_number().over(Window.partitionBy("file").orderBy("start")) - 1
+    found = lengths.withColumn("nth", nth.cast("long"))
+    both = places.withColumn("placed", F.lit(True)).join(found, ["file", "nth"], "full_outer")
+    fits = F.col("placed") & F.col("ended")
+    tokens = F.when(F.coalesce(fits, F.lit(False)), F.col("n_tokens") - 1).otherwise(F.raise_error(F.concat(F.lit("texts and documents differ in file "), "file")).cast("long"))
+    return both.select("key", tokens.alias("n_tokens"), "ended")
 
 
 def op3_separator_scan(spark, sf_dir: str) -> DataFrame:
-    """All documents as flat token files, one per partition read, and each document's place and tokens found by scanning them."""
-    docs = table(spark, sf_dir, "documents").select("text")
-    blocks = token_blocks(docs, F.spark_partition_id(), F.col("text"), public_tokenizers.path(VOCABULARY))
-    scanned = checkpointed(scan_blocks(blocks, F.col("file"), F.col("block"), F.col("data")))
-    return document_lengths(scanned).select("file", "start", (F.col("n_tokens") - F.col("ended").cast("long")).alias("n_tokens"), "ended")
+    """All documents written as flat token files, and the tokens of each found by scanning them for separators."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    write_token_files(docs, F.col("text"), folder, public_tokenizers.path(VOCABULARY))
+    scanned = checkpointed(scan_blocks(token_blocks(spark, folder), F.col("file"), F.col("block"), F.col("data"), width=TOKEN.itemsize))
+    counted = counted_texts(placed_texts(docs, F.col("doc_id")), document_lengths(scanned))
+    return counted.select(F.col("key").alias("doc_id"), "n_tokens", "ended")

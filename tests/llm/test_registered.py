@@ -10,8 +10,8 @@ from meterglass.llm import langid, minhash, quality, queries
 
 CONTRACT = {
     "op1_language_id": {"doc_id", "held_out", "lang_pred", "score"},
-    "op2_telephony_audio": {"doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"},
-    "op3_separator_scan": {"file", "start", "n_tokens", "ended"},
+    "op2_telephony_audio": {"doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"},
+    "op3_separator_scan": {"doc_id", "n_tokens", "ended"},
     "op4_html_main_text": {"page_id", "url", "text", "n_chars"},
     "op5_quality": {"doc_id", "held_out", "score", "predicted"},
     "op6_vector_packing": {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"},
@@ -38,7 +38,7 @@ def test_query_equals_sql(spark, sf, name):
 
 
 def test_scanned_counts_are_those_of_the_encoder(spark, sf):
-    found, known = (sorted(r.n_tokens for r in entry.queries()[q](spark, sf).collect()) for q in ("op3_separator_scan", "op9_bpe_tree"))
+    found, known = (sorted((r.doc_id, r.n_tokens) for r in entry.queries()[q](spark, sf).collect()) for q in ("op3_separator_scan", "op9_bpe_tree"))
     assert found == known
 
 

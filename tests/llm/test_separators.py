@@ -2,6 +2,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from meterglass.llm import separators
 from meterglass.llm.bpe import VOCABULARY
@@ -39,24 +40,39 @@ def test_blocks_of_odd_rows(spark):
         separators.scan_blocks(spark.createDataFrame([("a", 0, bytearray(b"\1\0"))], "file string, block long, data binary"), F.col("file"), F.col("block"), F.col("data")).collect()
 
 
-def test_written_blocks_hold_every_text(spark, odd_documents, no_documents):
-    path = public_tokenizers.path(VOCABULARY)
-    blocks = separators.token_blocks(odd_documents.coalesce(1), F.lit("f"), F.col("text"), path, block_tokens=16)
-    assert sorted(r.block for r in blocks.collect()) == list(range(blocks.count()))
-    got = separators.document_lengths(separators.scan_blocks(blocks, F.col("file"), F.col("block"), F.col("data")))
-    assert got.where("ended").count() == odd_documents.count() and got.where("NOT ended").count() == 0
-    assert separators.token_blocks(no_documents, F.lit("f"), F.col("text"), path).count() == 0
+def test_written_files_hold_every_text(spark, tmp_path, odd_documents, no_documents):
+    path, folder = public_tokenizers.path(VOCABULARY), str(tmp_path / "tokens")
+    library = Tokenizer.from_file(path)
+    ids = lambda text: library.encode(text or "", add_special_tokens=False).ids
+    odd_documents.repartition(3).write.parquet(str(tmp_path / "table"))
+    df = spark.read.parquet(str(tmp_path / "table"))
+    separators.write_token_files(df, F.col("text"), folder, path, texts_per_file=2)
+    files = [np.frombuffer(f.read_bytes(), "<u2").tolist() for f in sorted((tmp_path / "tokens").glob("part-*"))]
+    assert len(files) > 3 and max(f.count(1) for f in files) == 2
+    assert sum(files, []).count(1) == odd_documents.count() and sum(len(f) for f in files) == sum(len(ids(r.text)) + 1 for r in odd_documents.collect())
+    # block boundaries fall within documents, and between the bytes that a block has
+    blocks = separators.token_blocks(spark, folder, block_tokens=5)
+    assert {r.file for r in blocks.select("file").distinct().collect()} == {f"{k}-{c}" for k, c in (tuple(map(int, (f.name.split("-")[1], f.stem.rsplit("-c", 1)[1]))) for f in (tmp_path / "tokens").glob("part-*") if f.stat().st_size)}
+    lengths = separators.document_lengths(separators.scan_blocks(blocks, F.col("file"), F.col("block"), F.col("data"), width=2))
+    by_file = sorted(sorted((r.start, r.n_tokens, r.ended) for r in lengths.collect() if r.file == name) for name in {r.file for r in lengths.select("file").distinct().collect()})
+    assert by_file == sorted(brute(f) for f in files if f)
+    got = separators.counted_texts(separators.placed_texts(df, F.struct("doc_id", "text"), texts_per_file=2), lengths).collect()
+    assert sorted((str(r.key.doc_id), r.n_tokens, r.ended) for r in got) == sorted((str(r.doc_id), len(ids(r.text)), True) for r in odd_documents.collect())
+    with pytest.raises(Exception, match="differ in file"):
+        separators.counted_texts(separators.placed_texts(df.limit(4), F.col("doc_id"), texts_per_file=2), lengths).collect()
+    separators.write_token_files(no_documents, F.col("text"), str(tmp_path / "none"), path)
+    assert separators.token_blocks(spark, str(tmp_path / "none")).count() == 0
 
 
 @pytest.mark.parametrize("group", [2, 4096])
 def test_a_file_without_a_name_keeps_its_texts(spark, monkeypatch, group):
     monkeypatch.setattr(separators, "GROUP_BLOCKS", group)
-    rows = [(name, f"text {k} of a file that has or has not a name") for name in ("a", None, "b") for k in range(9)]
-    df = spark.createDataFrame(rows, "file string, text string").coalesce(1)
-    blocks = separators.token_blocks(df, F.col("file"), F.col("text"), public_tokenizers.path(VOCABULARY), block_tokens=16)
-    scanned = separators.scan_blocks(blocks, F.col("file"), F.col("block"), F.col("data")).localCheckpoint()
-    got = separators.document_lengths(scanned).where("ended").collect()
-    places = lambda name: sorted((r.start, r.n_tokens) for r in got if r.file == name)
-    assert len(got) == len(rows) and len(places("a")) == 9 and places(None) == places("a") == places("b")
-    uncut = separators.scan_blocks(blocks, F.col("file"), F.col("block"), F.col("data"), separator=0)
-    assert sorted((r.file or "", r.start, r.ended) for r in separators.document_lengths(uncut).collect()) == [("", 0, False), ("a", 0, False), ("b", 0, False)]
+    rng = np.random.default_rng(1)
+    ids = rng.choice([1, 2, 3], 150, p=[0.1, 0.5, 0.4]).astype("<u4")
+    rows = [(name, k // 16, bytearray(ids[k : k + 16].tobytes())) for name in ("a", None, "b") for k in range(0, 150, 16)]
+    df = spark.createDataFrame(rows, "file string, block long, data binary").repartition(4)
+    got = separators.document_lengths(separators.scan_blocks(df, F.col("file"), F.col("block"), F.col("data"))).collect()
+    for name in ("a", None, "b"):
+        assert sorted((r.start, r.n_tokens, r.ended) for r in got if r.file == name) == brute(ids.tolist())
+    uncut = separators.document_lengths(separators.scan_blocks(df, F.col("file"), F.col("block"), F.col("data"), separator=0)).collect()
+    assert sorted((r.file or "", r.start, r.n_tokens, r.ended) for r in uncut) == [("", 0, 150, False), ("a", 0, 150, False), ("b", 0, 150, False)]
