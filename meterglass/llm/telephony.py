@@ -205,7 +205,7 @@ def decode_audio(df: DataFrame, media: Column, *keys: str, keep_pcm: bool = True
 
 
 def op2_telephony_audio(spark, sf_dir: str) -> DataFrame:
-    """Every document's bytes stored as mu-law WAV files, read back and decoded."""
+    """Every document's bytes stored as mu-law WAV files, read back, decoded and stored as resampled PCM (``pcm``)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stored = store_audio(docs, F.col("text"), "doc_id", codec="mulaw")
-    return decode_audio(stored, F.col("media"), "doc_id", "n_bytes", keep_pcm=False)
+    return decode_audio(stored, F.col("media"), "doc_id", "n_bytes")
