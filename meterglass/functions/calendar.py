@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The names of the presets.
 PRESETS = ("last7", "last30", "thismonth", "lastmonth", "all")
 #: Days that the earliest day lies back when there is no record.
 NO_RECORD_DAYS = 365

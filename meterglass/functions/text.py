@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Provider prefixes of routed model ids, stripped in this order.
+# Provider prefixes of routed model ids, stripped in this order.
 PREFIXES = ("us.anthropic.", "eu.anthropic.", "anthropic.", "anthropic/")
 
 

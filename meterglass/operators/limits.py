@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from meterglass.functions.text import human_duration, limit_label
 
+# The limits that come first, and below the kinds and their label texts.
 ORDER = ("five_hour", "seven_day")
 NUMERIC = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
 BUCKET = "key string, label string, used_percentage double, resets_at double, window_minutes double"

@@ -73,7 +73,7 @@ def limit_store(rows: DataFrame) -> DataFrame:
 
 
 def file_listing(spark: SparkSession, *paths: str, pattern: str = "*.jsonl") -> DataFrame:
-    """(path, size, modified) of all files whose names fit ``pattern``; their content is not read."""
+    """(path, size, modified) of all files whose names fit ``pattern``; their content is not read. Empty files are not listed."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(list(paths))
     return found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from meterglass.functions import text
 from meterglass.functions.calendar import day_end_us, day_start_us
 from meterglass.operators import limits, merge, pricing, rollout, series, windows
 from meterglass.operators.accounts import tag_accounts
+from meterglass.plans.report import ingest_counts
 from meterglass.sources import extract, lines, store
 from meterglass.streaming import usage as st
 
@@ -160,6 +162,34 @@ def test_newest_limit_snapshot_wins_and_ties_go_to_the_later(spark):
     assert {r.account: r.buckets for r in limits.latest_limits(df).collect()} == {"a": 28, "b": 2, "c": 2}
 
 
+RESPONSE = "provider string, account string, captured_at double, response long, raw string"
+
+
+def test_landed_responses_give_buckets_or_a_warning(spark):
+    item = lambda kind, p, **more: {"kind": kind, "percent": p, "resets_at": "2026-06-01T12:00:00Z", **more}
+    bodies = [
+        ("claude", {"limits": [item("session", 26), item("weekly_scoped", 35.5, scope={"model": {"id": "opus-x"}}), item("weekly_scoped", 4, scope={"surface": "web"}), item("odd_kind", 1), item("session", "no"), 3, item(None, True)]}),
+        ("claude", {"limits": [item("session", None)], "five_hour": {"utilization": 69, "resets_at": 1780315200}, "x": 1}),
+        ("claude", {"limits": [], "seven_day": {"utilization": None, "resets_at": 1}}), ("claude", [1]), ("claude", "not json {"), ("claude", None),
+        ("codex", {"rateLimitsByLimitId": {"std": {"limitName": "Std", "primary": {"usedPercent": 99, "windowDurationMins": 300, "resetsAt": 5}, "secondary": None}}}),
+        ("codex", {"rateLimits": {"individualLimit": {"usedPercent": 35, "resetsAt": 7}}}), ("codex", {"rateLimitsByLimitId": {"std": {}}, "rateLimits": {"primary": {"usedPercent": 1, "resetsAt": 1}}}),
+    ]
+    # all of one account and second: the response's id alone tells them apart
+    rows = [(p, "a", 100.0, k, b if b is None or isinstance(b, str) else json.dumps(b)) for k, (p, b) in enumerate(bodies)]
+    buckets, warnings = limits.landed_limits(spark.createDataFrame(rows, RESPONSE).repartition(3))
+    got = {}
+    for r in buckets.collect():
+        got.setdefault(r.response, {})[r.key] = (r.label, r.used_percentage, r.window_minutes)
+    assert got == {
+        0: {"session": ("5-HOUR", 26.0, None), "weekly_scoped": ("OPUS-X WEEKLY", 35.5, None), "weekly_scoped_2": ("WEB WEEKLY", 4.0, None), "odd_kind": ("ODD KIND", 1.0, None), "limit_6": ("LIMIT 6", 1.0, None)},
+        1: {"five_hour": (None, 69.0, None)}, 6: {"std_primary": ("STD 5-HOUR", 99.0, 300.0)}, 7: {"codex_individualLimit": ("INDIVIDUALLIMIT", 35.0, None)},
+    }
+    told = {r.response: r.warning for r in warnings.collect()}
+    assert set(told) == {2, 3, 4, 5, 8} and told[2] == "Claude returned no usable usage limits" and told[3] == told[4] == told[5] == "Claude returned an invalid usage response" and told[8].startswith("Codex returned no")
+    plan = buckets._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM")
+
+
 def test_limit_expiry(spark):
     df = spark.createDataFrame([(70.0, 1000.0), (70.0, 2000.0)], "used_percentage double, resets_at double")
     got = [(r.shown_percentage, r.note) for r in limits.limit_status(df, F.lit(1000)).orderBy("resets_at").collect()]
@@ -187,6 +217,80 @@ def test_first_enabled_root_wins(spark):
     assert {r.path: r.account for r in tag_accounts(files, F.col("path"), roots, "none").collect()} == {"/d/x/f": "one", "/d/f": "two", "/dd/f": "none"}
 
 
+def test_roots_of_all_depths(spark):
+    roots = spark.createDataFrame([(f"r{k}", path, "config", path != "/off", k) for k, path in enumerate(["/a/b/c", "/a/", "/a/b", "/x y", "/off", "/a/b/c/d/e", "/a/b/c"])], "label string, path string, source string, enabled boolean, root_rank int")
+    paths = ["/a/b/c/f", "/a/b/f", "/a/f", "/a", "/a/b/c/d/e/f/g", "/x y/f", "/off/f", "/ab/f", "f", "", None]
+    got = {r.path: r.account for r in tag_accounts(spark.createDataFrame([(p,) for p in paths], "path string"), F.col("path"), roots, "none").collect()}
+    assert got == dict(zip(paths, ["r0", "r1", "r1", "none", "r0", "r3", "none", "none", "none", "none", "none"], strict=True))
+    assert tag_accounts(spark.createDataFrame([("/a/f",)], "path string"), F.col("path"), roots.limit(0), "none").first()["account"] == "none"
+
+
+def test_models_before_and_after_markers(spark):
+    rows = [("f", k, m) for k, m in enumerate([None, None, "a", None, "b", None])] + [("g", k, None) for k in range(3)] + [("h", 0, "c"), ("h", 1, None)]
+    got = rollout.attribute_models(spark.createDataFrame(rows, "file string, ord long, marker string").repartition(4), F.col("marker"))
+    assert [r.model_raw for r in got.orderBy("file", "ord").collect()] == ["a", "a", "a", "a", "b", "b", *["codex-unattributed"] * 3, "c", "c"]
+
+
+def test_attribution_of_a_long_file_is_linear(spark):
+    events = spark.range(300_000).select(F.lit("f").alias("file"), F.col("id").alias("ord"), F.when(F.col("id") == 299_999, "late").alias("marker"))
+    start = time.monotonic()
+    assert rollout.attribute_models(events, F.col("marker")).where("model_raw = 'late'").count() == 300_000
+    assert time.monotonic() - start < 60
+
+
+def test_facts_are_made_again_only_for_other_dimensions(spark, tmp_path):
+    prices, roots = pricing.default_prices(spark), spark.createDataFrame([("a", "/a")], "label string, path string")
+    made = []
+
+    def make():
+        made.append(1)
+        return merge.merge_usage(spark.createDataFrame([line(0, T, "r", "m", (1, 2, 3, 4))], LINE))
+
+    path = str(tmp_path / "store")
+    runs = [store.refresh_facts(make, path, *dims) for dims in ((prices, roots), (prices.orderBy("model"), roots), (prices.where("input > 1"), roots), (prices.where("input > 1"), roots.withColumn("path", F.lit("/b"))))]
+    assert runs == [True, False, True, True] and len(made) == 3
+    assert store.read_facts(spark, f"{path}/facts").count() == 1
+
+
+def claude_text(n, ts="2026-06-01T10:00:00Z", key=0, **more):
+    return json.dumps({"type": "assistant", "requestId": f"r{key}", "timestamp": ts, "message": {"id": f"m{key}", "model": "claude-opus-4-8", "usage": {"input_tokens": n}}, **more})
+
+
+def test_streamed_log_text_equals_a_batch_scan_and_a_moved_file_counts_once(spark, tmp_path):
+    landing, folder = tmp_path / "landing", str(tmp_path / "stream")
+    (landing / "active").mkdir(parents=True)
+    chunks = [[claude_text(5, "bad", 1), claude_text(7, key=1), "", "{broken \"usage\" assistant"], [claude_text(9, "bad", 1), claude_text(1, key=2), '{"type": "user"}'], [claude_text(3, key=1), claude_text(4, key=3)]]
+
+    def ingest():
+        stream = st.line_stream(spark, str(landing), files_per_trigger=1, by_name=True)
+        st.run_updates(stream, folder, st.ingest_lines(spark, f"{folder}/log", f"{folder}/facts"), "append")
+        return sorted(r.input_tokens for r in st.newest(spark, f"{folder}/facts", *st.MERGE_KEY).collect())
+
+    seen = []
+    for k, rows in enumerate(chunks):
+        (landing / "active" / f"chunk-{k}.jsonl").write_text("\n".join(rows) + "\n")
+        seen.append(ingest())
+    assert seen == [[7], [1, 9], [1, 4, 9]]
+    (landing / "archive").mkdir()
+    for f in (landing / "active").iterdir():
+        f.rename(landing / "archive" / f.name)
+    assert ingest() == [1, 4, 9]
+    scanned = lines.parsed(lines.scan_lines(spark, str(landing)))
+    batch = merge.merge_usage(extract.usage_lines(scanned).withColumns({"account": F.lit("a"), "provider": F.lit("claude")}))
+    assert sorted(r.input_tokens for r in batch.collect()) == [1, 4, 9]
+
+
+def test_ingest_counts(spark, tmp_path):
+    token = json.dumps({"timestamp": "2026-06-01T10:00:00Z", "type": "event_msg", "payload": {"type": "token_count", "info": {"last_token_usage": {"input_tokens": 5}}}})
+    for folder, name, rows in (("active", "a", [claude_text(1, key=1), claude_text(2, key=1), claude_text(3, "bad", 9), "assistant \"usage\"", "  ", "other"]), ("archive", "b", [claude_text(4, key=1), token, '{"type": "turn_context", "payload": {"model": "x"}}'])):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / f"{name}.jsonl").write_text("\n".join(rows) + "\n" + claude_text(50, key=50))
+    (tmp_path / "archive" / "empty.jsonl").write_text("")
+    # an account's active and archived folders are read together; empty files are not listed
+    got = ingest_counts(spark, [str(tmp_path / "active"), str(tmp_path / "archive")]).first().asDict()
+    assert got == {"files": 2, "lines_read": 5, "records": 2, "duplicates": 2, "malformed": 1}
+
+
 def test_partitioning_changes_nothing(spark):
     rows = [line(k, T if k % 3 else None, f"r{k % 5}", f"m{k % 5}", (k, k * 2 % 7, k % 4, k)) for k in range(60)]
     df = spark.createDataFrame(rows, LINE)

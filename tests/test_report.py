@@ -25,6 +25,18 @@ def test_report_over_two_providers(spark, tmp_path):
     assert {r.window: r.records for r in tables["windows"].collect()} == {"1h": 1, "5h": 3, "24h": 3, "7d": 3, "all": 3}
     assert [r.account for r in tables["accounts"].collect()] == ["work", "win", "idle"]
     assert tables["models"].where("is_total = 1 AND window = 'all'").first()["records"] == 3
-    assert tables["unknown_models"].count() == 0 and tables["providers"].first()["has_codex"]
+    assert tables["unknown_models"].count() == 0 and tables["providers"].first()["has_codex"] and not tables["providers"].first()["has_limits"]
+    assert [r.coverage for r in tables["windows"].collect()] == [1.0] * 5
+    captures = limits.latest_limits(snapshots)
+    owners = accounts.select("provider", "account", F.when(F.col("provider") == "claude", 0).otherwise(1).alias("provider_rank"), F.lit(0).alias("root_rank"))
+    whole = usage_report(facts, pricing.default_prices(spark), now, owners, captures=captures, days=("2026-05-31", "2026-06-02", "UTC"))
+    assert [(r.account, r.label, r.shown_percentage) for r in whole["limits"].collect()] == [("win", "WIN 5-HOUR", 0.0)] and whole["providers"].first()["has_limits"]
+    assert [r.records for r in whole["range_days"].collect()] == [0, 3, 0] and whole["range"].first()["active_days"] == 1 and whole["range"].first()["n_days"] == 3
+    assert [r.name for r in whole["range_models"].collect()] == ["Opus 4.8", "gpt-5.5"]
+    # one account's report has no table of accounts; an unknown scope is that of all
+    scoped = usage_report(facts, pricing.default_prices(spark), now, owners, scope="work")
+    assert scoped["accounts"].count() == 0 and scoped["windows"].where("window = 'all'").first()["records"] == 2
+    assert usage_report(facts, pricing.default_prices(spark), now, owners, scope="nobody")["accounts"].count() == 3
+    assert usage_report(facts, pricing.default_prices(spark), now, owners.where("account = 'work'"))["accounts"].count() == 0
     held = limits.latest_limits(snapshots).first()
     assert held.account == "win" and [(b.key, b.used_percentage) for b in held.buckets] == [("codex_primary", 12.5)]
