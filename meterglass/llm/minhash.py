@@ -166,7 +166,7 @@ def keep_one(df: DataFrame, doc_id: Column, text: Column, words: int = WORDS, pe
 
     Where rows repeat a doc_id, all of them stay.
     """
-    gone = near_duplicates(df, doc_id, text, words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("own_id"))
+    gone = near_duplicates(df, doc_id, text, words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("own_id")).distinct()
     packed = df.select(doc_id.cast("long").alias("own_id"), F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"))
     return matched(packed, "own_id", checkpointed(gone), "left_anti").select("row.*")
 

@@ -15,6 +15,8 @@ keys, are written and counted as often as they occur.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import public_tokenizers
@@ -157,11 +159,26 @@ def counted_texts(places: DataFrame, lengths: DataFrame) -> DataFrame:
     return both.select("key", tokens.alias("n_tokens"), "ended")
 
 
+@contextmanager
+def same_splits(spark: SparkSession) -> Iterator[None]:
+    """Within it tables are split alike each time they are read, also when executors come or go in between."""
+    name = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, before or spark.sparkContext.defaultParallelism)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+
+
 def op3_separator_scan(spark, sf_dir: str) -> DataFrame:
     """All documents written as flat token files, and the tokens of each found by scanning them for separators."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    write_token_files(docs, F.col("text"), folder, public_tokenizers.path(VOCABULARY))
+    with same_splits(spark):
+        write_token_files(docs, F.col("text"), folder, public_tokenizers.path(VOCABULARY))
+        places = checkpointed(placed_texts(docs, F.col("doc_id")))
     scanned = checkpointed(scan_blocks(token_blocks(spark, folder), F.col("file"), F.col("block"), F.col("data"), width=TOKEN.itemsize))
-    counted = counted_texts(placed_texts(docs, F.col("doc_id")), document_lengths(scanned))
+    counted = counted_texts(places, document_lengths(scanned))
     return counted.select(F.col("key").alias("doc_id"), "n_tokens", "ended")
