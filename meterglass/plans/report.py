@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meterglass.functions import text
 from meterglass.operators import limits, merge, pricing, rollout, series, windows
-from meterglass.operators.accounts import MOST_ROOTS, tag_accounts
+from meterglass.operators.accounts import tag_accounts
 from meterglass.sources import extract
 from meterglass.sources.lines import ingest_quality, parsed, prefilter, scan_lines
 from meterglass.sources.store import file_listing
@@ -51,15 +51,15 @@ def usage_report(
     there are at least two. ``captures`` (account, captured_at, buckets) adds the limits, and ``days`` (first, last and
     time zone) the tables of a date range.
     """
-    names = [r["account"] for r in accounts.select("account").limit(MOST_ROOTS).collect()]
+    known = scope != "all" and not accounts.where(F.col("account") == scope).isEmpty()
     every = pricing.price_facts(facts, prices)
-    priced = windows.scoped(every, scope, names)
+    priced = windows.scoped(every, scope, [scope] if known else [])
     activity = series.activity_series(priced, now_us, window, metric)
     totals = windows.rolling_windows(priced, now_us)
     labels = [text.pretty_model(F.col("model_norm")).alias("name"), text.human_tokens(F.col("total_tokens")).alias("tokens_label"), text.cost_label(F.col("cost"), F.col("unpriced_tokens")).alias("cost_label")]
     by_cost = [F.desc("cost"), F.desc("total_tokens")]
     rollup = windows.by_account(every, accounts.select("provider", "account"), now_us, window)
-    shown = (F.count("*").over(Window.partitionBy()) >= 2) & F.lit(scope == "all" or scope not in names)
+    shown = (F.count("*").over(Window.partitionBy()) >= 2) & F.lit(not known)
     tables = {
         "windows": totals.withColumn("coverage", windows.coverage(F.col("unpriced_tokens"), F.col("total_tokens"))),
         "models": windows.model_rollup(priced, now_us).select("*", *labels).orderBy("window", "is_total", *by_cost, "model_norm"),

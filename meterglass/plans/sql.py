@@ -1,6 +1,8 @@
 """DuckDB SQL for the registered queries, over the driver's tables."""
 
-from meterglass.operators.pricing import ALIASES, DEFAULT_PRICES
+import json
+
+from meterglass.operators.pricing import ALIASES, DEFAULT_PRICES, RATE_NAMES
 
 PRICES = ", ".join("(" + ", ".join("NULL::DOUBLE" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE" for v in row) + ")" for row in [*DEFAULT_PRICES, *[(alias, *row[1:]) for alias, name in ALIASES.items() for row in DEFAULT_PRICES if row[0] == name]])
 
@@ -145,6 +147,10 @@ SQL |= {
     "stream_watermark": q(f"""SELECT ts_us // 86400000000 * 86400000000 AS start_us, {COST} AS cost, sum(total_tokens)::BIGINT AS total_tokens, count(*) AS records FROM priced
   WHERE ord % 3 <> 0 OR (ts_us // 86400000000 + 1) * 86400000000 > (SELECT max(ts_us) // 1000 * 1000 - 172800000000 FROM priced WHERE ord % 3 = 1) GROUP BY 1"""),
 }
+# the rows of a dimension as JSON, digested one by one and then together in the order of their digests
+PRICE_ROWS = ", ".join("('{" + ",".join(f'"{c}":{json.dumps(v)}' for c, v in sorted(zip(["model", *RATE_NAMES], row, strict=True))) + "}')" for row in DEFAULT_PRICES)
+SQL["dim_fingerprint"] = f"""WITH {LINES.strip()}, dims(dim, j) AS (SELECT 0, j FROM (VALUES {PRICE_ROWS}) v(j) UNION ALL SELECT DISTINCT 1, '{{"account":"' || account || '","provider":"' || provider || '"}}' FROM lines)
+  SELECT dim, sha256(string_agg(sha256(j), ',' ORDER BY sha256(j))) AS digest FROM dims GROUP BY dim"""
 LIMITS = "src AS (SELECT 'e' || event_id AS account, (epoch_us(CAST(ts AS TIMESTAMP)) // 1000000)::DOUBLE AS captured_at, event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"
 NAMES = "used_percentage, resets_at, window_minutes"
 
