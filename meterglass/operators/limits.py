@@ -12,13 +12,14 @@ from meterglass.functions.text import human_duration, limit_label
 
 # The limits that come first, and below the kinds and their label texts.
 ORDER = ("five_hour", "seven_day")
-NUMERIC = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
+NUMERIC = ("BIGINT", "DOUBLE", "FLOAT")
 BUCKET = "key string, label string, used_percentage double, resets_at double, window_minutes double"
 
 
 def number(value: Column, kind: str = "double") -> Column:
     """A JSON number (or truth value) of a variant; null for anything else."""
-    return F.when(F.schema_of_variant(value).rlike(NUMERIC), F.try_variant_get(value, "$", kind)).when(F.schema_of_variant(value) == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("int").cast(kind))
+    found = F.schema_of_variant(value)
+    return F.when(found.isin(*NUMERIC) | found.startswith("DECIMAL"), F.try_variant_get(value, "$", kind)).when(found == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("int").cast(kind))
 
 
 def is_object(value: Column) -> Column:
@@ -40,6 +41,11 @@ def part(value: Column, path: str) -> Column:
     return F.try_variant_get(value, path, "variant")
 
 
+def once(df: DataFrame, column: Column, name: str) -> DataFrame:
+    """``df`` with a column that is computed once a row, however often it is used: what a generator gives is not inlined."""
+    return df.select("*", F.explode(F.array(column)).alias(name))
+
+
 def limits_from_list(responses: DataFrame) -> DataFrame:
     """Buckets of responses (account, captured_at, body variant, and columns that identify one) of the first shape.
 
@@ -47,20 +53,23 @@ def limits_from_list(responses: DataFrame) -> DataFrame:
     any such row gives those of its members that have a utilization. All of it stays within the row of the response,
     so nothing is shuffled and two responses of one account and time are never mixed.
     """
-    items = F.when(F.schema_of_variant(part(F.col("body"), "$.limits")).startswith("ARRAY"), F.try_variant_get("body", "$.limits", "array<variant>"))
+    bodies = once(responses, F.col("body"), "_body")
+    items = F.when(F.schema_of_variant(part(F.col("_body"), "$.limits")).startswith("ARRAY"), F.try_variant_get("_body", "$.limits", "array<variant>"))
 
     def bucket(item: Column, at: Column) -> Column:
         kind = F.coalesce(F.nullif(F.when(is_object(item), F.try_variant_get(item, "$.kind", "string")), F.lit("")), F.concat(F.lit("limit_"), at))
-        model = F.coalesce(*[F.nullif(text(part(item, f"$.scope.{p}")), F.lit("")) for p in ("model.display_name", "model.id", "surface")], F.lit("SCOPED"))
-        label = F.when(kind == "session", "5-HOUR").when(kind == "weekly_all", "WEEKLY").when(kind == "weekly_scoped", F.upper(F.concat(model, F.lit(" WEEKLY")))).otherwise(F.upper(F.replace(kind, F.lit("_"), F.lit(" "))))
-        fit = is_object(item)
-        return F.struct(kind.alias("kind"), at.cast("string").alias("at"), label.alias("label"), F.when(fit, number(part(item, "$.percent"))).alias("used_percentage"), F.when(fit, epoch(part(item, "$.resets_at"))).alias("resets_at"))
+        return F.struct(kind.alias("kind"), at.cast("string").alias("at"), item.alias("item"), number(part(item, "$.percent")).alias("used_percentage"), epoch(part(item, "$.resets_at")).alias("resets_at"))
+
+    def label(b: Column) -> Column:
+        scope = lambda p: F.nullif(text(part(b["item"], f"$.scope.{p}")), F.lit(""))
+        model = F.coalesce(*map(scope, ("model.display_name", "model.id", "surface")), F.lit("SCOPED"))
+        return F.when(b["kind"] == "session", "5-HOUR").when(b["kind"] == "weekly_all", "WEEKLY").when(b["kind"] == "weekly_scoped", F.upper(F.concat(model, F.lit(" WEEKLY")))).otherwise(F.upper(F.replace(b["kind"], F.lit("_"), F.lit(" "))))
 
     complete = lambda b: b["used_percentage"].isNotNull() & b["resets_at"].isNotNull()
-    listed = responses.withColumn("_listed", F.filter(F.transform(items, bucket), complete))
+    listed = once(bodies, F.filter(F.transform(items, bucket), complete), "_listed")
     taken = lambda b, k: F.exists(F.slice("_listed", F.lit(1), k), lambda x: x["kind"] == b["kind"])
-    named = F.transform("_listed", lambda b, k: F.struct(F.when(taken(b, k), F.concat_ws("_", b["kind"], b["at"])).otherwise(b["kind"]).alias("key"), b["label"].alias("label"), b["used_percentage"].alias("used_percentage"), b["resets_at"].alias("resets_at")))
-    entries = F.map_entries(F.when(is_object(F.col("body")), F.try_variant_get("body", "$", "map<string,variant>")))
+    named = F.transform("_listed", lambda b, k: F.struct(F.when(taken(b, k), F.concat_ws("_", b["kind"], b["at"])).otherwise(b["kind"]).alias("key"), label(b).alias("label"), b["used_percentage"].alias("used_percentage"), b["resets_at"].alias("resets_at")))
+    entries = F.map_entries(F.when(is_object(F.col("_body")), F.try_variant_get("_body", "$", "map<string,variant>")))
     member = lambda e: F.struct(e["key"].alias("key"), F.lit(None).cast("string").alias("label"), F.when(is_object(e["value"]), number(part(e["value"], "$.utilization"))).alias("used_percentage"), F.when(is_object(e["value"]), epoch(part(e["value"], "$.resets_at"))).alias("resets_at"))
     members = F.filter(F.transform(entries, member), complete)
     rows = listed.withColumn("_rows", F.when(F.size("_listed") > 0, named).otherwise(members))
@@ -74,16 +83,17 @@ def identity(responses: DataFrame) -> list[str]:
 
 def limits_from_map(responses: DataFrame) -> DataFrame:
     """Buckets of responses of the second shape: limits by id (or a single one), each with up to three windows."""
-    by_id = part(F.col("body"), "$.rateLimitsByLimitId")
-    many = F.when(is_object(by_id), F.try_variant_get("body", "$.rateLimitsByLimitId", "map<string,variant>"))
-    one = F.when(is_object(part(F.col("body"), "$.rateLimits")), F.create_map(F.lit("codex"), part(F.col("body"), "$.rateLimits")))
-    limits = responses.select(*identity(responses), F.explode(F.when(F.size(many) > 0, many).otherwise(one)).alias("id", "limit")).where(is_object(F.col("limit")))
+    bodies = once(responses, F.col("body"), "_body")
+    by_id, single = part(F.col("_body"), "$.rateLimitsByLimitId"), part(F.col("_body"), "$.rateLimits")
+    many = F.when(is_object(by_id), F.try_variant_get("_body", "$.rateLimitsByLimitId", "map<string,variant>"))
+    one = F.when(is_object(single), F.create_map(F.lit("codex"), single))
+    limits = bodies.select(*identity(responses), F.explode(F.when(F.size(many) > 0, many).otherwise(one)).alias("id", "limit")).where(is_object(F.col("limit")))
+    name = F.nullif(text(part(F.col("limit"), "$.limitName")), F.lit(""))
     slots = F.array(*[F.struct(F.lit(s).alias("slot"), part(F.col("limit"), f"$.{s}").alias("w")) for s in ("primary", "secondary", "individualLimit")])
-    windows = limits.select(*identity(responses), "id", text(part(F.col("limit"), "$.limitName")).alias("name"), F.inline(slots)).where(is_object(F.col("w")))
-    minutes = number(part(F.col("w"), "$.windowDurationMins"))
-    label = F.upper(F.concat_ws(" ", F.nullif(F.col("name"), F.lit("")), limit_label(minutes, F.col("slot"))))
-    rows = windows.select(*identity(responses), F.concat_ws("_", "id", "slot").alias("key"), label.alias("label"), number(part(F.col("w"), "$.usedPercent")).alias("used_percentage"), epoch(part(F.col("w"), "$.resetsAt")).alias("resets_at"), minutes.alias("window_minutes"))
-    return rows.where("used_percentage IS NOT NULL AND resets_at IS NOT NULL")
+    windows = F.filter(F.transform(slots, lambda s: F.struct(s["slot"].alias("slot"), number(part(s["w"], "$.usedPercent")).alias("used_percentage"), epoch(part(s["w"], "$.resetsAt")).alias("resets_at"), number(part(s["w"], "$.windowDurationMins")).alias("window_minutes"))), lambda b: b["used_percentage"].isNotNull() & b["resets_at"].isNotNull())
+    rows = limits.select(*identity(responses), "id", name.alias("name"), F.inline(windows))
+    label = F.upper(F.concat_ws(" ", "name", limit_label(F.col("window_minutes"), F.col("slot"))))
+    return rows.select(*identity(responses), F.concat_ws("_", "id", "slot").alias("key"), label.alias("label"), "used_percentage", "resets_at", "window_minutes")
 
 
 def landed_limits(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,7 +102,7 @@ def landed_limits(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     Responses of provider 'claude' have the first shape, others the second. A response that is no object, or gives no
     bucket, has a warning row (provider, account, captured_at, response, warning) instead.
     """
-    bodies = responses.withColumn("body", F.try_parse_json("raw")).drop("raw")
+    bodies = once(responses, F.try_parse_json("raw"), "body").drop("raw")
     first, second = F.col("provider") == "claude", F.coalesce(F.col("provider") != "claude", F.lit(True))
     buckets = limits_from_list(bodies.where(first)).unionByName(limits_from_map(bodies.where(second)))
     found = limits_found(F.col("provider"), F.col("body"))
