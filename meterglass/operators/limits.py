@@ -16,9 +16,9 @@ NUMERIC = ("BIGINT", "DOUBLE", "FLOAT")
 BUCKET = "key string, label string, used_percentage double, resets_at double, window_minutes double"
 
 
-def number(value: Column, kind: str = "double") -> Column:
-    """A JSON number (or truth value) of a variant; null for anything else."""
-    found = F.schema_of_variant(value)
+def number(value: Column, kind: str = "double", found: Column | None = None) -> Column:
+    """A JSON number (or truth value) of a variant; null for anything else. ``found`` is its schema, where that is known."""
+    found = F.schema_of_variant(value) if found is None else found
     return F.when(found.isin(*NUMERIC) | found.startswith("DECIMAL"), F.try_variant_get(value, "$", kind)).when(found == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("int").cast(kind))
 
 
@@ -26,15 +26,15 @@ def is_object(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
 
 
-def text(value: Column) -> Column:
-    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+def text(value: Column, found: Column | None = None) -> Column:
+    return F.when((F.schema_of_variant(value) if found is None else found) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
-def epoch(value: Column) -> Column:
+def epoch(value: Column, found: Column | None = None) -> Column:
     """Seconds since the epoch of a JSON number or an ISO timestamp (without zone: UTC)."""
-    written = text(value)
+    written = text(value, found)
     iso = F.when(written.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?(Z|[+-]\d{2}:?\d{2})?$"), F.unix_micros(F.try_to_timestamp(written)) / 1e6)
-    return F.coalesce(number(value), iso)
+    return F.coalesce(number(value, found=found), iso)
 
 
 def part(value: Column, path: str) -> Column:
@@ -56,9 +56,15 @@ def limits_from_list(responses: DataFrame) -> DataFrame:
     bodies = once(responses, F.col("body"), "_body")
     items = F.when(F.schema_of_variant(part(F.col("_body"), "$.limits")).startswith("ARRAY"), F.try_variant_get("_body", "$.limits", "array<variant>"))
 
-    def bucket(item: Column, at: Column) -> Column:
-        kind = F.coalesce(F.nullif(F.when(is_object(item), F.try_variant_get(item, "$.kind", "string")), F.lit("")), F.concat(F.lit("limit_"), at))
-        return F.struct(kind.alias("kind"), at.cast("string").alias("at"), item.alias("item"), number(part(item, "$.percent")).alias("used_percentage"), epoch(part(item, "$.resets_at")).alias("resets_at"))
+    # a lambda computes what it repeats again, so parts, their schemas and their values follow in steps
+    def parts(item: Column, at: Column) -> Column:
+        return F.struct(at.cast("string").alias("at"), item.alias("item"), part(item, "$.percent").alias("p"), part(item, "$.resets_at").alias("r"), part(item, "$.kind").alias("k"))
+
+    def schemas(b: Column) -> Column:
+        return F.struct(*[b[n].alias(n) for n in ("at", "item", "p", "r")], F.nullif(F.try_variant_get(b["k"], "$", "string"), F.lit("")).alias("k"), F.schema_of_variant(b["p"]).alias("ps"), F.schema_of_variant(b["r"]).alias("rs"))
+
+    def bucket(b: Column) -> Column:
+        return F.struct(F.coalesce(b["k"], F.concat(F.lit("limit_"), b["at"])).alias("kind"), b["at"].alias("at"), b["item"].alias("item"), number(b["p"], found=b["ps"]).alias("used_percentage"), epoch(b["r"], b["rs"]).alias("resets_at"))
 
     def label(b: Column) -> Column:
         scope = lambda p: F.nullif(text(part(b["item"], f"$.scope.{p}")), F.lit(""))
@@ -66,7 +72,7 @@ def limits_from_list(responses: DataFrame) -> DataFrame:
         return F.when(b["kind"] == "session", "5-HOUR").when(b["kind"] == "weekly_all", "WEEKLY").when(b["kind"] == "weekly_scoped", F.upper(F.concat(model, F.lit(" WEEKLY")))).otherwise(F.upper(F.replace(b["kind"], F.lit("_"), F.lit(" "))))
 
     complete = lambda b: b["used_percentage"].isNotNull() & b["resets_at"].isNotNull()
-    listed = once(bodies, F.filter(F.transform(items, bucket), complete), "_listed")
+    listed = once(bodies, F.filter(F.transform(F.transform(F.transform(items, parts), schemas), bucket), complete), "_listed")
     taken = lambda b, k: F.exists(F.slice("_listed", F.lit(1), k), lambda x: x["kind"] == b["kind"])
     named = F.transform("_listed", lambda b, k: F.struct(F.when(taken(b, k), F.concat_ws("_", b["kind"], b["at"])).otherwise(b["kind"]).alias("key"), label(b).alias("label"), b["used_percentage"].alias("used_percentage"), b["resets_at"].alias("resets_at")))
     entries = F.map_entries(F.when(is_object(F.col("_body")), F.try_variant_get("_body", "$", "map<string,variant>")))
