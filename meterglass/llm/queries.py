@@ -4,15 +4,18 @@ import corpus_pipeline
 from meterglass.llm.bpe import op9_bpe_tree
 from meterglass.llm.html_text import op4_html_main_text
 from meterglass.llm.langid import op1_language_id
+from meterglass.llm.licenses import op11_license_scan, scan_sql
+from meterglass.llm.merkle import manifest_sql, op12_merkle_manifest
 from meterglass.llm.minhash import op10_minhash
 from meterglass.llm.packing import op6_vector_packing
+from meterglass.llm.periodic import op13_periodic_runs
 from meterglass.llm.quality import op5_quality
 from meterglass.llm.rabitq import op8_rotated_codes
 from meterglass.llm.separators import op3_separator_scan
 from meterglass.llm.telephony import op2_telephony_audio
 from meterglass.llm.toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_telephony_audio, op3_separator_scan, op4_html_main_text, op5_quality, op6_vector_packing, op7_toxicity, op8_rotated_codes, op9_bpe_tree, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_telephony_audio, op3_separator_scan, op4_html_main_text, op5_quality, op6_vector_packing, op7_toxicity, op8_rotated_codes, op9_bpe_tree, op10_minhash, op11_license_scan, op12_merkle_manifest, op13_periodic_runs)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 VECTORS = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -32,7 +35,7 @@ reach(n, c) AS (SELECT doc_id, doc_id FROM sets UNION SELECT l.w, r.c FROM reach
 least AS (SELECT n, min(c) AS c FROM reach GROUP BY n)
 SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, least.c AS component_id, least.c = sets.doc_id AS kept FROM sets JOIN least ON least.n = sets.doc_id"""
 
-#: Both read whole tables pair by pair, which is fit for the small tables of the SQL check only.
-SQL: dict[str, str] = {"op8_rotated_codes": VECTORS, "op10_minhash": SHINGLES}
+#: The first two read whole tables pair by pair, which is fit for the small tables of the SQL check only.
+SQL: dict[str, str] = {"op8_rotated_codes": VECTORS, "op10_minhash": SHINGLES, "op11_license_scan": scan_sql(), "op12_merkle_manifest": manifest_sql()}
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
