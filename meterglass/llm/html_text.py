@@ -7,12 +7,13 @@ for the container that holds most of it: the article, or else the main element,
 there is none, the deepest container with that share, and from there its parents while what they add is mostly text
 of the upper cluster. The blocks of that region are the main text, so short paragraphs and headlines inside it stay.
 Elements that never hold an article (menus, footers, forms, scripts, adverts, comments,
-notices, by tag or by the words of class, id and role) give no lines at all. Within article and main a word decides
-only as a whole class name or role; a block with it as a part of a class, or in its id, goes only where most of its
+notices, hidden ones, by tag or by the words of class, id and role) give no lines at all. Within article and main hidden
+elements and formulas stay, and a word decides only as a whole class name or role; a block with it as a part of a class, or in its id, goes only where most of its
 text is links, unless it names reader comments. Lists of links stay there.
 
-Null or empty html, and pages without text, give the empty text. Marked sections are comments, and a comment or tag that
-the page's end cuts off is none of the text. Work grows with a page's length, however deep it nests. Character references are decoded, white space within
+Null or empty html, and pages without text, give the empty text. Comments begin and end where the parser is in text, as in
+browsers, so none begins in a script, a style, an attribute, a textarea or a title. Marked sections are comments, and a
+comment or tag that the page's end cuts off is none of the text. Work grows with a page's length, however deep it nests. Character references are decoded, white space within
 a block becomes one space, blocks are joined by one space in page order. Repeated rows give repeated rows.
 """
 
@@ -41,7 +42,7 @@ ADDED_SHARE = 0.5
 ARTICLE_WEIGHT = 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("head title nav footer aside form script style noscript template iframe object canvas svg math select button textarea dialog menu audio video map datalist".split())
+NEVER = frozenset("head title nav footer aside form script style noscript template iframe object canvas svg select button textarea dialog menu audio video map datalist annotation annotation-xml".split())
 BLOCKS = frozenset("html body address article aside blockquote br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("html body article main section div td blockquote".split())
 #: An opening tag of these closes an open p.
@@ -50,6 +51,10 @@ ENDS_P = BLOCKS - {"br", "html", "body", "td", "th", "tr", "tbody", "thead", "tf
 EDGES = frozenset("article section div td body li p".split())
 DOCTYPE = re.compile(r"\A\s*<!doctype[^>\[]*\[[^\]]*\]\s*>", re.I)
 CUT_TAG = re.compile(r"<[a-z/!?]", re.I)
+#: How a comment ends; one may be empty before it has really begun.
+COMMENT_END, EMPTY_COMMENT = re.compile("--!?>"), re.compile("<!---?>")
+#: Elements whose content is text up to their end tag. The last two count as such only where that comes.
+RAW, RAW_IF_ENDED = ("script", "style"), ("textarea", "title")
 UNWANTED = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notification|alert|popup|pop-up|modal|overlay|newsletter|subscri\w+|signup"
     r"|share|sharing|social|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|footer|foot|masthead|topbar|toolbar|comments?|commentlist|respond|reply|replies|disqus"
@@ -105,6 +110,7 @@ class Lines(HTMLParser):
         self.lines: list[Line] = []
         self.sums = [(0, 0)]  # characters, and those in links, of the first lines
         self.doubts: list[int] = []  # where the lines of each open doubtful block begin
+        self.last_ends: dict[str, int] = {}  # where the last end tag of each element of `RAW_IF_ENDED` is
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -114,6 +120,23 @@ class Lines(HTMLParser):
             self.tags = self.link_chars = 0
         self.parts = []
 
+    CDATA_CONTENT_ELEMENTS = RAW + RAW_IF_ENDED
+
+    def parse_starttag(self, i: int) -> int:
+        end = super().parse_starttag(i)
+        name = self.cdata_elem
+        if name in RAW_IF_ENDED:
+            if name not in self.last_ends:
+                self.last_ends[name] = max((m.start() for m in re.finditer(rf"</\s*{name}\s*>", self.rawdata, re.I)), default=-1)
+            if self.last_ends[name] < end:
+                self.clear_cdata_mode()
+        return end
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        """A comment ends as in browsers; one that does not goes to the page's end."""
+        found = EMPTY_COMMENT.match(self.rawdata, i) or COMMENT_END.search(self.rawdata, i + 4)
+        return found.end() if found else len(self.rawdata)
+
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         """A section such as <![if x]> or <![CDATA[ is a comment up to the next >, as in browsers."""
         end = self.rawdata.find(">", i)
@@ -123,7 +146,7 @@ class Lines(HTMLParser):
         if tag in NEVER or tag == "header" and not self.inside:
             return True
         for name, value in attrs:
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value or ""):
+            if not self.inside and (name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value or "")):
                 return True
             if self.hints and name in ("class", "id", "role") and value and tag not in ("html", "body", "article", "main"):
                 names = [x for x in value.lower().split() if not x.startswith(ABOUT)]
@@ -268,11 +291,8 @@ def main_region(parser: Lines, plain: np.ndarray, upper: np.ndarray, menu: np.nd
 
 
 def whole_markup(html: str) -> str:
-    """``html`` without what its end cuts off (a comment or a tag), and without a document type's list in brackets."""
+    """``html`` without a tag that its end cuts off, and without a document type's list in brackets."""
     html = DOCTYPE.sub("", html, count=1)
-    comment = html.find("<!--", html.rfind("-->") + 1)
-    if comment >= 0:
-        html = html[:comment]
     tag = CUT_TAG.search(html, html.rfind(">") + 1)
     return html[: tag.start()] if tag else html
 

@@ -257,3 +257,26 @@ def test_pages_operator(spark):
     assert [(r.page_id, r.url, r.n_chars) for r in got] == [(1, "u", len(got[0].text)), (1, "u", len(got[0].text)), (2, None, 0), (None, "v", 0)] and got[2].text == got[3].text == ""
     assert html_text.extract_main_text(df, F.col("html"), "page_id", "keys").columns == ["page_id", "keys", "text", "n_chars"]
     assert html_text.extract_main_text(df.limit(0), F.col("html"), "page_id").count() == 0
+
+
+ARTICLE = "<html><body><nav><a href=x>menu</a></nav><article><h1>Title</h1>" + "".join(f"<p>Sentence number {k} of the story.</p>" for k in range(20)) + "</article></body></html>"
+
+
+@pytest.mark.parametrize("begin", ['<script>var x="<!--";</script>', '<p title="<!-- x">', "<!-- a --!>", "<style>/* <!-- */</style>", "<textarea><!-- </textarea>", "<title><!-- x</title>", "<!-->", "<!--->", "<script><!--\nf();\n</script>"])
+def test_comments_begin_only_in_text(begin):
+    want = html_text.main_text(ARTICLE)
+    assert want.startswith("Title Sentence number 0") and want.endswith("19 of the story.")
+    assert html_text.main_text(ARTICLE.replace("<body>", f"<body>{begin}")) == want
+    assert html_text.main_text(ARTICLE.replace("<h1>", f"{begin}<h1>")) == want
+
+
+def test_formulas_and_hidden_parts_of_an_article_stay():
+    page = ARTICLE.replace("number 3", 'energy is <math><mi>E</mi><annotation encoding="TeX">E</annotation></math> <span hidden>indeed</span>')
+    assert "energy is E indeed of the story" in html_text.main_text(page)
+    assert html_text.main_text(ARTICLE.replace("<article>", '<div style="display:none">gone</div><article>')) == html_text.main_text(ARTICLE)
+
+
+def test_many_open_titles_are_quick():
+    start = time.perf_counter()
+    html_text.main_text("<title>" * 100_000 + "<textarea>" * 50_000 + "<!--" * 100_000)
+    assert time.perf_counter() - start < 15
