@@ -41,7 +41,8 @@ POOL = 512
 CLOSING = np.array([1], "<u4")
 #: Characters of white space in a row that are not left to the library's pattern.
 LONG_RUN = 50_000
-LONG_SPACE = regex.compile(rf"[{SPACE}]{{{LONG_RUN},}}")
+#: Only a run's beginning is tried, so that shorter runs cost no more than their length.
+LONG_SPACE = regex.compile(rf"(?<![{SPACE}])[{SPACE}]{{{LONG_RUN},}}")
 #: Rows of a batch that a task returns.
 ROWS_AT_ONCE = 2000
 
@@ -55,19 +56,22 @@ class Packer:
         self.limits = np.array([max_tokens, max_segments, max_loss], float)
         self.pool = pool
         self.size = np.zeros((2 * pool, 3))
-        self.waiting: list[tuple] = []  # key number, ids, loss mask, start
+        self.waiting: list[tuple] = []  # key, ids of the whole document, loss-bearing ones before each id, start
         self.sequences = 0
 
-    def demand(self, ids: np.ndarray, mask: np.ndarray) -> tuple[int, int, int]:
-        return len(ids), 1, int(np.count_nonzero(mask))
+    def demand(self, ids: np.ndarray, losses: np.ndarray, start: int) -> tuple[int, int, int]:
+        """Of the ids from ``start`` on."""
+        return len(ids) - start, 1, int(losses[-1] - losses[start])
 
     def add(self, key: object, ids: np.ndarray, mask: np.ndarray) -> Iterator[list[tuple]]:
         if not len(ids):
             return
         if len(self.waiting) == len(self.size):
             self.size = np.concatenate([self.size, np.zeros_like(self.size)])
-        self.size[len(self.waiting)] = self.demand(ids, mask)
-        self.waiting.append((key, ids, mask, 0))
+        losses = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(mask, out=losses[1:])
+        self.size[len(self.waiting)] = self.demand(ids, losses, 0)
+        self.waiting.append((key, ids, losses, 0))
         while len(self.waiting) > self.pool:
             yield self.fill()
 
@@ -91,22 +95,22 @@ class Packer:
             fits = (sizes <= free).all(axis=1)
             if fits.any():
                 at = int(np.argmax(np.where(fits, gain, -1.0)))
-                take = len(self.waiting[at][1])
+                key, ids, losses, start = self.waiting[at]
+                end = len(ids)
             else:
                 at = int(np.argmax(gain))
-                _, ids, mask, _ = self.waiting[at]
+                key, ids, losses, start = self.waiting[at]
                 # as many tokens as are free and hold no more loss-bearing ones than are free
-                take = min(int(free[0]), int(np.searchsorted(np.cumsum(mask), free[2], side="right")))
-                if take == 0:
+                end = min(start + int(free[0]), int(np.searchsorted(losses, losses[start] + int(free[2]), side="right")) - 1)
+                if end == start:
                     break
-            key, ids, mask, start = self.waiting[at]
-            placed.append((key, start, ids[:take], int(self.limits[0] - free[0])))
-            free -= self.demand(ids[:take], mask[:take])
-            if take == len(ids):
+            placed.append((key, start, ids[start:end], int(self.limits[0] - free[0])))
+            free -= (end - start, 1, int(losses[end] - losses[start]))
+            if end == len(ids):
                 self.drop(at)
             else:
-                self.waiting[at] = (key, ids[take:], mask[take:], start + take)
-                self.size[at] = self.demand(ids[take:], mask[take:])
+                self.waiting[at] = (key, ids, losses, end)
+                self.size[at] = self.demand(ids, losses, end)
         self.sequences += 1
         return placed
 

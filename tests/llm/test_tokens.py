@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -155,3 +156,76 @@ def test_prompts_bear_no_loss_and_the_loss_limit_binds(spark):
     for p in pieces:
         tokens[p.sequence_id] = tokens.get(p.sequence_id, 0) + p.length
     assert max(loss.values()) == 100 and sum(n == 100 and tokens[s] < 256 for s, n in loss.items()) > len(loss) / 4
+
+
+@pytest.mark.parametrize("size", [100, 5_000, 20_000, 49_999, 50_000, 50_001])
+def test_many_runs_of_white_space_are_quick(size):
+    for unit in (" " * size + "x", "\n" * size + " x", ("\t " * size)[:size] + "x"):
+        text = unit * (200_000 // len(unit) + 1)
+        encoder = packing.library_encoder(PATH)
+        encoder.ids("warm")
+        start = time.perf_counter()
+        got = encoder.ids(text)
+        assert time.perf_counter() - start < 1
+        assert got.tolist() == ids(text)
+
+
+def test_a_very_long_document_is_packed_in_linear_time():
+    many = np.arange(8_000_000, dtype="<u4")
+    packer = packing.Packer(2048, 512, 2048)
+    start = time.perf_counter()
+    pieces = [p for sequence in [*packer.add("k", many, many % 3 > 0), *packer.rest()] for p in sequence]
+    assert time.perf_counter() - start < 6
+    assert (np.concatenate([p[2] for p in pieces]) == many).all()
+
+
+def plain_packing(documents, limits, pool):
+    """The same heuristic with lists: each document (ids, bears loss); the pieces (document, start, ids) of each sequence."""
+    out, waiting, left = [], [], list(enumerate(documents))
+
+    def size(piece):
+        _, ids, mask, _ = piece
+        return [len(ids), 1, sum(mask)]
+
+    def fill():
+        free, placed = list(limits), []
+        while waiting and min(free) >= 0 and free[0] > 0 and free[1] > 0:
+            sizes = [size(p) for p in waiting]
+            weight = [free[d] / limits[d] * (sum(s[d] for s in sizes) / len(sizes)) / limits[d] / limits[d] for d in range(3)]
+            gain = [sum(s[d] * weight[d] for d in range(3)) for s in sizes]
+            fits = [k for k, s in enumerate(sizes) if all(s[d] <= free[d] for d in range(3))]
+            at = max(fits or range(len(waiting)), key=lambda k: (round(gain[k], 9), -k))
+            key, ids, mask, start = waiting[at]
+            take = len(ids) if fits else max(t for t in range(min(len(ids), free[0]) + 1) if sum(mask[:t]) <= free[2])
+            if not take:
+                break
+            placed.append((key, start, ids[:take]))
+            free = [free[0] - take, free[1] - 1, free[2] - sum(mask[:take])]
+            if take == len(ids):
+                waiting[at] = waiting[-1]
+                waiting.pop()
+            else:
+                waiting[at] = (key, ids[take:], mask[take:], start + take)
+        out.append(placed)
+
+    for key, (ids, mask) in left:
+        if ids:
+            waiting.append((key, ids, mask, 0))
+            while len(waiting) > pool:
+                fill()
+    while waiting:
+        fill()
+    return out
+
+
+def test_packing_equals_plain_loops():
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        limits = [int(x) for x in (rng.integers(8, 64), rng.integers(1, 8), rng.integers(4, 64))]
+        documents = [(list(map(int, rng.integers(0, 99, n))), [int(x) for x in rng.integers(0, 2, n)]) for n in rng.integers(0, 90, 40)]
+        packer = packing.Packer(*limits, pool=7)
+        got = []
+        for key, (numbers, mask) in enumerate(documents):
+            got += list(packer.add(key, np.array(numbers, "<u4"), np.array(mask, bool)))
+        got += list(packer.rest())
+        assert [[(k, s, list(map(int, part))) for k, s, part, _ in sequence] for sequence in got] == plain_packing(documents, limits, 7)
