@@ -26,8 +26,6 @@ UND = "und"
 TRAIN_ROWS = 1500
 #: Windows of these documents that reach the driver, at most, and their bytes. They may lie anywhere in a text.
 TRAIN_WINDOWS, TRAIN_BYTES = 60_000, 64
-#: Languages that are learned, at most: those of most documents.
-MOST_LANGUAGES = 200
 UNITS = 12
 STEPS, BATCH, RATE = 220, 256, 0.02
 #: Bytes of a window, and windows that step together.
@@ -176,11 +174,11 @@ def training_documents(df: DataFrame, doc_id: Column, text: Column, lang: Column
     """(doc_id, text, lang) of at most ``rows`` labelled documents that are not held out; None if there is none.
 
     Every language has an equal part of the rows, those with the least hash of their ids, so that rare ones are learned
-    too. Rows whose id is null are left out; of several languages or texts of an id the least counts.
+    too, up to one language for each row. Rows whose id is null are left out; of several languages or texts of an id the least counts.
     """
     sample = df.select(doc_id.alias("doc_id"), F.coalesce(text.cast("string"), F.lit("")).alias("text"), lang.cast("string").alias("lang"))
     known = sample.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()
     if not counts:
         return None
     each, spread = max(1, rows // len(counts)), 1 << 40
