@@ -38,3 +38,37 @@ def merge_counts(lines: DataFrame) -> DataFrame:
     """One row: ``records`` that the merge gives, and ``duplicates``, the lines that went into another's record."""
     each = counted_lines(lines).groupBy("key").agg(F.count("*").alias("n"))
     return each.agg(F.count("*").alias("records"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
+
+
+def states(lines: DataFrame) -> DataFrame:
+    """Lines reduced to what later lines of their key can still change: states, which merge in any order (`combined`).
+
+    A key has one state of its dated lines (the first of them and the maxima of the counters). Lines without a timestamp
+    count only behind the first dated one, which may still come, so they stay apart: of those that are equal in all
+    counters only the last matters. Sums and minima alone, so tasks reduce before they shuffle and no key is gathered.
+    """
+    dated = F.col("ts").isNotNull()
+    parts = [c.alias(n) for n, c in merge_key().items()]
+    first = F.when(dated, F.struct("ts", "model_raw", "account", "provider", "ord")).alias("first")
+    return combined(lines.select(*parts, dated.alias("dated"), F.col("ord"), first, *COUNTERS))
+
+
+def combined(some: DataFrame) -> DataFrame:
+    """States of the same keys as one: `combined(a + b) = combined(combined(a) + combined(b))`."""
+    apart = [F.when(~F.col("dated"), F.col(c)).alias(f"_{c}") for c in COUNTERS]
+    grouped = some.groupBy("r", "m", "o", "dated", *apart)
+    merged = grouped.agg(F.max("ord").alias("ord"), F.min_by("first", F.col("first.ord")).alias("first"), *[F.max(c).alias(c) for c in COUNTERS])
+    return merged.drop(*[f"_{c}" for c in COUNTERS])
+
+
+def state_facts(some: DataFrame, keep_key: bool = False) -> DataFrame:
+    """The facts of combined states, those of `merge_usage` of all their lines."""
+    keys = ["r", "m", "o"]
+    # one row for each key and, as the line's ord is set apart where it is null, keys that are equal with nulls meet
+    key = F.struct(*keys).alias("key")
+    dated = some.where("dated").select(key, "first", *COUNTERS)
+    late = some.where(~F.col("dated")).select(key, F.col("ord").alias("_ord"), *[F.col(c).alias(f"_{c}") for c in COUNTERS])
+    behind = dated.select("key", F.col("first.ord").alias("_start")).join(late, "key").where("_ord > _start").groupBy("key").agg(*[F.max(f"_{c}").alias(f"_{c}") for c in COUNTERS])
+    both = dated.join(behind, "key", "left")
+    counters = [F.greatest(c, f"_{c}").alias(c) for c in COUNTERS]
+    return both.select(*[F.col("key.r").alias("request_id"), F.col("key.m").alias("message_id"), F.col("key.o").alias("line")] if keep_key else [], "first.*", *counters)
