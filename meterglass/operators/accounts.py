@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from meterglass.functions.text import root_label
 
 #: Roots are declared by hand; the operators that broadcast them refuse more than this.
 MOST_ROOTS = 10_000
+#: How a local file's path begins where its scheme is written.
+LOCAL = "^file:/+"
 
 
 def account_roots(declared: DataFrame, prefix: str, reserved: list[str]) -> DataFrame:
@@ -37,15 +41,16 @@ def tag_accounts(files: DataFrame, path: Column, roots: DataFrame, default: str)
 
     Roots are few (`MOST_ROOTS`). Those of one depth are looked up together by the path's beginning of that depth, in
     one broadcast hash join for each depth that occurs: no shuffle, and no comparison of every path with every root.
+    Local paths may be written with or without their scheme.
     """
     rows = roots.where("enabled").orderBy("root_rank").limit(MOST_ROOTS + 1).collect()
     if len(rows) > MOST_ROOTS:
         raise ValueError(f"more than {MOST_ROOTS} account roots")
     by_depth: dict[int, dict[str, tuple[int, str]]] = {}
     for r in rows:
-        folder = r["path"].rstrip("/")
+        folder = re.sub(LOCAL, "/", r["path"]).rstrip("/")
         by_depth.setdefault(folder.count("/") + 1, {}).setdefault(folder, (r["root_rank"], r["label"]))
-    out, hits = files.withColumn("_path", path), []
+    out, hits = files.withColumn("_path", F.regexp_replace(path, LOCAL, "/")), []
     for depth, held in sorted(by_depth.items()):
         hits.append(f"_hit{depth}")
         table = files.sparkSession.createDataFrame([(folder + "/", hit) for folder, hit in held.items()], f"_folder{depth} string, {hits[-1]} struct<rank: int, label: string>")

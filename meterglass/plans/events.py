@@ -112,6 +112,14 @@ OPEN = {
 }
 
 
+def codex_values(events: DataFrame) -> DataFrame:
+    """The log line (file, ord, value) of each of `codex_events`."""
+    counters = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.input").alias("input_tokens"), F.col(f"{c}.cached").alias("cached_input_tokens"), F.col(f"{c}.output").alias("output_tokens")))
+    token = F.struct(F.lit("token_count").alias("type"), F.struct(counters("total").alias("total_token_usage"), counters("last").alias("last_token_usage")).alias("info"))
+    value = F.when(F.col("is_token"), F.to_json(F.struct(stamp().alias("timestamp"), F.lit("event_msg").alias("type"), token.alias("payload")))).otherwise(F.to_json(F.struct(stamp().alias("timestamp"), F.lit("turn_context").alias("type"), F.struct(F.col("marker").alias("model")).alias("payload"))))
+    return codex_events(events).select("file", "ord", value.alias("value"))
+
+
 def write_logs(events: DataFrame, folder: str) -> None:
     """The events as JSONL files of both providers: files of consecutive events, and one file per user.
 
@@ -121,10 +129,7 @@ def write_logs(events: DataFrame, folder: str) -> None:
     file = F.lpad(F.floor(F.col("ord") / EVENTS_PER_FILE).cast("string"), 12, "0")
     lines = claude_lines(events)
     claude = lines.select(file.alias("file"), "ord", usage_json(lines).alias("value"))
-    counters = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.input").alias("input_tokens"), F.col(f"{c}.cached").alias("cached_input_tokens"), F.col(f"{c}.output").alias("output_tokens")))
-    token = F.struct(F.lit("token_count").alias("type"), F.struct(counters("total").alias("total_token_usage"), counters("last").alias("last_token_usage")).alias("info"))
-    value = F.when(F.col("is_token"), F.to_json(F.struct(stamp().alias("timestamp"), F.lit("event_msg").alias("type"), token.alias("payload")))).otherwise(F.to_json(F.struct(stamp().alias("timestamp"), F.lit("turn_context").alias("type"), F.struct(F.col("marker").alias("model")).alias("payload"))))
-    codex = codex_events(events).select(F.lpad(F.col("file").cast("string"), 12, "0").alias("file"), "ord", value.alias("value"))
+    codex = codex_values(events).select(F.lpad(F.col("file").cast("string"), 12, "0").alias("file"), "ord", "value")
     for name, usage in (("claude", claude), ("codex", codex)):
         rows = [F.struct(F.lit(0).alias("place"), F.concat("value", F.lit("\n")).alias("value"))]
         rows += [F.when(F.col("ord") % n == 0, F.struct(F.lit(k + 1).alias("place"), F.lit(text[name] + "\n").alias("value"))) for k, (n, text) in enumerate(NOISE.values())]

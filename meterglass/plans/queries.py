@@ -12,7 +12,7 @@ from meterglass.operators.accounts import account_roots, tag_accounts
 from meterglass.plans import events as ev
 from meterglass.plans.report import ingest_counts, summary, usage_report
 from meterglass.sources import lines as src
-from meterglass.sources import store
+from meterglass.sources import snapshots, store
 from meterglass.streaming import usage as st
 
 ZONE, FIRST, LAST = "America/New_York", "2024-01-05", "2024-01-20"
@@ -462,11 +462,11 @@ def stream_merge(spark, sf):
 
 @query
 def stream_ingest(spark, sf):
-    """Exact merge by recomputing the touched keys of every batch."""
+    """Exact merge by states in a levelled log; no batch reads what older ones brought."""
     lines = ev.claude_lines(ev.events(spark, sf)).drop("k", "marker", "file")
     folder = ev.shared_folder(spark)
-    st.run_updates(landed(spark, lines, 4), folder, st.recompute_keys(spark, f"{folder}/log", f"{folder}/facts"), "append")
-    return fact_columns(st.newest(spark, f"{folder}/facts", *st.MERGE_KEY))
+    st.run_updates(landed(spark, lines, 4), folder, st.ingest_usage(f"{folder}/log"), "append")
+    return fact_columns(st.merged_log(spark, f"{folder}/log"))
 
 
 @query
@@ -481,17 +481,44 @@ def stream_log_ingest(spark, sf):
     span = events.agg(F.max("event_id").alias("most")).first()["most"] // 4 + 1
     for k in range(4):  # one after another, as they land
         values.where(F.floor(F.col("ord") / span) == k).repartitionByRange(1, "ord").sortWithinPartitions("ord", "place").select("value").write.mode("append").text(path)
-    stream = st.line_stream(spark, path, files_per_trigger=1, by_name=True, pattern="*.txt")
-    st.run_updates(stream, folder, st.ingest_lines(spark, f"{folder}/log", f"{folder}/facts"), "append")
-    return st.newest(spark, f"{folder}/facts", *st.MERGE_KEY).select(ts_us(), "model_raw", "provider", *merge.COUNTERS)
+    stream = st.line_stream(spark, path, files_per_trigger=1, pattern="*.txt")
+    st.run_updates(stream, folder, st.ingest_logs(spark, folder, no_roots(spark), no_roots(spark)), "append")
+    return st.log_facts(spark, folder).select(ts_us(), "model_raw", "provider", *merge.COUNTERS)
+
+
+def no_roots(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "label string, path string, source string, enabled boolean, root_rank int")
+
+
+@query
+def stream_mixed_logs(spark, sf):
+    """Both providers' lines in the same chunk files, of sessions below two roots; three batches with restarts, late markers, and a moved file."""
+    events = ev.events(spark, sf)
+    span = events.agg(F.max("event_id").alias("most")).first()["most"] // 3 + 1
+    session = lambda user: user - user % 5 + 4
+    path, folder = ev.shared_folder(spark), ev.shared_folder(spark)
+    claude = ev.claude_lines(events)
+    noise = [F.when(F.col("ord") % n == 0, F.lit(text[p])) for p in ("claude", "codex") for n, text in ev.NOISE.values()]
+    first = claude.select("ord", session(F.col("file")).alias("session"), F.posexplode(F.array_compact(F.array(ev.usage_json(claude), *noise))).alias("place", "value"))
+    second = ev.codex_values(events).select("ord", F.col("file").alias("session"), F.lit(0).alias("place"), "value")
+    rows = first.unionByName(second).select("*", F.concat(F.lit("r"), F.col("session") % 2).alias("root"), F.floor(F.col("ord") / span).alias("chunk"))
+    rows = rows.withColumn("session", F.lpad(F.col("session").cast("string"), 12, "0"))
+    roots = lambda provider: spark.createDataFrame([(f"{provider}-{k}", f"{path}/root=r{k}", "config", True, k) for k in range(2)], no_roots(spark).schema)
+    for k in range(3):  # one after another, as they land; each time the stream starts again
+        if k == 1:  # the files of the first batch turn up elsewhere
+            snapshots.move(spark, f"{path}/root=r0", f"{path}/archive")
+        landing = rows.where(F.col("chunk") == k).repartition("session").sortWithinPartitions("session", "ord", "place").select("root", "session", F.lit(k).alias("chunk"), "value")
+        landing.write.mode("append").partitionBy("root", "session", "chunk").text(path)
+        st.run_updates(st.line_stream(spark, path, pattern="*.txt"), folder, st.ingest_logs(spark, folder, roots("claude"), roots("codex")), "append")
+    return fact_columns(st.log_facts(spark, folder))
 
 
 @query
 def stream_attribution(spark, sf):
     """Files are recomputed when a batch touches them, so late markers count."""
     folder = ev.shared_folder(spark)
-    st.run_updates(landed(spark, ev.codex_events(ev.events(spark, sf)), 4), folder, st.recompute_files(spark, f"{folder}/log", f"{folder}/facts"), "append")
-    return fact_columns(st.newest_version(spark, f"{folder}/facts"))
+    st.run_updates(landed(spark, ev.codex_events(ev.events(spark, sf)), 4), folder, st.ingest_events(f"{folder}/log", f"{folder}/facts"), "append")
+    return fact_columns(st.newest_facts(spark, f"{folder}/facts"))
 
 
 def tumbled(spark: SparkSession, sf: str, width: str) -> DataFrame:

@@ -149,6 +149,11 @@ SQL |= {
 }
 # the rows of a dimension as JSON, digested one by one and then together in the order of their digests
 PRICE_ROWS = ", ".join("('{" + ",".join(f'"{c}":{json.dumps(v)}' for c, v in sorted(zip(["model", *RATE_NAMES], row, strict=True))) + "}')" for row in DEFAULT_PRICES)
+#: Sessions of five users each, below two roots, in three batches; within a batch files follow their paths.
+MIXED = LINES.replace("'acct-' || (user_id % 5) AS account", "CASE WHEN user_id % 5 = 4 THEN 'codex-' ELSE 'claude-' END || ((user_id - user_id % 5 + 4) % 2) AS account").replace(
+    "gated AS (", "placed AS (SELECT * REPLACE (row_number() OVER (ORDER BY ord // ((SELECT max(ord) FROM raw) // 3 + 1), (file - file % 5 + 4) % 2, file - file % 5 + 4, ord) AS ord) FROM lines),\ngated AS ("
+).replace("AS start FROM lines WHERE", "AS start FROM placed WHERE")
+SQL["stream_mixed_logs"] = q(f"SELECT {FACT_COLUMNS} FROM facts", MIXED)
 SQL["dim_fingerprint"] = f"""WITH {LINES.strip()}, dims(dim, j) AS (SELECT 0, j FROM (VALUES {PRICE_ROWS}) v(j) UNION ALL SELECT DISTINCT 1, '{{"account":"' || account || '","provider":"' || provider || '"}}' FROM lines)
   SELECT dim, sha256(string_agg(sha256(j), ',' ORDER BY sha256(j))) AS digest FROM dims GROUP BY dim"""
 LIMITS = "src AS (SELECT 'e' || event_id AS account, (epoch_us(CAST(ts AS TIMESTAMP)) // 1000000)::DOUBLE AS captured_at, event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"

@@ -39,10 +39,10 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
 def shown(path: str, inner: str) -> str:
     """The URI of a file below ``path``, as Spark's file sources show it."""
     if "://" not in path and not path.startswith("file:"):
-        return f"file://{inner}"
+        return f"file:{inner}"
     scheme, rest = path.split(":", 1)
     if scheme == "file":
-        return f"file://{inner}"
+        return f"file:{inner}"
     host = rest[2:].split("/", 1)[0]
     return f"{scheme}://{host}/{inner.removeprefix(host).lstrip('/')}" if scheme in ("s3", "s3a", "s3n", "gs") else f"{scheme}://{host}{inner}"
 

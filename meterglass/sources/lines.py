@@ -21,7 +21,17 @@ def scan_lines(spark: SparkSession, *paths: str, pattern: str = "*.jsonl", block
 
 def prefilter(value: Column) -> Column:
     """Whether a line can hold usage, before its JSON is parsed."""
-    return (value.contains('"usage"') & value.contains("assistant")) | value.contains('"token_count"') | value.contains('"turn_context"')
+    return usage_prefilter(value) | rollout_prefilter(value)
+
+
+def usage_prefilter(value: Column) -> Column:
+    """As `prefilter`, for lines of the first provider."""
+    return value.contains('"usage"') & value.contains("assistant")
+
+
+def rollout_prefilter(value: Column) -> Column:
+    """As `prefilter`, for lines of the second provider."""
+    return value.contains('"token_count"') | value.contains('"turn_context"')
 
 
 def parsed(lines: DataFrame) -> DataFrame:

@@ -31,6 +31,11 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(where, True)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    system, where = files(spark, path)
+    system.rename(where, files(spark, to)[1])
+
+
 def mark(spark: SparkSession, path: str, number: int) -> None:
     """Makes version ``number`` the newest one; a file is there or is not."""
     system, where = files(spark, f"{path}/{MARKERS}/{number:010d}")

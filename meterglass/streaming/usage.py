@@ -7,29 +7,31 @@ unless one is given: late lines count as they do in a batch, and state grows wit
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
-from meterglass.operators.merge import COUNTERS, merge_key, merge_usage
+from meterglass.operators.accounts import tag_accounts
+from meterglass.operators.merge import COUNTERS, combined, merge_key, state_facts, states
 from meterglass.operators.rollout import rollout_usage
 from meterglass.operators.windows import rolling_windows
-from meterglass.sources.extract import usage_lines
-from meterglass.sources.lines import parsed, prefilter
+from meterglass.sources import snapshots
+from meterglass.sources.extract import rollout_events, usage_lines
+from meterglass.sources.lines import parsed, prefilter, rollout_prefilter, usage_prefilter
+from meterglass.streaming.levels import add_run, place, read_runs
 
-#: Folders of a batch in a log; a batch of few keys or files touches few of them.
+#: Folders of a run in a log of events; a batch of few files touches few of them.
 BUCKETS = 32
+#: A log that grows lands as chunk files in a folder of its own, in the order of their names; a level of folders named chunk=... is passed over.
+SESSION = r"^(.*?)(?:/chunk=[^/]*)?/[^/]*$"
 
 
-def line_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None, by_name: bool = False, pattern: str = "*.jsonl") -> DataFrame:
-    """New lines (value, file, block) of chunk files. ``by_name`` takes a file that was moved as seen; one stream per account then."""
-    reader = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("lineSep", "\n").option("fileNameOnly", by_name)
+def line_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None, pattern: str = "*.jsonl") -> DataFrame:
+    """New lines (value, file, file_size, block) of chunk files, which are immutable: a last line without a line end counts."""
+    reader = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("lineSep", "\n")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return reader.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_block_start").alias("block"))
 
 
 #: The columns of a merged fact's key; ``line`` is null but for lines without a message_id, which stay alone.
@@ -52,79 +54,99 @@ def merged_stream(lines: DataFrame) -> DataFrame:
     return merged.select(*MERGE_KEY, "first", *counters)
 
 
-def add_to_log(batch: DataFrame, number: int, log: str, *parts: Column) -> tuple[DataFrame, DataFrame]:
-    """Writes a batch to the log under its number, in buckets by hash of ``parts``; the batch, and all of its buckets.
+def ingest_usage(log: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch that keeps the states of usage lines in a levelled log; `merged_log` gives their facts.
 
-    A batch that runs again replaces its own folder. Of older batches only the folders of touched buckets are read.
+    Nothing older is read but what a merge of levels takes up, and a batch that runs again changes nothing.
     """
-    spark = batch.sparkSession
-    rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*parts), F.lit(BUCKETS)).cast("int"))
-    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{log}/batch={number}")
-    own = spark.read.parquet(f"{log}/batch={number}")
-    touched = [r["bucket"] for r in own.select("bucket").distinct().collect()]
-    return own, spark.read.schema(StructType([*own.schema, StructField("batch", IntegerType())])).option("basePath", log).parquet(log).where(F.col("bucket").isin(touched))
+
+    def apply(batch: DataFrame, number: int) -> None:
+        add_run(states(batch), log, number, combined)
+
+    return apply
 
 
-def recompute_keys(spark: SparkSession, log: str, facts: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch that adds the lines to ``log`` and rewrites the facts of the keys that the batch touches.
+def merged_log(spark: SparkSession, log: str) -> DataFrame:
+    """The facts of all whole batches of a log of states, with `MERGE_KEY`: those of a batch merge of all lines."""
+    return state_facts(combined(read_runs(spark, log)), keep_key=True)
 
-    Both writes replace the batch's own folder, so a batch that runs again changes nothing. `newest` by `MERGE_KEY`
-    gives the facts.
+
+def ingest_events(log: str, facts: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch for event logs: files that a batch touches are attributed and counted anew, late markers included.
+
+    Of older batches only the folders of the touched buckets are read. A file without usage is kept, too, as a row
+    without ``ord``, lest its older facts stay. `newest_facts` gives the facts.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        if batch.isEmpty():
-            return
-        parts = merge_key()
-        own, lines = add_to_log(batch, number, log, *parts.values())
-        keys = own.select(*[c.alias(n) for n, c in parts.items()]).distinct()
-        keyed = lines.withColumns({f"_{n}": c for n, c in parts.items()})
-        same = reduce(and_, [keyed[f"_{n}"].eqNullSafe(keys[n]) for n in parts])
-        touched = keyed.join(keys, same, "left_semi").select(*batch.columns)
-        merged = merge_usage(touched, keep_key=True).withColumn("version", F.lit(number))
-        merged.write.mode("overwrite").parquet(f"{facts}/batch={number}")
+        spark = batch.sparkSession
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64("file"), F.lit(BUCKETS)).cast("int"))
+        add_run(rows.repartition("bucket"), log, number, lambda runs: runs.repartition("bucket"), by=["bucket"])
+        own = spark.read.schema(rows.schema).parquet(place(log, 0, number))
+        files = own.select("file").distinct()
+        touched = [r["bucket"] for r in own.select("bucket").distinct().collect()]
+        lines = read_runs(spark, log, rows, number + 1).where(F.col("bucket").isin(touched)).join(files, "file", "left_semi").drop("bucket")
+        used = rollout_usage(lines, keep_file=True).unionByName(files, allowMissingColumns=True).withColumn("version", F.lit(number))
+        add_run(used, facts, number, newest_of_files)
 
     return apply
 
 
-def ingest_lines(spark: SparkSession, log: str, facts: str, account: str = "claude") -> Callable[[DataFrame, int], None]:
-    """A foreachBatch for `line_stream`: log text is filtered, parsed and extracted, and then merged as by `recompute_keys`.
+def newest_of_files(rows: DataFrame) -> DataFrame:
+    """Of each file the rows of its newest version."""
+    newest = rows.groupBy("file").agg(F.max("version").alias("version"))
+    return rows.join(newest, ["file", "version"], "left_semi").select(*rows.columns)
 
-    Lines have the order of their batch, then that of file and line. Lines that are malformed, foreign or undated are
-    treated as in a batch scan; chunk files are immutable, so a last line without a line end counts.
-    """
-    merge = recompute_keys(spark, log, facts)
 
-    def apply(batch: DataFrame, number: int) -> None:
-        order = F.struct(F.lit(number).cast("long").alias("batch"), "file", "block", F.monotonically_increasing_id().alias("line"))
-        seen = parsed(batch.withColumn("ord", order).where(prefilter(F.col("value"))))
-        merge(usage_lines(seen).drop("file").withColumns({"account": F.lit(account), "provider": F.lit("claude")}), number)
+def newest_facts(spark: SparkSession, facts: str) -> DataFrame:
+    """Facts by file as `ingest_events` left them."""
+    return newest_of_files(read_runs(spark, facts)).where("ord IS NOT NULL").drop("file", "version")
 
-    return apply
 
+def first_seen(lines: DataFrame, ledger: str, number: int) -> DataFrame:
+    """``lines`` (value, file, file_size, ord) without those of files that earlier batches had under another path.
 
-def recompute_files(spark: SparkSession, log: str, facts: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch for event logs: files that a batch touches are attributed and counted anew, late markers included."""
+    A file is known by its name, its size and the digest of its first line here: a moved or copied one counts once, and
+    files of one name in different folders both count. The ledger is a levelled log with a row for each file.
+    """
+    spark = lines.sparkSession
+    name = F.element_at(F.split("file", "/"), -1)
+    own = lines.groupBy("file").agg(F.sha2(F.min_by("value", "ord"), 256).alias("head"), F.max("file_size").alias("size")).withColumn("name", name)
+    one = own.groupBy("head", "size", "name").agg(F.min("file").alias("file"))  # of copies that land together
+    known = read_runs(spark, ledger, one, number) if number else None
+    new = one if known is None else one.join(known.select("head", "size", "name"), ["head", "size", "name"], "left_anti")
+    add_run(new.select(*one.columns), ledger, number, lambda runs: runs.dropDuplicates(["head", "size", "name"]))
+    kept = spark.read.schema(one.schema).parquet(place(ledger, 0, number))
+    return lines.join(kept.select("file"), "file", "left_semi")
+
+
+def ingest_logs(spark: SparkSession, folder: str, claude_roots: DataFrame, codex_roots: DataFrame) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch for `line_stream` of both providers' logs, in any mixture; `log_facts` gives the facts.
+
+    The lines that can hold usage are written once, so log text is read once. Lines of the first provider are merged
+    as states, in the order of batch, file and line. Events of the second are attributed by the log that they belong to
+    (`SESSION`), in the order of its chunks, whenever these land. An account is that of the first enabled root above
+    the file. Malformed, foreign and undated lines are treated as in a batch scan.
+    """
+    usage, events = ingest_usage(f"{folder}/usage"), ingest_events(f"{folder}/events", f"{folder}/rollouts")
 
     def apply(batch: DataFrame, number: int) -> None:
-        if batch.isEmpty():
-            return
-        own, lines = add_to_log(batch, number, log, F.col("file"))
-        files = own.select("file").distinct()
-        touched = lines.join(files, "file", "left_semi").select(*batch.columns)
-        used = rollout_usage(touched).join(touched.select("file", "ord"), "ord").withColumn("version", F.lit(number))
-        # a file without usage is listed too, lest its older facts stay
-        used.write.mode("overwrite").parquet(f"{facts}/rows/batch={number}")
-        files.withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{facts}/files/batch={number}")
+        landed = f"{folder}/lines/batch={number}"
+        order = F.struct(F.lit(number).cast("long").alias("batch"), "file", "block", F.monotonically_increasing_id().alias("line"))
+        batch.where(prefilter(F.col("value"))).withColumn("ord", order).select("value", "file", "file_size", "ord").write.mode("overwrite").parquet(landed)
+        lines = first_seen(spark.read.parquet(landed), f"{folder}/ledger", number)
+        first = tag_accounts(usage_lines(parsed(lines.where(usage_prefilter(F.col("value"))))), F.col("file"), claude_roots, "claude")
+        usage(first.drop("file").withColumn("provider", F.lit("claude")), number)
+        second = tag_accounts(rollout_events(parsed(lines.where(rollout_prefilter(F.col("value"))))), F.col("file"), codex_roots, "codex").drop("limits")
+        events(second.withColumn("ord", F.struct("ord.file", "ord.block", "ord.line")).withColumn("file", F.regexp_extract("file", SESSION, 1)), number)
+        snapshots.remove(spark, landed)
 
     return apply
 
 
-def newest_version(spark: SparkSession, facts: str) -> DataFrame:
-    """Facts by file as `recompute_files` left them: those of each file's newest batch."""
-    rows, files = spark.read.parquet(f"{facts}/rows"), spark.read.parquet(f"{facts}/files")
-    newest = files.groupBy("file").agg(F.max("version").alias("version"))
-    return rows.join(newest, ["file", "version"], "left_semi").drop("batch", "version")
+def log_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """The facts of both providers that `ingest_logs` has taken in so far."""
+    return merged_log(spark, f"{folder}/usage").drop(*MERGE_KEY, "ord").unionByName(newest_facts(spark, f"{folder}/rollouts").drop("ord"))
 
 
 def newest(spark: SparkSession, path: str, *keys: str) -> DataFrame:

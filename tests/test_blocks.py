@@ -25,7 +25,7 @@ def test_blocks_give_every_ended_line_once(tmp_path, monkeypatch, read):
         for n in range(rng.randint(1, 3)):
             data = random_bytes(rng)
             (folder / f"{n}.jsonl").write_bytes(data)
-            want[f"file://{folder}/{n}.jsonl"] = data.split(b"\n")[:-1]
+            want[f"file:{folder}/{n}.jsonl"] = data.split(b"\n")[:-1]
         reader = blocks.BlockReader([str(folder)], "*.jsonl", rng.choice([1, 2, 5, 16, 1000]), rng.choice([1, 10, 100]))
         got = {name: [] for name in want}
         for part in reader.partitions():
@@ -43,7 +43,7 @@ def test_listing(tmp_path):
     for name in ("a/x.jsonl", "_hidden/y.jsonl", "_part=1/z.jsonl", "a/.t.jsonl", "a/u.txt"):
         (tmp_path / name).write_text("1\n")
     (tmp_path / "a/empty.jsonl").write_text("")
-    names = [f.shown.removeprefix(f"file://{tmp_path}/") for f in blocks.listed([f"file:{tmp_path}", str(tmp_path / "a/x.jsonl")], "*.jsonl")]
+    names = [f.shown.removeprefix(f"file:{tmp_path}/") for f in blocks.listed([f"file:{tmp_path}", str(tmp_path / "a/x.jsonl")], "*.jsonl")]
     assert names == ["_part=1/z.jsonl", "a/x.jsonl"]
     with pytest.raises(FileNotFoundError):
         blocks.listed([str(tmp_path / "none")], "*")

@@ -59,8 +59,8 @@ def test_streamed_merges_equal_the_batch_merge(spark, tmp_path, exact):
         spark.createDataFrame(rows, LINE).coalesce(1).write.mode("append").parquet(landing)
     lines_ = spark.readStream.schema(LINE).option("maxFilesPerTrigger", 1).parquet(landing)
     if exact:
-        st.run_updates(lines_, folder, st.recompute_keys(spark, f"{folder}/log", f"{folder}/facts"), "append")
-        got = st.newest(spark, f"{folder}/facts", *st.MERGE_KEY)
+        st.run_updates(lines_, folder, st.ingest_usage(f"{folder}/log"), "append")
+        got = st.merged_log(spark, f"{folder}/log")
     else:
         st.run_updates(st.merged_stream(lines_), folder)
         got = st.newest(spark, f"{folder}/rows", *st.MERGE_KEY).select("first.*", *merge.COUNTERS)
@@ -262,9 +262,10 @@ def test_streamed_log_text_equals_a_batch_scan_and_a_moved_file_counts_once(spar
     chunks = [[claude_text(5, "bad", 1), claude_text(7, key=1), "", "{broken \"usage\" assistant"], [claude_text(9, "bad", 1), claude_text(1, key=2), '{"type": "user"}'], [claude_text(3, key=1), claude_text(4, key=3)]]
 
     def ingest():
-        stream = st.line_stream(spark, str(landing), files_per_trigger=1, by_name=True)
-        st.run_updates(stream, folder, st.ingest_lines(spark, f"{folder}/log", f"{folder}/facts"), "append")
-        return sorted(r.input_tokens for r in st.newest(spark, f"{folder}/facts", *st.MERGE_KEY).collect())
+        stream = st.line_stream(spark, str(landing), files_per_trigger=1)
+        none = spark.createDataFrame([], "label string, path string, source string, enabled boolean, root_rank int")
+        st.run_updates(stream, folder, st.ingest_logs(spark, folder, none, none), "append")
+        return sorted(r.input_tokens for r in st.log_facts(spark, folder).collect())
 
     seen = []
     for k, rows in enumerate(chunks):
