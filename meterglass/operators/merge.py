@@ -40,23 +40,24 @@ def merge_counts(lines: DataFrame) -> DataFrame:
     return each.agg(F.count("*").alias("records"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
 
 
-def states(lines: DataFrame) -> DataFrame:
+def states(lines: DataFrame, *by: str) -> DataFrame:
     """Lines reduced to what later lines of their key can still change: states, which merge in any order (`combined`).
 
     A key has one state of its dated lines (the first of them and the maxima of the counters). Lines without a timestamp
     count only behind the first dated one, which may still come, so they stay apart: of those that are equal in all
     counters only the last matters. Sums and minima alone, so tasks reduce before they shuffle and no key is gathered.
+    States of lines that differ in a column of ``by`` stay apart.
     """
     dated = F.col("ts").isNotNull()
     parts = [c.alias(n) for n, c in merge_key().items()]
     first = F.when(dated, F.struct("ts", "model_raw", "account", "provider", "ord")).alias("first")
-    return combined(lines.select(*parts, dated.alias("dated"), F.col("ord"), first, *COUNTERS))
+    return combined(lines.select(*by, *parts, dated.alias("dated"), F.col("ord"), first, *COUNTERS), *by)
 
 
-def combined(some: DataFrame) -> DataFrame:
+def combined(some: DataFrame, *by: str) -> DataFrame:
     """States of the same keys as one: `combined(a + b) = combined(combined(a) + combined(b))`."""
     apart = [F.when(~F.col("dated"), F.col(c)).alias(f"_{c}") for c in COUNTERS]
-    grouped = some.groupBy("r", "m", "o", "dated", *apart)
+    grouped = some.groupBy(*by, "r", "m", "o", "dated", *apart)
     merged = grouped.agg(F.max("ord").alias("ord"), F.min_by("first", F.col("first.ord")).alias("first"), *[F.max(c).alias(c) for c in COUNTERS])
     return merged.drop(*[f"_{c}" for c in COUNTERS])
 

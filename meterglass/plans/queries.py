@@ -12,7 +12,7 @@ from meterglass.operators.accounts import account_roots, tag_accounts
 from meterglass.plans import events as ev
 from meterglass.plans.report import ingest_counts, summary, usage_report
 from meterglass.sources import lines as src
-from meterglass.sources import snapshots, store
+from meterglass.sources import incremental, snapshots, store
 from meterglass.streaming import usage as st
 
 ZONE, FIRST, LAST = "America/New_York", "2024-01-05", "2024-01-20"
@@ -125,7 +125,7 @@ def facts_refresh(spark, sf):
     roots = ev.event_lines(events).select("account", "provider").distinct()
     prices = pricing.default_prices(spark)
     written = [store.refresh_facts(lambda: ev.usage_facts(events), path, p, roots) for p in (prices, prices, prices.where("input > 1"))]
-    held = store.read_facts(spark, f"{path}/facts").agg(F.count("*").alias("n"), F.sum("output_tokens").alias("output_tokens"))
+    held = store.read_facts(spark, path).agg(F.count("*").alias("n"), F.sum("output_tokens").alias("output_tokens"))
     return held.select(F.inline(F.array(*[F.struct(F.lit(k).alias("run"), F.lit(w).alias("written")) for k, w in enumerate(written)])), "n", "output_tokens")
 
 
@@ -319,6 +319,43 @@ def dim_fingerprint(spark, sf):
     return store.fingerprint(pricing.default_prices(spark), roots)
 
 
+@query
+def set_digest(spark, sf):
+    """Digests of the lines of each account, added up from those of each file; every fifth line has been taken out again."""
+    lines = ev.event_lines(ev.events(spark, sf)).select("account", "file", "ord", "model_raw", "input_tokens")
+    whole = store.set_digest(lines, "account", "file")
+    out = store.set_digest(lines.where("ord % 5 = 0"), "account", "file").withColumn("n", -F.col("n"))
+    added = store.added_digests(whole.unionByName(out).drop("file"), "account")
+    return added.select("account", "n", F.col("high").cast("string").alias("high"), F.col("low").cast("string").alias("low"))
+
+
+@query
+def facts_by_file(spark, sf):
+    """Facts that are kept by file: a first refresh, then files that grew, shrank, moved, came and went, and a second one."""
+    events = ev.events(spark, sf)
+    path, base = ev.shared_folder(spark), ev.shared_folder(spark)
+    files = ev.claude_lines(events).select("ord", F.col("file").alias("user"), ev.usage_json(ev.claude_lines(events)).alias("value")).unionByName(ev.codex_values(events).select("ord", F.col("file").alias("user"), "value"))
+    files = files.withColumn("name", F.lpad(F.col("user").cast("string"), 12, "0"))
+    user, half = F.col("user"), events.agg(F.max("event_id").alias("most")).first()["most"] // 2
+
+    def land(rows: DataFrame, folder: str) -> None:
+        placed = rows.repartition("name").sortWithinPartitions("name", "ord").select("name", "value")
+        placed.write.mode("append").partitionBy("name").text(f"{base}/{folder}")
+
+    land(files.where((user % 4 == 0) & (F.col("ord") < half)), "grown")
+    land(files.where(user % 4 == 1), "moved")
+    land(files.where((user % 4 == 2) & (F.col("ord") < half)), "gone")
+    land(files.where(user % 4 == 3), "same")
+    none = no_roots(spark)
+    incremental.refresh(spark, path, base, claude_roots=none, codex_roots=none, pattern="*.txt")
+    land(files.where((user % 4 == 0) & (F.col("ord") >= half)), "grown")
+    snapshots.move(spark, f"{base}/moved", f"{base}/archive")
+    snapshots.remove(spark, f"{base}/gone")
+    land(files.where((user % 4 == 2) & (F.col("ord") >= half)), "new")
+    incremental.refresh(spark, path, base, claude_roots=none, codex_roots=none, pattern="*.txt")
+    return incremental.facts(spark, path).select("provider", "account", "output_tokens", "input_tokens", ts_us())
+
+
 # --- limits ---------------------------------------------------------------------------------------------------------
 
 
@@ -410,8 +447,9 @@ def limit_status(spark, sf):
 def limits_store(spark, sf):
     rows = limit_source(spark, sf).select(F.concat(F.when(F.col("k") % 3 == 0, "claude:").when(F.col("k") % 3 == 1, "codex:").otherwise("other:"), F.col("account")).alias("name"), F.when(F.col("k") % 7 != 0, F.col("captured_at")).alias("capture"))
     path = ev.shared_folder(spark)
-    store.limit_store(rows).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    for _ in range(2):  # the second version replaces the first
+        store.write_limits(rows, path)
+    return store.read_limits(spark, path)
 
 
 @query

@@ -156,6 +156,17 @@ MIXED = LINES.replace("'acct-' || (user_id % 5) AS account", "CASE WHEN user_id
 SQL["stream_mixed_logs"] = q(f"SELECT {FACT_COLUMNS} FROM facts", MIXED)
 SQL["dim_fingerprint"] = f"""WITH {LINES.strip()}, dims(dim, j) AS (SELECT 0, j FROM (VALUES {PRICE_ROWS}) v(j) UNION ALL SELECT DISTINCT 1, '{{"account":"' || account || '","provider":"' || provider || '"}}' FROM lines)
   SELECT dim, sha256(string_agg(sha256(j), ',' ORDER BY sha256(j))) AS digest FROM dims GROUP BY dim"""
+SQL["set_digest"] = f"""WITH {LINES.strip()}, rows AS (SELECT account, md5('{{"input_tokens":' || input_tokens || ',"model_raw":"' || model_raw || '","ord":' || ord || '}}') AS h FROM lines WHERE ord % 5 <> 0)
+  SELECT account, count(*) AS n, (sum(CAST(('0x' || substr(h, 1, 16)) AS UBIGINT)::HUGEINT) % 18446744073709551616)::VARCHAR AS high, (sum(CAST(('0x' || substr(h, 17)) AS UBIGINT)::HUGEINT) % 18446744073709551616)::VARCHAR AS low FROM rows GROUP BY 1"""
+#: Files by user in folders by the user's remainder, whose order is that of the merge; the first half of those that are gone does not count.
+BY_FILE = LINES.replace("gated AS (", """placed AS (SELECT * REPLACE (row_number() OVER (ORDER BY CASE file % 4 WHEN 1 THEN 'archive' WHEN 0 THEN 'grown' WHEN 2 THEN 'new' ELSE 'same' END, file, ord >= (SELECT max(ord) FROM raw) // 2, ord) AS ord)
+  FROM lines WHERE file % 4 <> 2 OR ord >= (SELECT max(ord) FROM raw) // 2),\ngated AS (""").replace("AS start FROM lines WHERE", "AS start FROM placed WHERE")
+# what was written at one time is a file of its own
+BY_FILE = BY_FILE.replace("marker, k FROM raw)", "marker, k, user_id * 2 + CASE WHEN user_id % 4 IN (0, 2) AND ord >= (SELECT max(ord) FROM raw) // 2 THEN 1 ELSE 0 END AS part, user_id % 4 <> 2 OR ord >= (SELECT max(ord) FROM raw) // 2 AS present FROM raw)")
+for old, new in (("_value(marker IGNORE NULLS) OVER (PARTITION BY file", "_value(CASE WHEN present THEN marker END IGNORE NULLS) OVER (PARTITION BY part"), ("WHERE marker IS NULL AND ts_us IS NOT NULL", "WHERE marker IS NULL AND ts_us IS NOT NULL AND present"), ("WINDOW p AS (PARTITION BY file", "WINDOW p AS (PARTITION BY part")):
+    assert old in BY_FILE
+    BY_FILE = BY_FILE.replace(old, new)
+SQL["facts_by_file"] = q("SELECT provider, provider AS account, output_tokens, input_tokens, ts_us FROM facts", BY_FILE)
 LIMITS = "src AS (SELECT 'e' || event_id AS account, (epoch_us(CAST(ts AS TIMESTAMP)) // 1000000)::DOUBLE AS captured_at, event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"
 NAMES = "used_percentage, resets_at, window_minutes"
 

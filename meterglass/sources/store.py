@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterglass.operators.limits import is_object, number, part, text
 from meterglass.operators.pricing import RATE_NAMES
+from meterglass.sources import snapshots
 
 
 def price_file(spark: SparkSession, path: str) -> DataFrame:
@@ -25,13 +25,18 @@ def price_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_facts(facts: DataFrame, path: str) -> None:
-    """Merged facts without prices, by provider and day; prices are joined when they are read, so they may change."""
-    facts.withColumn("event_date", F.to_date("ts")).write.mode("overwrite").partitionBy("provider", "event_date").parquet(path)
+    """Merged facts without prices, by provider and day, as a new version; prices are joined when they are read, so they may change."""
+    snapshots.publish(facts.sparkSession, path, lambda to: _put_facts(facts, f"{to}/facts"))
+    snapshots.vacuum(facts.sparkSession, path)
+
+
+def _put_facts(facts: DataFrame, to: str) -> None:
+    facts.withColumn("event_date", F.to_date("ts")).write.partitionBy("provider", "event_date").parquet(to)
 
 
 def read_facts(spark: SparkSession, path: str, first_day: str | None = None, last_day: str | None = None) -> DataFrame:
-    """Stored facts; days outside the range are not read."""
-    facts = spark.read.parquet(path)
+    """The newest whole version of stored facts; days outside the range are not read."""
+    facts = spark.read.parquet(f"{snapshots.current(spark, path)}/facts")
     if first_day:
         facts = facts.where(F.col("event_date") >= F.lit(first_day).cast("date"))
     if last_day:
@@ -48,25 +53,60 @@ def fingerprint(*dims: DataFrame) -> DataFrame:
     return out
 
 
+#: How the halves of a row's digest are added up.
+_HALF = "decimal(20,0)"
+_MODULUS = str(1 << 64)
+
+
+def set_digest(rows: DataFrame, *by: str) -> DataFrame:
+    """(``by``, n, high, low): the number of rows and the sums of both halves of their md5 digests modulo 2**64.
+
+    The rows' order and partitioning do not matter, equal rows count as often as they occur, and digests of parts add up
+    (`added_digests`), so tasks reduce before anything is shuffled, and one row in or out needs no other row.
+    """
+    body = F.md5(F.to_json(F.struct(*[c for c in sorted(rows.columns) if c not in by]), {"ignoreNullFields": "false"}))
+    half = lambda at: F.conv(F.substring(body, at, 16), 16, 10).cast(_HALF)
+    return added_digests(rows.select(*by, F.lit(1).cast("long").alias("n"), half(1).alias("high"), half(17).alias("low")), *by)
+
+
+def added_digests(some: DataFrame, *by: str) -> DataFrame:
+    """The digest of all rows by those of parts. Counts may be negative, with the digests of rows that are taken out."""
+    side = F.when(F.col("n") < 0, F.lit(-1)).otherwise(F.lit(1))
+    total = lambda c: F.pmod(F.coalesce(F.sum(F.col(c) * side), F.lit(0).cast(_HALF)), F.lit(_MODULUS).cast("decimal(38,0)")).cast(_HALF).alias(c)
+    return some.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), total("high"), total("low"))
+
+
 def refresh_facts(make: Callable[[], DataFrame], path: str, *dims: DataFrame) -> bool:
-    """Writes facts to ``path`` unless those there were made with dimensions of the same fingerprint; whether it wrote.
+    """Makes a new version of the facts in ``path`` unless the newest was made with dimensions of the same digests; whether it did.
 
-    The fingerprint is kept in a manifest beside the facts, which is written after them: a job that ends in between
-    leaves none that fits, and the facts are made again.
+    Facts and digests are parts of one version, which is there whole or not at all.
     """
     spark = dims[0].sparkSession
-    now = [r["digest"] for r in fingerprint(*dims).orderBy("dim").collect()]
-    try:
-        held = [r["digest"] for r in spark.read.parquet(f"{path}/manifest").orderBy("dim").collect()]
-    except AnalysisException:  # there is none yet
-        held = []
-    if held == now:
+    now = [(k, *map(str, set_digest(dim).first())) for k, dim in enumerate(dims)]
+    held = snapshots.current(spark, path)
+    if held and sorted(map(tuple, spark.read.parquet(f"{held}/dims").collect())) == now:
         return False
-    write_facts(make(), f"{path}/facts")
-    spark.createDataFrame(list(enumerate(now)), "dim int, digest string").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+
+    def write(to: str) -> None:
+        _put_facts(make(), f"{to}/facts")
+        spark.createDataFrame(now, "dim int, n string, high string, low string").coalesce(1).write.parquet(f"{to}/dims")
+
+    snapshots.publish(spark, path, write)
+    snapshots.vacuum(spark, path)
     return True
 
 
+def write_limits(rows: DataFrame, path: str) -> None:
+    """A new version of the stored limit captures (`limit_store`)."""
+    snapshots.publish(rows.sparkSession, path, lambda to: limit_store(rows).write.parquet(to))
+    snapshots.vacuum(rows.sparkSession, path)
+
+
+def read_limits(spark: SparkSession, path: str) -> DataFrame:
+    """The newest whole version of the stored limit captures."""
+    return spark.read.parquet(snapshots.current(spark, path))
+
+
 def limit_store(rows: DataFrame) -> DataFrame:
     """What a store of limit captures keeps: entries (name, capture) of the two providers."""
     return rows.where(F.col("name").rlike("^(claude|codex):") & F.col("capture").isNotNull())
