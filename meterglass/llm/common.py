@@ -16,7 +16,7 @@ BATCH_ROWS = 1000
 #: Ids that a join broadcasts at most (32 MB).
 MOST_IDS = 1 << 22
 #: Bytes of text that a Python task turns into numpy arrays at a time.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
