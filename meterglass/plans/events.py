@@ -79,9 +79,14 @@ def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return price_facts(usage_facts(events(spark, sf_dir)), default_prices(spark))
 
 
+def now_value(spark: SparkSession, sf_dir: str) -> int:
+    """The time of the last event in microseconds: one scan of the column."""
+    return events(spark, sf_dir).agg(F.unix_micros(F.max("ts").cast("timestamp")).alias("t")).first()["t"]
+
+
 def now_us(spark: SparkSession, sf_dir: str) -> Column:
-    """The time of the last event, as a literal: one scan of the column."""
-    return F.lit(events(spark, sf_dir).agg(F.unix_micros(F.max("ts").cast("timestamp")).alias("t")).first()["t"]).cast("long")
+    """The time of the last event as a literal."""
+    return F.lit(now_value(spark, sf_dir)).cast("long")
 
 
 def usage_json(lines: DataFrame) -> Column:

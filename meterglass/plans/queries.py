@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from meterglass.functions import text
 from meterglass.functions.calendar import add_months, add_years, preset_table
-from meterglass.operators import limits, merge, pricing, rollout, series, windows
+from meterglass.operators import cells, limits, merge, pricing, rollout, series, windows
 from meterglass.operators.accounts import account_roots, tag_accounts
 from meterglass.plans import events as ev
-from meterglass.plans.report import ingest_counts, summary, usage_report
+from meterglass.plans.report import in_order, ingest_counts, summary, usage_report
 from meterglass.sources import lines as src
 from meterglass.sources import incremental, snapshots, store
 from meterglass.streaming import usage as st
@@ -247,13 +247,30 @@ def report_labels(spark, sf):
     return rows.select("model_norm", text.pretty_model(F.col("model_norm")).alias("name"), text.human_tokens(F.col("total_tokens")).alias("tokens_label"), text.cost_label(F.col("cost"), F.col("unpriced_tokens")).alias("cost_label"), text.human_duration(age).alias("age_label"))
 
 
-@query
-def usage_report_query(spark, sf):
-    """Every table of the report in one row: how many rows it has, and their tokens and cost."""
+def reported(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     now = ev.now_us(spark, sf)
     captures = limits.latest_limits(account_captures(spark, sf).withColumn("ord", F.lit(0)))
     owners = spark.createDataFrame([("claude", f"acct-{k}", 0, k) for k in range(4)] + [("codex", "acct-4", 1, 0)], "provider string, account string, provider_rank int, root_rank int")
-    return summary(usage_report(ev.usage_facts(ev.events(spark, sf)), pricing.default_prices(spark), now, owners, window="7d", captures=captures, days=(FIRST, LAST, ZONE)))
+    return usage_report(ev.usage_facts(ev.events(spark, sf)), pricing.default_prices(spark), now, owners, window="7d", captures=captures, days=(FIRST, LAST, ZONE))
+
+
+@query
+def usage_report_query(spark, sf):
+    """Every table of the report in one row: how many rows it has, and their tokens and cost."""
+    return summary(reported(spark, sf))
+
+
+@query
+def report_tables(spark, sf):
+    """The rows of every table of the report, with their places, flags and sums."""
+    return in_order(reported(spark, sf))
+
+
+@query
+def windows_at_moments(spark, sf):
+    """All rolling windows at 600 moments, seven hours and eleven seconds apart, by one sweep."""
+    now = ev.now_value(spark, sf)
+    return cells.windows_at(ev.priced(spark, sf), [now - k * 25_211_000_007 for k in range(600)])
 
 
 # --- dimensions and files -------------------------------------------------------------------------------------------
@@ -590,9 +607,10 @@ def stream_watermark(spark, sf):
 
 @query
 def stream_live_windows(spark, sf):
-    folder, now = ev.shared_folder(spark), ev.now_us(spark, sf)
+    """Windows after each batch by the cells of all batches so far; those of the last one."""
+    folder, now = ev.shared_folder(spark), ev.now_value(spark, sf)
     facts = ev.priced(spark, sf).select("ts", "known", "cost", *windows.TOKENS)
-    st.run_updates(landed(spark, facts, 4), folder, st.live_windows(spark, f"{folder}/table", f"{folder}/result", lambda: now), "append")
+    st.run_updates(landed(spark, facts, 4), folder, st.live_windows(folder, lambda: now), "append")
     return st.newest(spark, f"{folder}/result", "window")
 
 

@@ -1,4 +1,4 @@
-"""The whole report over log directories, as named DataFrames of one lazy graph."""
+"""The whole report over log directories: named DataFrames over one cube of the facts."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterglass.functions import text
-from meterglass.operators import limits, merge, pricing, rollout, series, windows
+from meterglass.operators import cube, limits, merge, pricing, rollout, series, windows
 from meterglass.operators.accounts import tag_accounts
+from meterglass.plans.events import shared_folder
 from meterglass.sources import extract
 from meterglass.sources.lines import ingest_quality, parsed, prefilter, scan_lines
 from meterglass.sources.store import file_listing
@@ -50,44 +51,82 @@ def usage_report(
     one of them or 'all'; an unknown one counts as 'all'. The table of accounts has rows only for 'all', and only where
     there are at least two. ``captures`` (account, captured_at, buckets) adds the limits, and ``days`` (first, last and
     time zone) the tables of a date range.
+
+    The facts are read once, when this is called: their cube is written to the shared folder, and every table follows
+    from it.
     """
     known = scope != "all" and not accounts.where(F.col("account") == scope).isEmpty()
-    every = pricing.price_facts(facts, prices)
-    priced = windows.scoped(every, scope, [scope] if known else [])
-    activity = series.activity_series(priced, now_us, window, metric)
-    totals = windows.rolling_windows(priced, now_us)
+    every = written(cube.usage_cube(pricing.price_facts(facts, prices), now_us, window, days=days))
+    held = windows.scoped(every, scope, [scope] if known else [])
+    activity = cube.activity(held, metric)
     labels = [text.pretty_model(F.col("model_norm")).alias("name"), text.human_tokens(F.col("total_tokens")).alias("tokens_label"), text.cost_label(F.col("cost"), F.col("unpriced_tokens")).alias("cost_label")]
     by_cost = [F.desc("cost"), F.desc("total_tokens")]
-    rollup = windows.by_account(every, accounts.select("provider", "account"), now_us, window)
     shown = (F.count("*").over(Window.partitionBy()) >= 2) & F.lit(not known)
+    covered = windows.coverage(F.col("unpriced_tokens"), F.col("total_tokens"))
     tables = {
-        "windows": totals.withColumn("coverage", windows.coverage(F.col("unpriced_tokens"), F.col("total_tokens"))),
-        "models": windows.model_rollup(priced, now_us).select("*", *labels).orderBy("window", "is_total", *by_cost, "model_norm"),
+        "windows": cube.rolling_windows(held).withColumn("coverage", covered),
+        "models": cube.model_rollup(held).select("*", *labels).orderBy("window", "is_total", *by_cost, "model_norm"),
         # over the rows of accounts, which are few
-        "accounts": rollup.withColumn("shown", shown).where("shown").drop("shown").orderBy(*by_cost, "provider", "account"),
+        "accounts": cube.by_account(every, accounts.select("provider", "account"), window).withColumn("shown", shown).where("shown").drop("shown").orderBy(*by_cost, "provider", "account"),
         "activity": activity.orderBy("bucket"),
         "peak": series.peak_bucket(activity, now_us, window),
-        "levels": series.series_levels(activity),
+        "levels": series.series_levels(activity).orderBy("bucket"),
         "unknown_models": windows.unknown_models(every).orderBy("model_norm"),
     }
-    has_codex = every.agg(F.coalesce(F.bool_or(F.col("provider") == "codex"), F.lit(False)).alias("has_codex"), F.count("*").alias("records"))
+    has_codex = every.agg(F.coalesce(F.bool_or(F.col("provider") == "codex"), F.lit(False)).alias("has_codex"), F.coalesce(F.sum("records"), F.lit(0)).alias("records"))
     if captures is None:
         tables["providers"] = has_codex.withColumn("has_limits", F.lit(False))
     else:
-        held = captures.join(F.broadcast(accounts.select("account")), "account", "left_semi")
-        tables["providers"] = has_codex.crossJoin(F.broadcast(held.agg((F.count("*") > 0).alias("has_limits"))))
-        tables["limits"] = limits.limit_status(limits.limits_by_account(held, accounts), F.floor(now_us / 1e6))
+        own = captures.join(F.broadcast(accounts.select("account")), "account", "left_semi")
+        tables["providers"] = has_codex.crossJoin(F.broadcast(own.agg((F.count("*") > 0).alias("has_limits"))))
+        tables["limits"] = limits.limit_status(limits.limits_by_account(own, accounts), F.floor(now_us / 1e6))
     if days is not None:
-        held = windows.day_range(priced, *days)
-        by_day = windows.range_by_day(priced, *days)
+        within = held.where("in_range")
+        by_day = cube.range_by_day(held, *days[:2])
+        totals = within.agg(*cube.measures()).drop("known").withColumn("coverage", covered)
         tables |= {
-            "range": windows.range_totals(held).crossJoin(F.broadcast(windows.active_days(by_day))),
+            "range": totals.crossJoin(F.broadcast(windows.active_days(by_day))),
             "range_days": by_day.orderBy("day"),
-            "range_models": windows.by_model(held).select("*", *labels).orderBy(*by_cost, "model_norm"),
+            "range_models": within.groupBy("model_norm").agg(*cube.measures()).select("*", *labels).orderBy(*by_cost, "model_norm"),
         }
     return tables
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+#: What `in_order` shows of each table: key, other key, flag, count, amount and more.
+SHOWN = {
+    "windows": ("window", None, None, "total_tokens", "cost", "records"),
+    "models": ("window", "model_norm", "known", "total_tokens", "cost", "records"),
+    "accounts": ("provider", "account", None, "total_tokens", "cost", "records"),
+    "activity": ("bucket", None, None, "unpriced_tokens", "value", "records"),
+    "peak": ("bucket", None, None, None, "value", None),
+    "levels": ("bucket", None, None, "level", None, None),
+    "unknown_models": ("model_norm", None, None, None, None, None),
+    "providers": (None, None, "has_codex", "records", None, None),
+    "limits": ("account", "key", None, None, "shown_percentage", None),
+    "range": (None, None, None, "total_tokens", "cost", "active_days"),
+    "range_days": ("day", None, None, "total_tokens", "cost", "records"),
+    "range_models": ("model_norm", None, "known", "total_tokens", "cost", "records"),
+}
+
+
+def in_order(tables: dict[str, DataFrame]) -> DataFrame:
+    """The rows of all tables (``table``, ``place``, and what `SHOWN` says): ``place`` is where a row stands in its table. They are small."""
+    out = None
+    for name, table in tables.items():
+        kinds = ("string", "string", "boolean", "long", "double", "long")
+        columns = [(F.lit(None) if c is None else F.col(c)).cast(kind).alias(n) for c, kind, n in zip(SHOWN[name], kinds, ("key", "other", "flag", "n", "amount", "more"), strict=True)]
+        rows = table.coalesce(1).select(F.lit(name).alias("table"), F.monotonically_increasing_id().alias("place"), *columns)
+        out = rows if out is None else out.unionByName(rows)
+    return out.withColumn("amount", F.round("amount", 9))
+
+
 def summary(tables: dict[str, DataFrame]) -> DataFrame:
     """(table, n, total_tokens, cost): the rows of each table and the sums of what it has of the two."""
     out = None

@@ -234,5 +234,38 @@ SQL["usage_report"] = " UNION ALL ".join(
         TABLE("range", TOKENS, COST, SQL["range_totals"]), TABLE("range_days", TOKENS, COST, SQL["range_by_day"]), TABLE("range_models", TOKENS, COST, SQL["range_by_model"]),
     ]
 )
+WEEK = SQL["activity_series"].replace(series("24h", 86400, "cost"), series("7d", 604800, "cost"))
+OWNERS = "CASE WHEN account = 'acct-4' THEN 1 ELSE 0 END, account"
+
+
+def placed(name: str, order: str, columns: str, base: str) -> str:
+    """Rows of a table of the report with their places: key, other key, flag, count, amount and more."""
+    return f"SELECT '{name}' AS \"table\", row_number() OVER (ORDER BY {order}) - 1 AS place, {columns} FROM ({base})"
+
+
+ALL = "total_tokens AS n, round(cost, 9) AS amount, records::BIGINT AS more"
+BY_COST = "cost DESC, total_tokens DESC"
+NONE = "NULL::VARCHAR AS other, NULL::BOOLEAN AS flag"
+LEVELED = """ , leveled AS (SELECT bucket, CASE WHEN max(value) OVER () <= 0 OR value <= 0 THEN 1 ELSE greatest(1, least(12, CAST(round_even(value / max(value) OVER () * 12, 0) AS INTEGER))) END AS level FROM series) SELECT * FROM leveled"""
+SHOWN_LIMITS = f"""WITH {HOURLY}, newest AS (SELECT account, max(captured_at) AS captured_at, arg_max(k, captured_at) AS k FROM hourly GROUP BY 1), t AS (SELECT (max(epoch_us(CAST(ts AS TIMESTAMP))) // 1000000)::DOUBLE AS now FROM events)
+  SELECT account, key, CASE WHEN now >= resets_at THEN 0.0::DOUBLE ELSE used_percentage END AS shown FROM ({shape_b('newest')}), t"""
+SQL["report_tables"] = " UNION ALL ".join(
+    [
+        placed("windows", """CASE "window" WHEN '1h' THEN 0 WHEN '5h' THEN 1 WHEN '24h' THEN 2 WHEN '7d' THEN 3 ELSE 4 END""", f'"window" AS key, {NONE}, {ALL}', SQL["rolling_windows"]),
+        placed("models", f'"window", is_total, {BY_COST}, model_norm', f'"window", model_norm, known, {ALL}', SQL["model_rollup"]),
+        placed("accounts", f"{BY_COST}, provider, account", f"provider, account, NULL::BOOLEAN, {ALL}", ACTIVE),
+        placed("activity", "bucket", f"bucket::VARCHAR, {NONE}, unpriced_tokens, round(value, 9), records", WEEK),
+        placed("peak", "bucket", f"bucket::VARCHAR, {NONE}, NULL::BIGINT, round(value, 9), NULL::BIGINT", f"SELECT * FROM ({WEEK}) ORDER BY value DESC, bucket LIMIT 1"),
+        placed("levels", "bucket", f"bucket::VARCHAR, {NONE}, level::BIGINT, NULL::DOUBLE, NULL::BIGINT", WEEK.replace("SELECT bucket, value, records, unpriced_tokens FROM series", LEVELED)),
+        placed("unknown_models", "model_norm", f"model_norm, {NONE}, NULL::BIGINT, NULL::DOUBLE, NULL::BIGINT", SQL["unknown_models"]),
+        placed("providers", "n", "NULL::VARCHAR, NULL::VARCHAR, flag, n, NULL::DOUBLE, NULL::BIGINT", q("SELECT bool_or(provider = 'codex') AS flag, count(*) AS n FROM facts", LINES)),
+        placed("limits", f"{OWNERS}, key", "account, key, NULL::BOOLEAN, NULL::BIGINT, shown, NULL::BIGINT", SHOWN_LIMITS),
+        placed("range", "total_tokens", f"NULL::VARCHAR, {NONE}, total_tokens, round(cost, 9), active_days", f"SELECT * FROM ({SQL['range_totals']}), ({SQL['active_days']})"),
+        placed("range_days", "day", f"day, {NONE}, {ALL}", SQL["range_by_day"]),
+        placed("range_models", f"{BY_COST}, model_norm", f"model_norm, NULL::VARCHAR, known, {ALL}", SQL["range_by_model"]),
+    ]
+)
+SQL["windows_at_moments"] = q(f"""SELECT m.us AS moment_us, w."window", {MEASURES} FROM (SELECT (SELECT now FROM clock) - range * 25211000007 AS us FROM range(600)) m CROSS JOIN {WINDOWS}
+  LEFT JOIN priced ON w.secs IS NULL OR m.us - ts_us <= w.secs * 1000000 GROUP BY 1, 2""")
 # a query string goes on with further common tables after the base
 SQL = {k: v.replace("cost FROM carded) ,", "cost FROM carded),").replace("FROM rollout) ,", "FROM rollout),") for k, v in SQL.items()}

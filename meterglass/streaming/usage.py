@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterglass.operators.accounts import tag_accounts
+from meterglass.operators.cells import DAY, MINUTE, added_cells, cut_minutes, minute_cells, windows_from_cells
 from meterglass.operators.merge import COUNTERS, combined, merge_key, state_facts, states
 from meterglass.operators.rollout import rollout_usage
-from meterglass.operators.windows import rolling_windows
 from meterglass.sources import snapshots
 from meterglass.sources.extract import rollout_events, usage_lines
 from meterglass.sources.lines import parsed, prefilter, rollout_prefilter, usage_prefilter
@@ -169,12 +169,24 @@ def tumbling(facts: DataFrame, width: str, watermark: str | None = None) -> Data
     return timed.groupBy(F.window("ts", width)).agg(cost, F.sum("total_tokens").alias("total_tokens"), F.count("*").alias("records")).select(F.unix_micros("window.start").alias("start_us"), F.col("cost").cast("double").alias("cost"), "total_tokens", "records")
 
 
-def live_windows(spark: SparkSession, table: str, result: str, now: Callable[[], Column]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch that adds the facts to ``table`` and asks for all rolling windows anew."""
+def live_windows(folder: str, now: Callable[[], int]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch that asks for all rolling windows at ``now`` (microseconds) anew, into ``result`` of the folder.
+
+    A batch adds its cells of a minute to one levelled log, and its priced facts by day to another. The answer reads
+    cells, and of the facts only the days and minutes that an edge cuts.
+    """
+    table, cells = f"{folder}/facts", f"{folder}/cells"
 
     def apply(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
-        rolling_windows(spark.read.parquet(table).drop("batch"), now()).write.mode("overwrite").parquet(f"{result}/batch={number}")
+        spark = batch.sparkSession
+        rows = batch.where("ts IS NOT NULL").withColumn("day", F.floor(F.unix_micros("ts") / DAY).cast("int"))
+        add_run(rows.repartition("day"), table, number, lambda runs: runs.repartition("day"), by=["day"])
+        add_run(minute_cells(rows), cells, number, added_cells)
+        moment = now()
+        days = {m * MINUTE // DAY for m in cut_minutes([moment])}
+        facts = read_runs(spark, table, rows).where(F.col("day").isin(sorted(days)))
+        found = windows_from_cells(added_cells(read_runs(spark, cells)), facts, [moment])
+        found.drop("moment_us").write.mode("overwrite").parquet(f"{folder}/result/batch={number}")
 
     return apply
 
