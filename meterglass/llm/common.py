@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 1000
 #: Ids that a join broadcasts at most (32 MB).
 MOST_IDS = 1 << 22
+#: Bytes of a batch that a Python function gets at a time; a longer row stands alone.
+SLICE_BYTES = 64 << 20
 #: Bytes of text that a Python task turns into numpy arrays at a time.
 CHUNK_BYTES = 500_000
 
@@ -95,12 +97,22 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
         for batch in batches:
-            if batch.num_rows:
-                yield apply(batch)
+            for part in bounded(batch):
+                yield apply(part)
 
     return in_small_batches(df).mapInArrow(run, schema)
 
 
+def bounded(batch: pa.RecordBatch, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``most`` bytes (by default `SLICE_BYTES`) or one row, in order; none of no rows."""
+    if batch.num_rows > 1 and batch.nbytes > (SLICE_BYTES if most is None else most):
+        half = batch.num_rows // 2
+        yield from bounded(batch.slice(0, half), most)
+        yield from bounded(batch.slice(half), most)
+    elif batch.num_rows:
+        yield batch
+
+
 def in_small_batches(df: DataFrame) -> DataFrame:
     """``df``; from here on the session's batches for Python have at most `BATCH_ROWS` rows."""
     conf = df.sparkSession.conf
@@ -118,8 +130,8 @@ def filter_batches(df: DataFrame, columns: dict[str, Column], make: Callable[[],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = make()
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in bounded(whole):
                 yield batch.select(["row"]).filter(pa.array(judge(pa.RecordBatch.from_struct_array(batch.column("seen"))), pa.bool_()))
 
     return in_small_batches(packed).mapInArrow(run, packed.select("row").schema).select("row.*")

@@ -4,10 +4,11 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from meterglass.llm import html_text, telephony
+from meterglass.llm import common, html_text, telephony
 
 
 def slow_adpcm(block: bytes) -> list[int]:
@@ -280,3 +281,19 @@ def test_many_open_titles_are_quick():
     start = time.perf_counter()
     html_text.main_text("<title>" * 100_000 + "<textarea>" * 50_000 + "<!--" * 100_000)
     assert time.perf_counter() - start < 15
+
+
+def test_batches_are_bounded_by_bytes(spark, monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"n": list(range(1000)), "t": ["x" * (k % 90) for k in range(1000)]})
+    parts = list(common.bounded(batch, 500))
+    assert len(parts) > 100 and all(p.nbytes <= 500 or p.num_rows == 1 for p in parts)
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    assert list(common.bounded(batch.slice(0, 0), 500)) == [] and list(common.bounded(batch)) == [batch]
+    # 1,000 texts whose samples are beyond the bound
+    monkeypatch.setattr(common, "SLICE_BYTES", 2000)
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), (F.col("id") % 90).cast("int")).alias("text"))
+    docs.write.mode("overwrite").parquet(f"{common.shared_folder(spark)}/bounded/documents.parquet")
+    small = telephony.op2_telephony_audio(spark, f"{common.shared_folder(spark)}/bounded").select("doc_id", "media_sha256", F.md5("pcm"), "n_bytes").collect()
+    monkeypatch.undo()
+    whole = telephony.op2_telephony_audio(spark, f"{common.shared_folder(spark)}/bounded").select("doc_id", "media_sha256", F.md5("pcm"), "n_bytes").collect()
+    assert sorted(small) == sorted(whole) and len(small) == 1000
