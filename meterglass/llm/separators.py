@@ -21,19 +21,21 @@ from contextlib import contextmanager
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterglass.llm.bpe import VOCABULARY
 from meterglass.llm.common import checkpointed, map_batches, shared_folder, table
 from meterglass.llm.packing import library_encoder
+from meterglass.sources import snapshots
 
 #: Id that ends a document, as in the packing contract.
 SEPARATOR = 1
 #: An id in a written file: the vocabulary has fewer than 2**16 - 2.
 TOKEN = np.dtype("<u2")
-#: Texts of a written file, tokens in a block of it, and blocks in a group of the prefix scan.
-FILE_TEXTS, BLOCK_TOKENS, GROUP_BLOCKS = 8_192, 32_768, 4_096
+#: Bytes of a written file (or one text's, if that is longer), tokens in a block of it, and blocks in a group of the prefix scan.
+FILE_BYTES, BLOCK_TOKENS, GROUP_BLOCKS = 32 << 20, 32_768, 4_096
 
 
 def scan_blocks(df: DataFrame, file: Column, block: Column, data: Column, separator: int = SEPARATOR, width: int = 4) -> DataFrame:
@@ -105,57 +107,72 @@ def document_lengths(blocks: DataFrame) -> DataFrame:
     return ended.unionByName(rest).withColumn("file", F.col("file.file"))
 
 
-def write_token_files(df: DataFrame, text: Column, folder: str, path: str, texts_per_file: int = FILE_TEXTS) -> None:
+def write_token_files(df: DataFrame, text: Column, folder: str, path: str, file_bytes: int = FILE_BYTES) -> None:
     """Writes texts as flat token files: nothing but their ids, each text's ended by `SEPARATOR`.
 
-    Every task writes its rows in their order, a new file after ``texts_per_file`` of them. All ids are two higher than
-    the vocabulary's, so no text holds the separator, which the writer puts after each row as its line end.
+    Every task writes its rows in their order, and begins a new file before one would have more than ``file_bytes``; a
+    file's folder has the numbers of the task and of the file in it. All ids are two higher than the vocabulary's, so no
+    text holds the separator, which the writer puts after each row as its line end.
     """
 
     def make():
-        encoder = library_encoder(path)
+        encoder, task = library_encoder(path), TaskContext.get().partitionId()
+        number, size = 0, 0
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            values = [(encoder.ids(t.as_py() or "") + np.uint32(2)).astype(TOKEN).tobytes() for t in batch.column("text")]
-            return pa.RecordBatch.from_arrays([pa.array(values, pa.binary())], ["value"])
+            nonlocal number, size
+            values, names = [], []
+            for t in batch.column("text"):
+                value = (encoder.ids(t.as_py() or "") + np.uint32(2)).astype(TOKEN).tobytes()
+                grown = len(value) + TOKEN.itemsize
+                if size and size + grown > file_bytes:
+                    number, size = number + 1, 0
+                size += grown
+                values.append(value)
+                names.append(f"{task:010d}-{number:010d}")
+            return pa.RecordBatch.from_arrays([pa.array(values, pa.binary()), pa.array(names, pa.string())], ["value", "file"])
 
         return apply
 
-    tokens = map_batches(df.select(text.cast("string").alias("text")), make, "value binary")
+    tokens = map_batches(df.select(text.cast("string").alias("text")), make, "value binary, file string")
     ending = np.array([SEPARATOR], TOKEN).tobytes().decode("ascii")
-    tokens.select(F.col("value").cast("string")).write.option("lineSep", ending).option("maxRecordsPerFile", texts_per_file).text(folder)
+    tokens.select(F.col("value").cast("string"), "file").write.option("lineSep", ending).partitionBy("file").text(folder)
 
 
 def token_blocks(spark: SparkSession, folder: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(file, block, data): the bytes of flat token files, cut in blocks wherever they fall.
 
-    A file is named by the numbers of the task and of the file in it, and read as a whole by one task.
+    A file, which is bounded by bytes but for a single longer text, is read as a whole by one task.
     """
     size = block_tokens * TOKEN.itemsize
-    files = spark.read.format("binaryFile").load(folder)
-    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"^part-0*(\d+)-.*-c0*(\d+)\D*$", "$1-$2")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    name = F.regexp_extract("path", r"/file=([^/]+)/[^/]+$", 1)
     starts = F.when(F.col("length") > 0, F.sequence(F.lit(0).cast("long"), (F.col("length") - 1).cast("long"), F.lit(size).cast("long")))
     parts = F.transform(starts, lambda at: F.substring("content", (at + 1).cast("int"), F.lit(size)))
     return files.select(name.alias("file"), F.posexplode(parts).alias("block", "data"))
 
 
-def placed_texts(df: DataFrame, key: Column, texts_per_file: int = FILE_TEXTS) -> DataFrame:
-    """(key, file, nth): where `write_token_files` puts each row of ``df``, which must give its rows in the same order, as tables do."""
+def placed_texts(df: DataFrame, key: Column) -> DataFrame:
+    """(key, task, row): the place of each row of ``df``, which must give its rows as when `write_token_files` read them, as tables do."""
     number = F.monotonically_increasing_id()
-    rows = df.select(key.alias("key"), F.shiftright(number, 33).alias("task"), number.bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
-    return rows.select("key", F.concat_ws("-", "task", F.floor(F.col("row") / texts_per_file)).alias("file"), (F.col("row") % texts_per_file).alias("nth"))
+    return df.select(key.alias("key"), F.shiftright(number, 33).alias("task"), number.bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
 
 
 def counted_texts(places: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(key, n_tokens, ended): the tokens of each text, without its separator, by its place in the files.
+    """(key, n_tokens, ended): the tokens of each text, without its separator, by its place among those of its task.
 
     A place without a document, or a document without a place, is an error.
     """
-    nth = F.row_number().over(Window.partitionBy("file").orderBy("start")) - 1
-    found = lengths.withColumn("nth", nth.cast("long"))
-    both = places.withColumn("placed", F.lit(True)).join(found, ["file", "nth"], "full_outer")
+    inside = F.row_number().over(Window.partitionBy("file").orderBy("start")) - 1
+    files = lengths.groupBy("file").agg(F.count("*").alias("n"))
+    task = F.split("file", "-").getItem(0).cast("long").alias("task")
+    # a row for each file of a task
+    before = F.sum("n").over(Window.partitionBy("task").orderBy("file")) - F.col("n")
+    firsts = files.select("file", task, "n").select("file", "task", before.alias("first"))
+    found = lengths.withColumn("inside", inside.cast("long")).join(firsts, "file").select("task", (F.col("first") + F.col("inside")).alias("row"), "n_tokens", "ended")
+    both = places.withColumn("placed", F.lit(True)).join(found, ["task", "row"], "full_outer")
     fits = F.col("placed") & F.col("ended")
-    tokens = F.when(F.coalesce(fits, F.lit(False)), F.col("n_tokens") - 1).otherwise(F.raise_error(F.concat(F.lit("texts and documents differ in file "), "file")).cast("long"))
+    tokens = F.when(F.coalesce(fits, F.lit(False)), F.col("n_tokens") - 1).otherwise(F.raise_error(F.concat(F.lit("texts and documents differ in task "), F.col("task").cast("string"))).cast("long"))
     return both.select("key", tokens.alias("n_tokens"), "ended")
 
 
@@ -177,8 +194,10 @@ def op3_separator_scan(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     with same_splits(spark):
+        # once for texts, and once for their ids alone
         write_token_files(docs, F.col("text"), folder, public_tokenizers.path(VOCABULARY))
         places = checkpointed(placed_texts(docs, F.col("doc_id")))
     scanned = checkpointed(scan_blocks(token_blocks(spark, folder), F.col("file"), F.col("block"), F.col("data"), width=TOKEN.itemsize))
+    snapshots.remove(spark, folder)
     counted = counted_texts(places, document_lengths(scanned))
     return counted.select(F.col("key").alias("doc_id"), "n_tokens", "ended")

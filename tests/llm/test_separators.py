@@ -46,20 +46,22 @@ def test_written_files_hold_every_text(spark, tmp_path, odd_documents, no_docume
     ids = lambda text: library.encode(text or "", add_special_tokens=False).ids
     odd_documents.repartition(3).write.parquet(str(tmp_path / "table"))
     df = spark.read.parquet(str(tmp_path / "table"))
-    separators.write_token_files(df, F.col("text"), folder, path, texts_per_file=2)
-    files = [np.frombuffer(f.read_bytes(), "<u2").tolist() for f in sorted((tmp_path / "tokens").glob("part-*"))]
-    assert len(files) > 3 and max(f.count(1) for f in files) == 2
+    separators.write_token_files(df, F.col("text"), folder, path, file_bytes=40)
+    found = {f.parent.name.removeprefix("file="): np.frombuffer(f.read_bytes(), "<u2").tolist() for f in sorted((tmp_path / "tokens").glob("file=*/part-*"))}
+    files = list(found.values())
+    # a file is at most as long as asked, or has one text
+    assert len(files) > 3 and all(len(f) * 2 <= 40 or f.count(1) == 1 for f in files) and max(f.count(1) for f in files) > 1
     assert sum(files, []).count(1) == odd_documents.count() and sum(len(f) for f in files) == sum(len(ids(r.text)) + 1 for r in odd_documents.collect())
     # block boundaries fall within documents, and between the bytes that a block has
     blocks = separators.token_blocks(spark, folder, block_tokens=5)
-    assert {r.file for r in blocks.select("file").distinct().collect()} == {f"{k}-{c}" for k, c in (tuple(map(int, (f.name.split("-")[1], f.stem.rsplit("-c", 1)[1]))) for f in (tmp_path / "tokens").glob("part-*") if f.stat().st_size)}
+    assert {r.file for r in blocks.select("file").distinct().collect()} == set(found)
     lengths = separators.document_lengths(separators.scan_blocks(blocks, F.col("file"), F.col("block"), F.col("data"), width=2))
     by_file = sorted(sorted((r.start, r.n_tokens, r.ended) for r in lengths.collect() if r.file == name) for name in {r.file for r in lengths.select("file").distinct().collect()})
     assert by_file == sorted(brute(f) for f in files if f)
-    got = separators.counted_texts(separators.placed_texts(df, F.struct("doc_id", "text"), texts_per_file=2), lengths).collect()
+    got = separators.counted_texts(separators.placed_texts(df, F.struct("doc_id", "text")), lengths).collect()
     assert sorted((str(r.key.doc_id), r.n_tokens, r.ended) for r in got) == sorted((str(r.doc_id), len(ids(r.text)), True) for r in odd_documents.collect())
-    with pytest.raises(Exception, match="differ in file"):
-        separators.counted_texts(separators.placed_texts(df.limit(4), F.col("doc_id"), texts_per_file=2), lengths).collect()
+    with pytest.raises(Exception, match="differ in task"):
+        separators.counted_texts(separators.placed_texts(df.limit(4), F.col("doc_id")), lengths).collect()
     separators.write_token_files(no_documents, F.col("text"), str(tmp_path / "none"), path)
     assert separators.token_blocks(spark, str(tmp_path / "none")).count() == 0
 
