@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meterglass.plans.queries import QUERIES, count_lines, extracted, logs
 
-HEADLINES = ["rolling_windows", "window_by_model", "model_rollup", "by_account", "activity_series", "range_by_day", "merge_usage", "rollout_usage", "asof_attribution", "priced_usage", "scan_lines", "usage_extract", "facts_store", "limits_normalize_a", "limits_normalize_b", "daily_sales"]
+HEADLINES = ["rolling_windows", "window_by_model", "model_rollup", "by_account", "activity_series", "range_by_day", "merge_usage", "rollout_usage", "asof_attribution", "priced_usage", "scan_lines", "usage_extract", "facts_store", "limits_normalize_a", "limits_normalize_b", "daily_sales", "usage_report", "windows_at_moments"]
 ON_LOGS = {"scan_lines": count_lines, "usage_extract": extracted}
 
 

@@ -54,32 +54,35 @@ def limits_from_list(responses: DataFrame) -> DataFrame:
     so nothing is shuffled and two responses of one account and time are never mixed.
     """
     bodies = once(responses, F.col("body"), "_body")
-    items = F.when(F.schema_of_variant(part(F.col("_body"), "$.limits")).startswith("ARRAY"), F.try_variant_get("_body", "$.limits", "array<variant>"))
+    fields = "struct<kind: variant, percent: variant, resets_at: variant, scope: variant>"
+    # all fields of all items at once; item by item where one is no object
+    typed = F.try_variant_get("_body", "$.limits", f"array<{fields}>")
+    single = F.transform(F.when(F.schema_of_variant(part(F.col("_body"), "$.limits")).startswith("ARRAY"), F.try_variant_get("_body", "$.limits", "array<variant>")), lambda x: F.try_variant_get(x, "$", fields))
+    items = once(bodies, F.coalesce(typed, single), "_items")
 
-    # a lambda computes what it repeats again, so parts, their schemas and their values follow in steps
-    def parts(item: Column, at: Column) -> Column:
-        return F.struct(at.cast("string").alias("at"), item.alias("item"), part(item, "$.percent").alias("p"), part(item, "$.resets_at").alias("r"), part(item, "$.kind").alias("k"))
-
-    def schemas(b: Column) -> Column:
-        return F.struct(*[b[n].alias(n) for n in ("at", "item", "p", "r")], F.nullif(F.try_variant_get(b["k"], "$", "string"), F.lit("")).alias("k"), F.schema_of_variant(b["p"]).alias("ps"), F.schema_of_variant(b["r"]).alias("rs"))
+    # a lambda computes what it repeats again, so schemas and values follow in steps
+    def schemas(item: Column, at: Column) -> Column:
+        kind = F.when(F.schema_of_variant(item["kind"]) == "STRING", F.try_variant_get(item["kind"], "$", "string"))
+        return F.struct(at.alias("at"), kind.alias("k"), item["percent"].alias("p"), item["resets_at"].alias("r"), item["scope"].alias("scope"), F.schema_of_variant(item["percent"]).alias("ps"), F.schema_of_variant(item["resets_at"]).alias("rs"))
 
     def bucket(b: Column) -> Column:
-        return F.struct(F.coalesce(b["k"], F.concat(F.lit("limit_"), b["at"])).alias("kind"), b["at"].alias("at"), b["item"].alias("item"), number(b["p"], found=b["ps"]).alias("used_percentage"), epoch(b["r"], b["rs"]).alias("resets_at"))
-
-    def label(b: Column) -> Column:
-        scope = lambda p: F.nullif(text(part(b["item"], f"$.scope.{p}")), F.lit(""))
-        model = F.coalesce(*map(scope, ("model.display_name", "model.id", "surface")), F.lit("SCOPED"))
-        return F.when(b["kind"] == "session", "5-HOUR").when(b["kind"] == "weekly_all", "WEEKLY").when(b["kind"] == "weekly_scoped", F.upper(F.concat(model, F.lit(" WEEKLY")))).otherwise(F.upper(F.replace(b["kind"], F.lit("_"), F.lit(" "))))
+        return F.struct(b["at"].alias("at"), b["k"].alias("k"), b["scope"].alias("scope"), number(b["p"], found=b["ps"]).alias("used_percentage"), epoch(b["r"], b["rs"]).alias("resets_at"))
 
     complete = lambda b: b["used_percentage"].isNotNull() & b["resets_at"].isNotNull()
-    listed = once(bodies, F.filter(F.transform(F.transform(F.transform(items, parts), schemas), bucket), complete), "_listed")
-    taken = lambda b, k: F.exists(F.slice("_listed", F.lit(1), k), lambda x: x["kind"] == b["kind"])
-    named = F.transform("_listed", lambda b, k: F.struct(F.when(taken(b, k), F.concat_ws("_", b["kind"], b["at"])).otherwise(b["kind"]).alias("key"), label(b).alias("label"), b["used_percentage"].alias("used_percentage"), b["resets_at"].alias("resets_at")))
+    listed = once(items, F.filter(F.transform(F.transform("_items", schemas), bucket), complete), "_listed")
+    kinds = once(listed, F.transform("_listed", lambda b: F.when(b["k"] != "", b["k"]).otherwise(F.concat(F.lit("limit_"), b["at"].cast("string")))), "_kinds")
+    # a kind that came before among those that are complete
+    named = F.transform("_listed", lambda b, k: F.struct(F.get("_kinds", k).alias("kind"), (F.array_position("_kinds", F.get("_kinds", k)) <= k).alias("taken"), b["at"].alias("at"), b["scope"].alias("scope"), b["used_percentage"].alias("used_percentage"), b["resets_at"].alias("resets_at")))
     entries = F.map_entries(F.when(is_object(F.col("_body")), F.try_variant_get("_body", "$", "map<string,variant>")))
-    member = lambda e: F.struct(e["key"].alias("key"), F.lit(None).cast("string").alias("label"), F.when(is_object(e["value"]), number(part(e["value"], "$.utilization"))).alias("used_percentage"), F.when(is_object(e["value"]), epoch(part(e["value"], "$.resets_at"))).alias("resets_at"))
+    member = lambda e: F.struct(e["key"].alias("kind"), F.lit(None).cast("boolean").alias("taken"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("variant").alias("scope"), F.when(is_object(e["value"]), number(part(e["value"], "$.utilization"))).alias("used_percentage"), F.when(is_object(e["value"]), epoch(part(e["value"], "$.resets_at"))).alias("resets_at"))
     members = F.filter(F.transform(entries, member), complete)
-    rows = listed.withColumn("_rows", F.when(F.size("_listed") > 0, named).otherwise(members))
-    return rows.select(*identity(responses), F.inline("_rows")).withColumn("window_minutes", F.lit(None).cast("double"))
+    rows = kinds.select(*identity(responses), F.inline(F.when(F.size("_listed") > 0, named).otherwise(members)))
+    scope = lambda p: F.nullif(text(part(F.col("scope"), f"$.{p}")), F.lit(""))
+    model = F.coalesce(*map(scope, ("model.display_name", "model.id", "surface")), F.lit("SCOPED"))
+    kind = F.col("kind")
+    label = F.when(kind == "session", "5-HOUR").when(kind == "weekly_all", "WEEKLY").when(kind == "weekly_scoped", F.upper(F.concat(model, F.lit(" WEEKLY")))).otherwise(F.upper(F.replace(kind, F.lit("_"), F.lit(" "))))
+    key = F.when(F.col("taken"), F.concat_ws("_", "kind", F.col("at").cast("string"))).otherwise(kind)
+    return rows.select(*identity(responses), key.alias("key"), F.when(F.col("taken").isNotNull(), label).alias("label"), "used_percentage", "resets_at", F.lit(None).cast("double").alias("window_minutes"))
 
 
 def identity(responses: DataFrame) -> list[str]:
@@ -89,15 +92,18 @@ def identity(responses: DataFrame) -> list[str]:
 
 def limits_from_map(responses: DataFrame) -> DataFrame:
     """Buckets of responses of the second shape: limits by id (or a single one), each with up to three windows."""
-    bodies = once(responses, F.col("body"), "_body")
-    by_id, single = part(F.col("_body"), "$.rateLimitsByLimitId"), part(F.col("_body"), "$.rateLimits")
-    many = F.when(is_object(by_id), F.try_variant_get("_body", "$.rateLimitsByLimitId", "map<string,variant>"))
-    one = F.when(is_object(single), F.create_map(F.lit("codex"), single))
-    limits = bodies.select(*identity(responses), F.explode(F.when(F.size(many) > 0, many).otherwise(one)).alias("id", "limit")).where(is_object(F.col("limit")))
-    name = F.nullif(text(part(F.col("limit"), "$.limitName")), F.lit(""))
-    slots = F.array(*[F.struct(F.lit(s).alias("slot"), part(F.col("limit"), f"$.{s}").alias("w")) for s in ("primary", "secondary", "individualLimit")])
-    windows = F.filter(F.transform(slots, lambda s: F.struct(s["slot"].alias("slot"), number(part(s["w"], "$.usedPercent")).alias("used_percentage"), epoch(part(s["w"], "$.resetsAt")).alias("resets_at"), number(part(s["w"], "$.windowDurationMins")).alias("window_minutes"))), lambda b: b["used_percentage"].isNotNull() & b["resets_at"].isNotNull())
-    rows = limits.select(*identity(responses), "id", name.alias("name"), F.inline(windows))
+    bodies = once(responses, F.struct(part(F.col("body"), "$.rateLimitsByLimitId").alias("many"), part(F.col("body"), "$.rateLimits").alias("one")), "_body")
+    many = once(bodies, F.when(is_object(F.col("_body.many")), F.try_variant_get("_body.many", "$", "map<string,variant>")), "_many")
+    limits = many.select(*identity(responses), F.explode(F.when(F.size("_many") > 0, F.col("_many")).otherwise(F.create_map(F.lit("codex"), F.col("_body.one")))).alias("id", "limit"))
+    # all fields of a limit at once, and then those of a window; anything but an object has none
+    slots = ("primary", "secondary", "individualLimit")
+    cut = once(limits.drop("_body"), F.try_variant_get("limit", "$", f"struct<limitName: variant, {', '.join(f'{s}: variant' for s in slots)}>"), "_cut")
+    named = cut.select(*identity(responses), "id", text(F.col("_cut.limitName")).alias("name"), F.inline(F.array(*[F.struct(F.lit(s).alias("slot"), F.col(f"_cut.{s}").alias("w")) for s in slots]))).where("w IS NOT NULL")
+    windows = once(named, F.try_variant_get("w", "$", "struct<usedPercent: variant, resetsAt: variant, windowDurationMins: variant>"), "_w")
+    kinds = once(windows.drop("w"), F.struct(*[F.schema_of_variant(f"_w.{n}").alias(n) for n in ("usedPercent", "resetsAt", "windowDurationMins")]), "_kind")
+    value = lambda n, f: f(F.col(f"_w.{n}"), found=F.col(f"_kind.{n}"))
+    name = F.when(F.col("name") != "", F.col("name")).alias("name")
+    rows = kinds.select(*identity(responses), "id", name, "slot", value("usedPercent", number).alias("used_percentage"), value("resetsAt", epoch).alias("resets_at"), value("windowDurationMins", number).alias("window_minutes")).where("used_percentage IS NOT NULL AND resets_at IS NOT NULL")
     label = F.upper(F.concat_ws(" ", "name", limit_label(F.col("window_minutes"), F.col("slot"))))
     return rows.select(*identity(responses), F.concat_ws("_", "id", "slot").alias("key"), label.alias("label"), "used_percentage", "resets_at", "window_minutes")
 

@@ -12,7 +12,7 @@ from meterglass.operators.accounts import account_roots, tag_accounts
 from meterglass.plans import events as ev
 from meterglass.plans.report import in_order, ingest_counts, summary, usage_report
 from meterglass.sources import lines as src
-from meterglass.sources import incremental, snapshots, store
+from meterglass.sources import extract, incremental, snapshots, store
 from meterglass.streaming import usage as st
 
 ZONE, FIRST, LAST = "America/New_York", "2024-01-05", "2024-01-20"
@@ -110,6 +110,27 @@ def usage_extract(spark, sf):
     return extracted(spark, logs(spark, sf))
 
 
+@query
+def usage_lines_query(spark, sf):
+    """Usage of lines of which some are synthetic, which are left out, and some have no total of created tokens but its parts."""
+    lines = ev.claude_lines(ev.events(spark, sf)).withColumn("model_raw", F.when(F.col("ord") % 31 == 0, "<synthetic>").otherwise(F.col("model_raw")))
+    lines = lines.withColumn("cache_creation", F.when(F.col("ord") % 2 == 0, 0).otherwise(F.col("cache_creation")))
+    text_lines = lines.select(ev.usage_json(lines).alias("value"), F.lit("f").alias("file"), "ord")
+    return extract.usage_lines(src.parsed(text_lines)).select("ord", "model_raw", "cache_creation", "eph_5m", "eph_1h")
+
+
+@query
+def active_and_archive(spark, sf):
+    """Logs of one account in two folders, which are scanned and merged together: responses have lines in both."""
+    events, folder = ev.events(spark, sf), ev.shared_folder(spark)
+    half = events.agg(F.max("event_id").alias("most")).first()["most"] // 2
+    for name, part in (("active", F.col("event_id") < half), ("archive", F.col("event_id") >= half)):
+        ev.write_logs(events.where(part), f"{folder}/{name}")
+    lines = src.scan_lines(spark, f"{folder}/active/claude", f"{folder}/archive/claude", pattern="*.txt")
+    usage = extract.usage_lines(src.parsed(lines.where(src.usage_prefilter(F.col("value"))))).withColumns({"account": F.lit("claude"), "provider": F.lit("claude")})
+    return merge.merge_usage(usage).select(ts_us(), "model_raw", "provider", *merge.COUNTERS)
+
+
 @query
 def facts_store(spark, sf):
     path = ev.shared_folder(spark)
@@ -167,6 +188,12 @@ def scope_filter(spark, sf):
     return without_known(windows.scoped(ev.priced(spark, sf), "acct-2", [f"acct-{k}" for k in range(5)]).agg(*windows.measures()))
 
 
+@query
+def scope_fallback(spark, sf):
+    """An account that is not listed counts as all."""
+    return without_known(windows.scoped(ev.priced(spark, sf), "acct-9", [f"acct-{k}" for k in range(5)]).agg(*windows.measures()))
+
+
 @query
 def activity_series(spark, sf):
     return series.activity_series(ev.priced(spark, sf), ev.now_us(spark, sf), "24h", "cost")
@@ -424,6 +451,18 @@ def limits_normalize_b(spark, sf):
     return limits.limits_from_map(shape_b(limit_source(spark, sf))).select(*BUCKET_COLUMNS)
 
 
+@query
+def limits_landed(spark, sf):
+    """Landed responses of both shapes as text; every tenth is broken, and every tenth gives nothing: these have warnings."""
+    rows = limit_source(spark, sf)
+    first = F.col("ord") % 3 == 0
+    bodies = shape_a(rows.where(first)).withColumn("provider", F.lit("claude")).unionByName(shape_b(rows.where(~first)).withColumn("provider", F.lit("codex")))
+    number = F.substring("account", 2, 20).cast("long")
+    raw = F.when(number % 10 == 9, "broken {").when(number % 10 == 8, '{"limits": []}').otherwise(F.to_json("body"))
+    buckets, warnings = limits.landed_limits(bodies.select("provider", "account", "captured_at", F.col("account").alias("response"), raw.alias("raw")))
+    return buckets.select("account", "key", "used_percentage", F.lit(None).cast("string").alias("warning")).unionByName(warnings.select("account", F.lit(None).cast("string").alias("key"), F.lit(None).cast("double").alias("used_percentage"), "warning"))
+
+
 @query
 def limit_labels(spark, sf):
     rows = limit_source(spark, sf).select("k").distinct().withColumn("minutes", F.when(F.col("k") > 0, F.col("k") * 30)).withColumn("key", F.when(F.col("k") % 2 == 0, "five_hour").otherwise("my_key"))

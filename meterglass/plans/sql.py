@@ -265,6 +265,13 @@ SQL["report_tables"] = " UNION ALL ".join(
         placed("range_models", f"{BY_COST}, model_norm", f"model_norm, NULL::VARCHAR, known, {ALL}", SQL["range_by_model"]),
     ]
 )
+SQL["scope_fallback"] = q(f"SELECT {MEASURES} FROM priced")
+SQL["usage_lines"] = q("""SELECT ord, model_raw, CASE WHEN ord % 2 = 1 THEN cache_creation WHEN ord % 3 <> 0 THEN k * 50 ELSE 0 END AS cache_creation, eph_5m, eph_1h FROM lines WHERE provider = 'claude' AND ord % 31 <> 0""", LINES)
+SQL["active_and_archive"] = q("SELECT ts_us, model_raw, provider, input_tokens, output_tokens, cache_read, cache_creation, eph_5m, eph_1h FROM merged", LINES)
+EVENT = "CAST(substr(account, 2) AS BIGINT)"
+SQL["limits_landed"] = f"""SELECT account, key, used_percentage, NULL::VARCHAR AS warning FROM ({SQL["limits_normalize_a"]}) WHERE {EVENT} % 3 = 0 AND {EVENT} % 10 < 8
+  UNION ALL SELECT account, key, used_percentage, NULL FROM ({SQL["limits_normalize_b"]}) WHERE {EVENT} % 3 <> 0 AND {EVENT} % 10 < 8
+  UNION ALL SELECT 'e' || event_id, NULL, NULL, CASE WHEN event_id % 3 = 0 THEN 'Claude' ELSE 'Codex' END || CASE WHEN event_id % 10 = 9 THEN ' returned an invalid usage response' ELSE ' returned no usable usage limits' END FROM events WHERE event_id % 10 >= 8"""
 SQL["windows_at_moments"] = q(f"""SELECT m.us AS moment_us, w."window", {MEASURES} FROM (SELECT (SELECT now FROM clock) - range * 25211000007 AS us FROM range(600)) m CROSS JOIN {WINDOWS}
   LEFT JOIN priced ON w.secs IS NULL OR m.us - ts_us <= w.secs * 1000000 GROUP BY 1, 2""")
 # a query string goes on with further common tables after the base
