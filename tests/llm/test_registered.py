@@ -19,6 +19,9 @@ CONTRACT = {
     "op8_rotated_codes": {"vec_id", "n_links", "component_id", "kept"},
     "op9_bpe_tree": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
     "op10_minhash": {"doc_id", "n_shingles", "component_id", "kept"},
+    "op11_license_scan": {"doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"},
+    "op12_merkle_manifest": {"doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"},
+    "op13_periodic_runs": {"doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"},
 }
 
 
