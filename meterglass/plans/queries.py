@@ -115,7 +115,7 @@ def usage_lines_query(spark, sf):
     """Usage of lines of which some are synthetic, which are left out, and some have no total of created tokens but its parts."""
     lines = ev.claude_lines(ev.events(spark, sf)).withColumn("model_raw", F.when(F.col("ord") % 31 == 0, "<synthetic>").otherwise(F.col("model_raw")))
     lines = lines.withColumn("cache_creation", F.when(F.col("ord") % 2 == 0, 0).otherwise(F.col("cache_creation")))
-    text_lines = lines.select(ev.usage_json(lines).alias("value"), F.lit("f").alias("file"), "ord")
+    text_lines = limits.once(lines, ev.usage_json(lines), "value").select("value", F.lit("f").alias("file"), "ord")
     return extract.usage_lines(src.parsed(text_lines)).select("ord", "model_raw", "cache_creation", "eph_5m", "eph_1h")
 
 
