@@ -13,7 +13,7 @@ from meterglass.operators.merge import merge_usage
 from meterglass.operators.pricing import default_prices, price_facts
 from meterglass.operators.rollout import rollout_usage
 from meterglass.sources.extract import rollout_events, usage_lines
-from meterglass.sources.lines import parsed, prefilter, scan_lines
+from meterglass.sources.lines import parsed, scan_usage
 
 #: Events of a generated log file of the first provider.
 EVENTS_PER_FILE = 1_000_000
@@ -146,8 +146,7 @@ def write_logs(events: DataFrame, folder: str) -> None:
 
 def scanned(spark: SparkSession, folder: str, provider: str) -> DataFrame:
     """Parsed candidate lines of a provider's generated logs."""
-    lines = scan_lines(spark, f"{folder}/{provider}", pattern="*.txt")
-    return parsed(lines.where(prefilter(F.col("value"))))
+    return parsed(scan_usage(spark, f"{folder}/{provider}", pattern="*.txt").where("value IS NOT NULL"))
 
 
 def extracted_facts(spark: SparkSession, folder: str) -> DataFrame:

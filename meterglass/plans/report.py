@@ -10,7 +10,7 @@ from meterglass.operators import cube, limits, merge, pricing, rollout, series,
 from meterglass.operators.accounts import tag_accounts
 from meterglass.plans.events import shared_folder
 from meterglass.sources import extract
-from meterglass.sources.lines import ingest_quality, parsed, prefilter, scan_lines
+from meterglass.sources.lines import ingest_quality, parsed, scan_usage
 from meterglass.sources.store import file_listing
 
 
@@ -18,10 +18,10 @@ def log_facts(spark: SparkSession, paths: list[str], claude_roots: DataFrame, co
     """Facts of both providers, limit snapshots per account, and ingest quality per file.
 
     A line's account is that of the first enabled root above its file; lines of either provider are told apart by
-    their content.
+    their content. The logs are read once, when this is called: lines that can hold usage are written to the shared folder.
     """
-    lines = scan_lines(spark, *paths)
-    seen = parsed(lines.where(prefilter(F.col("value"))))
+    lines = written(scan_usage(spark, *paths))
+    seen = parsed(lines.where("value IS NOT NULL"))
     claude = tag_accounts(extract.usage_lines(seen), F.col("file"), claude_roots, "claude").withColumn("provider", F.lit("claude"))
     events = tag_accounts(extract.rollout_events(seen), F.col("file"), codex_roots, "codex")
     facts = merge.merge_usage(claude).unionByName(rollout.rollout_usage(events))
@@ -31,9 +31,9 @@ def log_facts(spark: SparkSession, paths: list[str], claude_roots: DataFrame, co
 
 def ingest_counts(spark: SparkSession, paths: list[str], pattern: str = "*.jsonl") -> DataFrame:
     """One row: files, lines read, records, duplicates (lines merged into another's record) and malformed lines."""
-    lines = scan_lines(spark, *paths, pattern=pattern)
+    lines = written(scan_usage(spark, *paths, pattern=pattern))
     quality = ingest_quality(lines).agg(F.coalesce(F.sum("lines_read"), F.lit(0)).alias("lines_read"), F.coalesce(F.sum("malformed"), F.lit(0)).alias("malformed"))
-    seen = parsed(lines.where(prefilter(F.col("value"))))
+    seen = parsed(lines.where("value IS NOT NULL"))
     merged = merge.merge_counts(extract.usage_lines(seen))
     used = rollout.rollout_usage(extract.rollout_events(seen).withColumn("account", F.lit("codex"))).agg(F.count("*").alias("others"))
     files = file_listing(spark, *paths, pattern=pattern).agg(F.count("*").alias("files"))

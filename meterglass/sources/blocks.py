@@ -145,38 +145,58 @@ def lines_of(data: bytes) -> pa.Array:
     return pc.binary_slice(whole, 0, -1)
 
 
+def candidates(values: pa.Array) -> pa.Array:
+    """Which lines can hold usage, as `lines.prefilter` says of columns."""
+    has = lambda text: pc.match_substring(values, text)
+    return pc.or_(pc.and_(has('"usage"'), has("assistant")), pc.or_(has('"token_count"'), has('"turn_context"')))
+
+
+def filled(values: pa.Array) -> pa.Array:
+    """Which lines are not blank."""
+    return pc.greater(pc.binary_length(pc.ascii_trim(values, " \t\r\f\v")), 0)
+
+
 class BlockReader(DataSourceReader):
-    def __init__(self, paths: list[str], pattern: str, block: int, together: int) -> None:
-        self.paths, self.pattern, self.block, self.together = paths, pattern, block, together
+    def __init__(self, paths: list[str], pattern: str, block: int, together: int, candidates: bool = False) -> None:
+        self.paths, self.pattern, self.block, self.together, self.candidates = paths, pattern, block, together, candidates
 
     def partitions(self) -> list[Part]:
         return parts(listed(self.paths, self.pattern), self.block, self.together)
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         for f, start, end in partition.blocks if partition is not None and hasattr(partition, "blocks") else []:
-            number = 0
+            number = lines = 0
             with opened(f.root)[0].open_input_file(f.inner) as stream:
                 for data in pieces(stream, start, end, f.size):
-                    values = lines_of(data)
-                    n = len(values)
-                    same = lambda x, kind, n=n: pa.repeat(pa.scalar(x, kind), n)
-                    text = pa.Array.from_buffers(pa.large_string(), n, values.buffers(), offset=values.offset)
-                    columns = [pa.Array.from_buffers(pa.string(), n, _narrow(text)), same(f.shown, pa.string()), same(f.size, pa.int64()), same(start, pa.int64()), pa.array(np.arange(number, number + n, dtype=np.int64))]
-                    number += n
-                    yield pa.RecordBatch.from_arrays(columns, COLUMNS)
+                    values = _text(lines_of(data))
+                    numbers = pa.array(np.arange(number, number + len(values), dtype=np.int64))
+                    number += len(values)
+                    keep = filled(values)
+                    lines += pc.sum(keep).as_py() or 0
+                    if self.candidates:
+                        keep = pc.and_(keep, candidates(values))
+                    yield from self.rows(f, start, values.filter(keep), numbers.filter(keep))
+            if self.candidates and lines:
+                yield from self.rows(f, start, pa.nulls(1, pa.large_string()), pa.array([lines], pa.int64()))
+
+    def rows(self, f: File, start: int, values: pa.Array, numbers: pa.Array) -> Iterator[pa.RecordBatch]:
+        n = len(values)
+        if n:
+            same = lambda x, kind: pa.repeat(pa.scalar(x, kind), n)
+            yield pa.RecordBatch.from_arrays([values.cast(pa.string()), same(f.shown, pa.string()), same(f.size, pa.int64()), same(start, pa.int64()), numbers], COLUMNS)
 
 
-def _narrow(text: pa.Array) -> list:
-    """The buffers of a large string array as those of a string array; a piece is far below two gigabytes unless one line is not."""
-    _, offsets, data = text.buffers()
-    wide = np.frombuffer(offsets, np.int64)[text.offset : text.offset + len(text) + 1]
-    if len(wide) and wide[-1] > np.iinfo(np.int32).max:
-        raise ValueError("a line is longer than two gigabytes")
-    return [None, pa.py_buffer(wide.astype(np.int32)), data]
+def _text(values: pa.Array) -> pa.Array:
+    """Bytes as text, whether they are UTF-8 or not."""
+    return pa.Array.from_buffers(pa.large_string(), len(values), values.buffers(), offset=values.offset)
 
 
 class LogBlocks(DataSource):
-    """Options: ``paths`` (one per line), ``pattern``, ``block`` and ``together`` (bytes)."""
+    """Options: ``paths`` (one per line), ``pattern``, ``block`` and ``together`` (bytes), ``candidates``.
+
+    Blank lines are left out. With ``candidates`` only lines that can hold usage go on, and for each block that has lines
+    a row whose value is null and whose ``line`` is their number.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -187,4 +207,4 @@ class LogBlocks(DataSource):
 
     def reader(self, schema) -> BlockReader:
         given = self.options
-        return BlockReader(given["paths"].split("\n"), given.get("pattern", "*"), int(given.get("block", BLOCK_BYTES)), int(given.get("together", TASK_BYTES)))
+        return BlockReader(given["paths"].split("\n"), given.get("pattern", "*"), int(given.get("block", BLOCK_BYTES)), int(given.get("together", TASK_BYTES)), given.get("candidates", "false") == "true")

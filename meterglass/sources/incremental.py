@@ -22,7 +22,7 @@ from meterglass.operators.merge import COUNTERS, combined, state_facts, states
 from meterglass.operators.rollout import rollout_usage
 from meterglass.sources import snapshots
 from meterglass.sources.extract import rollout_events, usage_lines
-from meterglass.sources.lines import parsed, prefilter, scan_lines
+from meterglass.sources.lines import parsed, scan_usage
 from meterglass.sources.store import file_listing
 
 BUCKETS = 64
@@ -84,7 +84,7 @@ def refresh(spark: SparkSession, path: str, *paths: str, claude_roots: DataFrame
 
     changed = [r["path"] for r in ledger.where(F.col("run") == number).select("path").collect()]
     empty = spark.createDataFrame([], "value string, file string, file_size long, ord struct<file: string, block: bigint, line: bigint>")
-    seen = parsed((scan_lines(spark, *changed, pattern="*") if changed else empty).where(prefilter(F.col("value"))))
+    seen = parsed((scan_usage(spark, *changed, pattern="*").drop("lines") if changed else empty).where("value IS NOT NULL"))
     usage = usage_lines(seen).withColumns({"ord": F.struct("ord.block", "ord.line"), "account": F.lit(""), "provider": F.lit("claude")})
     bucket = F.pmod(F.xxhash64("r", "m", F.when(F.col("o").isNotNull(), F.struct("file", "o"))), F.lit(BUCKETS)).cast("int")
     own = states(usage, "file").withColumn("bucket", bucket)

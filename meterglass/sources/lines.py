@@ -7,16 +7,25 @@ from pyspark.sql import functions as F
 
 from meterglass.sources.blocks import BLOCK_BYTES, LogBlocks
 
+def _blocks(spark: SparkSession, paths: tuple[str, ...], pattern: str, block: int, candidates: bool) -> DataFrame:
+    spark.dataSource.register(LogBlocks)
+    reader = spark.read.format(LogBlocks.name()).option("paths", "\n".join(paths)).option("pattern", pattern)
+    return reader.option("block", block).option("candidates", candidates).load().withColumn("ord", F.struct("file", "block", "line"))
+
+
 def scan_lines(spark: SparkSession, *paths: str, pattern: str = "*.jsonl", block: int = BLOCK_BYTES) -> DataFrame:
     """Lines (value, file, file_size, ord) of all files under the paths whose names fit ``pattern``.
 
     ``ord`` follows file path, block and line. Blank lines are left out, and so is a last line that is not ended yet:
     the task that reads a file's end sees it and holds it back, so every byte is read once and nothing runs beforehand.
     """
-    spark.dataSource.register(LogBlocks)
-    raw = spark.read.format(LogBlocks.name()).option("paths", "\n".join(paths)).option("pattern", pattern).option("block", block).load()
-    whole = raw.withColumn("ord", F.struct("file", "block", "line"))
-    return whole.where(F.btrim("value", F.lit(" \t\r\f\v")) != "").select("value", "file", "file_size", "ord")
+    return _blocks(spark, paths, pattern, block, False).select("value", "file", "file_size", "ord")
+
+
+def scan_usage(spark: SparkSession, *paths: str, pattern: str = "*.jsonl", block: int = BLOCK_BYTES) -> DataFrame:
+    """Of `scan_lines` those that can hold usage (`prefilter`), and for each block with lines a row without value and with their number as ``lines``."""
+    rows = _blocks(spark, paths, pattern, block, True)
+    return rows.select("value", "file", "file_size", "ord", F.when(F.col("value").isNull(), F.col("line")).alias("lines"))
 
 
 def prefilter(value: Column) -> Column:
@@ -47,11 +56,15 @@ def parsed(lines: DataFrame) -> DataFrame:
 
 
 def ingest_quality(lines: DataFrame) -> DataFrame:
-    """Per file: its lines, those that can hold usage, those of these that are malformed or objects, and objects read (no markers)."""
-    seen = parsed(lines.withColumn("candidate", prefilter(F.col("value"))))
+    """Per file: its lines, those that can hold usage, those of these that are malformed or objects, and objects read (no markers).
+
+    ``lines`` are those of `scan_lines` or `scan_usage`.
+    """
+    number = F.coalesce("lines", F.lit(0)) if "lines" in lines.columns else F.lit(1)
+    seen = parsed(lines.withColumn("candidate", F.coalesce(prefilter(F.col("value")), F.lit(False))).withColumn("_n", number))
     held = F.col("candidate") & F.col("is_object")
     marker = F.coalesce(F.try_variant_get("j", "$.type", "string") == "turn_context", F.lit(False))
     return seen.groupBy("file").agg(
-        F.count("*").alias("lines"), F.count_if("candidate").alias("candidates"), F.count_if(F.col("candidate") & F.col("malformed")).alias("malformed"),
+        F.sum("_n").cast("long").alias("lines"), F.count_if("candidate").alias("candidates"), F.count_if(F.col("candidate") & F.col("malformed")).alias("malformed"),
         F.count_if(held).alias("objects"), F.count_if(held & ~marker).alias("lines_read"),
     )

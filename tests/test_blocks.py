@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterglass.sources import blocks
-from meterglass.sources.lines import scan_lines
+from meterglass.sources.lines import ingest_quality, prefilter, scan_lines, scan_usage
 
 
 def random_bytes(rng):
@@ -25,7 +25,7 @@ def test_blocks_give_every_ended_line_once(tmp_path, monkeypatch, read):
         for n in range(rng.randint(1, 3)):
             data = random_bytes(rng)
             (folder / f"{n}.jsonl").write_bytes(data)
-            want[f"file:{folder}/{n}.jsonl"] = data.split(b"\n")[:-1]
+            want[f"file:{folder}/{n}.jsonl"] = [x for x in data.split(b"\n")[:-1] if x.strip(b" \t\r\f\v")]
         reader = blocks.BlockReader([str(folder)], "*.jsonl", rng.choice([1, 2, 5, 16, 1000]), rng.choice([1, 10, 100]))
         got = {name: [] for name in want}
         for part in reader.partitions():
@@ -63,3 +63,20 @@ def test_a_scan_is_one_pass_and_runs_nothing_beforehand(spark, tmp_path):
     assert plan.count("BatchScan") == 1
     first = lines.groupBy("file").agg(F.min_by("value", "ord").alias("a"), F.max_by("value", "ord").alias("b")).orderBy("file").collect()
     assert [(r["a"], r["b"]) for r in first] == [(f"line 0 of {n}", f"line 999 of {n}") for n in range(5)]
+
+
+def test_usage_scan_gives_candidates_and_counts(spark, tmp_path):
+    rng = random.Random(1)
+    some = ['{"usage": 1, "type": "assistant"}', '{"usage": 1}', '{"payload": "token_count"}', "  \t", "", "other", '{"x": "turn_context"', "assistant"]
+    want = {}
+    for n in range(4):
+        rows = [rng.choice(some) for _ in range(rng.choice([0, 1, 50, 400]))]
+        (tmp_path / f"{n}.jsonl").write_bytes("".join(r + "\n" for r in rows).encode() + b"\xff\xfe\nopen \"token_count\"")
+        want[n] = (sum(bool(r.strip()) for r in rows) + 1, sum(r in (some[0], some[2], some[6]) for r in rows))
+    got = scan_usage(spark, str(tmp_path), block=300)
+    per = {int(r["file"][-7]): (r["n"], r["c"]) for r in got.groupBy("file").agg(F.sum("lines").alias("n"), F.count("value").alias("c")).collect()}
+    assert per == want
+    lines = scan_lines(spark, str(tmp_path), block=300)
+    assert sorted(map(str, ingest_quality(lines).collect())) == sorted(map(str, ingest_quality(got).collect()))
+    kept = got.where("value IS NOT NULL").select("value", "ord")
+    assert sorted(map(str, kept.collect())) == sorted(map(str, lines.where(prefilter(F.col("value"))).select("value", "ord").collect()))

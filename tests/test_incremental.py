@@ -89,7 +89,7 @@ def test_unchanged_files_are_not_opened(spark, refreshed):
     assert rows_of(incremental.facts(spark, path)) == before
 
 
-@pytest.mark.parametrize("step", ["scan_lines", "_merged", "mark"])
+@pytest.mark.parametrize("step", ["scan_usage", "_merged", "mark"])
 def test_a_stopped_refresh_leaves_the_old_facts(spark, refreshed, monkeypatch, step):
     logs, path, run = refreshed
     write(logs / "home/a.jsonl", usage(1, 1))
