@@ -43,12 +43,25 @@ def rollout_prefilter(value: Column) -> Column:
     return value.contains('"token_count"') | value.contains('"turn_context"')
 
 
+#: A string, a number that JSON does not have, or what stands between these.
+TOKENS = r'''("(?:[^"\\]++|\\.)*+"|-?Infinity|NaN|[^"NI\-]++|.)'''
+
+
+def without_odd_numbers(value: Column) -> Column:
+    """A line with null for NaN and infinities, which some writers put out and JSON does not have; texts keep theirs."""
+    tokens = F.regexp_extract_all(value, F.lit(TOKENS), F.lit(1))
+    return F.array_join(F.transform(tokens, lambda t: F.when(t.isin("NaN", "Infinity", "-Infinity"), "null").otherwise(t)), "")
+
+
 def parsed(lines: DataFrame) -> DataFrame:
     """Adds ``j`` (variant), ``malformed`` and ``is_object``. Wrapping in brackets rejects text after the object.
 
+    A line that does not parse and has NaN or an infinity is tried again with null for these.
     Repeated names in an object need spark.sql.variant.allowDuplicateKeys, which makes the last one win.
     """
-    listed = lines.withColumn("_list", F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit("]"))))
+    wrapped = lambda c: F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    odd = F.when(F.col("value").contains("NaN") | F.col("value").contains("Infinity"), wrapped(without_odd_numbers(F.col("value"))))
+    listed = lines.withColumn("_list", F.coalesce(wrapped(F.col("value")), odd))
     j = F.try_variant_get("_list", "$[0]", "variant")
     bad = F.col("_list").isNull() | F.try_variant_get("_list", "$[1]", "variant").isNotNull()
     out = listed.withColumn("malformed", bad).withColumn("j", F.when(~bad, j)).drop("_list")

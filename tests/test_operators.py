@@ -296,3 +296,11 @@ def test_partitioning_changes_nothing(spark):
     rows = [line(k, T if k % 3 else None, f"r{k % 5}", f"m{k % 5}", (k, k * 2 % 7, k % 4, k)) for k in range(60)]
     df = spark.createDataFrame(rows, LINE)
     assert sorted(merge.merge_usage(df.repartition(7)).collect()) == sorted(merge.merge_usage(df.coalesce(1)).collect())
+
+
+def test_lines_with_numbers_that_json_lacks(spark):
+    values = ['{"a": NaN, "b": 1}', '{"a": [-Infinity, Infinity], "t": "NaN, -Infinity \\" NaN"}', '{"a": NaN', '{"a": xNaN}', '{"t": "NaN"}', '{"a": -1, "b": 2}', '{"a": "\\u00e4 NaN\\\\", "b": NaN}']
+    df = lines.parsed(spark.createDataFrame([(v,) for v in values], "value string"))
+    got = [(r["malformed"], r["j"]) for r in df.select("malformed", F.to_json("j").alias("j")).collect()]
+    assert [m for m, _ in got] == [False, False, True, True, False, False, False]
+    assert [json.loads(j) for m, j in got if not m] == [{"a": None, "b": 1}, {"a": [None, None], "t": 'NaN, -Infinity " NaN'}, {"t": "NaN"}, {"a": -1, "b": 2}, {"a": "ä NaN\\", "b": None}]
