@@ -34,9 +34,17 @@ def _put_facts(facts: DataFrame, to: str) -> None:
     facts.withColumn("event_date", F.to_date("ts")).write.partitionBy("provider", "event_date").parquet(to)
 
 
+def _whole(spark: SparkSession, path: str) -> str:
+    """The folder of the newest version, which must be there."""
+    held = snapshots.current(spark, path)
+    if held is None:
+        raise ValueError(f"no version is whole in {path}")
+    return held
+
+
 def read_facts(spark: SparkSession, path: str, first_day: str | None = None, last_day: str | None = None) -> DataFrame:
     """The newest whole version of stored facts; days outside the range are not read."""
-    facts = spark.read.parquet(f"{snapshots.current(spark, path)}/facts")
+    facts = spark.read.parquet(f"{_whole(spark, path)}/facts")
     if first_day:
         facts = facts.where(F.col("event_date") >= F.lit(first_day).cast("date"))
     if last_day:
@@ -104,7 +112,7 @@ def write_limits(rows: DataFrame, path: str) -> None:
 
 def read_limits(spark: SparkSession, path: str) -> DataFrame:
     """The newest whole version of the stored limit captures."""
-    return spark.read.parquet(snapshots.current(spark, path))
+    return spark.read.parquet(_whole(spark, path))
 
 
 def limit_store(rows: DataFrame) -> DataFrame:
