@@ -8,6 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterglass.functions.calendar import plain_timestamp
 from meterglass.functions.text import human_duration, limit_label
 
 # The limits that come first, and below the kinds and their label texts.
@@ -31,9 +32,9 @@ def text(value: Column, found: Column | None = None) -> Column:
 
 
 def epoch(value: Column, found: Column | None = None) -> Column:
-    """Seconds since the epoch of a JSON number or an ISO timestamp (without zone: UTC)."""
+    """Seconds since the epoch of a JSON number or an ISO timestamp to the second (without zone: UTC)."""
     written = text(value, found)
-    iso = F.when(written.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?(Z|[+-]\d{2}:?\d{2})?$"), F.unix_micros(F.try_to_timestamp(written)) / 1e6)
+    iso = F.unix_micros(plain_timestamp(written)) / 1e6
     return F.coalesce(number(value, found=found), iso)
 
 
@@ -73,9 +74,12 @@ def limits_from_list(responses: DataFrame) -> DataFrame:
     kinds = once(listed, F.transform("_listed", lambda b: F.when(b["k"] != "", b["k"]).otherwise(F.concat(F.lit("limit_"), b["at"].cast("string")))), "_kinds")
     # a kind that came before among those that are complete
     named = F.transform("_listed", lambda b, k: F.struct(F.get("_kinds", k).alias("kind"), (F.array_position("_kinds", F.get("_kinds", k)) <= k).alias("taken"), b["at"].alias("at"), b["scope"].alias("scope"), b["used_percentage"].alias("used_percentage"), b["resets_at"].alias("resets_at")))
-    entries = F.map_entries(F.when(is_object(F.col("_body")), F.try_variant_get("_body", "$", "map<string,variant>")))
-    member = lambda e: F.struct(e["key"].alias("kind"), F.lit(None).cast("boolean").alias("taken"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("variant").alias("scope"), F.when(is_object(e["value"]), number(part(e["value"], "$.utilization"))).alias("used_percentage"), F.when(is_object(e["value"]), epoch(part(e["value"], "$.resets_at"))).alias("resets_at"))
-    members = F.filter(F.transform(entries, member), complete)
+    # a body or member that is no object has no entries or fields
+    entries = F.map_entries(F.try_variant_get("_body", "$", "map<string,variant>"))
+    cut = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), F.try_variant_get(e["value"], "$", "struct<utilization: variant, resets_at: variant>").alias("v")))
+    seen = F.transform(cut, lambda e: F.struct(e["key"].alias("k"), e["v"]["utilization"].alias("p"), e["v"]["resets_at"].alias("r"), F.schema_of_variant(e["v"]["utilization"]).alias("ps"), F.schema_of_variant(e["v"]["resets_at"]).alias("rs")))
+    member = lambda b: F.struct(b["k"].alias("kind"), F.lit(None).cast("boolean").alias("taken"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("variant").alias("scope"), number(b["p"], found=b["ps"]).alias("used_percentage"), epoch(b["r"], b["rs"]).alias("resets_at"))
+    members = F.filter(F.transform(seen, member), complete)
     rows = kinds.select(*identity(responses), F.inline(F.when(F.size("_listed") > 0, named).otherwise(members)))
     scope = lambda p: F.nullif(text(part(F.col("scope"), f"$.{p}")), F.lit(""))
     model = F.coalesce(*map(scope, ("model.display_name", "model.id", "surface")), F.lit("SCOPED"))

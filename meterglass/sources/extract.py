@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterglass.functions.calendar import iso_timestamp
 from meterglass.operators.limits import is_object, part, text
 
-ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?(Z|[+-]\d{2}:?\d{2})?$"
-COMPACT = r"^\d{8}T\d{6}$"
 USAGE = "$.message.usage"
 
 
@@ -20,8 +19,7 @@ def integer(value: Column) -> Column:
 
 def timestamp(value: Column) -> Column:
     """An ISO timestamp, without zone in UTC (the session's zone must be UTC); null if it is none."""
-    written = text(value)
-    return F.when(written.rlike(ISO), F.try_to_timestamp(written)).when(written.rlike(COMPACT), F.try_to_timestamp(written, F.lit("yyyyMMdd'T'HHmmss")))
+    return iso_timestamp(text(value))
 
 
 def usage_lines(parsed: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on small hand-made rows."""
 
 import datetime as dt
+import itertools
 import json
 import time
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterglass.functions import text
-from meterglass.functions.calendar import day_end_us, day_start_us
+from meterglass.functions.calendar import day_end_us, day_start_us, iso_timestamp
 from meterglass.operators import limits, merge, pricing, rollout, series, windows
 from meterglass.operators.accounts import tag_accounts
 from meterglass.plans.report import ingest_counts
@@ -304,3 +305,31 @@ def test_lines_with_numbers_that_json_lacks(spark):
     got = [(r["malformed"], r["j"]) for r in df.select("malformed", F.to_json("j").alias("j")).collect()]
     assert [m for m, _ in got] == [False, False, True, True, False, False, False]
     assert [json.loads(j) for m, j in got if not m] == [{"a": None, "b": 1}, {"a": [None, None], "t": 'NaN, -Infinity " NaN'}, {"t": "NaN"}, {"a": -1, "b": 2}, {"a": "ä NaN\\", "b": None}]
+
+
+def test_iso_timestamps_in_all_forms(spark):
+    """Dates of both calendars, with and without dashes, times to any part, and zones, as the standard library reads them."""
+
+    def plain(value):
+        written = value.strip()
+        try:
+            found = dt.datetime.fromisoformat(written[:-1] + "+00:00" if written.endswith("Z") else written)
+        except ValueError:
+            return None
+        return found.replace(tzinfo=found.tzinfo or dt.UTC).astimezone(dt.UTC).replace(tzinfo=None)
+
+    days = ["2024-02-29", "20240229", "2023-02-29", "2024-W01-1", "2024W527", "2020-W53-7", "2024-W53-1", "2024-W10", "2024W10", "2024-0229", "2024-13-01", "202402", "x"]
+    times = ["", "T10", "T1030", "T10:30", " 10:30:15", "T103015", "T10:3015", "T10:30:15.5", "T10:30:15,123456789", "_103015.25", "T24:30", "T10:60", "T10:30:61", "T1", "T"]
+    values = ["".join(x) for x in itertools.product(days, times, ["", "Z", "+02:00", "-0530", "+02", "+02:0", "+1", "ZZ", " "])] + ["  2024-01-01T00:00:00Z ", "", "2024"]
+    got = [r.t for r in spark.createDataFrame([(v,) for v in [*values, None]], "v string").coalesce(1).select(iso_timestamp(F.col("v")).alias("t")).collect()]
+    assert got == [*map(plain, values), None] and sum(g is not None for g in got) > 300
+
+
+def test_limit_bodies_of_any_type(spark):
+    """Bodies and members that are no objects give no bucket; members with a utilization and a reset time do."""
+    good = {"utilization": 5, "resets_at": "2026-06-01T10:00:00Z"}
+    bodies = [{"a": good, "b": 1, "c": [good], "d": {"utilization": "5", "resets_at": 1}, "e": {"utilization": True, "resets_at": 2.5}}, [good], 3, "x", None, {"limits": 7, "a": good}, {}]
+    df = spark.createDataFrame([(k, json.dumps(b)) for k, b in enumerate(bodies)], "account long, raw string").select("account", F.try_parse_json("raw").alias("body"))
+    got = sorted((r.account, r.key, r.used_percentage, r.resets_at) for r in limits.limits_from_list(df).collect())
+    reset = dt.datetime(2026, 6, 1, 10, tzinfo=dt.UTC).timestamp()
+    assert got == [(0, "a", 5.0, reset), (0, "e", 1.0, 2.5), (5, "a", 5.0, reset)]
