@@ -5,27 +5,35 @@ beats one marked bad in as many pairs as possible: logistic loss on the differen
 strength is the weighted sum; the strength at the quantile of the bad share among the fitted texts is the threshold,
 which the score, a logistic of the strength, shows as `THRESHOLD`.
 
+All labelled texts that are not held out count (`train`): features, their means and deviations, the pairs, in which each text
+has at least one opponent, and the threshold are made on the executors, and a pass over the pairs gives sums of whole
+numbers, so neither size nor order of the rows matters. `Ranking` itself fits rows that are at hand, for small ones.
+
 Null and empty texts have features like any other (all zero) and so a score. Without labels of both kinds every score
-is 0. Equal texts have equal scores; repeated rows give repeated rows, and null ids stay null. Repeated or conflicting labels and
-texts of an id are settled by rule (`labelled_sample`), so the model does not depend on how rows are dealt.
+is 0. Equal texts have equal scores; repeated rows give repeated rows, and null ids stay null. Of several labels of an id 1
+counts, of several texts that with the least features, so the model does not depend on how rows are dealt.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterglass.llm.common import filter_batches, held_out, map_batches, table
-from meterglass.llm.labelled import labelled_sample
+from meterglass.llm.common import MOST_IDS, checkpointed, filter_batches, held_out, in_small_batches, map_batches, table
+from meterglass.llm.labelled import known_labels, labelled_sample
 
-#: Labelled documents that the weights are fitted on, at most.
-TRAIN_ROWS = 4000
-#: Preference pairs drawn from them, and passes over the pairs.
+#: Preference pairs, at least as far as there are so many, and passes over the pairs by plain gradient.
 PAIRS, PASSES = 20_000, 300
+#: Weight of the squared weights, Newton steps at most, and the parts of one that sums are rounded to.
+RIDGE, STEPS, PARTS = 1e-3, 30, float(1 << 30)
+#: Bins of a pass that looks for a rank.
+BINS = 1024
 #: The score at the threshold.
 THRESHOLD = 0.7
 
@@ -86,22 +94,160 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(strength + np.log(THRESHOLD / (1 - THRESHOLD)), -500, 500)))
 
 
-def train(docs: DataFrame, doc_id: Column, text: Column, labels: DataFrame, label_id: Column, label: Column, rows: int = TRAIN_ROWS) -> Ranking | None:
-    """Weights fitted on the features of a bounded sample of labels; None without both kinds."""
-    sample = labelled_sample(docs, doc_id, text, labels, label_id, label, rows)
+def train(docs: DataFrame, doc_id: Column, text: Column, labels: DataFrame, label_id: Column, label: Column, rows: int | None = None) -> Ranking | None:
+    """Weights fitted on all labelled texts that are not held out (on a sample of ``rows``, if given); None without both kinds."""
+    if rows is not None:
+        found = with_features(labelled_sample(docs, doc_id, text, labels, label_id, label, rows), "label")
+    else:
+        known = checkpointed(known_labels(labels, label_id, label))
+        texts = docs.select(doc_id.cast("long").alias("doc_id"), F.coalesce(text.cast("string"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
+        # texts are not shuffled: their features are
+        small = known.count() <= MOST_IDS
+        found = with_features(texts.join(F.broadcast(known), "doc_id"), "label") if small else with_features(texts).join(known, "doc_id")
+    return fitted(checkpointed(found.groupBy("doc_id", "label").agg(F.min("x").alias("x"))))
+
+
+def with_features(texts: DataFrame, *keys: str) -> DataFrame:
+    """(doc_id, ``keys``, x) of rows with a text, which is not null."""
 
     def make():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [features(t) for t in batch.column("text").to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.list_(pa.float64()))], ["doc_id", "label", "x"])
+            return pa.RecordBatch.from_arrays([*[batch.column(k) for k in ("doc_id", *keys)], pa.array(found, pa.list_(pa.float64()))], ["doc_id", *keys, "x"])
 
         return apply
 
-    known = sorted(map_batches(sample, make, "doc_id long, label int, x array<double>").collect())
-    good = np.array([r.label for r in known])
-    if not len(good) or good.min() == good.max():
+    return map_batches(texts, make, f"doc_id long, {''.join(f'{k} int, ' for k in keys)}x array<double>")
+
+
+def fitted(rows: DataFrame) -> Ranking | None:
+    """The ranking of all rows (doc_id, label, x), a checkpoint; None without both kinds."""
+    width = len(FEATURES)
+    exact = lambda c: F.coalesce(F.sum(c.cast("decimal(38,12)")), F.lit(0)).cast("string")
+    x = [F.col("x")[k] for k in range(width)]
+    seen = rows.agg(F.count("*").alias("n"), F.count_if(F.col("label") == 0).alias("bad"), F.array(*[exact(c) for c in x]).alias("sums"), F.array(*[exact(c * c) for c in x]).alias("squares")).first()
+    if not 0 < seen.bad < seen.n:
         return None
-    return Ranking(np.array([r.x for r in known]), good)
+    out = Ranking.__new__(Ranking)
+    means = [Fraction(s) / seen.n for s in seen["sums"]]
+    out.middle = np.array([float(m) for m in means])
+    out.spread = np.array([float(max(Fraction(s) / seen.n - m * m, 0)) ** 0.5 for s, m in zip(seen["squares"], means)]) + 1e-6
+    differences = checkpointed(pairs(rows, out, seen.bad, seen.n - seen.bad))
+    out.weights = newton(differences, width)
+
+    def make():
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(strengths(out.standard(vectors(batch.column("x"))), out.weights))], ["s"])
+
+        return apply
+
+    # the middle of the gap: as many texts lie below it as are bad
+    out.threshold = sum(at_rank(checkpointed(map_batches(rows.select("x"), make, "s double")), seen.bad)) / 2
+    return out
+
+
+def vectors(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def strengths(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """``x @ weights``, a row's sum the same whatever rows stand beside it."""
+    out = np.zeros(len(x))
+    for column, weight in zip(x.T, weights, strict=True):
+        out += column * weight
+    return out
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (label, x) with their ``place`` among those of their label, from 0, by the hash of the id; no task has a label whole."""
+    order = ["label", "_h", "doc_id"]
+    dealt = rows.withColumn("_h", F.xxhash64("doc_id")).repartitionByRange(*order).sortWithinPartitions(*order)
+    held = checkpointed(dealt.select("label", "x", F.monotonically_increasing_id().alias("_at")).withColumn("_part", F.shiftright("_at", 33)))
+    counts = held.groupBy("label", "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_from"))
+    # a row for each partition
+    earlier = Window.partitionBy("label").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.withColumn("_begin", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    return held.join(F.broadcast(begins), ["label", "_part"]).select("label", "x", (F.col("_begin") + F.col("_at") - F.col("_from")).alias("place"))
+
+
+def pairs(rows: DataFrame, scale: Ranking, bad: int, good: int) -> DataFrame:
+    """Differences ``d`` of standardised features, the better text's less the worse one's.
+
+    Each text of the more frequent kind meets one of the other, in turn; where that gives less than `PAIRS`, the next ones, too.
+    """
+    few = min(bad, good)
+    rounds = min(few, -(-PAIRS // max(bad, good)))
+    placed = numbered(rows)
+    kind = lambda label: placed.where(F.col("label") == label)
+    more, less = (kind(1), kind(0)) if good >= bad else (kind(0), kind(1))
+    turns = more.select(F.col("x").alias("a"), "place", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("turn"))
+    more = turns.select("a", ((F.col("place") + F.col("turn")) % few).alias("place"))
+    met = more.join(less.select("place", F.col("x").alias("b")), "place")
+    sign = 1.0 if good >= bad else -1.0
+
+    def make():
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            a, b = (scale.standard(vectors(batch.column(n))) for n in ("a", "b"))
+            return pa.RecordBatch.from_arrays([pa.array(list(sign * (a - b)), pa.list_(pa.float64()))], ["d"])
+
+        return apply
+
+    return map_batches(met.select("a", "b"), make, "d array<double>")
+
+
+def newton(differences: DataFrame, width: int) -> np.ndarray:
+    """Weights of least logistic loss, with `RIDGE`. A pass gives a row of sums for each task; terms are rounded, so their order does not matter."""
+    above = np.triu_indices(width)
+
+    def sums(weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(2 + width + len(above[0]), np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    d = vectors(batch.column("d"))
+                    s = strengths(d, weights)
+                    lost = 1 / (1 + np.exp(np.clip(s, -500, 500)))
+                    terms = [np.logaddexp(0, -s)[:, None], lost[:, None] * d, (lost * (1 - lost))[:, None] * d[:, above[0]] * d[:, above[1]]]
+                    total[0] += len(d)
+                    total[1:] += np.rint(np.hstack(terms) * PARTS).astype(np.int64).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64()))], ["sums"])
+
+        found = [sum(c) for c in zip(*[r["sums"] for r in in_small_batches(differences).mapInArrow(run, "sums array<long>").collect()], strict=True)]
+        means = np.array([c / found[0] / PARTS for c in found[1:]])
+        curve = np.zeros((width, width))
+        curve[above] = means[1 + width :]
+        curve = curve + np.triu(curve, 1).T + RIDGE * np.eye(width)
+        return means[0] + RIDGE / 2 * weights @ weights, means[1 : 1 + width] - RIDGE * weights, curve
+
+    weights = np.zeros(width)
+    loss, slope, curve = sums(weights)
+    for _ in range(STEPS):
+        step = np.linalg.solve(curve, slope)
+        if np.abs(step).max() < 1e-6:
+            break
+        found = sums(weights + step)
+        while found[0] > loss and np.abs(step).max() >= 1e-6:  # too far
+            step = step / 2
+            found = sums(weights + step)
+        weights, (loss, slope, curve) = weights + step, found
+    return weights
+
+
+def at_rank(values: DataFrame, rank: int) -> tuple[float, float]:
+    """The values (column ``s``, a checkpoint) of ``rank``, from 1, and of the next one, exactly: bins of bins, each pass with their counts and ends."""
+    low, high, below = *values.agg(F.min("s"), F.max("s")).first(), 0
+    while True:
+        if low == high:
+            return low, high
+        of = F.width_bucket(F.col("s"), F.lit(low), F.lit(high), F.lit(BINS))
+        bins = sorted(values.where(F.col("s").between(low, high)).groupBy(of.alias("bin")).agg(F.count("*").alias("n"), F.min("s").alias("low"), F.max("s").alias("high")).collect())
+        for k, r in enumerate(bins):
+            if below + r.n >= rank:
+                break
+            below += r.n
+        if below + r.n == rank:
+            return r.high, bins[k + 1].low
+        low, high = r.low, r.high
 
 
 def text_scores(ranking: Ranking | None, texts: list[str | None]) -> np.ndarray:

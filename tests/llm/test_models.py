@@ -289,3 +289,26 @@ def test_isotonic_rises_and_keeps_the_mean():
     wanted = (rng.random(300) < 1 / (1 + np.exp(-2 * raw))).astype(float)
     centres, heights = toxicity.isotonic(raw, wanted)
     assert (np.diff(heights) > 0).all() and (np.diff(centres) >= 0).all() and 0 <= heights.min() and heights.max() <= 1
+
+
+def test_all_labelled_texts_count_for_quality(spark, rated, monkeypatch):
+    """More labels than any sample; the threshold is the gap at the bad share of all of them, whatever the bins."""
+    monkeypatch.setattr(quality, "PAIRS", 300)
+    monkeypatch.setattr(quality, "BINS", 4)
+    good, bad = rated
+    rows = [(k, f"{(good if k % 10 else bad)[k % 50]} n{k}" if k % 10 else f"{bad[k % 50]} n{k}", int(k % 10 > 0)) for k in range(7000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    learned = {r.doc_id for r in df.where(~common.held_out(F.col("doc_id"))).collect()}
+    assert len(learned) > 4000
+    ranking = quality.train(df, F.col("doc_id"), F.col("text"), df, F.col("doc_id"), F.col("label"))
+    kept = [r for r in rows if r[0] in learned]
+    x = np.array([quality.features(t) for _, t, _ in kept])
+    assert ranking.middle == pytest.approx(x.mean(axis=0)) and ranking.spread == pytest.approx(x.std(axis=0) + 1e-6, abs=2e-6)
+    strength = np.sort(quality.strengths(ranking.standard(x), ranking.weights))
+    share = sum(not r[2] for r in kept)
+    assert ranking.threshold == pytest.approx((strength[share - 1] + strength[share]) / 2)
+    scores = quality.text_scores(ranking, [t for _, t, _ in rows])
+    assert ((scores >= quality.THRESHOLD) == [r[2] for r in rows]).mean() > 0.97
+    labelled = spark.createDataFrame([(r[0], r[2], list(map(float, quality.features(r[1])))) for r in kept], "doc_id long, label int, x array<double>")
+    places = quality.numbered(common.checkpointed(labelled.repartition(5))).select("label", "place").collect()
+    assert sorted(map(tuple, places)) == [(k, p) for k in (0, 1) for p in range([share, len(kept) - share][k])]
