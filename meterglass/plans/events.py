@@ -28,6 +28,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base or tempfile.mkdtemp(prefix='usage-')}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -152,5 +159,6 @@ def scanned(spark: SparkSession, folder: str, provider: str) -> DataFrame:
 def extracted_facts(spark: SparkSession, folder: str) -> DataFrame:
     """Facts by way of the logs: scan, parse, extract, merge and de-cumulate. All have one account per provider."""
     claude = usage_lines(scanned(spark, folder, "claude")).withColumns({"account": F.lit("claude"), "provider": F.lit("claude")})
-    codex = rollout_events(scanned(spark, folder, "codex")).withColumn("account", F.lit("codex"))
+    # two steps of the carry scan use the events, and a scan of logs is not reused
+    codex = written(rollout_events(scanned(spark, folder, "codex")).drop("limits").withColumn("account", F.lit("codex")))
     return merge_usage(claude).drop("ord").unionByName(rollout_usage(codex).drop("ord"))

@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Bytes of a block, of the files that a task reads together, and read at a time.
-BLOCK_BYTES, TASK_BYTES, READ_BYTES = 128 << 20, 64 << 20, 4 << 20
+BLOCK_BYTES, TASK_BYTES, READ_BYTES = 32 << 20, 32 << 20, 4 << 20
 COLUMNS = ["value", "file", "file_size", "block", "line"]
 ENDS = "file string, size long, modified timestamp, head string, ended boolean, ended_size long"
 

@@ -6,9 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterglass.functions.calendar import iso_timestamp
-from meterglass.operators.limits import is_object, part, text
+from meterglass.operators.limits import is_object, once, part, text
 
-USAGE = "$.message.usage"
+#: The members of lines that are read; a struct is null where there is no object.
+USAGE = (
+    "struct<type: variant, timestamp: variant, requestId: variant, message: struct<id: variant, model: variant, usage: struct<input_tokens: variant, output_tokens: variant, "
+    "cache_read_input_tokens: variant, cache_creation_input_tokens: variant, cache_creation: struct<ephemeral_5m_input_tokens: variant, ephemeral_1h_input_tokens: variant>>>>"
+)
+_COUNTERS = "struct<input_tokens: variant, cached_input_tokens: variant, output_tokens: variant>"
+ROLLOUT = f"struct<type: variant, timestamp: variant, payload: struct<type: variant, model: variant, info: struct<total_token_usage: {_COUNTERS}, last_token_usage: {_COUNTERS}>>>"
 
 
 def integer(value: Column) -> Column:
@@ -24,12 +30,12 @@ def timestamp(value: Column) -> Column:
 
 def usage_lines(parsed: DataFrame) -> DataFrame:
     """Usage lines of the first provider: counters, ids, model and timestamp (null if unreadable), with file and ord."""
-    j = F.col("j")
-    fit = parsed.where(F.col("is_object") & (text(part(j, "$.type")) == "assistant") & is_object(part(j, "$.message")) & is_object(part(j, USAGE)))
-    n = lambda name: integer(part(j, f"{USAGE}.{name}"))
-    split = is_object(part(j, f"{USAGE}.cache_creation"))
+    cut = once(parsed, F.try_variant_get("j", "$", USAGE), "_f")
+    fit = cut.where((text(F.col("_f.type")) == "assistant") & F.col("_f.message").isNotNull() & F.col("_f.message.usage").isNotNull())
+    n = lambda name: integer(F.col(f"_f.message.usage.{name}"))
+    split = F.col("_f.message.usage.cache_creation").isNotNull()
     out = fit.select(
-        "file", "ord", timestamp(part(j, "$.timestamp")).alias("ts"), text(part(j, "$.requestId")).alias("request_id"), text(part(j, "$.message.id")).alias("message_id"), text(part(j, "$.message.model")).alias("model_raw"),
+        "file", "ord", timestamp(F.col("_f.timestamp")).alias("ts"), text(F.col("_f.requestId")).alias("request_id"), text(F.col("_f.message.id")).alias("message_id"), text(F.col("_f.message.model")).alias("model_raw"),
         n("input_tokens").alias("input_tokens"), n("output_tokens").alias("output_tokens"), n("cache_read_input_tokens").alias("cache_read"), n("cache_creation_input_tokens").alias("whole"),
         F.when(split, n("cache_creation.ephemeral_5m_input_tokens")).alias("eph_5m"), F.when(split, n("cache_creation.ephemeral_1h_input_tokens")).alias("eph_1h"),
     )
@@ -40,17 +46,16 @@ def usage_lines(parsed: DataFrame) -> DataFrame:
 
 def rollout_events(parsed: DataFrame) -> DataFrame:
     """Marker and token lines of the second provider: file, ord, ts, marker, is_token, total, last, and the limits variant."""
-    j = F.col("j")
-    payload = part(j, "$.payload")
-    is_token = F.coalesce(text(part(payload, "$.type")) == "token_count", F.lit(False))
+    is_token = F.coalesce(text(F.col("_f.payload.type")) == "token_count", F.lit(False))
     counter = lambda v: F.greatest(F.lit(0).cast("long"), integer(v))
 
-    def usage(path: str) -> Column:
-        found = part(payload, path)
-        value = F.struct(counter(part(found, "$.input_tokens")).alias("input"), counter(part(found, "$.cached_input_tokens")).alias("cached"), counter(part(found, "$.output_tokens")).alias("output"))
-        return F.when(is_token & is_object(found), value)
+    def usage(name: str) -> Column:
+        found = f"_f.payload.info.{name}"
+        value = F.struct(counter(F.col(f"{found}.input_tokens")).alias("input"), counter(F.col(f"{found}.cached_input_tokens")).alias("cached"), counter(F.col(f"{found}.output_tokens")).alias("output"))
+        return F.when(is_token & F.col(found).isNotNull(), value)
 
-    seen = parsed.where(F.col("is_object") & is_object(payload))
-    marker = F.when(text(part(j, "$.type")) == "turn_context", F.nullif(text(part(payload, "$.model")), F.lit("")))
-    out = seen.select("file", "ord", timestamp(part(j, "$.timestamp")).alias("ts"), marker.alias("marker"), is_token.alias("is_token"), usage("$.info.total_token_usage").alias("total"), usage("$.info.last_token_usage").alias("last"), F.when(is_token & is_object(part(payload, "$.rate_limits")), part(payload, "$.rate_limits")).alias("limits"))
+    seen = once(parsed, F.try_variant_get("j", "$", ROLLOUT), "_f").where(F.col("_f.payload").isNotNull())
+    marker = F.when(text(F.col("_f.type")) == "turn_context", F.nullif(text(F.col("_f.payload.model")), F.lit("")))
+    limits = part(F.col("j"), "$.payload.rate_limits")
+    out = seen.select("file", "ord", timestamp(F.col("_f.timestamp")).alias("ts"), marker.alias("marker"), is_token.alias("is_token"), usage("total_token_usage").alias("total"), usage("last_token_usage").alias("last"), F.when(is_token & is_object(limits), limits).alias("limits"))
     return out.where("is_token OR marker IS NOT NULL")

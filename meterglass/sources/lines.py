@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterglass.operators.limits import is_object, once
 from meterglass.sources.blocks import BLOCK_BYTES, LogBlocks
 
 def _blocks(spark: SparkSession, paths: tuple[str, ...], pattern: str, block: int, candidates: bool) -> DataFrame:
@@ -56,22 +57,23 @@ def without_odd_numbers(value: Column) -> Column:
 def parsed(lines: DataFrame) -> DataFrame:
     """Adds ``j`` (variant), ``malformed`` and ``is_object``. Wrapping in brackets rejects text after the object.
 
+    A line is parsed once, whatever uses these.
+
     A line that does not parse and has NaN or an infinity is tried again with null for these.
     Repeated names in an object need spark.sql.variant.allowDuplicateKeys, which makes the last one win.
     """
     wrapped = lambda c: F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
     odd = F.when(F.col("value").contains("NaN") | F.col("value").contains("Infinity"), wrapped(without_odd_numbers(F.col("value"))))
-    listed = lines.withColumn("_list", F.coalesce(wrapped(F.col("value")), odd))
-    j = F.try_variant_get("_list", "$[0]", "variant")
+    listed = once(lines, F.coalesce(wrapped(F.col("value")), odd), "_list")
     bad = F.col("_list").isNull() | F.try_variant_get("_list", "$[1]", "variant").isNotNull()
-    out = listed.withColumn("malformed", bad).withColumn("j", F.when(~bad, j)).drop("_list")
-    return out.withColumn("is_object", F.coalesce(F.schema_of_variant("j").startswith("OBJECT"), F.lit(False)))
+    out = once(listed.withColumn("malformed", bad), F.when(~F.col("malformed"), F.try_variant_get("_list", "$[0]", "variant")), "j").drop("_list")
+    return out.withColumn("is_object", is_object(F.col("j")))
 
 
-def ingest_quality(lines: DataFrame) -> DataFrame:
+def ingest_quality(lines: DataFrame, **more: Column) -> DataFrame:
     """Per file: its lines, those that can hold usage, those of these that are malformed or objects, and objects read (no markers).
 
-    ``lines`` are those of `scan_lines` or `scan_usage`.
+    ``lines`` are those of `scan_lines` or `scan_usage`. ``more`` are aggregates of the same parsed lines.
     """
     number = F.coalesce("lines", F.lit(0)) if "lines" in lines.columns else F.lit(1)
     seen = parsed(lines.withColumn("candidate", F.coalesce(prefilter(F.col("value")), F.lit(False))).withColumn("_n", number))
@@ -79,5 +81,5 @@ def ingest_quality(lines: DataFrame) -> DataFrame:
     marker = F.coalesce(F.try_variant_get("j", "$.type", "string") == "turn_context", F.lit(False))
     return seen.groupBy("file").agg(
         F.sum("_n").cast("long").alias("lines"), F.count_if("candidate").alias("candidates"), F.count_if(F.col("candidate") & F.col("malformed")).alias("malformed"),
-        F.count_if(held).alias("objects"), F.count_if(held & ~marker).alias("lines_read"),
+        F.count_if(held).alias("objects"), F.count_if(held & ~marker).alias("lines_read"), *[c.alias(n) for n, c in more.items()],
     )
