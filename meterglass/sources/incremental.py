@@ -22,7 +22,7 @@ from meterglass.operators.merge import COUNTERS, combined, state_facts, states
 from meterglass.operators.rollout import rollout_usage
 from meterglass.sources import snapshots
 from meterglass.sources.extract import rollout_events, usage_lines
-from meterglass.sources.lines import parsed, scan_usage
+from meterglass.sources.lines import parsed, rollout_prefilter, scan_usage, usage_prefilter
 from meterglass.sources.store import file_listing
 
 BUCKETS = 64
@@ -74,7 +74,9 @@ def refresh(spark: SparkSession, path: str, *paths: str, claude_roots: DataFrame
     number = (snapshots.newest(spark, path) or 0) + 1
     run, old = f"{path}/runs/run={number}", ledger_of(spark, path)
     snapshots.remove(spark, run)  # of a refresh that stopped
-    next_ledger(file_listing(spark, *paths, pattern=pattern), old, number).write.parquet(f"{run}/ledger")
+    file_listing(spark, *paths, pattern=pattern).write.parquet(f"{run}/listing")  # once, as the ledger's joins read it thrice
+    listing = spark.read.schema("path string, size long, modified timestamp").parquet(f"{run}/listing")
+    next_ledger(listing, old, number).write.parquet(f"{run}/ledger")
     ledger = spark.read.schema(LEDGER).parquet(f"{run}/ledger")
     sign = ["path", "size", "modified", "origin", "run"]
     out, into = old.join(ledger, sign, "left_anti"), ledger.join(old, sign, "left_anti")
@@ -84,11 +86,13 @@ def refresh(spark: SparkSession, path: str, *paths: str, claude_roots: DataFrame
 
     changed = [r["path"] for r in ledger.where(F.col("run") == number).select("path").collect()]
     empty = spark.createDataFrame([], "value string, file string, file_size long, ord struct<file: string, block: bigint, line: bigint>")
-    seen = parsed((scan_usage(spark, *changed, pattern="*").drop("lines") if changed else empty).where("value IS NOT NULL"))
-    usage = usage_lines(seen).withColumns({"ord": F.struct("ord.block", "ord.line"), "account": F.lit(""), "provider": F.lit("claude")})
+    # the lines that can hold usage are written, so that logs are read once, and a line is parsed by the provider it can be of
+    (scan_usage(spark, *changed, pattern="*").drop("lines") if changed else empty).where("value IS NOT NULL").write.parquet(f"{run}/lines")
+    lines = spark.read.schema(empty.schema).parquet(f"{run}/lines")
+    usage = usage_lines(parsed(lines.where(usage_prefilter(F.col("value"))))).withColumns({"ord": F.struct("ord.block", "ord.line"), "account": F.lit(""), "provider": F.lit("claude")})
     bucket = F.pmod(F.xxhash64("r", "m", F.when(F.col("o").isNotNull(), F.struct("file", "o"))), F.lit(BUCKETS)).cast("int")
     own = states(usage, "file").withColumn("bucket", bucket)
-    events = rollout_usage(rollout_events(seen).drop("limits").withColumn("account", F.lit("")), keep_file=True)
+    events = rollout_usage(rollout_events(parsed(lines.where(rollout_prefilter(F.col("value"))))).drop("limits").withColumn("account", F.lit("")), keep_file=True)
     before = ledger.where(F.col("run") != number)
     if before.select("run").distinct().count() >= MOST_RUNS:
         # all live states go into this run
@@ -98,6 +102,8 @@ def refresh(spark: SparkSession, path: str, *paths: str, claude_roots: DataFrame
         ledger = spark.read.schema(LEDGER).parquet(f"{run}/all")
     own.write.partitionBy("bucket").parquet(f"{run}/usage")
     events.write.parquet(f"{run}/rollouts")
+    for done in ("lines", "listing"):
+        snapshots.remove(spark, f"{run}/{done}")
 
     touched = {r["bucket"] for r in spark.read.schema(own.schema).parquet(f"{run}/usage").join(ledger.where(F.col("run") == number).select(F.col("path").alias("file")).join(into.select(F.col("path").alias("file")), "file"), "file", "left_semi").select("bucket").distinct().collect()}
     for some in (out, into.where(F.col("run") != number)):  # changed, removed and moved files

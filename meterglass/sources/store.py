@@ -120,8 +120,14 @@ def limit_store(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("name").rlike("^(claude|codex):") & F.col("capture").isNotNull())
 
 
+def few_listing_tasks(spark: SparkSession) -> None:
+    """From here on the session lists many folders in some tasks for each core, not in one task for each folder."""
+    spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", 4 * spark.sparkContext.defaultParallelism)
+
+
 def file_listing(spark: SparkSession, *paths: str, pattern: str = "*.jsonl") -> DataFrame:
     """(path, size, modified) of all files whose names fit ``pattern``; their content is not read. Empty files are not listed."""
+    few_listing_tasks(spark)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(list(paths))
     return found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
