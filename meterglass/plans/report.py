@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from meterglass.functions import text
 from meterglass.operators import cube, limits, merge, pricing, rollout, series, windows
 from meterglass.operators.accounts import tag_accounts
-from meterglass.plans.events import shared_folder
+from meterglass.plans.events import written
 from meterglass.sources import extract
-from meterglass.sources.lines import ingest_quality, parsed, scan_usage
+from meterglass.sources.lines import ingest_quality, parsed, rollout_prefilter, scan_usage, usage_prefilter
 from meterglass.sources.store import file_listing
 
 
@@ -21,9 +21,8 @@ def log_facts(spark: SparkSession, paths: list[str], claude_roots: DataFrame, co
     their content. The logs are read once, when this is called: lines that can hold usage are written to the shared folder.
     """
     lines = written(scan_usage(spark, *paths))
-    seen = parsed(lines.where("value IS NOT NULL"))
-    claude = tag_accounts(extract.usage_lines(seen), F.col("file"), claude_roots, "claude").withColumn("provider", F.lit("claude"))
-    events = tag_accounts(extract.rollout_events(seen), F.col("file"), codex_roots, "codex")
+    claude = tag_accounts(extract.usage_lines(parsed(lines.where(usage_prefilter(F.col("value"))))), F.col("file"), claude_roots, "claude").withColumn("provider", F.lit("claude"))
+    events = tag_accounts(extract.rollout_events(parsed(lines.where(rollout_prefilter(F.col("value"))))), F.col("file"), codex_roots, "codex")
     facts = merge.merge_usage(claude).unionByName(rollout.rollout_usage(events))
     snapshots = limits.limit_snapshots(events.where("limits IS NOT NULL").select("account", (F.unix_micros("ts") / 1e6).alias("captured_at"), "ord", "limits"))
     return facts, limits.captures(snapshots, "ord"), ingest_quality(lines)
@@ -33,9 +32,8 @@ def ingest_counts(spark: SparkSession, paths: list[str], pattern: str = "*.jsonl
     """One row: files, lines read, records, duplicates (lines merged into another's record) and malformed lines."""
     lines = written(scan_usage(spark, *paths, pattern=pattern))
     quality = ingest_quality(lines).agg(F.coalesce(F.sum("lines_read"), F.lit(0)).alias("lines_read"), F.coalesce(F.sum("malformed"), F.lit(0)).alias("malformed"))
-    seen = parsed(lines.where("value IS NOT NULL"))
-    merged = merge.merge_counts(extract.usage_lines(seen))
-    used = rollout.rollout_usage(extract.rollout_events(seen).withColumn("account", F.lit("codex"))).agg(F.count("*").alias("others"))
+    merged = merge.merge_counts(extract.usage_lines(parsed(lines.where(usage_prefilter(F.col("value"))))))
+    used = rollout.rollout_usage(extract.rollout_events(parsed(lines.where(rollout_prefilter(F.col("value"))))).withColumn("account", F.lit("codex"))).agg(F.count("*").alias("others"))
     files = file_listing(spark, *paths, pattern=pattern).agg(F.count("*").alias("files"))
     row = quality.crossJoin(F.broadcast(merged)).crossJoin(F.broadcast(used)).crossJoin(F.broadcast(files))  # of one row each
     return row.select("files", "lines_read", (F.col("records") + F.col("others")).alias("records"), "duplicates", "malformed")
@@ -92,13 +90,6 @@ def usage_report(
     return tables
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 #: What `in_order` shows of each table: key, other key, flag, count, amount and more.
 SHOWN = {
     "windows": ("window", None, None, "total_tokens", "cost", "records"),
