@@ -18,6 +18,7 @@ from meterglass.operators.rollout import rollout_usage
 from meterglass.sources import snapshots
 from meterglass.sources.extract import rollout_events, usage_lines
 from meterglass.sources.lines import parsed, prefilter, rollout_prefilter, usage_prefilter
+from meterglass.sources.store import few_listing_tasks
 from meterglass.streaming.levels import add_run, place, read_runs
 
 #: Folders of a run in a log of events; a batch of few files touches few of them.
@@ -28,6 +29,7 @@ SESSION = r"^(.*?)(?:/chunk=[^/]*)?/[^/]*$"
 
 def line_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None, pattern: str = "*.jsonl") -> DataFrame:
     """New lines (value, file, file_size, block) of chunk files, which are immutable: a last line without a line end counts."""
+    few_listing_tasks(spark)
     reader = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("lineSep", "\n")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
