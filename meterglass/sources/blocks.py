@@ -1,4 +1,4 @@
-"""A data source of log lines that reads every byte once and knows which line is not ended yet.
+"""A data source of log lines that reads every byte once and knows which line is not ended yet, and one that writes files.
 
 Files are cut in blocks of bytes, and a task reads its blocks in order: a line belongs to the block that its first byte
 lies in, wherever it ends. A line that the file's end cuts off is held back, which only its own task has to see. Files
@@ -11,18 +11,22 @@ block and the longest line. Bytes that are no UTF-8 go on as they are, as in Spa
 from __future__ import annotations
 
 import fnmatch
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 #: Bytes of a block, of the files that a task reads together, and read at a time.
 BLOCK_BYTES, TASK_BYTES, READ_BYTES = 32 << 20, 32 << 20, 4 << 20
+#: Rows of short files that go on together.
+BATCH_ROWS = 10_000
 COLUMNS = ["value", "file", "file_size", "block", "line"]
+SCHEMA = "value string, file string, file_size long, block long, line long"
 ENDS = "file string, size long, modified timestamp, head string, ended boolean, ended_size long"
 
 
@@ -164,26 +168,52 @@ class BlockReader(DataSourceReader):
         return parts(listed(self.paths, self.pattern), self.block, self.together)
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        for f, start, end in partition.blocks if partition is not None and hasattr(partition, "blocks") else []:
-            number = lines = 0
-            with opened(f.root)[0].open_input_file(f.inner) as stream:
-                for data in pieces(stream, start, end, f.size):
-                    values = _text(lines_of(data))
-                    numbers = pa.array(np.arange(number, number + len(values), dtype=np.int64))
-                    number += len(values)
-                    keep = filled(values)
-                    lines += pc.sum(keep).as_py() or 0
-                    if self.candidates:
-                        keep = pc.and_(keep, candidates(values))
-                    yield from self.rows(f, start, values.filter(keep), numbers.filter(keep))
-            if self.candidates and lines:
-                yield from self.rows(f, start, pa.nulls(1, pa.large_string()), pa.array([lines], pa.int64()))
-
-    def rows(self, f: File, start: int, values: pa.Array, numbers: pa.Array) -> Iterator[pa.RecordBatch]:
-        n = len(values)
-        if n:
-            same = lambda x, kind: pa.repeat(pa.scalar(x, kind), n)
-            yield pa.RecordBatch.from_arrays([values.cast(pa.string()), same(f.shown, pa.string()), same(f.size, pa.int64()), same(start, pa.int64()), numbers], COLUMNS)
+        return together(rows_of(partition.blocks if partition is not None and hasattr(partition, "blocks") else [], self.candidates))
+
+
+def rows_of(blocks: Iterable[tuple[File, int, int]], only_candidates: bool) -> Iterator[pa.RecordBatch]:
+    """The lines of blocks; with ``only_candidates`` those that can hold usage, and a row for each block with lines."""
+    for f, start, end in blocks:
+        number = lines = 0
+        with opened(f.root)[0].open_input_file(f.inner) as stream:
+            for data in pieces(stream, start, end, f.size):
+                values = _text(lines_of(data))
+                numbers = pa.array(np.arange(number, number + len(values), dtype=np.int64))
+                number += len(values)
+                keep = filled(values)
+                lines += pc.sum(keep).as_py() or 0
+                if only_candidates:
+                    keep = pc.and_(keep, candidates(values))
+                yield from _batch(f, start, values.filter(keep), numbers.filter(keep))
+        if only_candidates and lines:
+            yield from _batch(f, start, pa.nulls(1, pa.large_string()), pa.array([lines], pa.int64()))
+
+
+def _batch(f: File, start: int, values: pa.Array, numbers: pa.Array) -> Iterator[pa.RecordBatch]:
+    n = len(values)
+    if n:
+        same = lambda x, kind: pa.repeat(pa.scalar(x, kind), n)
+        yield pa.RecordBatch.from_arrays([values.cast(pa.string()), same(f.shown, pa.string()), same(f.size, pa.int64()), same(start, pa.int64()), numbers], COLUMNS)
+
+
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in fewer batches: those of short files go on together, up to `BATCH_ROWS` or the bytes of a piece."""
+    held: list[pa.RecordBatch] = []
+    rows = size = 0
+    for batch in batches:
+        if held and (rows + batch.num_rows > BATCH_ROWS or size + batch.nbytes > READ_BYTES):
+            yield pa.concat_batches(held)
+            held, rows, size = [], 0, 0
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
+def listed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates, as `rows_of` gives them, of the blocks (path, size, start, end) of a listing."""
+    blocks = ((File(r["path"], r["path"], opened(r["path"])[1], r["size"], 0.0), r["start"], r["end"]) for batch in batches for r in batch.to_pylist())
+    return together(rows_of(blocks, True))
 
 
 def _text(values: pa.Array) -> pa.Array:
@@ -203,8 +233,62 @@ class LogBlocks(DataSource):
         return "log_blocks"
 
     def schema(self) -> str:
-        return "value string, file string, file_size long, block long, line long"
+        return SCHEMA
 
     def reader(self, schema) -> BlockReader:
         given = self.options
         return BlockReader(given["paths"].split("\n"), given.get("pattern", "*"), int(given.get("block", BLOCK_BYTES)), int(given.get("together", TASK_BYTES)), given.get("candidates", "false") == "true")
+
+
+class FileWriter(DataSourceArrowWriter):
+    def __init__(self, folder: str) -> None:
+        self.folder = folder
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        system, inner = opened(self.folder)
+        now = hidden = stream = None
+        made: set[str] = set()
+        try:
+            for batch in iterator:
+                values = batch.column("value").cast(pa.large_binary())
+                data = values.buffers()[2] or pa.py_buffer(b"")
+                ends = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+                runs, start = pc.run_end_encode(batch.column("path")), 0
+                for path, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                    if path != now:
+                        if stream is not None:
+                            stream.close()
+                            system.move(hidden, f"{inner}/{now}")
+                        parent, _, name = f"{inner}/{path}".rpartition("/")
+                        if parent not in made:
+                            system.create_dir(parent, recursive=True)
+                            made.add(parent)
+                        now, hidden = path, f"{parent}/.{name}.{uuid.uuid4().hex}"
+                        stream = system.open_output_stream(hidden)
+                    stream.write(data[ends[start] : ends[end]])
+                    start = end
+            if stream is not None:
+                stream.close()
+                system.move(hidden, f"{inner}/{now}")
+        except BaseException:
+            if stream is not None and not stream.closed:
+                stream.close()
+                system.delete_file(hidden)
+            raise
+        return WriterCommitMessage()
+
+
+class LogFiles(DataSource):
+    """Writes rows (path, value) as files below the option ``folder``: a file is the values of its path, as they are.
+
+    Rows must be dealt and sorted by path. A task has one file open, and gives it its name when it is whole, so a task that
+    runs again replaces whole files by the same ones, and readers, which leave out hidden files, see no others. Nothing is
+    renamed at the end of the job, so many small files cost what writing them costs.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "log_files"
+
+    def writer(self, schema, overwrite: bool) -> FileWriter:
+        return FileWriter(self.options["folder"].rstrip("/"))

@@ -7,8 +7,9 @@ are dealt over buckets by hash; the buckets that lines came to or went from are
 keep theirs. Logs of the second provider are counted by file, so a changed file's facts replace its old ones.
 
 A version is the ledger and the list of buckets; it is published last (`snapshots`), so a refresh that stops leaves the
-version before it readable. Runs and buckets that no kept version needs are removed by `vacuum`. The driver handles the
-list of changed paths, as any scan of files does.
+version before it readable. Runs and buckets that no kept version needs are removed by `vacuum`. Spark's driver lists the
+files once; what is changed stays in the ledger, and tasks take it from there. States and facts are sorted by bucket
+within their files, so neither the number of logs nor that of buckets makes more of these.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ from meterglass.operators.rollout import rollout_usage
 from meterglass.sources import snapshots
 from meterglass.sources.extract import rollout_events, usage_lines
 from meterglass.sources.lines import parsed, rollout_prefilter, scan_usage, usage_prefilter
-from meterglass.sources.store import file_listing
+from meterglass.sources.store import few_scan_tasks, file_listing
 
 BUCKETS = 64
 #: So many runs are put together by the next refresh.
 MOST_RUNS = 32
 LEDGER = "path string, size long, modified timestamp, origin string, run int"
+LINES = "value string, file string, file_size long, ord struct<file: string, block: bigint, line: bigint>"
 FACTS = ["ts", "model_raw", "account", "provider", *COUNTERS]
+FACT_TYPES = "ts timestamp, model_raw string, account string, provider string, " + ", ".join(f"{c} long" for c in COUNTERS)
 
 
 def ledger_of(spark: SparkSession, path: str) -> DataFrame:
@@ -57,16 +60,16 @@ def next_ledger(listing: DataFrame, old: DataFrame, run: int) -> DataFrame:
     return kept.unionByName(rest.select("path", "size", "modified").join(moved, "path", "left").select("path", "size", "modified", F.coalesce("origin", "path").alias("origin"), F.coalesce("run", F.lit(run)).alias("run")))
 
 
-def _runs(spark: SparkSession, path: str, kind: str, ledger: DataFrame, schema: StructType | str) -> DataFrame | None:
-    """What the ledger's runs have of ``kind``, with ``path`` of each file now; None without runs."""
+def _runs(spark: SparkSession, path: str, kind: str, ledger: DataFrame, schema: StructType | str, *more: str) -> DataFrame | None:
+    """What the ledger's runs have of ``kind``, with ``path`` of each file now, and ``more`` of the ledger; None without runs."""
     numbers = [r["run"] for r in ledger.select("run").distinct().collect()]
     found = [spark.read.schema(schema).parquet(f"{path}/runs/run={n}/{kind}").withColumn("run", F.lit(n)) for n in sorted(numbers)]
     if not found:
         return None
     rows = found[0]
-    for more in found[1:]:
-        rows = rows.unionByName(more)
-    return rows.join(ledger.select("path", F.col("origin").alias("file"), "run"), ["file", "run"])
+    for other in found[1:]:
+        rows = rows.unionByName(other)
+    return rows.join(ledger.select("path", F.col("origin").alias("file"), "run", *more), ["file", "run"])
 
 
 def refresh(spark: SparkSession, path: str, *paths: str, claude_roots: DataFrame, codex_roots: DataFrame, pattern: str = "*.jsonl") -> bool:
@@ -74,7 +77,8 @@ def refresh(spark: SparkSession, path: str, *paths: str, claude_roots: DataFrame
     number = (snapshots.newest(spark, path) or 0) + 1
     run, old = f"{path}/runs/run={number}", ledger_of(spark, path)
     snapshots.remove(spark, run)  # of a refresh that stopped
-    file_listing(spark, *paths, pattern=pattern).write.parquet(f"{run}/listing")  # once, as the ledger's joins read it thrice
+    with few_scan_tasks(spark):
+        file_listing(spark, *paths, pattern=pattern).write.parquet(f"{run}/listing")  # once, as the ledger's joins read it thrice
     listing = spark.read.schema("path string, size long, modified timestamp").parquet(f"{run}/listing")
     next_ledger(listing, old, number).write.parquet(f"{run}/ledger")
     ledger = spark.read.schema(LEDGER).parquet(f"{run}/ledger")
@@ -84,32 +88,37 @@ def refresh(spark: SparkSession, path: str, *paths: str, claude_roots: DataFrame
         snapshots.remove(spark, run)
         return False
 
-    changed = [r["path"] for r in ledger.where(F.col("run") == number).select("path").collect()]
-    empty = spark.createDataFrame([], "value string, file string, file_size long, ord struct<file: string, block: bigint, line: bigint>")
+    changed = ledger.where(F.col("run") == number).select("path", "size")
     # the lines that can hold usage are written, so that logs are read once, and a line is parsed by the provider it can be of
-    (scan_usage(spark, *changed, pattern="*").drop("lines") if changed else empty).where("value IS NOT NULL").write.parquet(f"{run}/lines")
-    lines = spark.read.schema(empty.schema).parquet(f"{run}/lines")
+    scan_usage(spark, listing=changed).drop("lines").where("value IS NOT NULL").write.parquet(f"{run}/lines")
+    lines = spark.read.schema(LINES).parquet(f"{run}/lines")
     usage = usage_lines(parsed(lines.where(usage_prefilter(F.col("value"))))).withColumns({"ord": F.struct("ord.block", "ord.line"), "account": F.lit(""), "provider": F.lit("claude")})
     bucket = F.pmod(F.xxhash64("r", "m", F.when(F.col("o").isNotNull(), F.struct("file", "o"))), F.lit(BUCKETS)).cast("int")
     own = states(usage, "file").withColumn("bucket", bucket)
     events = rollout_usage(rollout_events(parsed(lines.where(rollout_prefilter(F.col("value"))))).drop("limits").withColumn("account", F.lit("")), keep_file=True)
     before = ledger.where(F.col("run") != number)
-    if before.select("run").distinct().count() >= MOST_RUNS:
+    all_live = before.select("run").distinct().count() >= MOST_RUNS
+    if all_live:
         # all live states go into this run
         own = own.unionByName(_runs(spark, path, "usage", before, own.schema).select(*own.columns))
         events = events.unionByName(_runs(spark, path, "rollouts", before, events.schema).select(*events.columns))
         ledger.withColumn("run", F.lit(number)).write.parquet(f"{run}/all")
         ledger = spark.read.schema(LEDGER).parquet(f"{run}/all")
-    own.write.partitionBy("bucket").parquet(f"{run}/usage")
+    # by bucket within a file, which readers of some buckets skip by; a file for each bucket and task would be thousands
+    own.sortWithinPartitions("bucket").write.parquet(f"{run}/usage")
     events.write.parquet(f"{run}/rollouts")
     for done in ("lines", "listing"):
         snapshots.remove(spark, f"{run}/{done}")
 
-    touched = {r["bucket"] for r in spark.read.schema(own.schema).parquet(f"{run}/usage").join(ledger.where(F.col("run") == number).select(F.col("path").alias("file")).join(into.select(F.col("path").alias("file")), "file"), "file", "left_semi").select("bucket").distinct().collect()}
+    mine = spark.read.schema(own.schema).parquet(f"{run}/usage")
+    if all_live:  # of these only what was read now
+        mine = mine.join(into.where(F.col("run") == number).select(F.col("path").alias("file")), "file", "left_semi")
+    touched = {r["bucket"] for r in mine.select("bucket").distinct().collect()}
     for some in (out, into.where(F.col("run") != number)):  # changed, removed and moved files
-        rows = _runs(spark, path, "usage", some, own.schema)
+        rows = _runs(spark, path, "usage", some, own.schema) if len(touched) < BUCKETS else None
         touched |= {r["bucket"] for r in rows.select("bucket").distinct().collect()} if rows is not None else set()
-    _merged(spark, path, ledger, sorted(touched), claude_roots, own.schema).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/facts/gen={number}")
+    merged = _merged(spark, path, ledger, sorted(touched), claude_roots, own.schema)
+    merged.sortWithinPartitions("bucket").write.mode("overwrite").parquet(f"{path}/facts/gen={number}")
     held = snapshots.current(spark, path)
     gens = {r["bucket"]: r["gen"] for r in spark.read.parquet(f"{held}/buckets").collect()} if held else {}
     gens |= {b: number for b in touched}
@@ -124,9 +133,9 @@ def refresh(spark: SparkSession, path: str, *paths: str, claude_roots: DataFrame
 
 def _merged(spark: SparkSession, path: str, ledger: DataFrame, buckets: list[int], roots: DataFrame, schema: StructType) -> DataFrame:
     """Facts of buckets by all live states, with each file's path and account as they are now."""
-    rows = _runs(spark, path, "usage", ledger, schema)
-    rows = spark.createDataFrame([], schema).withColumns({"path": F.lit(""), "run": F.lit(0)}) if rows is None else rows
-    live = tag_accounts(rows.where(F.col("bucket").isin(buckets)), F.col("path"), roots, "claude")
+    rows = _runs(spark, path, "usage", tag_accounts(ledger, F.col("path"), roots, "claude"), schema, "account")
+    rows = spark.createDataFrame([], schema).withColumns({"path": F.lit(""), "run": F.lit(0), "account": F.lit("")}) if rows is None else rows
+    live = rows.where(F.col("bucket").isin(buckets))
     place = lambda c: F.struct(F.col("path").alias("file"), F.col(f"{c}.block").alias("block"), F.col(f"{c}.line").alias("line"))
     first = F.struct("first.ts", "first.model_raw", "account", "first.provider", place("first.ord").alias("ord"))
     placed = live.withColumns({"o": F.when(F.col("o").isNotNull(), place("o")), "ord": place("ord"), "first": F.when(F.col("dated"), first)})
@@ -145,22 +154,15 @@ def facts(spark: SparkSession, path: str) -> DataFrame:
     for r in spark.read.parquet(f"{held}/buckets").collect():
         by_gen.setdefault(r["gen"], []).append(r["bucket"])
     for gen, buckets in sorted(by_gen.items()):
-        base = f"{path}/facts/gen={gen}"
-        there = {n.split("=")[1] for n in snapshots.names(spark, base) if n.startswith("bucket=")}
-        parts = [f"{base}/bucket={b}" for b in buckets if str(b) in there]  # the others have lost all their lines
-        if parts:
-            rows = rows.unionByName(spark.read.parquet(*parts).select(*FACTS))
+        merged = spark.read.schema(f"{FACT_TYPES}, bucket int").parquet(f"{path}/facts/gen={gen}")
+        rows = rows.unionByName(merged.where(F.col("bucket").isin(buckets)).select(*FACTS))
     return rows
 
 
 def _rollouts(spark: SparkSession, path: str, held: str) -> DataFrame:
-    ledger = spark.read.parquet(f"{held}/ledger")
-    schema = "ts timestamp, model_raw string, account string, provider string, " + ", ".join(f"{c} long" for c in COUNTERS)
-    rows = _runs(spark, path, "rollouts", ledger, f"file string, {schema}")
-    if rows is None:
-        return spark.createDataFrame([], schema)
-    names = ledger.select("path", F.col("codex_account").alias("account"))
-    return rows.drop("account").join(names, "path").select(*FACTS)
+    ledger = spark.read.parquet(f"{held}/ledger").drop("account").withColumnRenamed("codex_account", "account")
+    rows = _runs(spark, path, "rollouts", ledger, f"file string, {FACT_TYPES}".replace("account string, ", ""), "account")
+    return spark.createDataFrame([], FACT_TYPES) if rows is None else rows.select(*FACTS)
 
 
 def vacuum(spark: SparkSession, path: str, keep: int = 2) -> None:

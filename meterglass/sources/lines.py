@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterglass.operators.limits import is_object, once
-from meterglass.sources.blocks import BLOCK_BYTES, LogBlocks
+from meterglass.sources.blocks import BLOCK_BYTES, SCHEMA, TASK_BYTES, LogBlocks, LogFiles, listed_rows
+
+#: Files of a listing that a task reads, at most.
+TASK_FILES = 1000
+
 
 def _blocks(spark: SparkSession, paths: tuple[str, ...], pattern: str, block: int, candidates: bool) -> DataFrame:
     spark.dataSource.register(LogBlocks)
@@ -14,6 +18,15 @@ def _blocks(spark: SparkSession, paths: tuple[str, ...], pattern: str, block: in
     return reader.option("block", block).option("candidates", candidates).load().withColumn("ord", F.struct("file", "block", "line"))
 
 
+def _listed_blocks(listing: DataFrame, block: int) -> DataFrame:
+    """Candidates of the files (path, size) of a listing. Tasks take the files from it, so that the driver holds no list of them."""
+    start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(block).cast("long"))).alias("start")
+    cut = listing.where("size > 0").select("path", "size", start).withColumn("end", F.least("size", F.col("start") + block))
+    most = cut.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias("bytes")).first()
+    tasks = max(-(-most["bytes"] // TASK_BYTES), -(-most["n"] // TASK_FILES), min(most["n"], 2 * listing.sparkSession.sparkContext.defaultParallelism), 1)
+    return cut.repartition(tasks).mapInArrow(listed_rows, SCHEMA).withColumn("ord", F.struct("file", "block", "line"))
+
+
 def scan_lines(spark: SparkSession, *paths: str, pattern: str = "*.jsonl", block: int = BLOCK_BYTES) -> DataFrame:
     """Lines (value, file, file_size, ord) of all files under the paths whose names fit ``pattern``.
 
@@ -23,12 +36,22 @@ def scan_lines(spark: SparkSession, *paths: str, pattern: str = "*.jsonl", block
     return _blocks(spark, paths, pattern, block, False).select("value", "file", "file_size", "ord")
 
 
-def scan_usage(spark: SparkSession, *paths: str, pattern: str = "*.jsonl", block: int = BLOCK_BYTES) -> DataFrame:
-    """Of `scan_lines` those that can hold usage (`prefilter`), and for each block with lines a row without value and with their number as ``lines``."""
-    rows = _blocks(spark, paths, pattern, block, True)
+def scan_usage(spark: SparkSession, *paths: str, pattern: str = "*.jsonl", block: int = BLOCK_BYTES, listing: DataFrame | None = None) -> DataFrame:
+    """Of `scan_lines` those that can hold usage (`prefilter`), and for each block with lines a row without value and with their number as ``lines``.
+
+    ``listing`` has files (path, size) instead of ``paths``, each of which is read up to its size there.
+    """
+    rows = _blocks(spark, paths, pattern, block, True) if listing is None else _listed_blocks(listing, block)
     return rows.select("value", "file", "file_size", "ord", F.when(F.col("value").isNull(), F.col("line")).alias("lines"))
 
 
+def write_files(rows: DataFrame, folder: str) -> None:
+    """Writes lines (path, ord, value) as files ``path`` below ``folder``, each with its lines in order."""
+    rows.sparkSession.dataSource.register(LogFiles)
+    lines = rows.repartition("path").sortWithinPartitions("path", "ord").select("path", F.concat("value", F.lit("\n")).alias("value"))
+    lines.write.format(LogFiles.name()).mode("append").option("folder", folder).save()
+
+
 def prefilter(value: Column) -> Column:
     """Whether a line can hold usage, before its JSON is parsed."""
     return usage_prefilter(value) | rollout_prefilter(value)

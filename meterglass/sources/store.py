@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,6 +133,21 @@ def file_listing(spark: SparkSession, *paths: str, pattern: str = "*.jsonl") ->
     return found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
+#: So few scan tasks take many small files each; Spark has one for every 32 files otherwise, even if it reads none of their content.
+SCAN_TASKS = "spark.sql.files.maxPartitionNum"
+
+
+@contextmanager
+def few_scan_tasks(spark: SparkSession) -> Iterator[None]:
+    """Within it, scans whose execution starts have some tasks for each core, whatever the number of files."""
+    before = spark.conf.get(SCAN_TASKS, None)
+    spark.conf.set(SCAN_TASKS, 4 * spark.sparkContext.defaultParallelism)
+    try:
+        yield
+    finally:
+        spark.conf.set(SCAN_TASKS, before) if before else spark.conf.unset(SCAN_TASKS)
+
+
 def changed_files(listing: DataFrame, ledger: DataFrame) -> DataFrame:
     """Files to read again, with what became of them: new, grown, truncated or touched. Unchanged ones are left out."""
     old = ledger.select("path", F.col("size").alias("old_size"), F.col("modified").alias("old_modified"))

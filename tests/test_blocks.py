@@ -1,12 +1,15 @@
 """The one-pass source of log lines against reading whole files, for any blocks."""
 
+import json
 import random
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from meterglass.sources import blocks
-from meterglass.sources.lines import ingest_quality, prefilter, scan_lines, scan_usage
+from meterglass.sources import blocks, store
+from meterglass.sources.lines import ingest_quality, prefilter, scan_lines, scan_usage, write_files
 
 
 def random_bytes(rng):
@@ -80,3 +83,39 @@ def test_usage_scan_gives_candidates_and_counts(spark, tmp_path):
     assert sorted(map(str, ingest_quality(lines).collect())) == sorted(map(str, ingest_quality(got).collect()))
     kept = got.where("value IS NOT NULL").select("value", "ord")
     assert sorted(map(str, kept.collect())) == sorted(map(str, lines.where(prefilter(F.col("value"))).select("value", "ord").collect()))
+
+
+def test_a_scan_by_a_listing_is_that_by_paths(spark, tmp_path):
+    rng = random.Random(2)
+    for n in range(40):
+        rows = [json.dumps({"usage": 1, "type": "assistant", "n": n, "k": k}) if rng.random() < 0.7 else "other" for k in range(rng.choice([0, 1, 30, 900]))]
+        (tmp_path / f"{n}.jsonl").write_text("".join(r + "\n" for r in rows) + "open assistant \"usage\"")
+    want = sorted(map(str, scan_usage(spark, str(tmp_path), block=4000).collect()))
+    listing = store.file_listing(spark, str(tmp_path))
+    assert sorted(map(str, scan_usage(spark, listing=listing, block=4000).collect())) == want
+    assert scan_usage(spark, listing=listing.where("size < 0")).isEmpty()
+
+
+def test_rows_of_short_files_go_on_together():
+    batches = [pa.RecordBatch.from_pydict({"a": list(range(k, k + 7))}) for k in range(0, 70_000, 7)]
+    got = list(blocks.together(iter(batches)))
+    assert len(got) == 8 and pa.Table.from_batches(got)["a"].to_pylist() == list(range(70_000))
+    assert list(blocks.together(iter([]))) == []
+
+
+def test_files_are_written_whole_and_in_order(spark, tmp_path):
+    rows = spark.range(5000).select(F.concat(F.lit("a/"), (F.col("id") % 300).cast("string"), F.lit(".txt")).alias("path"), F.col("id").alias("ord"), F.concat(F.lit("ü "), F.col("id").cast("string")).alias("value"))
+    for _ in range(2):  # the second time, each is replaced by the same
+        write_files(rows, f"file:{tmp_path}/x")
+    files = {p.name: p.read_text() for p in (tmp_path / "x/a").iterdir()}
+    assert files == {f"{n}.txt": "".join(f"ü {k}\n" for k in range(n, 5000, 300)) for n in range(300)}
+
+
+def test_a_file_of_a_stopped_task_is_not_seen(tmp_path):
+    def batches():
+        yield pa.RecordBatch.from_pydict({"path": ["a", "a", "b"], "value": ["1\n", "2\n", "3\n"]})
+        raise RuntimeError("stop")
+
+    with pytest.raises(RuntimeError):
+        blocks.FileWriter(str(tmp_path)).write(batches())
+    assert {p.name: p.read_text() for p in Path(tmp_path).iterdir()} == {"a": "1\n2\n"}

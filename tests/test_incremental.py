@@ -74,6 +74,26 @@ def test_refreshes_equal_full_rebuilds(spark, refreshed, monkeypatch):
     assert run() and rows_of(incremental.facts(spark, path)) == []
 
 
+def test_a_refresh_writes_no_file_for_each_bucket_or_log(spark, sf, refreshed, monkeypatch):
+    """States and facts have a file for a task at most, not one for each bucket and task, and generated logs share folders."""
+    from meterglass.plans import events as ev
+    from meterglass.plans import queries
+
+    logs, path, run = refreshed
+    for n in range(60):
+        write(logs / f"home/{n % 3}/{n}.jsonl", *[usage(k, f"{n}-{k}") for k in range(30)])
+    assert run()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for kind in ("runs/run=1/usage", "facts/gen=1"):
+        assert 0 < sum(name.endswith(".parquet") for _, _, names in os.walk(f"{path}/{kind}") for name in names) <= tasks
+    made = []
+    shared = ev.shared_folder
+    monkeypatch.setattr(ev, "shared_folder", lambda *a: made.append(shared(*a)) or made[-1])
+    queries.facts_by_file(spark, sf)
+    users = ev.events(spark, sf).select("user_id").distinct().count()
+    assert 0 < sum(len(folders) for _, folders, _ in os.walk(made[1].removeprefix("file:"))) < users
+
+
 def test_unchanged_files_are_not_opened(spark, refreshed):
     logs, path, run = refreshed
     write(logs / "home/a.jsonl", usage(1, 1), usage(3, None))
