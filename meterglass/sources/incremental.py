@@ -24,7 +24,7 @@ from meterglass.operators.rollout import rollout_usage
 from meterglass.sources import snapshots
 from meterglass.sources.extract import rollout_events, usage_lines
 from meterglass.sources.lines import parsed, rollout_prefilter, scan_usage, usage_prefilter
-from meterglass.sources.store import few_scan_tasks, file_listing
+from meterglass.sources.store import file_listing, files_unread
 
 BUCKETS = 64
 #: So many runs are put together by the next refresh.
@@ -77,7 +77,7 @@ def refresh(spark: SparkSession, path: str, *paths: str, claude_roots: DataFrame
     number = (snapshots.newest(spark, path) or 0) + 1
     run, old = f"{path}/runs/run={number}", ledger_of(spark, path)
     snapshots.remove(spark, run)  # of a refresh that stopped
-    with few_scan_tasks(spark):
+    with files_unread(spark):
         file_listing(spark, *paths, pattern=pattern).write.parquet(f"{run}/listing")  # once, as the ledger's joins read it thrice
     listing = spark.read.schema("path string, size long, modified timestamp").parquet(f"{run}/listing")
     next_ledger(listing, old, number).write.parquet(f"{run}/ledger")

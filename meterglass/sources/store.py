@@ -133,19 +133,22 @@ def file_listing(spark: SparkSession, *paths: str, pattern: str = "*.jsonl") ->
     return found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
-#: So few scan tasks take many small files each; Spark has one for every 32 files otherwise, even if it reads none of their content.
-SCAN_TASKS = "spark.sql.files.maxPartitionNum"
+#: Files that a scan task lists, at most. Spark counts 4 MB for each, and so has a task for every 32, if it reads none of their content.
+LISTED_FILES = 10_000
 
 
 @contextmanager
-def few_scan_tasks(spark: SparkSession) -> Iterator[None]:
-    """Within it, scans whose execution starts have some tasks for each core, whatever the number of files."""
-    before = spark.conf.get(SCAN_TASKS, None)
-    spark.conf.set(SCAN_TASKS, 4 * spark.sparkContext.defaultParallelism)
+def files_unread(spark: SparkSession) -> Iterator[None]:
+    """Scans that start within it read no content of their files: tasks have equal numbers of them, whatever their sizes."""
+    settings = {"spark.sql.files.openCostInBytes": 1 << 30, "spark.sql.files.maxPartitionBytes": LISTED_FILES << 30}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(SCAN_TASKS, before) if before else spark.conf.unset(SCAN_TASKS)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def changed_files(listing: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -96,6 +96,17 @@ def test_a_scan_by_a_listing_is_that_by_paths(spark, tmp_path):
     assert scan_usage(spark, listing=listing.where("size < 0")).isEmpty()
 
 
+def test_a_listing_has_tasks_by_files_read_or_not(spark, tmp_path):
+    for n in range(300):
+        (tmp_path / f"{n}.jsonl").write_text("x" * n + "\n")
+    tasks = lambda: store.file_listing(spark, str(tmp_path)).rdd.getNumPartitions()
+    before = tasks()
+    with store.files_unread(spark):
+        assert tasks() <= spark.sparkContext.defaultParallelism < before
+        assert store.file_listing(spark, str(tmp_path)).agg(F.sum("size")).first()[0] == sum(range(1, 301))
+    assert tasks() == before
+
+
 def test_rows_of_short_files_go_on_together():
     batches = [pa.RecordBatch.from_pydict({"a": list(range(k, k + 7))}) for k in range(0, 70_000, 7)]
     got = list(blocks.together(iter(batches)))
